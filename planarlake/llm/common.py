@@ -46,7 +46,9 @@ def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:
     It only sets how finely work is dealt out; no result depends on it.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(100_000, max(least, size // int(mb * 1e6) + 1)))
+    if size > 1 << 60:  # unknown, as for rows that come from the driver
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, size // int(mb * 1e6) + 1)
 
 
 def lower_ascii(col: Column) -> Column:
@@ -148,8 +150,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = staged(small.where("u <> v").distinct(), "edges")
         # Stars: no root is itself a child, and each child has one root.
-        roots = new.select("v").distinct()
-        moved = new.join(roots, new.u == roots.v, "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
+        roots = new.select(F.col("v").alias("r")).distinct()
+        moved = new.join(roots, F.col("u") == F.col("r"), "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
         e, n = new, new.count()
         if not moved:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import simhash, tokens
 
-MODULES = (tokens,)
+MODULES = (simhash, tokens)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

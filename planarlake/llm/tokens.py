@@ -42,6 +42,7 @@ class RankMerger:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.special = [t["content"] for t in j.get("added_tokens", [])]
         self.split = regex.compile(PATTERN)
+        self.odd = regex.compile(f"{_SPACE} {_SPACE}")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, int] = {}
         self.pre: dict[str, int] = {}
@@ -99,7 +100,8 @@ class RankMerger:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text. A text falls apart where one space follows other text, as no pre-token
-        reaches over such a place; texts with two spaces together or one at the end are cut by the pattern."""
+        reaches over such a place; texts with white space on both sides of a space, or a space at the end, are cut by the
+        pattern."""
         cut, out, todo = self.cut, [0] * len(texts), []
         pieces: set[str] = set()
         for i, t in enumerate(texts):
@@ -110,7 +112,7 @@ class RankMerger:
             for p in parts:
                 if not p:
                     continue
-                if "  " in p or p[-1] == " ":
+                if "  " in p or p[-1] == " " or self.odd.search(p):
                     words = [p]
                 else:
                     first, *words = p.split(" ")
