@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, tokens
+from . import licenses, mixing, simhash, tokens
 
-MODULES = (mixing, simhash, tokens)
+MODULES = (licenses, mixing, simhash, tokens)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
