@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, simhash, tokens
+from . import langid, licenses, mixing, quality, simhash, tokens
 
-MODULES = (licenses, mixing, quality, simhash, tokens)
+MODULES = (langid, licenses, mixing, quality, simhash, tokens)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
