@@ -50,29 +50,29 @@ def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, bool, str, in
 
 
 def license_spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts has doc_id, n_words, hits of each row; spans has one row a verified or partial span.
+    """(texts, spans): texts has row (a number of its own), doc_id, n_words, hits; spans has one row a verified or partial span.
 
-    Spans: doc_id, n_words, hits (which tell rows of one id apart), template, phrase, label, pairs, matched, first (the
+    Spans: row, template, phrase, label, pairs, matched, first (the
     word the template's start falls on), last, score (matched / pairs). Null and empty texts have no words; repeated rows
-    give one set of spans for all; other columns are not read.
+    have spans each; other columns are not read.
     """
     spark = docs.sparkSession
     known = templates(phrases, notices)
     place = spark.createDataFrame(known, "template int, phrase boolean, label string, pairs int, tpos int, w1 string, w2 string")
     grams = sorted({(r[5], r[6]) for r in known})
     firsts = sorted({g[0] for g in grams})
-    seconds = sorted({g[1] for g in grams})
+    both = sorted(f"{a} {b}" for a, b in grams)
     words = F.regexp_extract_all(C.lower_ascii(F.coalesce(docs[text_col], F.lit(""))), F.lit(WORDS), F.lit(0))
     texts = docs.select(docs[id_col].alias("doc_id"), words.alias("words"))
     n = F.size("words")
-    # Pairs whose two words both occur in templates; the join below decides.
+    # Only pairs that templates have leave the row; the join finds their places.
     pairs = F.filter(
         F.transform("words", lambda w, i: F.when(w.isin(firsts), F.struct((i).alias("pos"), w.alias("w1"), F.try_element_at("words", i + 2).alias("w2")))),
-        lambda g: g.isNotNull() & g["w2"].isin(seconds),
+        lambda g: g.isNotNull() & F.concat_ws(" ", g["w1"], g["w2"]).isin(both),
     )
-    texts = C.staged(texts.select("doc_id", n.cast("long").alias("n_words"), pairs.alias("hits")), "hits")
-    keys = ["doc_id", "n_words", "hits"]
-    hit = texts.where(F.size("hits") > 0).distinct().select(*keys, F.explode("hits").alias("hit"))
+    texts = C.staged(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_words"), pairs.alias("hits")), "hits")
+    keys = ["row"]
+    hit = texts.where(F.size("hits") > 0).select(*keys, F.explode("hits").alias("hit"))
     hit = hit.select(*keys, F.col("hit.pos").alias("pos"), F.col("hit.w1").alias("w1"), F.col("hit.w2").alias("w2"))
     met = hit.join(F.broadcast(place), ["w1", "w2"])  # the templates are fixed and small
     votes = met.groupBy(*keys, "template", "phrase", "label", "pairs", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
@@ -99,7 +99,7 @@ def license_labels(docs: DataFrame, phrases=PHRASES, notices=NOTICES, covered: f
     share of a template that was found, 0 without any.
     """
     texts, spans = license_spans(docs, phrases, notices, id_col, text_col)
-    keys = ["doc_id", "n_words", "hits"]
+    keys = ["row"]
     base, good = F.col("phrase"), F.col("phrase") | (F.col("score") >= covered)
 
     def joined(which):
@@ -109,9 +109,7 @@ def license_labels(docs: DataFrame, phrases=PHRASES, notices=NOTICES, covered: f
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
         joined(base).alias("base_labels"), joined(good).alias("labels"), F.max("score").alias("score"),
     )
-    per = per.select(*[F.col(c).alias(f"k_{c}") for c in keys], *per.columns[3:])
-    on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]
-    out = texts.where(F.size("hits") > 0).join(per, on, "left").select("doc_id", "n_words", *per.columns[3:])
+    out = texts.where(F.size("hits") > 0).join(per, "row", "left").select("doc_id", "n_words", *per.columns[1:])
     bare = texts.where(F.size("hits") == 0).select("doc_id", "n_words")
     out = out.unionByName(bare, allowMissingColumns=True)
     none = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
