@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linededup, lm, mixing, quality, simhash, tokens
+from . import decontaminate, langid, licenses, linededup, lm, mixing, quality, simhash, suffixes, tokens
 
-MODULES = (decontaminate, langid, licenses, linededup, lm, mixing, quality, simhash, tokens)
+MODULES = (decontaminate, langid, licenses, linededup, lm, mixing, quality, simhash, suffixes, tokens)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
