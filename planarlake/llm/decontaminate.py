@@ -173,15 +173,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     against all texts in one pass without a shuffle.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // BLOCK_BYTES) + 1
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+    for block in blocks_of(benchmark, item_col):
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):
             matcher = None
@@ -200,6 +196,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id"):
+    """The distinct items in lists of about BLOCK_BYTES of text."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(total // BLOCK_BYTES) + 1
+    for b in range(n):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
+        yield [(r.item_id, r.text) for r in block.collect()]
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, text_col="text", item_col="item_id") -> DataFrame:
+    """The rows of docs, as they are, whose text covers no benchmark item by ``covered`` or more."""
+    at = docs.columns.index(text_col)
+    for block in blocks_of(benchmark, item_col):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches, shared=shared):
+            matcher = None
+            for x in C.slices(batches, text_col):
+                matcher = matcher or Matcher(shared.value, covered)
+                good = np.ones(x.num_rows, bool)
+                good[[d for d, *_ in matcher.search(C.raw_texts(x.column(at)))]] = False
+                yield x.filter(pa.array(good))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def schema_of(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
 

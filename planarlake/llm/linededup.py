@@ -12,6 +12,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -47,7 +48,7 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = C.parts_for(docs, 8)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", _row(F.col("doc_id"), F.col("text")).alias("row"))
+    rows = docs.where(F.col("text").isNotNull()).select("*", _row(F.col("doc_id"), F.col("text")).alias("row"))
     row_kind = f"struct<late:boolean,doc_id:{kind},h:bigint>"
 
     def hashed(batches):
@@ -64,7 +65,7 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([row, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["row", "start", "lines", "hi", "lo"])
 
     # Repeated rows (same id, same text) are one document here, and share its result.
-    found = C.staged(rows.mapInArrow(hashed, f"row {row_kind}, start int, lines int, hi long, lo long"), "chunks")
+    found = C.staged(rows.select("text", "row").mapInArrow(hashed, f"row {row_kind}, start int, lines int, hi long, lo long"), "chunks")
     place = F.struct("row", "start")
     firsts = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").select("hi", "lo", "first")
     again = C.staged(found.join(firsts, ["hi", "lo"]).where(place != F.col("first")).select("row", "start", "lines", "first").distinct(), "again")
@@ -76,7 +77,7 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> tuple[DataFrame, Dat
     def key(prefix: str, of: str = "row"):
         return [F.col(f"{of}.late").alias(f"{prefix}late"), F.coalesce(F.col(f"{of}.doc_id").cast("string"), F.lit("")).alias(f"{prefix}id"), F.col(f"{of}.h").alias(f"{prefix}h")]
 
-    left = rows.select("*", *key("")).repartition(parts, "late", "id", "h")
+    left = rows.select("text", "row", *key("")).repartition(parts, "late", "id", "h")
     right = per.select("wanted", *key("w"))
     both = left.join(right, (F.col("late") == F.col("wlate")) & (F.col("id") == F.col("wid")) & (F.col("h") == F.col("wh")))
 
@@ -96,15 +97,15 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> tuple[DataFrame, Dat
     return rows, C.staged(removed, "removed")
 
 
-def line_dedup(docs: DataFrame, every: int = EVERY, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, text (what is left), n_lines, n_removed_chunks, n_removed_lines (long) of every row.
+def line_dedup(docs: DataFrame, every: int = EVERY, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what is left), columns to ``keep`` (prefixed kept_), n_lines, n_removed_chunks, n_removed_lines (long) of every row.
 
     Null texts stay null, with no lines; an empty text is one empty line. Rows alike in id and text count as one document
     and share its result. Documents are in order of id, null ids last; a document whose chunks all stood earlier is left
     with an empty text.
     """
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"kept_{c}") for c in keep])
+    carried = [f"kept_{c}" for c in keep]
     parts = C.parts_for(docs, 8)
     rows, removed = repeated_chunks(docs, every)
     per = removed.groupBy("row").agg(F.collect_list(F.struct("start", "lines")).alias("gone"))
@@ -123,11 +124,14 @@ def line_dedup(docs: DataFrame, every: int = EVERY, id_col="doc_id", text_col="t
                 drop = {i for x in gone or () for i in range(x["start"], x["start"] + x["lines"])}
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t)
                 n_lines.append(len(lines)), n_chunks.append(len(gone or ())), n_gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_chunks, n_gone))], ["doc_id", "text", "n_lines", "n_removed_chunks", "n_removed_lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[3:], *(pa.array(x, pa.int64()) for x in (n_lines, n_chunks, n_gone))], names)
 
-    out = both.select("doc_id", "text", "gone").mapInArrow(rebuild, f"doc_id {kind}, text string, n_lines long, n_removed_chunks long, n_removed_lines long")
+    numbers = ["n_lines", "n_removed_chunks", "n_removed_lines"]
+    names = ["doc_id", "text", *carried, *numbers]
+    schema = T.StructType([*(docs.schema[c] for c in ("doc_id", "text", *carried)), *(T.StructField(c, T.LongType()) for c in numbers)])
+    out = both.select("doc_id", "text", "gone", *carried).mapInArrow(rebuild, schema)
     zero = F.lit(0).cast("long")
-    bare = docs.where(F.col("text").isNull()).select("doc_id", "text", zero.alias("n_lines"), zero.alias("n_removed_chunks"), zero.alias("n_removed_lines"))
+    bare = docs.where(F.col("text").isNull()).select("doc_id", "text", *carried, zero.alias("n_lines"), zero.alias("n_removed_chunks"), zero.alias("n_removed_lines"))
     return out.union(bare)
 
 
