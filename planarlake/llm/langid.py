@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -46,27 +47,65 @@ def runs(words: list[str]) -> list[str]:
     return out
 
 
+class Pieces:
+    """Finds pieces among all substrings of many words at once: rolling hashes looked up in direct tables."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.hash = np.array([self._of(p) for p in pieces], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        self.levels = []
+        left = np.arange(len(pieces))
+        shift = 44
+        while len(left):  # pieces whose slot is taken go to a further table
+            slot = (self.hash[left] * np.uint64(0xBF58476D1CE4E5B9 + 2 * shift) >> np.uint64(shift)).astype(np.int64)
+            table = np.full(1 << (64 - shift), -1, np.int32)
+            table[slot] = left
+            self.levels.append((shift, table))
+            left = left[table[slot] != left]
+            shift += 2
+
+    def _of(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) & (1 << 64) - 1
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        for shift, table in self.levels:
+            at = table[(h * np.uint64(0xBF58476D1CE4E5B9 + 2 * shift) >> np.uint64(shift)).astype(np.int64)]
+            hit = (at >= 0) & (self.hash[at] == h)
+            out[hit] = at[hit]
+        return out
+
+
 class Lattice:
     """All piece occurrences in a batch of distinct words, for forward and backward sums on all words at once."""
 
-    def __init__(self, words: list[str], index: dict[str, int]) -> None:
+    def __init__(self, words: list[str], index: Pieces) -> None:
         self.n = len(words)
         self.length = np.fromiter(map(len, words), np.int64, self.n)
+        point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        own = np.repeat(np.arange(self.n), self.length)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        room = self.length[own] - place
+        at, h = np.arange(len(own)), np.zeros(len(own), np.uint64)
         word, start, end, piece = [], [], [], []
-        get = index.get
-        for i, w in enumerate(words):
-            size = len(w)
-            for a in range(size):
-                last = min(size, a + LONGEST)
-                p = get(w[a])
-                word.append(i), start.append(a), end.append(a + 1), piece.append(-1 if p is None else p)
-                for b in range(a + 2, last + 1):
-                    p = get(w[a:b])
-                    if p is not None:
-                        word.append(i), start.append(a), end.append(b), piece.append(p)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
+        for size in range(1, index.longest + 1):
+            live = room[at] >= size
+            at, h = at[live], h[live]
+            if not len(at):
+                break
+            h = h * index.BASE + point[at + size - 1]
+            p = index.find(h)
+            hit = np.flatnonzero(p >= 0) if size > 1 else slice(None)
+            i = at[hit]
+            word.append(own[i]), start.append(place[i]), end.append(place[i] + size), piece.append(p[hit])
+        self.word, self.start, self.end, self.piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, start, end, piece))
         self.most = int(self.length.max()) if self.n else 0
-        by_end = np.lexsort((self.word, self.end))
+        by_end = np.argsort(self.end * self.n + self.word, kind="stable")
         self.by_end = by_end
         self.ends = np.searchsorted(self.end[by_end], np.arange(self.most + 2))
 
@@ -92,7 +131,7 @@ class Lattice:
         alpha, _ = self.forward(prob)
         beta = np.zeros((self.n, self.most + 1))
         beta[np.arange(self.n), self.length] = 1
-        order = np.lexsort((self.word, -self.start))
+        order = np.argsort((self.most - self.start) * self.n + self.word, kind="stable")
         s = -self.start[order]
         cuts = np.searchsorted(s, np.arange(-self.most, 2))
         for at in range(self.most):
@@ -112,7 +151,7 @@ class Scorer:
     """Log-likelihoods of words under all languages, kept by word."""
 
     def __init__(self, pieces: list[str], prob: np.ndarray) -> None:
-        self.index = {p: i for i, p in enumerate(pieces)}
+        self.index = Pieces(pieces)
         self.prob, self.k = prob, prob.shape[1]
         self.row: dict[str, int] = {}
         self.table = np.zeros((1024, self.k), np.float64)
@@ -126,8 +165,8 @@ class Scorer:
             at = len(self.row)
             while at + len(part) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            for j in range(0, len(part), 500):
-                some = part[j : j + 500]
+            for j in range(0, len(part), 2000):
+                some = part[j : j + 2000]
                 self.table[at + j : at + j + len(some)] = Lattice(some, self.index).forward(self.prob)[1]
             self.row.update(zip(part, range(at, at + len(part))))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
@@ -166,7 +205,7 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
     words = train.select("text", "lang").mapInArrow(counted, "lang string, word string, n long")
     words = C.staged(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
-    index = {p: i for i, p in enumerate(pieces)}
+    index = Pieces(pieces)
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / max(1, len(pieces)))
     prob[-1] = UNKNOWN
     spark = train.sparkSession
@@ -182,8 +221,8 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
                 n = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                 for k in np.unique(lang) if len(lang) else ():
                     at = sorted(np.flatnonzero(lang == k).tolist(), key=lambda i: len(word[i]))
-                    for j in range(0, len(at), 500):
-                        some = at[j : j + 500]
+                    for j in range(0, len(at), 2000):
+                        some = at[j : j + 2000]
                         total[:, k] += Lattice([word[i] for i in some], index).expected(p[:, [k]], n[some])
             row, col = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(col.astype(np.int32)), pa.array(row.astype(np.int32)), pa.array(np.round(total[row, col], 6))], ["k", "piece", "uses"])
@@ -198,8 +237,8 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
     return langs, prob
 
 
-def language_id(docs: DataFrame, train: DataFrame, model: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every text, learned from ``train`` (text, lang).
+def language_id(docs: DataFrame, train: DataFrame, model: str, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every text, learned from ``train`` (text, lang); ``keep`` names columns to carry along.
 
     Predictions read the text alone. Null texts and those without a letter get ``und`` and score 0, as does every text
     when there is nothing to learn from. score is the language's posterior, with equal priors. Repeated rows and null
@@ -224,10 +263,12 @@ def language_id(docs: DataFrame, train: DataFrame, model: str, id_col="doc_id",
                 for i, t in enumerate(texts):
                     if any(map(str.isalpha, t)):
                         pred[i], score[i] = names[best[i]], post[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(pred, pa.string()), pa.array(score)], ["doc_id", *keep, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    carried = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    # The text to read comes second, whatever else is carried.
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"_{c}") for c in keep]).mapInArrow(predict, schema)
 
 
 def held_out(col):

@@ -24,12 +24,12 @@ def test_sums_equal_enumeration():
     rng = np.random.default_rng(1)
     prob = rng.random((len(pieces) + 1, 2))
     words = ["▁", "▁a", "▁abab", "▁bbaab", "▁xabax", "ababa"]
-    like = L.Lattice(words, index).forward(prob)[1]
+    like = L.Lattice(words, L.Pieces(pieces)).forward(prob)[1]
     for i, w in enumerate(words):
         want = sum(np.prod([prob[p] for p in c], axis=0) for c in cuts(w, index))
         assert np.allclose(np.exp(like[i]), want)
     n = np.array([3.0, 1, 2, 5, 1, 4])
-    got = L.Lattice(words, index).expected(prob[:, [0]], n)
+    got = L.Lattice(words, L.Pieces(pieces)).expected(prob[:, [0]], n)
     want = np.zeros(len(pieces) + 1)
     for w, k in zip(words, n):
         all_of = [(c, np.prod([prob[p, 0] for p in c])) for c in cuts(w, index)]
