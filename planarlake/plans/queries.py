@@ -11,6 +11,7 @@ from ..functions import point as P
 from ..functions import ring as R
 from ..functions import text as X
 from ..operators import boxes, catalog, filters, hierarchy, spatial
+from ..sources import gds
 from . import fixtures as D
 
 QUERIES: dict = {}
@@ -517,3 +518,38 @@ def element_repr(spark, sf_dir):
 @query(f"WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.CELLS}, {D.REFS} SELECT 'Cell: ' || cell_name || ' with ' || (SELECT count(*) FROM leaves l WHERE l.cell_name = x.cell_name) || ' polygons, 0 paths, ' || (SELECT count(*) FROM refs r WHERE r.cell_name = x.cell_name) || ' references, and ' || (SELECT count(*) FROM leaf_texts t WHERE t.cell_name = x.cell_name) || ' texts' AS shown FROM cells x")
 def cell_repr(spark, sf_dir):
     return catalog.cell_text(cell_counts(spark, sf_dir)).select("shown")
+
+
+def sql_q(e: str) -> str:
+    """A coordinate as the file keeps it and the reader rounds it."""
+    return f"round(round(({e}) * (1e-6::DOUBLE / 1e-10::DOUBLE)) * (1e-10::DOUBLE / 1e-6::DOUBLE) * 1e5) / 1e5 + 0.0::DOUBLE"
+
+
+def _xy(df, points, *keys):
+    return df.select(*keys, F.posexplode(points).alias("i", "v")).select(*keys, "i", (c("v.x") + F.lit(0.0)).alias("x"), (c("v.y") + F.lit(0.0)).alias("y"))
+
+
+@query(f"WITH {D.POLYGONS}, vs AS (SELECT elem_id, layer, data_type, unnest(p) AS v, (generate_subscripts(p, 1) - 1)::INT AS i FROM polygons) SELECT elem_id, layer, data_type, i, {sql_q('v.x')} AS x, {sql_q('v.y')} AS y FROM vs")
+def gds_roundtrip_polygons(spark, sf_dir):
+    return _xy(gds.roundtrip(D.polygons(spark, sf_dir), "polygon"), c("points"), "elem_id", "layer", "data_type")
+
+
+@query(f"WITH {D.PATHS}, vs AS (SELECT elem_id, path_type, width, unnest(p) AS v, (generate_subscripts(p, 1) - 1)::INT AS i FROM paths) SELECT elem_id, path_type, {sql_q('width')} AS width, i, {sql_q('v.x')} AS x, {sql_q('v.y')} AS y FROM vs")
+def gds_roundtrip_paths(spark, sf_dir):
+    return _xy(gds.roundtrip(D.paths(spark, sf_dir), "path"), c("points"), "elem_id", "path_type", "width")
+
+
+@query(f"""WITH {D.TEXTS} SELECT elem_id, layer, "text", {sql_q('ox')} AS x, {sql_q('oy')} AS y, magnification, angle, x_reflection, v, h FROM texts""")
+def gds_roundtrip_texts(spark, sf_dir):
+    t = gds.roundtrip(D.texts(spark, sf_dir), "text")
+    return t.select("elem_id", "layer", "text", (c("origin.x") + F.lit(0.0)).alias("x"), (c("origin.y") + F.lit(0.0)).alias("y"), "magnification", "angle", "x_reflection", c("vertical_presentation").alias("v"), c("horizontal_presentation").alias("h"))
+
+
+@query(f"WITH {D.REFS} SELECT elem_id, target_cell, ox AS x, oy AS y, cols::BIGINT AS cols, rws::BIGINT AS rws, sxx, syy, mag, ang, refl FROM refs")
+def gds_roundtrip_refs(spark, sf_dir):
+    t = gds.roundtrip(D.references(spark, sf_dir).select("elem_id", "target_cell", "grid"), "reference")
+    zero = F.lit(0.0)
+    return t.select(
+        "elem_id", "target_cell", (c("origin.x") + zero).alias("x"), (c("origin.y") + zero).alias("y"), c("columns").alias("cols"), c("rows").alias("rws"),
+        (c("spacing_x.x") + zero).alias("sxx"), (c("spacing_y.y") + zero).alias("syy"), c("magnification").alias("mag"), c("angle").alias("ang"), c("x_reflection").alias("refl"),
+    )
