@@ -12,33 +12,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import point as P
 from ..functions import ring
+from ..staging import staged
 from . import filters
 
 #: A chain of more references than this counts as endless.
 DEEPEST = 64
-STATE = ("a", "b", "c", "d", "tx", "ty", "a0", "b0", "c0", "d0", "turn", "spin", "sign", "size", "flip")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: by a table in the shared folder if the cluster names one, else by nothing."""
-    spark: SparkSession = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df
-    path = f"{at.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+STATE = ("a", "b", "c", "d", "tx", "ty", "a0", "b0", "c0", "d0", "tx0", "ty0", "turn", "spin", "sign", "size", "flip")
 
 
 def start(cells: DataFrame) -> DataFrame:
     """Placements of root cells (column root): the identity."""
-    one = {"a": 1.0, "b": 0.0, "c": 0.0, "d": 1.0, "tx": 0.0, "ty": 0.0, "a0": 1.0, "b0": 0.0, "c0": 0.0, "d0": 1.0, "turn": 0.0, "spin": 0.0, "sign": 1.0, "size": 1.0}
+    one = {"a": 1.0, "b": 0.0, "c": 0.0, "d": 1.0, "tx": 0.0, "ty": 0.0, "a0": 1.0, "b0": 0.0, "c0": 0.0, "d0": 1.0, "tx0": 0.0, "ty0": 0.0, "turn": 0.0, "spin": 0.0, "sign": 1.0, "size": 1.0}
     return cells.select(
         "root", F.col("root").alias("cell_name"), F.lit(0).alias("depth"), F.array("root").alias("chain"),
         *[F.lit(v).alias(k) for k, v in one.items()], F.lit(False).alias("flip"),
@@ -75,6 +65,7 @@ def _compose() -> dict[str, Column]:
         "a": c("a") * c("ga") + c("b") * c("gc"), "b": c("a") * c("gb") + c("b") * c("gd"), "c": c("c") * c("ga") + c("d") * c("gc"), "d": c("c") * c("gb") + c("d") * c("gd"),
         "tx": c("a") * c("gtx") + c("b") * c("gty") + c("tx"), "ty": c("c") * c("gtx") + c("d") * c("gty") + c("ty"),
         "a0": c("a0") * c("ga") + c("b0") * c("gc"), "b0": c("a0") * c("gb0") + c("b0") * c("gd0"), "c0": c("c0") * c("ga") + c("d0") * c("gc"), "d0": c("c0") * c("gb0") + c("d0") * c("gd0"),
+        "tx0": c("a0") * c("gtx") + c("b0") * c("gty") + c("tx0"), "ty0": c("c0") * c("gtx") + c("d0") * c("gty") + c("ty0"),
         "turn": c("turn") + c("sign") * c("grid.angle"), "spin": c("spin") + c("grid.angle"), "sign": c("sign") * c("gr"), "size": c("size") * c("grid.magnification"), "flip": c("flip") != c("grid.x_reflection"),
     }
 
@@ -94,7 +85,7 @@ def placements(roots: DataFrame, references: DataFrame, depth: int | None = None
         new = level.join(step, level.cell_name == step.parent).select(
             "root", checked.alias("cell_name"), (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("target_cell")).alias("chain"), *[v.alias(k) for k, v in _compose().items()]
         )
-        level = _cut(new)
+        level = staged(new)
         if depth is None and not level.limit(1).count():
             return out
         out, n = out.union(level), n + 1
@@ -145,7 +136,7 @@ def residual_references(placed: DataFrame, references: DataFrame, depth: int, on
         refs = refs.join(on.where("is_on").select(F.col("cell_name").alias("target_cell")), "target_cell", "left_semi")
     c, g = F.col, F.col("grid")
     moved = placed.where(c("depth") == depth).join(refs, "cell_name")
-    apply = lambda p: P.point(c("a0") * p["x"] + c("b0") * p["y"] + c("tx"), c("c0") * p["x"] + c("d0") * p["y"] + c("ty"))
+    apply = lambda p: P.point(c("a0") * p["x"] + c("b0") * p["y"] + c("tx0"), c("c0") * p["x"] + c("d0") * p["y"] + c("ty0"))
     grid = G._with(
         g, origin=apply(g["origin"]), spacing_x=P.multiply(g["spacing_x"], c("size")), spacing_y=P.multiply(g["spacing_y"], c("size")),
         magnification=g["magnification"] * c("size"), angle=G.wrapped(g["angle"] + c("spin")), x_reflection=g["x_reflection"] != c("flip"),
@@ -158,7 +149,7 @@ def flatten(cells: DataFrame, references: DataFrame, polygons: DataFrame, paths:
 
     A root's own elements stay whatever the layers; what references bring is filtered. Depth 0 changes nothing.
     """
-    placed = _cut(placements(cells, references, depth))
+    placed = placements(cells, references, depth)
     own, rest = placed.where("depth = 0"), placed.where("depth > 0")
     out = {
         "polygons": flatten_polygons(own, polygons).union(flatten_polygons(rest, polygons, pairs)),
