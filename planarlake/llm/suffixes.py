@@ -280,6 +280,15 @@ def group_repeats(rows: pa.Table):
         a.append(place[rest])
         b.append(place[rest] + n)
     if at:
+        # One run's spans become one where they touch: nested intervals repeat each other.
+        own, a, b = np.concatenate(at), np.concatenate(a), np.concatenate(b)
+        by = np.lexsort((a, own))
+        own, a, b = own[by], a[by], b[by]
+        reach = np.maximum.accumulate((own << 40) + b)
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] << 40) + a[1:] > reach[:-1]
+        last = np.append(np.flatnonzero(new)[1:], len(own)) - 1
+        at, a, b = [own[new]], [a[new]], [reach[last] - (own[new] << 40)]
         i = pa.array(np.concatenate(at))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(i), np.int32)), rows.column("bucket").take(i).combine_chunks(), *(rows.column(c).take(i).combine_chunks() for c in PLACE), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], NAMES
