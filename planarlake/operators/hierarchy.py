@@ -23,6 +23,8 @@ from . import filters
 
 #: A chain of more references than this counts as endless.
 DEEPEST = 64
+#: Copies of one array that a task makes, about.
+TASK_COPIES = 1_000_000
 STATE = ("a", "b", "c", "d", "tx", "ty", "a0", "b0", "c0", "d0", "tx0", "ty0", "turn", "spin", "sign", "size", "flip")
 
 
@@ -44,11 +46,18 @@ def _copies(grid: Column = None):
 
 
 def expand(references: DataFrame) -> DataFrame:
-    """References with one row a copy (column, row): the copies' own maps beside the grid. Empty grids place nothing."""
+    """References with one row a copy (column, row): the copies' own maps beside the grid. Empty grids place nothing.
+
+    Arrays of very many copies are dealt out over tasks by their columns before the rows are made.
+    """
     g = F.col("grid")
     df = references.where((g["columns"] > 0) & (g["rows"] > 0))
+    most = df.agg(F.max(g["columns"] * g["rows"])).first()[0] or 0
     column, row = _copies()
-    df = df.select("*", column).select("*", row)
+    df = df.select("*", column)
+    if most > TASK_COPIES:
+        df = df.repartition(min(10_000, int(most // TASK_COPIES) + 1))
+    df = df.select("*", row)
     s, k = P.sin_cos(g["angle"])
     m, r = g["magnification"], F.when(g["x_reflection"], -1.0).otherwise(1.0)
     at = G.place(g, F.col("column"), F.col("row"))

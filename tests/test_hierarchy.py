@@ -182,3 +182,10 @@ def test_catalog(spark):
     assert [r.elem_id for r in catalog.remove_elements(mine, near, keys).collect()] == [2]
     assert filters.is_on(mine, [(1, 0)]).count() == 1 and filters.is_on(mine, []).count() == 2
     assert catalog.library_difference(mine, mine, ["layer", "points"]).count() == 0
+
+
+def test_large_arrays_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TASK_COPIES", 50)
+    one = spark.range(1).select(G.grid((0, 0), 20, 30, (2, 0), (0, 2)).alias("grid"), R.as_points([(0, 0), (1, 0), (1, 1), (0, 0)]).alias("points"))
+    got = hierarchy.grid_copies(one, "polygon")
+    assert got.rdd.getNumPartitions() == 13 and got.select(F.element_at("points", 1)["x"].alias("x"), F.element_at("points", 1)["y"].alias("y")).distinct().count() == 600
