@@ -24,12 +24,14 @@ MULTIPLIER = 31
 
 
 def chunks(text: str, every: int = EVERY) -> list[tuple[int, int]]:
-    """(first line, number of lines) of a text's chunks."""
+    """(first line, number of lines) of a text's chunks. All have LEAST lines or more, unless the text has fewer: an end
+    that would leave too short a chunk before or after it is none."""
     out, start, before = [], 0, None
     lines = text.split("\n")
     for i, line in enumerate(lines):
         v = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        if before is not None and (before * MULTIPLIER + v) % every == 0:
+        left = len(lines) - i - 1
+        if before is not None and (before * MULTIPLIER + v) % every == 0 and i + 1 - start >= LEAST and (left == 0 or left >= LEAST):
             out.append((start, i + 1 - start))
             start = i + 1
         before = v
@@ -68,6 +70,7 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY) -> tuple[DataFrame, Dat
     found = C.staged(rows.select("text", "row").mapInArrow(hashed, f"row {row_kind}, start int, lines int, hi long, lo long"), "chunks")
     place = F.struct("row", "start")
     firsts = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").select("hi", "lo", "first")
+    firsts = C.staged(firsts, "firsts")  # so that the join below can split a chunk that very many documents hold
     again = C.staged(found.join(firsts, ["hi", "lo"]).where(place != F.col("first")).select("row", "start", "lines", "first").distinct(), "again")
     # Bytes of the repeated chunks and of their first occurrences, cut from the texts where they are.
     wanted = again.select("row", "start", "lines").union(again.select(F.col("first.row"), F.col("first.start"), "lines")).distinct()
@@ -144,7 +147,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 rolled AS (SELECT *, ('0x' || md5(line)[1:8])::BIGINT AS v FROM lines),
-ends AS (SELECT *, CASE WHEN i > 1 AND (lag(v) OVER w * {MULTIPLIER} + v) % {EVERY} = 0 THEN 1 ELSE 0 END AS e FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, i > 1 AND (lag(v) OVER w * {MULTIPLIER} + v) % {EVERY} = 0 AS hit FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, hit ORDER BY i) AS island FROM hits),
+-- Of ends on end every second one counts; one before the last line alone doesn't.
+ends AS (SELECT *, CASE WHEN hit AND i <> n - 1 AND row_number() OVER (PARTITION BY doc_id, hit, island ORDER BY i) % 2 = 1 THEN 1 ELSE 0 END AS e FROM islands),
 numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
 chunks AS (SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, c),
 judged AS (SELECT *, n >= {LEAST} AND row_number() OVER (PARTITION BY body, n >= {LEAST} ORDER BY doc_id, start) > 1 AS gone FROM chunks)
