@@ -23,6 +23,8 @@ MARK = "▁"
 LONGEST, RUN = 12, 48
 #: Distinct words whose scores a worker keeps.
 MEMORY = 500_000
+#: Most languages: the tables of pieces by language go through the driver.
+LANGUAGES = 512
 #: Added to each piece's expected count.
 SMOOTH = 0.1
 #: A character that no piece covers, as a share of the pieces' mass.
@@ -39,14 +41,21 @@ def pieces_of(model: str) -> list[str]:
 
 
 def runs(words: list[str]) -> list[str]:
-    """Words marked at their start, long ones cut into runs."""
+    """The words; of longer ones than RUN the parts, all but the first with a zero before them."""
+    if not words or len(max(words, key=len)) < RUN:
+        return words
     out = []
     for w in words:
-        w = MARK + w
-        out += [w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w), RUN)]
+        out.append(w[: RUN - 1])
+        out += ["\0" + w[i : i + RUN] for i in range(RUN - 1, len(w), RUN)]
     return out
 
 
+def marked(word: str) -> str:
+    """What pieces cut up: a word with the mark of its start, the later parts of a long one without."""
+    return word[1:] if word[0] == "\0" else MARK + word
+
+
 class Pieces:
     """Finds pieces among all substrings of many words at once: rolling hashes looked up in direct tables."""
 
@@ -159,17 +168,21 @@ class Scorer:
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.row) > MEMORY:
             self.row.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.row]
-        for i in range(0, len(new), 4000):
-            part = sorted(new[i : i + 4000], key=len)
+        at = list(map(self.row.get, words))
+        if None in at:
+            self.add({w for w, i in zip(words, at) if i is None})
+            at = list(map(self.row.__getitem__, words))
+        return np.array(at, np.int64)
+
+    def add(self, new: set[str]) -> None:
+        new = sorted(new, key=len)
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
             at = len(self.row)
             while at + len(part) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            for j in range(0, len(part), 2000):
-                some = part[j : j + 2000]
-                self.table[at + j : at + j + len(some)] = Lattice(some, self.index).forward(self.prob)[1]
+            self.table[at : at + len(part)] = Lattice(list(map(marked, part)), self.index).forward(self.prob)[1]
             self.row.update(zip(part, range(at, at + len(part))))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """(n, k) sums of the words' log-likelihoods."""
@@ -204,7 +217,9 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
 
     words = train.select("text", "lang").mapInArrow(counted, "lang string, word string, n long")
     words = C.staged(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
+    langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     index = Pieces(pieces)
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / max(1, len(pieces)))
     prob[-1] = UNKNOWN
@@ -217,7 +232,7 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
             total = np.zeros_like(p)
             for b in batches:
                 lang = np.array([known.index(x) for x in b.column(0).to_pylist()])
-                word = b.column(1).to_pylist()
+                word = list(map(marked, b.column(1).to_pylist()))
                 n = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                 for k in np.unique(lang) if len(lang) else ():
                     at = sorted(np.flatnonzero(lang == k).tolist(), key=lambda i: len(word[i]))
