@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def grid(origin=(0, 0), columns=1, rows=1, spacing_x=(0, 0), spacing_y=(0, 0), m
     )
 
 
+def bound(f):
+    """The function with its grid bound to a variable: chains of operations stay as long as the chain, instead of
+    repeating the inner grids in every field."""
+
+    @wraps(f)
+    def once(g: Column, *args, **named) -> Column:
+        return F.transform(F.array(g), lambda v: f(v, *args, **named))[0]
+
+    return once
+
+
 def _with(g: Column, **new: Column) -> Column:
     return F.struct(*[new.get(f, g[f]).alias(f) for f in FIELDS])
 
@@ -28,6 +41,7 @@ def move_to(g: Column, target) -> Column:
     return _with(g, origin=P.as_point(target))
 
 
+@bound
 def move_by(g: Column, v) -> Column:
     return _with(g, origin=P.add(g["origin"], P.as_point(v)))
 
@@ -37,11 +51,13 @@ def wrapped(angle: Column) -> Column:
     return F.when(r < 0, r + 360.0).otherwise(r)
 
 
+@bound
 def rotate(g: Column, angle, centre=(0, 0)) -> Column:
     """Origin turned; the angle stays in [0, 360); spacings stay."""
     return _with(g, origin=P.rotate(g["origin"], angle, centre), angle=wrapped(g["angle"] + P.num(angle)))
 
 
+@bound
 def scale(g: Column, factor, centre=(0, 0)) -> Column:
     """Origin and spacings scaled as points about the centre."""
     return _with(
@@ -50,6 +66,7 @@ def scale(g: Column, factor, centre=(0, 0)) -> Column:
     )
 
 
+@bound
 def reflect(g: Column, angle, centre=(0, 0)) -> Column:
     """Across the x axis only the mirror flag turns over; across other lines origin, spacings and angle are mirrored."""
     c = P.as_point(centre)
@@ -77,6 +94,7 @@ def place(g: Column, column: Column, row: Column) -> Column:
     return P.round_point(P.rotate(at, g["angle"], o), PLACE_DIGITS)
 
 
+@bound
 def to_text(g: Column) -> Column:
     pt, n = P.to_repr, P.number_text
     return F.concat(
