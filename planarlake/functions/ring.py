@@ -85,9 +85,14 @@ def on_edge(points: Column, p: Column) -> Column:
 
 
 def contains(points: Column, p: Column) -> Column:
-    """On the edge, or inside by an odd number of crossings."""
-    cut = F.transform(points, lambda q, i: crosses(p["x"], p["y"], q, _before(points, i)).cast("int"))
-    return on_edge(points, p) | (F.aggregate(cut, F.lit(0), lambda a, v: a + v) % 2 == 1)
+    """On the edge, or inside by an odd number of crossings: one fold over the edges that keeps the point before."""
+    x, y = p["x"], p["y"]
+    start = F.struct(F.element_at(points, -1).alias("q"), F.lit(False).alias("odd"), F.lit(False).alias("edge"))
+
+    def step(acc: Column, q: Column) -> Column:
+        return F.struct(q.alias("q"), (acc["odd"] != crosses(x, y, q, acc["q"])).alias("odd"), (acc["edge"] | on_segment(x, y, acc["q"], q)).alias("edge"))
+
+    return F.aggregate(points, start, step, lambda acc: acc["edge"] | acc["odd"])
 
 
 def all_of(test, points: Column, probes) -> Column:
