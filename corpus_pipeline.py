@@ -33,10 +33,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the one with the smallest id."""
-    stay = simhash.similar_groups(docs, 5, 0.8).select(F.col("component_id").alias("stay")).distinct()
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(F.col("stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the row with the smallest id."""
+    return simhash.similar_firsts(docs.select(*COLUMNS), 5, 0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,13 +323,8 @@ def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, l
     return C.staged(both.mapInArrow(judged, "u long, v long"), "similar")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id (the smallest id reachable over texts whose sets of shingles have a Jaccard similarity of
-    ``least`` or more) of every row; all pairs count, none is missed for its fingerprint.
-
-    Texts without words are alike. Null ids, repeated rows and empty tables are as in simhash_groups.
-    """
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("h", F.xxhash64("text"))
+def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(marked, roots): the set (sid) of every row of docs (doc_id, h, text), and the root of each set that has another."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def mark(batches):
@@ -337,13 +332,36 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "h", "sid"])
 
     marked = C.staged(docs.select("doc_id", "h", "text").mapInArrow(mark, f"doc_id {kind}, h long, sid long"), "marked")
-    roots = C.components(similar_links(docs, marked, words, least))
+    return marked, C.components(similar_links(docs, marked, words, least))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id (the smallest id reachable over texts whose sets of shingles have a Jaccard similarity of
+    ``least`` or more) of every row; all pairs count, none is missed for its fingerprint.
+
+    Texts without words are alike. Null ids, repeated rows and empty tables are as in simhash_groups.
+    """
+    marked, roots = _similar(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("h", F.xxhash64("text")), words, least)
     low = marked.groupBy("sid").agg(F.min("doc_id").alias("low"))
     named = low.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     group = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return marked.join(named.join(group, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
 
 
+def similar_firsts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of docs (doc_id, text and others) of each group of similar_groups: the one with the smallest id, null ids
+    last, and of those the smallest hash of the whole row. Rows are told apart by id and hash, so that null and repeated
+    ids lose none."""
+    cols = docs.columns
+    h = F.xxhash64(*[docs[c] for c in cols], *[docs[c].isNull() for c in cols])
+    marked, roots = _similar(docs.select("doc_id", "text", h.alias("h")), words, least)
+    low = marked.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("low"))
+    named = low.join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("low").alias("low"))
+    stay = named.select(F.col("low.doc_id").alias("stay_id"), F.col("low.h").alias("stay_h"))
+    kept = docs.join(stay, docs.doc_id.eqNullSafe(F.col("stay_id")) & (h == F.col("stay_h")))
+    return kept.dropDuplicates(["stay_id", "stay_h"]).select(*cols)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(C.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -61,3 +61,18 @@ def test_stage_takes_near_copies_at_many_bits(spark):
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = sorted(r.doc_id for r in P.dedup_near(spark, df, "").collect())
     assert left == sorted({g for _, g in brute(rows)})
+
+
+def test_stage_keeps_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    t = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"]
+    near = [x + " more" for x in t]
+    # 5 stands in two groups: its first text goes with document 1, its second leads a group of its own.
+    rows = [(None, t[0]), (None, t[1]), (None, near[1]), (1, t[2]), (5, near[2]), (5, t[3]), (6, near[3]), (7, t[4]), (7, t[5]), (7, t[5]), (8, None), (9, "")]
+    df = spark.createDataFrame([(d, x, "en", f"s{i}", len(x or "")) for i, (d, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.dedup_near(spark, df, "").collect()
+    got = sorted([(r.doc_id, r.text) for r in out], key=str)
+    one = next(r.text for r in out if r.text in (t[1], near[1]))
+    assert got == sorted([(None, t[0]), (None, one), (1, t[2]), (5, t[3]), (7, t[4]), (7, t[5]), (8, None)], key=str)
+    assert {(r.doc_id, r.text, r.source) for r in out} <= {(d, x, f"s{i}") for i, (d, x) in enumerate(rows)}
