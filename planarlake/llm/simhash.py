@@ -25,8 +25,6 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: A key's fingerprints are compared in blocks up to so many; larger groups go through shared halfway words instead.
 BLOCK = 512
-#: Shingles that so many sets of one task have are put last for similar_groups; it only sets how groups are made.
-COMMON = 8
 
 
 def _rest(v: int) -> int:
@@ -87,7 +85,11 @@ def fingerprint(words: list[bytes], n: int) -> int:
     k = min(n, len(words))
     a, b = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(text[i:j], 42) for i, j in zip(a, b)], np.uint64)
+    return majority(np.array([h(text[i:j], 42) for i, j in zip(a, b)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero of none."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -208,160 +210,6 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the text's n-word shingles (one of all its words if it has fewer)."""
-    k = min(n, len(words))
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), np.uint64)) if words else np.zeros(0, np.uint64)
-
-
-def set_id(shingles: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 7)], np.uint64).view(np.int64)[0])
-
-
-def _sets(batches, words: int, at: int):
-    """(row in the batch, shingle set) by batch; the texts are column ``at``."""
-    for b in C.slices(batches):
-        yield b, [shingle_set(t.lower().split(), words) for t in C.raw_texts(b.column(at))]
-
-
-def similar_links(docs: DataFrame, marked: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) sets whose Jaccard similarity is ``least`` or more: enough of them to join all that are connected so.
-
-    docs has doc_id, text and h, marked also their set (sid). Sets in one order of shingles can only be so similar if
-    they share one of their first n - ceil(least * n) + 1 (prefix filter), and if what follows it is long enough. Shingles
-    that many sets of a task have come last in the order, which keeps groups small and loses nothing. Groups are first
-    held against their shortest set; then all pairs of a group that are not connected by then are compared too.
-    """
-    spark = docs.sparkSession
-    parts = C.parts_for(docs, 4)
-
-    def common(batches):
-        seen, last = set(), []
-        for _, sets in _sets(batches, words, 0):
-            for s in sets:
-                if (k := set_id(s)) not in seen:
-                    seen.add(k), last.append(s)
-        if last:
-            h, n = np.unique(np.concatenate(last), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n >= COMMON].view(np.int64))], ["key"])
-
-    hot = spark.sparkContext.broadcast(np.sort(docs.select("text").mapInArrow(common, "key long").distinct().toArrow().column("key").to_numpy().view(np.uint64)))
-
-    def prefixes(batches):
-        seen, late = set(), hot.value
-        for _, sets in _sets(batches, words, 0):
-            out = []
-            for s in sets:
-                k = set_id(s)
-                if not len(s) or k in seen:
-                    continue
-                seen.add(k)
-                s = np.concatenate((s[~(m := np.isin(s, late))], s[m]))
-                p = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
-                out.append((s[:p].view(np.int64), np.full(p, k), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "sid", "n", "pos"])
-
-    def grouped(batches):
-        """Sorted rows: those whose key has a set before them, with the first one (rep). One row is held."""
-        key = sid = n = pos = last = None
-        for b in batches:
-            out = []
-            for k, m, s, i in zip(*(x.to_pylist() for x in (b.column(0), b.column(1), b.column(2), b.column(3)))):
-                if k != key:
-                    key, n, sid, pos = k, m, s, i
-                elif s != last:
-                    out.append((k, sid, n, pos, s, m, i))
-                last = s
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["key", "rep", "rep_n", "rep_pos", "sid", "n", "pos"])
-
-    keyed = docs.select("text").mapInArrow(prefixes, "key long, sid long, n int, pos int").repartition(parts, "key").sortWithinPartitions("key", "n", "sid")
-    shared = C.staged(keyed.select("key", "n", "sid", "pos").mapInArrow(grouped, "key long, rep long, rep_n int, rep_pos int, sid long, n int, pos int"), "shared")
-
-    def can(n, i, m, j):
-        """Whether sets of n and m shingles that meet first at places i and j can be similar enough."""
-        return (n >= least * m - 1e-9) & (1 + F.least(n - i, m - j) - 1 >= least / (1 + least) * (n + m) - 1e-9)
-
-    star = shared.where(can(F.col("rep_n"), F.col("rep_pos"), F.col("n"), F.col("pos"))).select(F.col("rep").alias("u"), F.col("sid").alias("v")).distinct()
-    found = verified(docs, marked, C.staged(star, "star"), words, least)
-    roots = C.staged(C.components(found), "roots")
-    rows = shared.select("key", "sid", "n", "pos", "rep").union(shared.groupBy("key").agg(F.first("rep"), F.first("rep_n"), F.first("rep_pos")).select("key", "first(rep)", "first(rep_n)", "first(rep_pos)", "first(rep)"))
-    rows = C.staged(rows.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "pos", "rep", F.coalesce("root", "sid").alias("root")), "rows")
-    left = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(left, "key")
-    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "root")])
-    apart = (F.col("root") != F.col("b_root")) & (F.col("sid") != F.col("rep")) & (F.struct("n", "sid") < F.struct("b_n", "b_sid"))
-    rest = rows.join(b, "key").where(apart & can(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos"))).select(F.col("sid").alias("u"), F.col("b_sid").alias("v")).distinct()
-    return found.union(verified(docs, marked, C.staged(rest, "rest"), words, least))
-
-
-def verified(docs: DataFrame, marked: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the (u, v) pairs whose whole shingle sets have a Jaccard similarity of ``least`` or more."""
-    need = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct()
-    one = marked.join(need, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("m")).select("sid", F.col("m.doc_id").alias("id"), F.col("m.h").alias("at"))
-    texts = docs.join(one, docs.doc_id.eqNullSafe(F.col("id")) & (docs.h == F.col("at"))).select("sid", "text")
-
-    def sets(batches):
-        for b, found in _sets(batches, words, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
-
-    held = C.staged(texts.mapInArrow(sets, "sid long, shingles binary").dropDuplicates(["sid"]), "sets")
-    a, b = (held.select(F.col("sid").alias(c), F.col("shingles").alias(f"{c}s")) for c in "uv")
-
-    def judged(batches):
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(b, "v").join(a, "u").select("u", "v", "us", "vs")
-    return C.staged(both.mapInArrow(judged, "u long, v long"), "similar")
-
-
-def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(marked, roots): the set (sid) of every row of docs (doc_id, h, text), and the root of each set that has another."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def mark(batches):
-        for b, sets in _sets(batches, words, 2):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "h", "sid"])
-
-    marked = C.staged(docs.select("doc_id", "h", "text").mapInArrow(mark, f"doc_id {kind}, h long, sid long"), "marked")
-    return marked, C.components(similar_links(docs, marked, words, least))
-
-
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id (the smallest id reachable over texts whose sets of shingles have a Jaccard similarity of
-    ``least`` or more) of every row; all pairs count, none is missed for its fingerprint.
-
-    Texts without words are alike. Null ids, repeated rows and empty tables are as in simhash_groups.
-    """
-    marked, roots = _similar(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("h", F.xxhash64("text")), words, least)
-    low = marked.groupBy("sid").agg(F.min("doc_id").alias("low"))
-    named = low.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
-    group = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.join(named.join(group, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
-
-
-def similar_firsts(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of docs (doc_id, text and others) of each group of similar_groups: the one with the smallest id, null ids
-    last, and of those the smallest hash of the whole row. Rows are told apart by id and hash, so that null and repeated
-    ids lose none."""
-    cols = docs.columns
-    h = F.xxhash64(*[docs[c] for c in cols], *[docs[c].isNull() for c in cols])
-    marked, roots = _similar(docs.select("doc_id", "text", h.alias("h")), words, least)
-    low = marked.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")).alias("low"))
-    named = low.join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("low").alias("low"))
-    stay = named.select(F.col("low.doc_id").alias("stay_id"), F.col("low.h").alias("stay_h"))
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(F.col("stay_id")) & (h == F.col("stay_h")))
-    return kept.dropDuplicates(["stay_id", "stay_h"]).select(*cols)
-
-
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(C.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

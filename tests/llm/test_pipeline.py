@@ -4,7 +4,7 @@ from planarlake.llm import decontaminate as D
 from test_decontaminate import greedy
 from test_linededup import brute as brute_lines
 from test_mixing import fill
-from test_simhash import brute as brute_groups
+from test_similar import brute as brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
 
     three = P.dedup_near(spark, two, SF)
     groups = brute_groups([(d, r.text) for d, r in left.items()])
-    assert sorted(r.doc_id for r in three.collect()) == sorted({g for _, _, g in groups})
+    assert sorted(r.doc_id for r in three.collect()) == sorted({g for _, g in groups})
 
     bench = [b.text.lower().split() for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     stay = set()
@@ -51,5 +51,15 @@ def test_stages_against_brute_force(spark):
     assert all(abs(taken.get(s, 0) - target[s]) <= longest[s] for s in sizes)
 
 
+def test_mix_keeps_rows_of_null_and_repeated_ids_apart(spark):
+    rows = [(None, "a b c", "en", "s", 5), (None, "d e f", "en", "s", 5), (5, "g h i", "en", "t", 5), (5, "j k l", None, "t", 5), (6, "m n", "en", None, 3), (6, "m n", "en", None, 3), (7, None, "en", "s", None), (8, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in P.mix_sources(spark, df, "").collect()]
+    assert all(got.count(r) <= 2 * rows.count(r) for r in got)
+    # 150 % of 13 words by weights 5 and 2 (and 1 for null): the sum comes near that.
+    assert abs(sum(len((r[1] or "").split()) for r in got) - 24) <= 9
+    assert P.mix_sources(spark, df.limit(0), "").count() == 0
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 50

@@ -1,6 +1,6 @@
 import random
 
-from planarlake.llm import simhash as S
+from planarlake.llm import similar as S
 
 
 def shingles(t, n=5):
