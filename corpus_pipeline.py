@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planarlake.llm import common as C
-from planarlake.llm import decontaminate, langid, linededup, mixing, simhash
+from planarlake.llm import decontaminate, langid, linededup, mixing, similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Posterior that a document's language must have.
@@ -34,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the row with the smallest id."""
-    return simhash.similar_firsts(docs.select(*COLUMNS), 5, 0.8)
+    return similar.similar_firsts(docs.select(*COLUMNS), 5, 0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,12 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its rounded rate says, with copy from 1 on."""
-    sizes = C.staged(mixing.word_sizes(docs), "words")
-    copies = mixing.mixed_copies(sizes).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    both = docs.join(copies, docs.doc_id.eqNullSafe(F.col("id")))
-    return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    """The mix: each row as often (0, 1 or 2 times) as its rounded rate says, with copy from 1 on. Rows get a number of
+    their own first, so that null and repeated ids and repeated rows keep their own copies."""
+    rows = C.staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    sizes = C.staged(mixing.word_sizes(rows, id_col="row"), "words")
+    copies = mixing.mixed_copies(sizes).where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    return rows.join(copies, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
 
 
 STAGES = [
