@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import simhash
+from . import words as W
 
 #: Slots of the table of hashed counts: 4 MB, whatever the input.
 SLOT_BITS = 20
@@ -28,92 +29,35 @@ STRIPE = 1 << 14
 FILTER_BITS = 24
 #: Sets that a task remembers as written.
 KNOWN = 500_000
-#: Bytes whose words are hashed together.
-TOGETHER = 4 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-SHUFFLE = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Shingler:
-    """Shingle sets of texts: words (lower-cased A-Z) hashed by bytes, n of them on end combined.
-
-    A word's hash is a polynomial in its bytes' values (a fixed rule), taken out of one running sum over the batch."""
+    """Shingle sets of texts: n words on end, hashed."""
 
     def __init__(self, n: int) -> None:
-        self.n = n
-        byte = np.arange(256, dtype=np.uint64)
-        byte[65:91] += np.uint64(32)
-        self.value = _mixed(byte + np.uint64(1))
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and each text's number of words."""
-        space = self.space[data]
-        edge = np.ones(len(data) + 1, bool)
-        edge[1:-1] = space[:-1]
-        edge[offs] = True
-        start = np.flatnonzero(edge[:-1] & ~space)
-        edge[:-1] = space
-        edge[offs] = True
-        end = np.flatnonzero(edge[1:] & ~space) + 1
-        count = np.diff(np.searchsorted(start, offs))
-        out, at = np.zeros(len(start), np.uint64), 0
-        while at < len(start):  # words within so many bytes, or one
-            to = max(at + 1, int(np.searchsorted(end, start[at] + TOGETHER, "right")))
-            a, b = int(start[at]), int(end[to - 1])
-            if b - a > len(self.powers):
-                self.powers, self.inverse = (_powers(x, b - a) for x in (int(BASE), pow(int(BASE), -1, 1 << 64)))
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(self.value[data[a:b]] * self.powers[: b - a], out=total[1:])
-            out[at:to] = (total[end[at:to] - a] - total[start[at:to] - a]) * self.inverse[start[at:to] - a]
-            at = to
-        return _mixed(out), count
+        self.n, self.words = n, W.Words()
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """Sorted distinct shingles of each text (one of all its words if it has fewer than n)."""
-        x, count = self.words(*C.utf8(texts))
-        whole = _rolled(x, self.n)
+        x, count = self.words.of(*C.utf8(texts))
+        whole = W.rolled(x, self.n)
         out, at = [], 0
         for size in count.tolist():
             if size >= self.n:
                 part = np.sort(whole[at : at + size - self.n + 1])
                 out.append(part[np.concatenate(([True], part[1:] != part[:-1]))])
             else:
-                out.append(_rolled(x[at : at + size], size) if size else np.zeros(0, np.uint64))
+                out.append(W.rolled(x[at : at + size], size) if size else np.zeros(0, np.uint64))
             at += size
         return out
 
 
-def _powers(x: int, n: int) -> np.ndarray:
-    out = np.full(n, x, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * SHUFFLE
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _rolled(x: np.ndarray, n: int) -> np.ndarray:
-    m = max(0, len(x) - n + 1)
-    h = np.full(m, n, np.uint64)
-    for j in range(n):
-        h = (h ^ x[j : j + m]) * BASE
-        h ^= h >> np.uint64(29)
-    h *= SHUFFLE
-    return h ^ (h >> np.uint64(32))
-
-
 def set_id(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
 def slot_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles * SHUFFLE >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (shingles * W.SHUFFLE >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def prefix_size(n: int, least: float) -> int:
@@ -266,6 +210,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, table: np.ndarray, words:
     first = lambda *by: F.min(F.struct(*by, "sid", "n", "pos"))
     reps = ranked.groupBy("key").agg(first(-F.col("often") / F.col("n"), F.xxhash64("sid")).alias("r0"), first(F.xxhash64("sid")).alias("r1"))
     reps = reps.select("key", F.explode(F.array(*[F.struct(*[F.col(f"r{i}.{c}").alias(f"b_{c}") for c in ("sid", "n", "pos")]) for i in (0, 1)])).alias("b")).select("key", "b.*")
+    reps = C.staged(reps, "reps")  # so that the join can split the key that very many sets have
     star = shared.join(reps, "key").where((F.col("sid") != F.col("b_sid")) & can(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos")))
     pairs = star.select(F.col("b_sid").alias("u"), F.col("sid").alias("v")).union(simhash_pairs(marked, C.parts_for(docs, 4)))
     found = verified(docs, pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), words, least)
@@ -285,18 +230,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
     pairs = C.staged(pairs, "pairs")
     need = pairs.select(F.col("u").alias("sid")).union(pairs.select("v"))
 
-    def bits(batches):
-        out = np.zeros(1 << FILTER_BITS, bool)
-        for b in batches:
-            out[_filter_bit(b.column(0).to_numpy(zero_copy_only=False))] = True
-        rows = np.packbits(out).reshape(-1, STRIPE)
-        at = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([rows[i].tobytes() for i in at], pa.binary())], ["stripe", "bits"])
-
-    marks = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in need.repartition(8).mapInArrow(bits, "stripe int, bits binary").collect():
-        marks[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] |= np.frombuffer(r.bits, np.uint8)
-    wanted = spark.sparkContext.broadcast(marks)
+    wanted = spark.sparkContext.broadcast(W.bits_of(need.select("sid"), FILTER_BITS))
 
     def sets(batches):
         shingler, seen, mark = Shingler(words), set(), wanted.value
@@ -304,8 +238,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
             out = []
             for s in shingler.sets(b.column(0)):
                 k = set_id(s)
-                at = int(_filter_bit(np.array([k]))[0])
-                if mark[at >> 3] >> (7 - (at & 7)) & 1 and k not in seen:
+                if k not in seen and W.has_bit(mark, np.array([k]))[0]:
                     seen.add(k), out.append((k, s.tobytes()))
             if len(seen) > KNOWN:
                 seen.clear()
@@ -325,10 +258,6 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
     return C.staged(both.mapInArrow(judged, "u long, v long"), "similar")
 
 
-def _filter_bit(sid: np.ndarray) -> np.ndarray:
-    return (sid.view(np.uint64) * BASE >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(marked, roots): the set (sid) of every row of docs (doc_id, h, text), and the root of each set that has another."""
     marked, table = shingled(docs, words)
