@@ -5,17 +5,27 @@ from planarlake.llm import linededup as D
 
 def brute(rows):
     """{(id, text): (text left, lines, chunks gone, lines gone)}; ids sorted, null last."""
-    seen, out = set(), {}
-    for d, t in sorted(set(r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0])):
-        lines, keep, c, gone = t.split("\n"), [], 0, 0
-        for s, n in D.chunks(t):
-            body = lines[s : s + n]
-            if n >= D.LEAST and tuple(body) in seen:
-                c, gone = c + 1, gone + n
-            else:
-                keep += body
-            seen.add(tuple(body) if n >= D.LEAST else None)
-        out[d, t] = ("\n".join(keep), len(lines), c, gone)
+    docs = sorted(set(r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0]))
+    texts, first, out = [t.split("\n") for _, t in docs], {}, {}
+    for n, x in enumerate(texts):
+        found = []
+        for s in D.seeds([D.line_hash(y) for y in x]):
+            at = first.setdefault(tuple(x[s : s + 2]), (n, s))
+            if at != (n, s):
+                found.append((s, at))
+        gone = set()
+        for k, (s, (m, f)) in enumerate(found):
+            low, high = found[k - 1][0] if k else 0, found[k + 1][0] if k + 1 < len(found) else len(x)
+            same = lambda i: 0 <= f + i - s < len(texts[m]) and texts[m][f + i - s] == x[i]
+            i = s
+            while i < high and same(i):
+                gone.add(i)
+                i += 1
+            i = s - 1
+            while i >= low and same(i):
+                gone.add(i)
+                i -= 1
+        out[docs[n]] = ("\n".join(y for i, y in enumerate(x) if i not in gone), len(x), sum(i - 1 not in gone for i in gone), len(gone))
     return out
 
 
@@ -34,9 +44,21 @@ def test_against_brute_force(spark):
     assert D.line_dedup(df.limit(0)).count() == 0
 
 
-def test_boundaries_resist_shifts():
+def test_places_resist_shifts():
     rnd = random.Random(9)
     lines = [f"l{rnd.randrange(10**9)}" for _ in range(300)]
-    ends = lambda x: {x[s + n - 1] for s, n in D.chunks("\n".join(x))}
-    a, b = ends(lines), ends(["new", *lines[:100], "put in", *lines[100:]])
-    assert len(a - b) <= 4
+    chosen = lambda x: {x[s] for s in D.seeds([D.line_hash(y) for y in x])}
+    a, b = chosen(lines), chosen(["new", *lines[:100], "put in", *lines[100:]])
+    assert len(a - b) <= 1 and 180 < len(a) < 270
+
+
+def test_whole_repeated_runs_go(spark):
+    rnd = random.Random(11)
+    line = lambda: f"word {rnd.randrange(10**8)}"
+    runs = [[line() for _ in range(n)] for n in (3, 4, 6, 9, 15)] * 4
+    rows = [(i, "\n".join([line(), *r, line()])) for i, r in enumerate(runs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id: r.n_removed_lines for r in D.line_dedup(df).collect()}
+    # A run goes whole or (no place in it chosen) stays whole.
+    assert all(gone[i] in ((0,) if i < 5 else (0, len(r))) for i, r in enumerate(runs))
+    assert all(gone[i] == len(r) for i, r in enumerate(runs) if i >= 5 and len(r) > 4)
