@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of five words (seeds) that a text shares with a benchmark item make them a candidate pair; no other pair can have
-a tile. Within a pair the longest non-overlapping common runs are marked again and again (running Karp-Rabin: windows
-of the present length are hashed in the item and rolled over the text, matches extended, marked longest first, the
-length lowered), so passages count wherever and in whatever order they stand. The share of the item's words under
-tiles decides.
+Runs of five words (seeds; of a shorter item all its words) that a text shares with a benchmark item make them a
+candidate pair; no other pair can have a tile. Texts keep only the stretches that a bit filter of the seeds lets through;
+these are joined to the items by their seeds. Within a pair the longest non-overlapping common runs are marked again and
+again (running Karp-Rabin: windows of the present length are hashed in the item and rolled over the text, matches
+extended, marked longest first, the length lowered), so passages count wherever and in whatever order they stand. The
+share of the item's words under tiles decides.
 """
 
 from __future__ import annotations
@@ -13,27 +14,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
+from . import words as W
 
-#: Words of a seed, and of the shortest tile.
+#: Words of a seed, and of the shortest tile; items of fewer words take all of theirs.
 SEED = 5
 #: Share of an item's words that tiles must cover.
 COVERED = 0.6
-#: Bytes of benchmark text that go to the executors at once; a larger benchmark goes in several blocks.
-BLOCK_BYTES = 16 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _roll(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hashes (mod 2^64) of all n-windows of a sequence of word numbers."""
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    x = ids.astype(np.uint64) + np.uint64(1)
-    for j in range(n):
-        out = out * BASE + x[j : j + len(out)]
-    return out
+#: Bits of the filter of seeds: 4 MB, whatever the benchmark.
+FILTER_BITS = 25
 
 
 def tiles(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int, int, int]]:
@@ -109,126 +102,155 @@ def tiles(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int
             return sorted(found)
 
 
-class Matcher:
-    """Seeds of a block of items, and the search of texts against them."""
-
-    def __init__(self, items: list[tuple[int, str]], covered: float) -> None:
-        self.items = [(k, w) for k, t in items if len(w := t.encode().lower().split()) >= SEED]
-        self.number = {w: i for i, w in enumerate(dict.fromkeys(x for _, ws in self.items for x in ws))}
-        self.ids = [np.array([self.number[x] for x in w], np.int64) for _, w in self.items]
-        hashes = [_roll(x, SEED) for x in self.ids]
-        self.seed = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.owner = self.seed[order], owner[order]
-        self.covered = covered
-
-    def search(self, texts: list[bytes]):
-        """(text, item key, words, tiles, covered words) of the texts' pairs with enough coverage."""
-        get = self.number.get
-        flat, size = [], []
-        for t in texts:
-            w = t.lower().split()
-            flat += [get(x, -1) for x in w]
-            flat.append(-1)
-            size.append(len(w) + 1)
-        if not len(self.seed):
-            return
-        ids = np.array(flat, np.int64)
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        at = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED) if len(ids) >= SEED else np.zeros(0, np.int64)
-        if not len(at):
-            return
-        h = np.zeros(len(at), np.uint64)
-        for j in range(SEED):
-            h = h * BASE + (ids[at + j].astype(np.uint64) + np.uint64(1))
-        lo, hi = np.searchsorted(self.seed, h), np.searchsorted(self.seed, h, "right")
-        doc = np.searchsorted(np.cumsum(size), at, "right")
-        pairs = defaultdict(list)
-        for i in np.flatnonzero(hi > lo).tolist():
-            for k in set(self.owner[lo[i] : hi[i]].tolist()):
-                pairs[int(doc[i]), k].append(int(at[i]))
-        for (d, k), places in pairs.items():
-            # The parts of the text that seeds cover, parted by a number that matches nothing.
-            part, last = [], -1
-            for p in places:
-                if p > last:
-                    part.append(-1)
-                part += ids[max(p, last) : p + SEED].tolist()
-                last = p + SEED
-            item = self.ids[k].tolist()
-            if len(part) < self.covered * len(item):
+def seeds_of(x: np.ndarray) -> np.ndarray:
+    return W.rolled(x, min(SEED, len(x))).view(np.int64) if len(x) else np.zeros(0, np.int64)
+
+
+def item_table(benchmark: DataFrame, item_col: str) -> DataFrame:
+    """(item, item_id, n, words) of the distinct items with words: item is a number of its own, words are hashes."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+
+    def hashed(batches):
+        words = W.Words()
+        for b in C.slices(batches):
+            x, count = words.of(*C.utf8(b.column(1)))
+            ends = np.cumsum(count)
+            parts = [x[e - n : e].tobytes() for e, n in zip(ends.tolist(), count.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int32)), pa.array(parts, pa.binary())], ["item_id", "n", "words"])
+
+    schema = T.StructType([T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    return C.staged(items.mapInArrow(hashed, schema).where("n > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def item_seeds(items: DataFrame, covered: float) -> DataFrame:
+    """(seed, item): enough of the items' seeds to meet every text that covers them. Tiles that cover so much of an item
+    stand at ceil(covered * n / 5) of its seeds' places at least, so of the seeds that most items have all but one may go."""
+
+    def cut(batches):
+        for b in batches:
+            seeds = [np.unique(seeds_of(np.frombuffer(x, np.uint64))) for x in b.column(2).to_pylist()]
+            if seeds:
+                item = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in seeds])
+                n = np.repeat(b.column(1).to_numpy(zero_copy_only=False), [len(s) for s in seeds])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds)), pa.array(item), pa.array(n)], ["seed", "item", "n"])
+
+    seeds = C.staged(items.select("item", "n", "words").mapInArrow(cut, "seed long, item long, n int"), "seeds")
+    often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("often").desc(), "seed"))
+    # Places repeat where an item repeats itself; distinct seeds are what can be left out, so a repeated one leaves none.
+    places = F.col("n") - F.least(F.lit(SEED), F.col("n")) + 1
+    spare = F.when(F.count(F.lit(1)).over(Window.partitionBy("item")) == places, F.ceil(F.lit(covered) * F.col("n") / SEED - 1e-9) - 1).otherwise(0)
+    kept = seeds.join(often, "seed").withColumn("rank", rank).withColumn("spare", spare).where("rank > spare")
+    return kept.select("seed", "item")
+
+
+def stretches(docs: DataFrame, bits, sizes: list[int], least: int, id_col: str, text_col: str) -> DataFrame:
+    """(text, doc_id, h, words, seeds) of texts with ``least`` words or more in seeds that pass the filter: the hashes of
+    these words, a zero between stretches; text is a number of its own, h the text's hash."""
+
+    def found(batches):
+        words, mark = W.Words(), bits.value
+        for b in C.slices(batches):
+            x, count = words.of(*C.utf8(b.column(2)))
+            ends = np.cumsum(count)
+            left = np.repeat(ends, count) - np.arange(len(x))  # words from here to the text's end
+            cover, hits = np.zeros(len(x) + 1, np.int32), []
+            for k in sizes:
+                h = W.rolled(x, k).view(np.int64)
+                at = np.flatnonzero(W.has_bit(mark, h) & (left[: len(h)] >= k))
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + k, -1)
+                hits.append((at, h[at]))
+            c = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            if not len(c):
                 continue
-            found = tiles(item, part)
-            n = sum(x for _, _, x in found)
-            if n >= self.covered * len(item):
-                yield d, self.items[k][0], len(item), len(found), n
+            doc = np.searchsorted(ends, c, "right")
+            new = np.flatnonzero((np.diff(c) != 1) | (np.diff(doc) != 0)) + 1
+            seq, own = np.insert(x[c], new, 0), np.insert(doc, new, doc[new])
+            at, h = (np.concatenate(v) for v in zip(*hits))
+            by = np.argsort(at, kind="stable")
+            at, h = at[by], h[by]
+            of = np.searchsorted(ends, at, "right")
+            rows = [i for i in np.unique(doc).tolist() if np.searchsorted(doc, i, "right") - np.searchsorted(doc, i) >= least]
+            if rows:
+                parts = [seq[np.searchsorted(own, i) : np.searchsorted(own, i, "right")].tobytes() for i in rows]
+                seeds = [np.unique(h[np.searchsorted(of, i) : np.searchsorted(of, i, "right")]) for i in rows]
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(parts, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["doc_id", "h", "words", "seeds"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("seeds", T.ArrayType(T.LongType()))])
+    texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    return C.staged(texts.mapInArrow(found, schema).withColumn("text", F.monotonically_increasing_id()), "stretches")
+
+
+def tiled(docs: DataFrame, benchmark: DataFrame, covered: float, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """(doc_id, h, item_id, item_words, n_tiles, covered_words) of each text and item with enough coverage."""
+    items = item_table(benchmark, item_col)
+    sizes = sorted({min(SEED, r.n) for r in items.select(F.least("n", F.lit(SEED)).alias("n")).distinct().collect()})
+    shortest = items.agg(F.min("n")).first()[0] or 1
+    seeds = C.staged(item_seeds(items, covered), "seeds")
+    # A stretch needs all of its seeds, so the filter has also those that the join leaves out.
+    every = items.select("words").mapInArrow(_all_seeds, "seed long")
+    bits = docs.sparkSession.sparkContext.broadcast(W.bits_of(every, FILTER_BITS))
+    texts = stretches(docs, bits, sizes, int(np.ceil(covered * shortest - 1e-9)), id_col, text_col)
+    pairs = texts.select("text", F.explode("seeds").alias("seed")).join(seeds, "seed").select("text", "item").distinct()
+    both = pairs.join(items.select("item", "item_id", "n", F.col("words").alias("item_body")), "item").join(texts.select("text", "doc_id", "h", "words"), "text")
+
+    def search(batches):
+        for b in C.slices(batches, "words"):
+            keep, numbers = [], []
+            for i, (p, t) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                p, t = np.frombuffer(p, np.uint64), np.frombuffer(t, np.uint64)
+                if len(t) < covered * len(p):
+                    continue
+                number = {h: k for k, h in enumerate(dict.fromkeys(p.tolist()))}
+                found = tiles([number[h] for h in p.tolist()], [number.get(h, -1) for h in t.tolist()], min(SEED, len(p)))
+                n = sum(x for _, _, x in found)
+                if n >= covered * len(p) - 1e-9:
+                    keep.append(i), numbers.append((len(p), len(found), n))
+            if keep:
+                take = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in (0, 1, 2)), *(pa.array(v, pa.int64()) for v in zip(*numbers))], names)
+
+    names = ["doc_id", "h", "item_id", "item_words", "n_tiles", "covered_words"]
+    kinds = [docs.schema[id_col].dataType, T.LongType(), benchmark.schema[item_col].dataType, *[T.LongType()] * 3]
+    schema = T.StructType([T.StructField(*x) for x in zip(names, kinds)])
+    return both.select("doc_id", "h", "item_id", "n", "item_body", "words").mapInArrow(search, schema)
+
+
+def _all_seeds(batches):
+    for b in batches:
+        seeds = [seeds_of(np.frombuffer(x, np.uint64)) for x in b.column(0).to_pylist()]
+        if seeds:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seeds))], ["seed"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col="doc_id", text_col="text", item_col="item_id") -> DataFrame:
     """(doc_id, item_id, item_words, n_tiles, covered_words, coverage) of each text and item with enough coverage.
 
-    Items of fewer than five words are too short to tell and are never met; null texts and items match nothing; repeated
-    rows give repeated results, repeated items count once. The benchmark goes out in blocks of a checked size, each held
-    against all texts in one pass without a shuffle.
+    An item of fewer than five words must stand whole. Ids of documents and items may be of any type, and null. Null and
+    wordless texts and items match nothing; repeated rows give repeated results, repeated items count once, the same text
+    under two item ids twice. Empty tables give an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    out = None
-    for block in blocks_of(benchmark, item_col):
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches, shared=shared):
-            matcher = None
-            for x in C.slices(batches):
-                matcher = matcher or Matcher(shared.value, covered)
-                ids = x.column(0)
-                got = list(matcher.search(C.raw_texts(x.column(1))))
-                if got:
-                    d, k, words, n, m = zip(*got)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(d, pa.int64())), pa.array(k, schema_of(item_kind)), *(pa.array(v, pa.int64()) for v in (words, n, m))], ["doc_id", "item_id", "item_words", "n_tiles", "covered_words"]
-                    )
-
-        found = texts.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, item_words long, n_tiles long, covered_words long")
-        out = found if out is None else out.union(found)
+    out = tiled(docs, benchmark, covered, id_col, text_col, item_col).drop("h")
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
-def blocks_of(benchmark: DataFrame, item_col: str = "item_id"):
-    """The distinct items in lists of about BLOCK_BYTES of text."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // BLOCK_BYTES) + 1
-    for b in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
-        yield [(r.item_id, r.text) for r in block.collect()]
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, text_col="text", item_col="item_id") -> DataFrame:
-    """The rows of docs, as they are, whose text covers no benchmark item by ``covered`` or more."""
-    at = docs.columns.index(text_col)
-    for block in blocks_of(benchmark, item_col):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches, shared=shared):
-            matcher = None
-            for x in C.slices(batches, text_col):
-                matcher = matcher or Matcher(shared.value, covered)
-                good = np.ones(x.num_rows, bool)
-                good[[d for d, *_ in matcher.search(C.raw_texts(x.column(at)))]] = False
-                yield x.filter(pa.array(good))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
-
+    """The rows of docs, as they are, whose text covers no benchmark item by ``covered`` or more.
 
-def schema_of(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
+    Rows go by their texts alone (128 bits of hash), whatever their ids; null and empty texts stay, as do all rows of an
+    empty benchmark."""
+    two = lambda c: F.xxhash64(F.lit(1), c)
+    texts = docs.select(two(docs[text_col]).alias("other"), docs[text_col].alias("text"))
+    found = tiled(texts, benchmark, covered, "other", "text", item_col)
+    bad = C.staged(found.select(F.col("h").alias("bad_h"), F.col("doc_id").alias("bad_other")).distinct(), "found")
+    gone = (F.xxhash64(docs[text_col]) == F.col("bad_h")) & (two(docs[text_col]) == F.col("bad_other"))
+    return docs.join(bad, gone, "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contaminated, of all documents and all benchmark items."""
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
