@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 from . import common as C
 
 MARK = "▁"
-#: Longest piece used, in characters, and the longest run of characters scored as one; a longer word goes on in parts.
-LONGEST, RUN = 12, 48
-#: Distinct words whose scores a worker keeps.
-MEMORY = 500_000
-#: Most languages: the tables of pieces by language go through the driver.
-LANGUAGES = 512
+#: Learning counts words of more characters in parts of so many; scoring takes all words whole.
+RUN = 65536
+#: Words up to so many characters are summed as they are, longer ones in logs: the same sums without underflow.
+SHORT = 16
+#: Numbers in a batch of sums, and in the table of words' scores that a worker keeps: memory, whatever the languages.
+CELLS, MEMORY = 1 << 20, 1 << 22
+#: Characters of words that one lattice takes, and that a worker keeps as keys.
+CHARS, KEYS = 1 << 16, 1 << 25
 #: Added to each piece's expected count.
 SMOOTH = 0.1
 #: A character that no piece covers, as a share of the pieces' mass.
@@ -32,12 +34,12 @@ UNKNOWN = 1e-7
 
 
 def pieces_of(model: str) -> list[str]:
-    """The pieces of a sentencepiece vocabulary without its special, byte and overlong ones, in order."""
+    """The pieces of a sentencepiece vocabulary without its special and byte ones, in order."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     kept = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return list(dict.fromkeys(p for p in kept if len(p) <= LONGEST))
+    return list(dict.fromkeys(kept))
 
 
 def runs(words: list[str]) -> list[str]:
@@ -57,17 +59,20 @@ def marked(word: str) -> str:
 
 
 class Pieces:
-    """Finds pieces among all substrings of many words at once: rolling hashes looked up in direct tables."""
+    """Finds pieces among the substrings of many words at once: rolling hashes of all their beginnings in direct tables."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces: list[str]) -> None:
-        self.hash = np.array([self._of(p) for p in pieces], np.uint64)
+        number = {p: i for i, p in enumerate(pieces)}
+        begin = list(dict.fromkeys(p[:n] for p in pieces for n in range(1, len(p) + 1)))
+        self.hash = np.array([self._of(x) for x in begin], np.uint64)
+        self.piece = np.array([number.get(x, -1) for x in begin], np.int64)
         self.longest = max(map(len, pieces), default=1)
         self.levels = []
-        left = np.arange(len(pieces))
-        shift = 44
-        while len(left):  # pieces whose slot is taken go to a further table
+        left = np.arange(len(begin))
+        shift = 43
+        while len(left):  # those whose slot is taken go to a further table
             slot = (self.hash[left] * np.uint64(0xBF58476D1CE4E5B9 + 2 * shift) >> np.uint64(shift)).astype(np.int64)
             table = np.full(1 << (64 - shift), -1, np.int32)
             table[slot] = left
@@ -82,6 +87,7 @@ class Pieces:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
+        """Which beginning of a piece has each hash; -1 for none."""
         out = np.full(len(h), -1, np.int64)
         for shift, table in self.levels:
             at = table[(h * np.uint64(0xBF58476D1CE4E5B9 + 2 * shift) >> np.uint64(shift)).astype(np.int64)]
@@ -96,6 +102,7 @@ class Lattice:
     def __init__(self, words: list[str], index: Pieces) -> None:
         self.n = len(words)
         self.length = np.fromiter(map(len, words), np.int64, self.n)
+        self.longest = index.longest
         point = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         own = np.repeat(np.arange(self.n), self.length)
         place = np.arange(len(own)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
@@ -108,66 +115,155 @@ class Lattice:
             if not len(at):
                 break
             h = h * index.BASE + point[at + size - 1]
-            p = index.find(h)
+            f = index.find(h)
+            p = np.where(f >= 0, index.piece[f], -1)
             hit = np.flatnonzero(p >= 0) if size > 1 else slice(None)
             i = at[hit]
             word.append(own[i]), start.append(place[i]), end.append(place[i] + size), piece.append(p[hit])
+            at, h = at[f >= 0], h[f >= 0]
         self.word, self.start, self.end, self.piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, start, end, piece))
         self.most = int(self.length.max()) if self.n else 0
-        by_end = np.argsort(self.end * self.n + self.word, kind="stable")
-        self.by_end = by_end
-        self.ends = np.searchsorted(self.end[by_end], np.arange(self.most + 2))
-
-    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sums over segmentations up to each place (n, most + 1, k), natural logs of the words' likelihoods (n, k)).
-
-        prob has a row a piece (the last for unknown characters) and a column a language."""
-        k = prob.shape[1]
-        alpha = np.zeros((self.n, self.most + 1, k))
-        alpha[:, 0] = 1
-        for e in range(1, self.most + 1):
+        self.by_end = np.argsort(self.end * self.n + self.word, kind="stable")
+        self.ends = np.searchsorted(self.end[self.by_end], np.arange(self.most + 2))
+
+    def forward(self, prob: np.ndarray, logs: bool = True, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(natural logs of the words' likelihoods (n, k), sums up to the last places (n, places, k)).
+
+        prob has a row a piece (the last for unknown characters) and a column a language, in logs if ``logs``, as are the
+        sums then. Sums are kept for as many places as the longest piece has. ``before`` has the sums (1, places, k) of
+        the first places of an only word that is the next part of a longer one."""
+        k, ring = prob.shape[1], self.longest + 1
+        add, none = (np.logaddexp, -np.inf) if logs else (np.add, 0.0)
+        alpha = np.full((self.n, ring, k), none)
+        done = 0
+        if before is None:
+            alpha[:, 0] = 0.0 if logs else 1.0
+        else:
+            done = before.shape[1] - 1
+            alpha[:, : done + 1] = before
+        total = np.array(alpha[:, done % ring])
+        for e in range(done + 1, self.most + 1):
             arcs = self.by_end[self.ends[e] : self.ends[e + 1]]
-            if len(arcs):
-                w = self.word[arcs]
-                part = alpha[w, self.start[arcs]] * prob[self.piece[arcs]]
-                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                alpha[w[first], e] = np.add.reduceat(part, first, axis=0)
-        total = alpha[np.arange(self.n), self.length]
-        return alpha, np.log(np.maximum(total, 1e-300))
+            w = self.word[arcs]
+            p, was = prob[self.piece[arcs]], alpha[w, self.start[arcs] % ring]
+            part = was + p if logs else was * p
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            sums = add.reduceat(part, first, axis=0)
+            w = w[first]
+            alpha[w, e % ring] = sums
+            over = self.length[w] == e
+            total[w[over]] = sums[over]
+        last = alpha[:, np.arange(max(0, self.most - self.longest + 1), self.most + 1) % ring]
+        if not logs:
+            with np.errstate(divide="ignore"):
+                total = np.log(total)
+        return total, last
 
     def expected(self, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, weighted by the words' counts; prob has one column."""
-        alpha, _ = self.forward(prob)
-        beta = np.zeros((self.n, self.most + 1))
-        beta[np.arange(self.n), self.length] = 1
+        """Expected uses of each piece, weighted by the words' counts; prob has the logs of one language."""
+        alpha, beta = (np.full((self.n, self.most + 1), -np.inf) for _ in range(2))
+        alpha[:, 0] = 0
+        for e in range(1, self.most + 1):
+            arcs = self.by_end[self.ends[e] : self.ends[e + 1]]
+            w = self.word[arcs]
+            part = alpha[w, self.start[arcs]] + prob[self.piece[arcs]]
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            alpha[w[first], e] = np.logaddexp.reduceat(part, first)
+        beta[np.arange(self.n), self.length] = 0
         order = np.argsort((self.most - self.start) * self.n + self.word, kind="stable")
-        s = -self.start[order]
-        cuts = np.searchsorted(s, np.arange(-self.most, 2))
+        cuts = np.searchsorted(-self.start[order], np.arange(-self.most, 2))
         for at in range(self.most):
             arcs = order[cuts[at] : cuts[at + 1]]
             if len(arcs):
                 w = self.word[arcs]
-                part = beta[w, self.end[arcs]] * prob[self.piece[arcs], 0]
+                part = beta[w, self.end[arcs]] + prob[self.piece[arcs]]
                 first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                beta[w[first], self.start[arcs[first]]] += np.add.reduceat(part, first)
-        total = np.maximum(alpha[np.arange(self.n), self.length, 0], 1e-300)
-        use = alpha[self.word, self.start, 0] * prob[self.piece, 0] * beta[self.word, self.end] * (count / total)[self.word]
+                beta[w[first], self.start[arcs[first]]] = np.logaddexp.reduceat(part, first)
+        total = alpha[np.arange(self.n), self.length]
+        use = np.exp(alpha[self.word, self.start] + prob[self.piece] + beta[self.word, self.end] - total[self.word]) * count[self.word]
         known = self.piece >= 0
         return np.bincount(self.piece[known], use[known], len(prob))
 
 
+def batches_of(words: list[str], cells: int, deep: int = 0) -> list[tuple[int, int]]:
+    """Ranges of words in order of length for one lattice each: up to CHARS characters and ``cells`` numbers, of which a
+    word takes ``deep`` (or, with 0, one a character). One word at least."""
+    out, a, chars = [], 0, 0
+    for i, w in enumerate(words):
+        chars += len(w)
+        if i > a and (chars > CHARS or (i + 1 - a) * (deep or len(w) + 1) > cells or (len(w) > SHORT) != (len(words[a]) > SHORT)):
+            out.append((a, i))
+            a, chars = i, len(w)
+    if words:
+        out.append((a, len(words)))
+    return out
+
+
+class Table:
+    """Piece probabilities by language: what languages have used, and by language what any other piece has."""
+
+    def __init__(self, langs: list[str], n_pieces: int, k: np.ndarray, piece: np.ndarray, uses: np.ndarray) -> None:
+        self.langs, self.n_pieces = langs, n_pieces
+        total = np.bincount(k, uses, len(langs)) + SMOOTH * n_pieces
+        self.rest = SMOOTH / total
+        by = np.lexsort((k, piece))
+        self.k, self.prob = k[by].astype(np.int32), ((uses + SMOOTH) / total[k])[by]
+        self.starts = np.searchsorted(piece[by], np.arange(n_pieces + 1))
+
+    def rows(self, pieces: np.ndarray) -> np.ndarray:
+        """(pieces + 1, languages) probabilities; the last row is that of an unknown character."""
+        out = np.empty((len(pieces) + 1, len(self.langs)))
+        out[:-1] = self.rest
+        size = self.starts[pieces + 1] - self.starts[pieces]
+        at = np.repeat(self.starts[pieces] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(pieces)), size), self.k[at]] = self.prob[at]
+        out[-1] = UNKNOWN
+        return out
+
+    def column(self, k: int) -> np.ndarray:
+        """All pieces' probabilities in one language, and that of an unknown character."""
+        out = np.full(self.n_pieces + 1, self.rest[k])
+        at = np.flatnonzero(self.k == k)
+        out[np.searchsorted(self.starts, at, "right") - 1] = self.prob[at]
+        out[-1] = UNKNOWN
+        return out
+
+
 class Scorer:
     """Log-likelihoods of words under all languages, kept by word."""
 
-    def __init__(self, pieces: list[str], prob: np.ndarray) -> None:
-        self.index = Pieces(pieces)
-        self.prob, self.k = prob, prob.shape[1]
+    def __init__(self, pieces: list[str], table: Table) -> None:
+        self.index, self.table = Pieces(pieces), table
+        self.k = len(table.langs)
         self.row: dict[str, int] = {}
-        self.table = np.zeros((1024, self.k), np.float64)
+        self.most, self.chars = max(256, MEMORY // self.k), 0
+        self.scores = np.zeros((256, self.k))
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """(n, k) of marked words in order of length, all on one side of SHORT."""
+        logs = len(words[-1]) > SHORT
+        if len(words) == 1 and len(words[0]) > CHARS:
+            return self.long(words[0])
+        found = Lattice(words, self.index)
+        return found.forward(self.used(found, logs), logs)[0]
+
+    def used(self, found: Lattice, logs: bool) -> np.ndarray:
+        pieces, at = np.unique(found.piece[found.piece >= 0], return_inverse=True)
+        found.piece[found.piece >= 0] = at
+        prob = self.table.rows(pieces)
+        return np.log(prob) if logs else prob
+
+    def long(self, word: str) -> np.ndarray:
+        """One word, part by part: sums are carried over."""
+        before, longest = None, self.index.longest
+        for a in range(0, len(word), CHARS):
+            skip = min(a, longest - 1)
+            found = Lattice([word[a - skip : a + CHARS]], self.index)
+            total, last = found.forward(self.used(found, True), True, before)
+            before = last[:, -longest:]
+        return total
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.row) > MEMORY:
-            self.row.clear()
         at = list(map(self.row.get, words))
         if None in at:
             self.add({w for w, i in zip(words, at) if i is None})
@@ -175,35 +271,40 @@ class Scorer:
         return np.array(at, np.int64)
 
     def add(self, new: set[str]) -> None:
-        new = sorted(new, key=len)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
+        words = sorted((MARK + w for w in new), key=len)
+        for a, b in batches_of(words, CELLS, (self.index.longest + 1) * self.k):
+            part = words[a:b]
             at = len(self.row)
-            while at + len(part) > len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[at : at + len(part)] = Lattice(list(map(marked, part)), self.index).forward(self.prob)[1]
-            self.row.update(zip(part, range(at, at + len(part))))
+            while at + len(part) > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.scores[at : at + len(part)] = self.score(part)
+            self.row.update(zip((w[1:] for w in part), range(at, at + len(part))))
+            self.chars += sum(map(len, part))
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """(n, k) sums of the words' log-likelihoods."""
-        cut = [runs(t.split()) for t in texts]
-        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        cut = [t.split() for t in texts]
+        own = np.repeat(np.arange(len(cut)), np.fromiter(map(len, cut), np.int64, len(cut)))
         out = np.zeros((len(texts), self.k))
         flat = [w for c in cut for w in c]
-        if flat:
-            at = self.rows(flat)
-            rows = self.table[at]
-            live = np.flatnonzero(size)
-            starts = np.concatenate(([0], np.cumsum(size[live])[:-1]))
-            out[live] = np.add.reduceat(rows, starts, axis=0)
+        block = max(64, min(CELLS // self.k, self.most))
+        for i in range(0, len(flat), block):
+            if len(self.row) > self.most or self.chars > KEYS:
+                self.row.clear()
+                self.chars = 0
+            at = self.rows(flat[i : i + block])
+            rows = self.scores[at]
+            mine = own[i : i + block]
+            first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            out[mine[first]] += np.add.reduceat(rows, first, axis=0)
         return out
 
 
-def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces + 1, languages) from rows of (text, lang), both not null.
+def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> Table:
+    """Piece probabilities by language from rows of (text, lang), both not null.
 
-    All training rows count, through counts of words by language. The driver gets sums by language and piece only, so
-    no more than languages x pieces.
+    All training rows count, through counts of words by language. The driver gets, and sends out, sums by language and
+    piece that the language has used.
     """
 
     def counted(batches):
@@ -217,39 +318,43 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> tuple[list[st
 
     words = train.select("text", "lang").mapInArrow(counted, "lang string, word string, n long")
     words = C.staged(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    langs = [r.lang for r in words.select("lang").distinct().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     index = Pieces(pieces)
-    prob = np.full((len(pieces) + 1, len(langs)), 1.0 / max(1, len(pieces)))
-    prob[-1] = UNKNOWN
+    none = np.zeros(0, np.int64)
+    table = Table(langs, len(pieces), none, none, np.zeros(0))
     spark = train.sparkSession
     for _ in range(rounds if langs else 0):
-        now = spark.sparkContext.broadcast((langs, prob))
+        now = spark.sparkContext.broadcast(table)
 
         def expect(batches):
-            known, p = now.value
-            total = np.zeros_like(p)
+            known = {x: i for i, x in enumerate(now.value.langs)}
+            total: dict[int, np.ndarray] = {}
+            logs: dict[int, np.ndarray] = {}
             for b in batches:
-                lang = np.array([known.index(x) for x in b.column(0).to_pylist()])
+                lang = np.array([known[x] for x in b.column(0).to_pylist()], np.int64)
                 word = list(map(marked, b.column(1).to_pylist()))
                 n = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                for k in np.unique(lang) if len(lang) else ():
+                for k in np.unique(lang).tolist():
+                    if k not in total:
+                        if len(total) >= 64:  # languages at once
+                            yield from out(total)
+                            total, logs = {}, {}
+                        total[k], logs[k] = np.zeros(len(pieces) + 1), np.log(now.value.column(k))
                     at = sorted(np.flatnonzero(lang == k).tolist(), key=lambda i: len(word[i]))
-                    for j in range(0, len(at), 2000):
-                        some = at[j : j + 2000]
-                        total[:, k] += Lattice([word[i] for i in some], index).expected(p[:, [k]], n[some])
-            row, col = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(col.astype(np.int32)), pa.array(row.astype(np.int32)), pa.array(np.round(total[row, col], 6))], ["k", "piece", "uses"])
+                    some = [word[i] for i in at]
+                    for i, j in batches_of(some, CELLS):
+                        total[k] += Lattice(some[i:j], index).expected(logs[k], n[at[i:j]])
+            yield from out(total)
+
+        def out(total):
+            for k, x in total.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.round(x[at], 6))], ["k", "piece", "uses"])
 
         sums = words.mapInArrow(expect, "k int, piece int, uses double").groupBy("k", "piece").agg(F.sum(F.col("uses").cast("decimal(28,6)")).cast("double").alias("uses"))
         got = sums.toArrow()
-        prob = np.full_like(prob, SMOOTH)
-        prob[got.column("piece").to_numpy(), got.column("k").to_numpy()] += got.column("uses").to_numpy()
-        prob[-1] = 0
-        prob /= prob.sum(0)
-        prob[-1] = UNKNOWN
-    return langs, prob
+        table = Table(langs, len(pieces), *(got.column(c).to_numpy().astype(np.int64) for c in ("k", "piece")), got.column("uses").to_numpy())
+    return table
 
 
 def language_id(docs: DataFrame, train: DataFrame, model: str, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -261,12 +366,12 @@ def language_id(docs: DataFrame, train: DataFrame, model: str, id_col="doc_id",
     """
     pieces = pieces_of(model)
     known = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs, prob = learn(known, pieces)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, pieces, prob))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, learn(known, pieces)))
 
     def predict(batches):
-        names, own, p = shared.value
-        scorer = Scorer(own, p) if names else None
+        own, table = shared.value
+        names = table.langs
+        scorer = Scorer(own, table) if names else None
         for b in C.slices(batches):
             raw = b.column(1).to_pylist()
             texts = [(t or "").lower() for t in raw]
