@@ -9,7 +9,8 @@ a window meet, with about three runs a hundred bytes to move instead of a hundre
 - Buckets with different runs (ends of shared passages, edits) get an enhanced suffix array: suffixes in order with the
   lengths of common prefixes, scanned with a stack for the intervals of the common-prefix tree. Intervals whose
   occurrences differ to the left are maximal repeats; all occurrences but the first are removed over their full length.
-  A bucket too large for that is settled window by window through a Spark aggregate.
+  The suffixes of a bucket too large for that are dealt out by their first 100 bytes and put in order by Spark's sort:
+  those that begin alike stand together, and all but the first in the corpus go.
 
 Removed runs of bytes meet their text again at the end.
 """
@@ -33,7 +34,7 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes worked on at once; a longer text is cut into overlapping pieces.
 PIECE = 2 << 20
 #: Runs of a bucket that one suffix array takes, and bytes of runs that are gathered for one.
-MANY, GATHER = 20_000, 1 << 20
+MANY, GATHER = 2000, 1 << 20
 AT = np.uint64((1 << 24) - 1)
 
 
@@ -279,7 +280,7 @@ def group_repeats(rows: pa.Table):
         at.append(own[rest])
         a.append(place[rest])
         b.append(place[rest] + n)
-    if at:
+    if any(map(len, at)):
         # One run's spans become one where they touch: nested intervals repeat each other.
         own, a, b = np.concatenate(at), np.concatenate(a), np.concatenate(b)
         by = np.lexsort((a, own))
@@ -311,54 +312,49 @@ def _document_numbers(rows: pa.Table, order: np.ndarray) -> np.ndarray:
 
 
 def settle(batches):
-    """Rows in order of bucket to spans (kind 1); of buckets with too many runs, windows (kind 3) for an aggregate.
-
-    Spans of kind 3 have two hashes of the window in bucket and until, and its start."""
+    """Rows (kind, bucket, place, start, bytes) in that order, but for bytes that come after bucket, to spans: kind 2 are the
+    runs of whole buckets, kind 3 the first bytes of suffixes. Holds a bucket's runs, or one suffix."""
     held: list[pa.Table] = []
-    size, large = 0, None
-
-    def out(t: pa.Table):
-        nonlocal large
-        bucket = t.column("bucket").to_numpy()
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        for part, n in ((np.split(np.arange(len(bucket)), cut), None),):
-            small = [p for p in part if len(p) <= MANY and bucket[p[0]] != large]
-            for p in part:
-                if len(p) > MANY or bucket[p[0]] == large:
-                    large = bucket[p[0]]
-                    yield from windows(t.slice(int(p[0]), len(p)))
-            if small:
-                yield from group_repeats(t.take(pa.array(np.concatenate(small))))
-
-    def windows(t: pa.Table):
-        for k in range(0, t.num_rows, 1000):
-            at, start, one, two = [], [], [], []
-            part = t.slice(k, 1000)
-            for i, (x, s) in enumerate(zip(part.column("bytes").to_pylist(), part.column("start").to_pylist())):
-                for o in range(len(x) - LENGTH + 1):
-                    h = xxhash.xxh3_128_intdigest(x[o : o + LENGTH])
-                    at.append(i), start.append(s + o), one.append((h >> 64) - (1 << 63)), two.append((h & (1 << 64) - 1) - (1 << 63))
-            i = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 3, np.int32)), pa.array(one, pa.int64()), *(part.column(c).take(i).combine_chunks() for c in PLACE), pa.array(start, pa.int64()), pa.array(two, pa.int64())], NAMES)
-
+    size, last = 0, None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held.append(t)
-        size += t.get_total_buffer_size()
-        bucket = b.column(0).to_numpy(zero_copy_only=False)
-        if size < GATHER or bucket[-1] == bucket[0] == held[0].column("bucket")[0].as_py() and sum(x.num_rows for x in held) <= MANY:
-            continue
-        t = pa.concat_tables(held).combine_chunks()
-        bucket = t.column("bucket").to_numpy()
-        k = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-        if len(bucket) - k > MANY or bucket[-1] == large:
-            k = len(bucket)
-            large = bucket[-1]
-        if k:
-            yield from out(t.slice(0, k))
-        held, size = ([t.slice(k)], t.slice(k).get_total_buffer_size()) if k < len(bucket) else ([], 0)
+        kind = b.column(0).to_numpy(zero_copy_only=False)
+        n = int(np.searchsorted(kind, 3))
+        if n:
+            t = pa.Table.from_batches([b.slice(0, n)])
+            held.append(t)
+            size += t.get_total_buffer_size()
+            bucket = t.column("bucket").to_numpy()
+            if size >= GATHER and bucket[-1] != held[0].column("bucket")[0].as_py():
+                t = pa.concat_tables(held).combine_chunks()
+                k = int(np.searchsorted(t.column("bucket").to_numpy(), bucket[-1]))  # the last bucket may go on
+                yield from group_repeats(t.slice(0, k))
+                held = [t.slice(k)]
+                size = held[0].get_total_buffer_size()
+        if n < b.num_rows:
+            if held:
+                yield from group_repeats(pa.concat_tables(held).combine_chunks())
+                held = []
+            last = yield from _alike_before(b.slice(n), last)
     if held:
-        yield from out(pa.concat_tables(held).combine_chunks())
+        yield from group_repeats(pa.concat_tables(held).combine_chunks())
+
+
+def _alike_before(rows: pa.RecordBatch, last):
+    """Spans of the rows whose bytes the row before has, at an earlier place; gives back the last row's bytes and place."""
+    out, text = [], rows.column(rows.schema.get_field_index("bytes")).to_pylist()
+    place = list(zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in (*PLACE, "start"))))
+    for i, now in enumerate(zip(text, place)):
+        # The same place again is a copy of the row: it shares what the one before it got.
+        if last is not None and now[0] == last[0] and now[1] != last[1]:
+            out.append(i)
+        else:
+            last = now if last is None or now[0] != last[0] else last
+    if out:
+        part = rows.take(pa.array(out))
+        col = lambda c: part.column(part.schema.get_field_index(c))
+        start = col("start").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(out), np.int32)), col("bucket"), *(col(c) for c in PLACE), col("start"), pa.array(start + LENGTH)], NAMES)
+    return last
 
 
 def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
@@ -369,26 +365,40 @@ def removed_spans(docs: DataFrame, parts: int) -> DataFrame:
     dealt = found.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket", "run", "late", "doc_id", "same", "start")
     spans = C.staged(dealt.mapInArrow(scan_runs, SPANS.format(k=kind)), "spans")
 
-    wanted = spans.where("kind = 2").groupBy(*place).agg(F.collect_list(F.struct("bucket", "start", "until")).alias("wanted"))
+    mixed = spans.where("kind = 2")
+    large = C.staged(mixed.groupBy("bucket").count().where(F.col("count") > MANY).select("bucket", F.lit(True).alias("large")), "large")
+    wanted = mixed.join(large, "bucket", "left").groupBy(*place).agg(F.collect_list(F.struct("bucket", "start", "until", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
     both = on_place(docs, wanted, parts, "inner")
 
     def cut(batches):
+        """Runs with their bytes; of large buckets the first bytes of all suffixes, in buckets by these."""
         for b in C.slices(batches):
-            at, bucket, start, out = [], [], [], []
+            at, kinds, bucket, start, out = [], [], [], [], []
+
+            def rows():
+                i = pa.array(at, pa.int64())
+                cols = [pa.array(kinds, pa.int32()), pa.array(bucket, pa.int64()), *(b.column(k).take(i) for k in range(3)), pa.array(start, pa.int64()), pa.array(out, pa.binary())]
+                for x in (at, kinds, bucket, start, out):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(cols, ["kind", "bucket", *place, "start", "bytes"])
+
             for i, (t, w) in enumerate(zip(C.raw_texts(b.column(3)), b.column(4).to_pylist())):
                 for x in w:
-                    at.append(i), bucket.append(x["bucket"]), start.append(x["start"]), out.append(t[x["start"] : x["until"]])
-            i = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(b.column(k).take(i) for k in range(3)), pa.array(start, pa.int64()), pa.array(out, pa.binary())], ["bucket", *place, "start", "bytes"])
-
-    strings = both.select(*place, "text", "wanted").mapInArrow(cut, f"bucket long, late boolean, doc_id {kind}, same long, start long, bytes binary")
-    settled = C.staged(strings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS.format(k=kind)), "settled")
-    one = settled.where("kind = 3")
-    where = F.struct(*place, "start")
-    first = one.groupBy("bucket", "until").agg(F.min(where).alias("first"))
-    apart = one.join(first, ["bucket", "until"]).where(~where.eqNullSafe(F.col("first"))).select(*place, "start", (F.col("start") + LENGTH).alias("until"))
+                    if not x["large"]:
+                        at.append(i), kinds.append(2), bucket.append(x["bucket"]), start.append(x["start"]), out.append(t[x["start"] : x["until"]])
+                        continue
+                    for o in range(x["start"], x["until"] - LENGTH + 1):
+                        window = t[o : o + LENGTH]
+                        at.append(i), kinds.append(3), bucket.append(xxhash.xxh3_64_intdigest(window) - (1 << 63)), start.append(o), out.append(window)
+                if len(at) > 20_000:
+                    yield rows()
+            yield rows()
+
+    strings = both.select(*place, "text", "wanted").mapInArrow(cut, f"kind int, bucket long, late boolean, doc_id {kind}, same long, start long, bytes binary")
+    ordered = strings.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket", "bytes", *place, "start")
+    settled = C.staged(ordered.mapInArrow(settle, SPANS.format(k=kind)), "settled")
     cols = [*place, "start", "until"]
-    return spans.where("kind = 1").select(*cols).union(settled.where("kind = 1").select(*cols)).union(apart)
+    return spans.where("kind = 1").select(*cols).union(settled.select(*cols))
 
 
 def on_place(docs: DataFrame, per: DataFrame, parts: int, how: str) -> DataFrame:
