@@ -111,17 +111,21 @@ def best_test(rows: DataFrame) -> tuple[Test | None, float]:
     return best, gain
 
 
-def learn(labelled: DataFrame, rules: int = 6, tests: int = 3, precision: float = 0.95, support: int = 4) -> list[Rule]:
-    """An ordered list of rules for bad rows from FEATURES, doc_id and bad (boolean). All labelled rows count."""
+def learn(labelled: DataFrame, precision: float = 0.95, support: int = 4) -> list[Rule]:
+    """An ordered list of rules for bad rows from FEATURES, doc_id and bad (boolean). All labelled rows count.
+
+    Tests are added to a rule until none gains anything, and rules to the list until one isn't precise enough or covers too
+    few bad rows; there is no other end.
+    """
     hold = F.coalesce(C.crc_mod(F.col("doc_id"), 3) == 0, F.lit(False))
     d = C.staged(labelled.select(*FEATURES, F.col("bad").cast("int").alias("bad"), (~F.col("bad")).cast("int").alias("good"), hold.alias("hold")), "labelled")
     found: list[Rule] = []
-    for _ in range(rules):
+    while True:
         left = d
         for r in found:
             left = left.where(~matches(r))
         rule: Rule = ()
-        while len(rule) < tests:
+        while True:
             test, _gain_of = best_test(left.where(~F.col("hold") & matches(rule)))
             if test is None or test in rule:
                 break
@@ -170,6 +174,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_rules of all documents, learned from the labels table."""
     out = quality_rules(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -43,3 +43,57 @@ def test_list_is_learned_and_keeps_clean_rows(spark):
     none = Q.quality_rules(docs, labels.limit(0)).where(F.col("doc_id") < 2000)
     assert none.where("kept").count() == 360
     assert Q.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def brute_list(rows, precision=0.95, support=4):
+    """Sequential covering by trying all thresholds between values, over rows of (features, bad, held back)."""
+    import math
+
+    ok = lambda rule, f: all(f[k] >= b if up else f[k] <= b for k, up, b in rule)
+    found = []
+    while True:
+        left = [r for r in rows if not any(ok(x, r[0]) for x in found)]
+        grow, rule = [r for r in left if not r[2]], []
+        while True:
+            inside = [r for r in grow if ok(rule, r[0])]
+            bad0, good0 = sum(r[1] for r in inside), sum(not r[1] for r in inside)
+            best, gain = None, 1e-9
+            for k in Q.FEATURES:
+                values = sorted({r[0][k] for r in inside})
+                for i, v in enumerate(values):
+                    low = (values[i - 1] + v + 1) // 2 if i else v
+                    high = (v + values[i + 1]) // 2 if i + 1 < len(values) else v
+                    for test in ((k, True, low), (k, False, high)):
+                        bad = sum(r[1] for r in inside if ok([test], r[0]))
+                        good = sum(not r[1] for r in inside if ok([test], r[0]))
+                        new = bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0))) if bad else 0.0
+                        if new > gain:
+                            best, gain = test, new
+            if best is None or best in rule:
+                break
+            rule.append(best)
+        if not rule:
+            return found
+        count = lambda k, hold, bad: sum(ok(rule[:k], r[0]) and r[1] == bad for r in left if r[2] == hold)
+        worth = [(count(k, True, True) - count(k, True, False)) / max(1, count(k, True, True) + count(k, True, False)) for k in range(1, len(rule) + 1)]
+        k = 1 + worth.index(max(worth))
+        b1, g1 = count(k, True, True), count(k, True, False)
+        bad, good = b1 + count(k, False, True), g1 + count(k, False, False)
+        if bad < support or bad < precision * (bad + good) or b1 < precision * (b1 + g1):
+            return found
+        found.append(rule[:k])
+
+
+def test_list_equals_brute_force(spark):
+    import zlib
+
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        f = {k: rnd.randrange(12) for k in Q.FEATURES}
+        bad = f["symbols"] > 8 and f["digits"] < 7 or f["marks"] == 0 or f["capitals"] + f["distinct"] < 4 or rnd.random() < 0.01
+        rows.append((i, f, bool(bad)))
+    df = spark.createDataFrame([(i, *f.values(), bad) for i, f, bad in rows], "doc_id long, " + ", ".join(f"{k} int" for k in Q.FEATURES) + ", bad boolean")
+    got = Q.learn(df)
+    want = brute_list([(f, bad, zlib.crc32(str(i).encode()) % 3 == 0) for i, f, bad in rows])
+    assert [[(t.feature, t.above, t.bound) for t in r] for r in got] == want and len(want) > 1
