@@ -15,8 +15,8 @@ _SPACE = r"[\t-\r \x85\xa0  -     　]"
 _NOT = _SPACE[1:-1]
 #: The public pre-token pattern, with white space spelt out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_NOT}\p{{L}}\p{{N}}]+|{_SPACE}+(?![^{_NOT}])|{_SPACE}+"
-#: Distinct pieces whose counts a worker keeps.
-MEMORY = 1_000_000
+#: Distinct pieces whose counts a worker keeps, and characters of these.
+MEMORY, CHARS = 1_000_000, 1 << 24
 NONE = np.iinfo(np.int64).max
 
 
@@ -46,6 +46,7 @@ class RankMerger:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, int] = {}
         self.pre: dict[str, int] = {}
+        self.chars = 0
 
     def surviving(self, seqs: list[bytes]) -> np.ndarray:
         """How many symbols are left of each byte string when no pair can be merged any more."""
@@ -85,15 +86,15 @@ class RankMerger:
 
     def learn(self, pieces) -> None:
         """Count pieces that are new: cut into pre-tokens, merge the new ones of these together."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.pre) > MEMORY:
-            self.pre.clear()
+        if len(self.known) > MEMORY or len(self.pre) > MEMORY or self.chars > CHARS:
+            self.known.clear(), self.pre.clear()
+            self.chars = 0
         new = [p for p in pieces if p not in self.known]
         cuts = [self.split.findall(p) for p in new]
         fresh = list({t for c in cuts for t in c if t not in self.pre})
         if fresh:
             self.pre.update(zip(fresh, self.surviving([t.encode() for t in fresh]).tolist()))
+        self.chars += sum(map(len, new)) + sum(map(len, fresh))
         pre = self.pre
         for p, c in zip(new, cuts):
             self.known[p] = sum(pre[t] for t in c)
@@ -152,6 +153,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 512, id_col: str = "d
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts of all documents under the vocabulary that the contract names."""
     import public_tokenizers
 
     return token_counts(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
