@@ -1,6 +1,8 @@
 """The corpus pipeline: documents to a mix, one operator a stage.
 
-Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds which copy a row is.
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds which copy a row is. Rows are
+rows: null and repeated ids and repeated rows are treated like others, unless a stage says so; other columns than those of
+documents are dropped; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ SURE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: und and unsure ones go; a null lang becomes the predicted one."""
+    """Documents whose language is known: und (null texts and those without a letter) and unsure ones go; a null lang
+    becomes the predicted one, others stay. Ties between languages go to the first by name."""
     import public_tokenizers
 
     train = docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang")
@@ -27,18 +30,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stood earlier; n_chars follows."""
+    """Documents without the chunks of lines that stood earlier; n_chars follows. Null texts stay null; a text whose lines
+    all stood earlier becomes empty. Rows alike in id and text are one document and share its result."""
     out = linededup.line_dedup(docs, keep=("lang", "source"))
     return out.select("doc_id", "text", F.col("kept_lang").alias("lang"), F.col("kept_source").alias("source"), F.length("text").cast("long").alias("n_chars"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the row with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the row with
+    the smallest id (null ids last, ties by a hash of the row). Texts without words are alike, null ones too."""
     return similar.similar_firsts(docs.select(*COLUMNS), 5, 0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.decontaminated(docs.select(*COLUMNS), C.table(spark, sf_dir, "benchmark"))
 
 

@@ -7,17 +7,25 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "level") -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read again; a folder of our own only where that is unset, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a folder of our own, on a local master only: on a cluster each machine
+    would write to its own disk, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         at = tempfile.mkdtemp(prefix="planarlake-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, name: str = "level") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
