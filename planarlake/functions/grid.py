@@ -96,13 +96,18 @@ def place(g: Column, column: Column, row: Column) -> Column:
 
 @bound
 def to_text(g: Column) -> Column:
-    pt, n = P.to_repr, P.number_text
+    pt = P.to_repr
     return F.concat(
         F.lit("Grid at "), pt(g["origin"]), F.lit(" with "), g["columns"].cast("string"), F.lit(" columns and "), g["rows"].cast("string"), F.lit(" rows, spacing ("), pt(g["spacing_x"]),
         F.lit(", "), pt(g["spacing_y"]), F.lit("), magnification "), debug_number(g["magnification"]), F.lit(", angle "), debug_number(g["angle"]), F.lit(", x_reflection "), g["x_reflection"].cast("string"),
     )
 
 
-def debug_number(v: Column) -> Column:
-    """A double as text that keeps .0 on whole numbers."""
-    return F.when(v == F.floor(v), F.concat(P.number_text(v), F.lit(".0"))).otherwise(P.number_text(v))
+debug_number = P.debug_number
+
+
+@bound
+def to_repr(g: Column) -> Column:
+    pt = P.to_repr
+    parts = [pt(g["origin"]), g["columns"].cast("string"), g["rows"].cast("string"), pt(g["spacing_x"]), pt(g["spacing_y"]), debug_number(g["magnification"]), debug_number(g["angle"]), g["x_reflection"].cast("string")]
+    return F.concat(F.lit("Grid("), F.concat_ws(", ", *parts), F.lit(")"))

@@ -67,3 +67,11 @@ def to_text(points: Column, layer: Column, data_type: Column, path_type: Column,
         F.lit("Path with "), F.size(points).cast("string"), F.lit(" points on layer "), layer.cast("string"), F.lit(" with data type "), data_type.cast("string"),
         F.lit(", "), type_name(F.coalesce(path_type, F.lit(0))), F.lit(" and width "), P.number_text(F.coalesce(width, F.lit(0.0))),
     )
+
+
+def to_repr(points: Column, layer: Column, data_type: Column, path_type: Column, width: Column) -> Column:
+    first, last = P.to_repr(F.element_at(points, 1)), P.to_repr(F.element_at(points, -1))
+    n = F.size(points)
+    ends = F.when(n == 1, first).when(n == 2, F.concat(first, F.lit(", "), last)).otherwise(F.concat(first, F.lit(", ..., "), last))
+    rest = [layer.cast("string"), data_type.cast("string"), type_name(F.coalesce(path_type, F.lit(0))), P.number_text(F.coalesce(width, F.lit(0.0)))]
+    return F.concat(F.lit("Path(["), F.coalesce(F.when(n > 0, ends), F.lit("")), F.lit("], "), F.concat_ws(", ", *rest), F.lit(")"))

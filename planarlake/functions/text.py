@@ -76,3 +76,11 @@ def to_text(t: dict[str, Column]) -> Column:
         F.lit("Text '"), t["text"], F.lit("' vertical: "), vertical_name(t["vertical_presentation"]), F.lit(", horizontal: "),
         horizontal_name(t["horizontal_presentation"]), F.lit(" at "), P.to_repr(t["origin"]),
     )
+
+
+def to_repr(t: dict[str, Column]) -> Column:
+    parts = [
+        t["text"], P.to_repr(t["origin"]), t["layer"].cast("string"), P.number_text(t["magnification"]), P.number_text(t["angle"]), t["x_reflection"].cast("string"),
+        vertical_name(t["vertical_presentation"]), horizontal_name(t["horizontal_presentation"]),
+    ]
+    return F.concat(F.lit("Text("), F.concat_ws(", ", *parts), F.lit(")"))

@@ -42,8 +42,7 @@ class Library:
     @staticmethod
     def from_gds(spark: SparkSession, path: str, round_digits: int | None = None) -> Library:
         t = gds.read(spark, path, round_digits)
-        with_id = {k: t[k].withColumn("elem_id", F.monotonically_increasing_id()) for k in TABLES}
-        return Library(t["cells"].select("cell_name", "cell_seq"), **{k: v.drop("path", "lib_id", "cell_seq") for k, v in with_id.items()})
+        return Library(t["cells"].select("cell_name", "cell_seq"), **{k: t[k].drop("path", "lib_id", "cell_seq") for k in TABLES})
 
     def tables(self) -> dict[str, DataFrame]:
         return {"cells": self.cells} | {k: getattr(self, k) for k in TABLES}
@@ -69,9 +68,23 @@ class Library:
     def remove(self, names: DataFrame) -> Library:
         return replace(self, **{k: catalog.remove_cells(v, names) for k, v in self.tables().items()})
 
-    def contains(self, names: DataFrame) -> DataFrame:
+    def named(self, names: DataFrame) -> DataFrame:
+        """Those of the names (cell_name) that cells here have."""
         return names.join(self.cells.select("cell_name"), "cell_name", "left_semi")
 
+    def contains(self, other: Library) -> DataFrame:
+        """Names of the cells of other that stand here as well: the same name, and equal elements of each kind, in order."""
+        both = self.named(other.cells.select("cell_name")).distinct()
+        return both.join(catalog.unequal_cells(self.tables(), other.tables()), "cell_name", "left_anti")
+
+    def remove_elements(self, **tables: DataFrame) -> Library:
+        """Without the elements of each kind that equal a row of the table given for it, in the row's cell."""
+        return replace(self, **{k: catalog.remove_elements(getattr(self, k), v, kind=k) for k, v in tables.items()})
+
+    def contains_elements(self, **tables: DataFrame) -> dict[str, DataFrame]:
+        """Of each table given, the rows that equal an element of that kind in the row's cell."""
+        return {k: catalog.contains_elements(getattr(self, k), v, kind=k) for k, v in tables.items()}
+
     def counts(self) -> DataFrame:
         return catalog.counts(self.cells, self.polygons, self.paths, self.references, self.texts)
 
@@ -79,14 +92,17 @@ class Library:
         return catalog.empty_cells(self.cells, *[getattr(self, k) for k in TABLES])
 
     def equals(self, other: Library) -> bool:
-        """Same cell names, and the same elements in each table and cell, in order."""
-        if self.cells.select("cell_name").exceptAll(other.cells.select("cell_name")).limit(1).count() or other.cells.select("cell_name").exceptAll(self.cells.select("cell_name")).limit(1).count():
+        """The same name, the same cell names, and in each cell equal elements of each kind, in order (by epsilon)."""
+        if self.name != other.name:
             return False
-        for k in TABLES:
-            own = [x for x in getattr(self, k).columns if x not in ("cell_name", "elem_id")]
-            if catalog.library_difference(getattr(self, k), getattr(other, k).select(*getattr(self, k).columns), own).limit(1).count():
-                return False
-        return True
+        mine, theirs = (x.cells.select("cell_name").distinct() for x in (self, other))
+        if mine.exceptAll(theirs).limit(1).count() or theirs.exceptAll(mine).limit(1).count():
+            return False
+        return not catalog.unequal_cells(self.tables(), other.tables()).limit(1).count()
+
+    def shown(self) -> dict[str, DataFrame]:
+        """(cell_name, elem_id, text, repr) of the elements of each kind, and (cell_name, text, repr) of the cells."""
+        return catalog.shown(self.tables())
 
     def reachable(self) -> DataFrame:
         return hierarchy.reachable(self.references, self.cells)

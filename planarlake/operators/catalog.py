@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grid as G
+from ..functions import path as H
 from ..functions import point as P
 from ..functions import ring
+from ..functions import text as X
 
 KINDS = ("polygons", "paths", "references", "texts")
+#: What must be equal as it is of each kind, beside what is close by epsilon.
+EXACT = {
+    "polygons": ("layer", "data_type"),
+    "paths": ("layer", "data_type", "path_type", "width"),
+    "texts": ("text", "layer", "magnification", "angle", "x_reflection", "vertical_presentation", "horizontal_presentation"),
+    "references": ("target_kind", "target_cell", "target_elem_id"),
+}
+#: The column that is close by epsilon, as a whole.
+CLOSE = {"polygons": "points", "paths": "points", "texts": "origin", "references": "grid"}
+
+
+def _anchor(kind: str, c: Column) -> Column:
+    """A point that is close where elements are equal."""
+    return F.element_at(c, 1) if CLOSE[kind] == "points" else c if CLOSE[kind] == "origin" else c["origin"]
+
+
+def _close(kind: str, a: Column, b: Column, epsilon: float) -> Column:
+    same = {"points": ring.epsilon_equal, "origin": P.epsilon_is_close, "grid": G.equal}[CLOSE[kind]]
+    return same(a, b, epsilon)
 
 
 def add_elements(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,29 +58,32 @@ def _bucket(v: Column, epsilon: float) -> Column:
     return F.floor(v / epsilon).cast("long")
 
 
-def _near(left: DataFrame, right: DataFrame, epsilon: float, keys: list[str], how: str) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, epsilon: float, keys: list[str], how: str, kind: str) -> DataFrame:
     """Rows of left for which a row of right is equal by epsilon. Closeness isn't transitive and so no join key: right goes
-    to its first point's bucket and the neighbours, left to its own, and the predicate decides."""
-    first = lambda c: F.element_at(c, 1)
-    mine = left.withColumn("bx", _bucket(first(F.col("points"))["x"], epsilon)).withColumn("by", _bucket(first(F.col("points"))["y"], epsilon))
+    to its anchor's bucket and the neighbours, left to its own, and the predicate decides."""
+    col = CLOSE[kind]
+    at = _anchor(kind, F.col(col))
+    mine = left.withColumn("bx", _bucket(at["x"], epsilon)).withColumn("by", _bucket(at["y"], epsilon))
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    other = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("points").alias("r_points")).dropDuplicates()
+    other = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col(col).alias("r_close")).dropDuplicates()
+    at = _anchor(kind, F.col("r_close"))
     other = other.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    other = other.withColumn("r_bx", _bucket(first(F.col("r_points"))["x"], epsilon) + F.col("dx")).withColumn("r_by", _bucket(first(F.col("r_points"))["y"], epsilon) + F.col("dy"))
-    on = (F.col("bx") == F.col("r_bx")) & (F.col("by") == F.col("r_by")) & ring.epsilon_equal(F.col("points"), F.col("r_points"), epsilon)
+    other = other.withColumn("r_bx", _bucket(at["x"], epsilon) + F.col("dx")).withColumn("r_by", _bucket(at["y"], epsilon) + F.col("dy"))
+    on = (F.col("bx") == F.col("r_bx")) & (F.col("by") == F.col("r_by")) & _close(kind, F.col(col), F.col("r_close"), epsilon)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     return mine.join(other, on, how).drop("bx", "by")
 
 
-def contains_elements(members: DataFrame, wanted: DataFrame, keys: list[str], epsilon: float = P.EPSILON) -> DataFrame:
-    """Rows of wanted (points and keys) that stand among members."""
-    return _near(wanted, members, epsilon, keys, "left_semi")
+def contains_elements(members: DataFrame, wanted: DataFrame, keys: list[str] | None = None, epsilon: float = P.EPSILON, kind: str = "polygons") -> DataFrame:
+    """Rows of wanted that stand among members; equal are those of one cell whose keys are the same (by default all of the
+    kind's own) and that are close."""
+    return _near(wanted, members, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_semi", kind)
 
 
-def remove_elements(members: DataFrame, gone: DataFrame, keys: list[str], epsilon: float = P.EPSILON) -> DataFrame:
-    """Members without those equal to a row of gone."""
-    return _near(members, gone, epsilon, keys, "left_anti")
+def remove_elements(members: DataFrame, gone: DataFrame, keys: list[str] | None = None, epsilon: float = P.EPSILON, kind: str = "polygons") -> DataFrame:
+    """Members without those equal to a row of gone, as in contains_elements."""
+    return _near(members, gone, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_anti", kind)
 
 
 def counts(cells: DataFrame, polygons: DataFrame, paths: DataFrame, references: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,8 +104,56 @@ def cell_text(counted: DataFrame) -> DataFrame:
     return counted.withColumn("shown", F.format_string("Cell: %s with %d polygons, %d paths, %d references, and %d texts", "cell_name", *[f"n_{k}" for k in KINDS]))
 
 
-def library_difference(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows by cell_name where two libraries' tables differ; none if they are equal. Signatures of columns are compared."""
-    sig = lambda d, n: d.groupBy("cell_name").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(n))
-    both = sig(left, "one").join(sig(right, "two"), "cell_name", "full_outer")
-    return both.where(~F.col("one").eqNullSafe(F.col("two"))).select("cell_name", F.col("one").isNull().alias("only_right"), F.col("two").isNull().alias("only_left"))
+def _ranked(t: DataFrame) -> DataFrame:
+    """Elements with their place in their cell; only keys are sorted."""
+    order = [F.col(c) for c in ("elem_seq", "elem_id") if c in t.columns]
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("cell_name").orderBy(*order)))
+
+
+def unequal_elements(left: DataFrame, right: DataFrame, kind: str, epsilon: float = P.EPSILON) -> DataFrame:
+    """(cell_name, place) where two tables of a kind differ: elements are held against each other by their place in the
+    cell, one by one, so that no cell is ever gathered."""
+    cols = [*EXACT[kind], CLOSE[kind]]
+    a = _ranked(left).select("cell_name", "place", *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("in_a"))
+    b = _ranked(right).select("cell_name", "place", *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("in_b"))
+    same = F.col("in_a") & F.col("in_b") & _close(kind, F.col(f"a_{CLOSE[kind]}"), F.col(f"b_{CLOSE[kind]}"), epsilon)
+    for c in EXACT[kind]:
+        if c != "target_elem_id":  # ids are a library's own; the targets are elements of it like others
+            same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return a.join(b, ["cell_name", "place"], "full_outer").where(~F.coalesce(same, F.lit(False))).select("cell_name", "place")
+
+
+def unequal_cells(left: dict[str, DataFrame], right: dict[str, DataFrame], epsilon: float = P.EPSILON) -> DataFrame:
+    """Names of cells whose elements differ in some kind."""
+    parts = [unequal_elements(left[k].where("cell_name is not null"), right[k].where("cell_name is not null"), k, epsilon).select("cell_name") for k in KINDS]
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def shown(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """(cell_name, elem_id, text, repr) of the elements of each kind, and (cell_name, text, repr) of the cells."""
+    c, key = F.col, ["cell_name", "elem_id"]
+    columns = lambda names: {k: c(k) for k in names}
+    text_cols = columns((*EXACT["texts"], "origin"))
+    out = {
+        "polygons": t["polygons"].select(*key, ring.polygon_text(c("points"), c("layer"), c("data_type")).alias("text"), ring.polygon_repr(c("points"), c("layer"), c("data_type")).alias("repr")),
+        "paths": t["paths"].select(*key, *[f(*[c(k) for k in ("points", "layer", "data_type", "path_type", "width")]).alias(n) for f, n in ((H.to_text, "text"), (H.to_repr, "repr"))]),
+        "texts": t["texts"].select(*key, X.to_repr(text_cols).alias("repr"), X.to_text(text_cols).alias("text")).select(*key, "text", "repr"),
+    }
+    cells = cell_text(counts(*[t[k] for k in ("cells", "polygons", "paths", "references", "texts")]))
+    out["cells"] = cells.select("cell_name", c("shown").alias("text"), F.concat(F.lit("Cell("), c("cell_name"), F.lit(")")).alias("repr"))
+    # What references target, by kind and key; those to references level by level.
+    targets = [out[k].select(F.lit(k[:-1]).alias("target_kind"), F.lit(None).cast("string").alias("target_cell"), c("elem_id").alias("target_elem_id"), c("text").alias("t"), c("repr").alias("r")) for k in ("polygons", "paths", "texts")]
+    known = reduce(DataFrame.union, targets).union(out["cells"].select(F.lit("cell"), "cell_name", F.lit(None).cast("long"), "text", "repr"))
+    refs, parts = t["references"], []
+    done = refs.limit(0).select("elem_id")
+    while True:
+        on = (refs["target_kind"] == known["target_kind"]) & refs["target_cell"].eqNullSafe(known["target_cell"]) & refs["target_elem_id"].eqNullSafe(known["target_elem_id"])
+        new = refs.join(known, on).select(refs["cell_name"], refs["elem_id"], F.concat(F.lit("Reference of "), c("t"), F.lit(" with "), G.to_text(refs["grid"])).alias("text"), F.concat(F.lit("Reference("), c("r"), F.lit(")")).alias("repr"))
+        parts.append(new)
+        done = done.union(new.select("elem_id"))
+        refs_left = t["references"].where("target_kind = 'reference'").join(done, "elem_id", "left_anti")
+        if len(parts) > 1 and not new.limit(1).count() or not refs_left.limit(1).count():
+            break
+        known, refs = new.select(F.lit("reference").alias("target_kind"), F.lit(None).cast("string").alias("target_cell"), c("elem_id").alias("target_elem_id"), c("text").alias("t"), c("repr").alias("r")), refs_left
+    out["references"] = reduce(DataFrame.union, parts)
+    return out

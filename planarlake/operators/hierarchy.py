@@ -5,13 +5,14 @@ tree of placements (small) is walked by joins level by level, and geometry is to
 and sizes, and references left over at the depth limit, follow rules of their own, carried along as plain numbers.
 
 A level is a join of the frontier with the reference table and an explode over the array; levels are written to the
-shared folder (or checkpointed there), so that lineage stays short and lost executors cost little. Cycles fail.
+shared folder, so that lineage stays short and lost executors cost little. How deep it goes is known beforehand from the
+graph of distinct cells, whose paths are doubled in length round by round; cycles fail there.
+
+A reference may have a reference as its target. The target then stands for a cell of its own, which has nothing else in it.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from ..functions import ring
 from ..staging import staged
 from . import filters
 
-#: A chain of more references than this counts as endless.
-DEEPEST = 64
+#: Beginning of the names of cells that stand for targeted references; no file has such names.
+NESTED = "\0reference "
 #: Copies of one array that a task makes, about.
 TASK_COPIES = 1_000_000
 STATE = ("a", "b", "c", "d", "tx", "ty", "a0", "b0", "c0", "d0", "tx0", "ty0", "turn", "spin", "sign", "size", "flip")
@@ -32,7 +33,7 @@ def start(cells: DataFrame) -> DataFrame:
     """Placements of root cells (column root): the identity."""
     one = {"a": 1.0, "b": 0.0, "c": 0.0, "d": 1.0, "tx": 0.0, "ty": 0.0, "a0": 1.0, "b0": 0.0, "c0": 0.0, "d0": 1.0, "tx0": 0.0, "ty0": 0.0, "turn": 0.0, "spin": 0.0, "sign": 1.0, "size": 1.0}
     return cells.select(
-        "root", F.col("root").alias("cell_name"), F.lit(0).alias("depth"), F.array("root").alias("chain"),
+        "root", F.col("root").alias("cell_name"), F.lit(0).alias("depth"),
         *[F.lit(v).alias(k) for k, v in one.items()], F.lit(False).alias("flip"),
     )
 
@@ -79,40 +80,71 @@ def _compose() -> dict[str, Column]:
     }
 
 
+def with_nested(references: DataFrame) -> DataFrame:
+    """References in which those to references have become references to cells of their own, each with the target."""
+    nested = references.where("target_kind = 'reference'")
+    if not nested.limit(1).count():
+        return references
+    name = lambda c: F.concat(F.lit(NESTED), c.cast("string"))
+    wanted = nested.select(F.col("target_elem_id").alias("elem_id")).distinct()
+    inner = references.join(wanted, "elem_id", "left_semi").withColumn("cell_name", name(F.col("elem_id")))
+    every = references.where("cell_name is not null").unionByName(inner)
+    is_nested = F.col("target_kind") == "reference"
+    return every.withColumn("target_cell", F.when(is_nested, name(F.col("target_elem_id"))).otherwise(F.col("target_cell"))).withColumn("target_kind", F.when(is_nested, "cell").otherwise(F.col("target_kind")))
+
+
+def without_nested(references: DataFrame) -> DataFrame:
+    """The opposite: references to cells that stand for references have those as their targets again."""
+    is_nested = F.col("target_cell").startswith(NESTED)
+    out = references.withColumn("target_kind", F.when(is_nested, "reference").otherwise(F.col("target_kind")))
+    return out.withColumn("target_cell", F.when(~F.coalesce(is_nested, F.lit(False)), F.col("target_cell")))
+
+
+def closure(references: DataFrame) -> DataFrame:
+    """(cell_name, below, steps) of all cells under each cell, and the most references on a way there; cycles fail.
+
+    Pairs of cells are few beside placements. Each round joins ways of up to so many steps with each other, so that a
+    hierarchy of depth d takes log2(d) rounds; however many ways lead from one cell to another, they are one row.
+    """
+    edges = references.where("target_kind = 'cell' and target_cell is not null")
+    known = staged(edges.select("cell_name", F.col("target_cell").alias("below")).distinct().withColumn("steps", F.lit(1)))
+    size = F.count(F.lit(1)).alias("n"), F.sum("steps").alias("steps"), F.min(F.when(F.col("cell_name") == F.col("below"), F.col("below"))).alias("looped")
+    now = known.agg(*size).first()
+    while now.n:
+        if now.looped is not None:
+            raise ValueError(f"cell refers to itself: {now.looped}")
+        step = known.select(F.col("cell_name").alias("below"), F.col("below").alias("further"), F.col("steps").alias("more"))
+        longer = known.join(step, "below").select("cell_name", F.col("further").alias("below"), (F.col("steps") + F.col("more")).alias("steps"))
+        known = staged(known.union(longer).groupBy("cell_name", "below").agg(F.max("steps").alias("steps")))
+        before, now = now, known.agg(*size).first()
+        if now == before:
+            break
+    return known
+
+
 def placements(roots: DataFrame, references: DataFrame, depth: int | None = None) -> DataFrame:
-    """Every copy of every cell under the roots (column root) down to depth references, the roots included.
+    """Every copy of every cell under the roots (column root) down to depth references (None: all), the roots included.
 
-    references: cell_name, elem_id, target_kind 'cell', target_cell, grid.
+    references: cell_name, elem_id, target_kind 'cell', target_cell, grid. A cell that comes to stand under itself fails.
     """
-    step = expand(references.where("target_kind = 'cell'")).withColumnRenamed("cell_name", "parent")
     level = start(roots)
-    out, n = level, 0
-    limit = DEEPEST if depth is None else depth
-    while n < limit:
-        looped = F.array_contains("chain", F.col("target_cell"))
-        checked = F.when(looped, F.raise_error(F.concat(F.lit("cell refers to itself: "), F.col("target_cell"))).cast("string")).otherwise(F.col("target_cell"))
-        new = level.join(step, level.cell_name == step.parent).select(
-            "root", checked.alias("cell_name"), (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("target_cell")).alias("chain"), *[v.alias(k) for k, v in _compose().items()]
-        )
-        level = staged(new)
-        if depth is None and not level.limit(1).count():
-            return out
-        out, n = out.union(level), n + 1
+    if depth == 0:
+        return level
+    deepest = closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").agg(F.max("steps")).first()[0] or 0
+    step = expand(references.where("target_kind = 'cell'")).withColumnRenamed("cell_name", "parent")
+    out = level
+    for _ in range(deepest if depth is None else min(depth, deepest)):
+        new = level.join(step, level.cell_name == step.parent)
+        level = staged(new.select("root", F.col("target_cell").alias("cell_name"), (F.col("depth") + 1).alias("depth"), *[v.alias(k) for k, v in _compose().items()]))
+        out = out.union(level)
     return out
 
 
 def reachable(references: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell_name, below): each cell with itself and all cells under it, by a recursive query over cell pairs."""
-    spark = references.sparkSession
-    edges, names = f"edges_{uuid.uuid4().hex}", f"cells_{uuid.uuid4().hex}"
-    references.where("target_kind = 'cell'").select("cell_name", "target_cell").distinct().createOrReplaceTempView(edges)
-    cells.select("cell_name").createOrReplaceTempView(names)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(cell_name, below, depth) AS (
-          SELECT cell_name, cell_name, 0 FROM {names}
-          UNION ALL
-          SELECT w.cell_name, e.target_cell, w.depth + 1 FROM walk w JOIN {edges} e ON w.below = e.cell_name WHERE w.depth < {DEEPEST}
-        ) SELECT DISTINCT cell_name, below FROM walk""")
+    """(cell_name, below): each cell with itself and all cells under it, references to references followed."""
+    own = cells.select("cell_name", F.col("cell_name").alias("below"))
+    under = closure(with_nested(references)).where(~F.col("below").startswith(NESTED)).select("cell_name", "below")
+    return own.union(under.join(cells.select("cell_name"), "cell_name", "left_semi")).distinct()
 
 
 def apply_points(df: DataFrame) -> Column:
@@ -138,11 +170,12 @@ def flatten_texts(placed: DataFrame, texts: DataFrame, pairs=()) -> DataFrame:
 def residual_references(placed: DataFrame, references: DataFrame, depth: int, on: DataFrame | None = None) -> DataFrame:
     """References that depth leaves standing, each grid carried through the placements over it.
 
-    Mirrors only turn the flag over. on: (cell_name, is_on) to drop references to cells that are off the layers.
+    Mirrors only turn the flag over. on: (elem_id, is_on) of references, to drop those that are off the layers.
     """
-    refs = references.where("target_kind = 'cell'")
-    if on is not None and depth > 0:
-        refs = refs.join(on.where("is_on").select(F.col("cell_name").alias("target_cell")), "target_cell", "left_semi")
+    refs = references
+    if on is not None and depth > 0:  # what a reference itself targets stays as it is
+        good = on.where("is_on").select("elem_id")
+        refs = refs.where(~F.col("cell_name").startswith(NESTED)).join(good, "elem_id", "left_semi").unionByName(refs.where(F.col("cell_name").startswith(NESTED)))
     c, g = F.col, F.col("grid")
     moved = placed.where(c("depth") == depth).join(refs, "cell_name")
     apply = lambda p: P.point(c("a0") * p["x"] + c("b0") * p["y"] + c("tx0"), c("c0") * p["x"] + c("d0") * p["y"] + c("ty0"))
@@ -150,7 +183,22 @@ def residual_references(placed: DataFrame, references: DataFrame, depth: int, on
         g, origin=apply(g["origin"]), spacing_x=P.multiply(g["spacing_x"], c("size")), spacing_y=P.multiply(g["spacing_y"], c("size")),
         magnification=g["magnification"] * c("size"), angle=G.wrapped(g["angle"] + c("spin")), x_reflection=g["x_reflection"] != c("flip"),
     )
-    return moved.withColumn("grid", grid).drop(*STATE)
+    return without_nested(moved.withColumn("grid", grid).drop(*STATE))
+
+
+def references_on(references: DataFrame, polygons: DataFrame, paths: DataFrame, texts: DataFrame, pairs) -> DataFrame:
+    """(elem_id, is_on) of references (with_nested): whether all that they reach is on the layers."""
+    names = references.select(F.col("target_cell").alias("cell_name")).where("cell_name is not null").distinct()
+    # Elements that references place directly are members of the cells that the references stand in.
+    direct = lambda t, kind: t.drop("cell_name").join(references.where(F.col("target_kind") == kind).select("cell_name", F.col("target_elem_id").alias("elem_id")), "elem_id")
+    tables = [t.select(*cols, "cell_name").union(direct(t, kind).select(*cols, "cell_name")) for t, kind, cols in ((polygons, "polygon", ["layer", "data_type"]), (paths, "path", ["layer", "data_type"]), (texts, "text", ["layer"]))]
+    under = names.select("cell_name", F.col("cell_name").alias("below")).union(closure(references).select("cell_name", "below"))
+    cells = filters.cells_on(names, *tables, under, list(pairs)).withColumnRenamed("cell_name", "target_cell")
+    out = references.where("target_kind = 'cell'").join(cells, "target_cell").select("elem_id", "is_on")
+    for t, kind, good in ((polygons, "polygon", filters.on_layers(list(pairs))), (paths, "path", filters.on_layers(list(pairs))), (texts, "text", filters.text_on_layers(list(pairs)))):
+        own = references.where(F.col("target_kind") == kind).select("elem_id", F.col("target_elem_id").alias("t"))
+        out = out.union(own.join(t.select(F.col("elem_id").alias("t"), good.alias("is_on")), "t").select("elem_id", "is_on"))
+    return out
 
 
 def flatten(cells: DataFrame, references: DataFrame, polygons: DataFrame, paths: DataFrame, texts: DataFrame, pairs=(), depth: int | None = None) -> dict[str, DataFrame]:
@@ -158,6 +206,7 @@ def flatten(cells: DataFrame, references: DataFrame, polygons: DataFrame, paths:
 
     A root's own elements stay whatever the layers; what references bring is filtered. Depth 0 changes nothing.
     """
+    references = with_nested(references)
     placed = placements(cells, references, depth)
     own, rest = placed.where("depth = 0"), placed.where("depth > 0")
     out = {
@@ -166,11 +215,7 @@ def flatten(cells: DataFrame, references: DataFrame, polygons: DataFrame, paths:
         "texts": flatten_texts(own, texts).union(flatten_texts(rest, texts, pairs)),
     }
     if depth is not None:
-        on = None
-        if pairs:
-            names = references.select(F.col("target_cell").alias("cell_name")).where("cell_name is not null").distinct()
-            on = filters.cells_on(names, polygons, paths, texts, reachable(references, names), list(pairs))
-        out["references"] = residual_references(placed, references, depth, on)
+        out["references"] = residual_references(placed, references, depth, references_on(references, polygons, paths, texts, pairs) if pairs else None)
     elements = element_references(references, polygons, paths, texts)
     if elements is not None and (depth is None or depth > 0):
         for kind, table in flatten_element_references(placed if depth is None else placed.where(F.col("depth") < depth), references, polygons, paths, texts, pairs).items():
@@ -189,7 +234,7 @@ def flatten_element_references(placed: DataFrame, references: DataFrame, polygon
     out = {}
     for kind, table, flat in (("polygons", polygons, flatten_polygons), ("paths", paths, flatten_polygons), ("texts", texts, flatten_texts)):
         refs = expand(references.where(F.col("target_kind") == kind[:-1])).withColumnRenamed("cell_name", "parent").select("parent", F.col("target_elem_id").alias("t_id"), "column", "row", "grid", "ga", "gb", "gc", "gd", "gb0", "gd0", "gtx", "gty", "gr")
-        state = placed.join(refs, placed.cell_name == refs.parent).select("root", "cell_name", (F.col("depth") + 1).alias("depth"), "chain", "t_id", *[v.alias(k) for k, v in _compose().items()])
+        state = placed.join(refs, placed.cell_name == refs.parent).select("root", "cell_name", (F.col("depth") + 1).alias("depth"), "t_id", *[v.alias(k) for k, v in _compose().items()])
         target = table.drop("cell_name").withColumnRenamed("elem_id", "e_id")
         joined = state.withColumnRenamed("cell_name", "in_cell").withColumn("cell_name", F.col("t_id"))
         keyed = target.withColumn("cell_name", F.col("e_id"))

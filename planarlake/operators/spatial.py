@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ring
+from ..staging import staged
 from . import boxes
 
 MANY = 8
@@ -22,19 +23,24 @@ def _side(tile: float, level: Column) -> Column:
     return F.lit(float(tile)) * F.pow(F.lit(4.0), level)
 
 
-def _tiles(df: DataFrame, tile: float) -> DataFrame:
-    """One row a tile that the box meets, at the level where there are few."""
+def _boxed(df: DataFrame, tile: float) -> DataFrame:
+    """Polygons with their boxes and levels (where a box meets few tiles), staged: levels are asked for before the join."""
+    df = boxes.polygon_boxes(df)
     size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size, F.lit(1e-9)) / (tile * (MANY - 1))) / F.log(F.lit(4.0))))).cast("int")
-    df = df.withColumn("level", level)
+    return staged(df.withColumn("level", level), "boxed")
+
+
+def _tiles(df: DataFrame, tile: float) -> DataFrame:
+    """One row a tile of the row's level that the box meets."""
     side = _side(tile, F.col("level"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
     return df.withColumn("tx", F.explode(span("min_x", "max_x"))).withColumn("ty", F.explode(span("min_y", "max_y")))
 
 
-def levels_of(tiled: DataFrame) -> list[int]:
+def levels_of(boxed: DataFrame) -> list[int]:
     """The levels present (LEVELS + 1 at most)."""
-    return sorted(r.level for r in tiled.select("level").distinct().collect())
+    return sorted(r.level for r in boxed.select("level").distinct().collect())
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float, x: str = "px", y: str = "py") -> DataFrame:
@@ -42,11 +48,11 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float, x: str
 
     Columns of both inputs come out; their names must differ.
     """
-    tiled = _tiles(boxes.polygon_boxes(polygons), tile)
-    levels = F.array(*[F.lit(v) for v in levels_of(tiled)]).cast("array<int>")
+    boxed = _boxed(polygons, tile)
+    levels = F.array(*[F.lit(v) for v in levels_of(boxed)]).cast("array<int>")
     side = _side(tile, F.col("level"))
     probes = points.withColumn("level", F.explode(levels)).withColumn("tx", F.floor(F.col(x) / side)).withColumn("ty", F.floor(F.col(y) / side))
-    met = probes.join(tiled, ["level", "tx", "ty"])
+    met = probes.join(_tiles(boxed, tile), ["level", "tx", "ty"])
     inside = (F.col(x) >= F.col("min_x")) & (F.col(x) <= F.col("max_x")) & (F.col(y) >= F.col("min_y")) & (F.col(y) <= F.col("max_y"))
     met = met.where(inside).where(ring.contains(F.col("points"), F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
     return met.drop("level", "tx", "ty", *boxes.BOX)
@@ -56,26 +62,26 @@ def polygon_pairs(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
     """(a, b) ids of polygons of two tables (elem_id, points) that intersect by vertices: each pair once.
 
     A pair that meets in several tiles counts in the one that holds the corner where the two boxes begin to overlap. Where
-    levels differ, the finer side goes to the coarser level's tiles too.
+    levels differ, the finer side goes to the coarser level's tiles too. Only ids and boxes go to the tiles; points are
+    fetched for pairs whose boxes overlap.
     """
-    a = _tiles(boxes.polygon_boxes(left.select("elem_id", "points")), tile)
-    b = _tiles(boxes.polygon_boxes(right.select("elem_id", "points")), tile)
-    every = sorted({*levels_of(a), *levels_of(b)})
-    a, b = (_coarser(t, every, tile) for t in (a, b))
-    a = a.select(*[F.col(c).alias(f"a_{c}") for c in ("elem_id", "points", "own", *boxes.BOX)], "level", "tx", "ty")
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in ("elem_id", "points", "own", *boxes.BOX)], "level", "tx", "ty")
+    one = _boxed(left.select("elem_id", "points"), tile)
+    two = one if left is right else _boxed(right.select("elem_id", "points"), tile)
+    every = sorted({*levels_of(one), *levels_of(two)})
+    a, b = (_coarser(t, every, tile).select(*[F.col(c).alias(f"{p}_{c}") for c in ("elem_id", "own", *boxes.BOX)], "level", "tx", "ty") for p, t in (("a", one), ("b", two)))
     met = a.join(b, ["level", "tx", "ty"]).where(F.col("level") == F.greatest("a_own", "b_own"))
     side = _side(tile, F.col("level"))
     x0, y0 = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
     overlap = (x0 <= F.least("a_max_x", "b_max_x")) & (y0 <= F.least("a_max_y", "b_max_y"))
     once = (F.floor(x0 / side) == F.col("tx")) & (F.floor(y0 / side) == F.col("ty"))
-    met = met.where(overlap & once).where(ring.intersects(F.col("a_points"), F.col("b_points")))
-    return met.select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
+    pairs = met.where(overlap & once).select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
+    points = lambda t, p: t.select(F.col("elem_id").alias(p), F.col("points").alias(f"{p}_points"))
+    both = pairs.join(points(one, "a"), "a").join(points(two, "b"), "b")
+    return both.where(ring.intersects(F.col("a_points"), F.col("b_points"))).select("a", "b")
 
 
-def _coarser(tiled: DataFrame, levels: list[int], tile: float) -> DataFrame:
-    base = tiled.drop("tx", "ty").withColumnRenamed("level", "own").dropDuplicates(["elem_id"])
+def _coarser(boxed: DataFrame, levels: list[int], tile: float) -> DataFrame:
+    """Rows of the tiles of their own level and of all coarser ones present."""
+    base = boxed.drop("points").withColumnRenamed("level", "own")
     base = base.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("own"))))
-    side = _side(tile, F.col("level"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
-    return base.withColumn("tx", F.explode(span("min_x", "max_x"))).withColumn("ty", F.explode(span("min_y", "max_y")))
+    return _tiles(base, tile)

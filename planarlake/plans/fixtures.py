@@ -62,11 +62,11 @@ TEXTS = """texts AS (SELECT p_partkey AS elem_id, p_name AS "text", p_size::DOUB
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = spark.range(1).select(F.lit("TOP").alias("cell_name"))
+    top = spark.createDataFrame([("TOP",), ("EMPTY",)], "cell_name string")
     return top.union(table(spark, sf_dir, "region").select("r_name")).union(table(spark, sf_dir, "nation").select("n_name"))
 
 
-CELLS = """cells AS (SELECT 'TOP' AS cell_name UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)"""
+CELLS = """cells AS (SELECT 'TOP' AS cell_name UNION ALL SELECT 'EMPTY' UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ LEAVES = """leaves AS (SELECT n_name AS cell_name, s_suppkey AS elem_id, (s_supp
 
 def leaf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = c("p_partkey")
-    d = table(spark, sf_dir, "part").where(k <= 60).join(table(spark, sf_dir, "nation"), k % 25 == c("n_nationkey"))
+    d = table(spark, sf_dir, "part").join(table(spark, sf_dir, "nation"), k % 25 == c("n_nationkey"))
     return d.select(
         c("n_name").alias("cell_name"), k.alias("elem_id"), (k % 4).cast("int").alias("layer"), c("p_name").alias("text"), P.point(c("p_size"), k % 17).alias("origin"),
         (1 + k % 5).cast("double").alias("magnification"), ((k % 8) * 45).cast("double").alias("angle"), F.lit(False).alias("x_reflection"),
@@ -113,7 +113,7 @@ def leaf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEAF_TEXTS = """leaf_texts AS (SELECT n_name AS cell_name, p_partkey AS elem_id, (p_partkey % 4)::INT AS layer, p_name AS "text", p_size::DOUBLE AS x, (p_partkey % 17)::DOUBLE AS y,
-    (1 + p_partkey % 5)::DOUBLE AS magnification, ((p_partkey % 8) * 45)::DOUBLE AS angle FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey <= 60)"""
+    (1 + p_partkey % 5)::DOUBLE AS magnification, ((p_partkey % 8) * 45)::DOUBLE AS angle FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
 
 
 def no_paths(spark: SparkSession) -> DataFrame:
@@ -127,6 +127,48 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBES = """probes AS (SELECT event_id AS pt_id, "value" / 10 AS px, (event_id % 100)::DOUBLE AS py FROM events)"""
 
 
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons at a tenth of their size, all over a plane of some 1000 by 1000."""
+    k = c("elem_id")
+    return polygons(spark, sf_dir).select("elem_id", ring.move_by(ring.scale(c("points"), 0.1), P.point(k % 997, (k * 7) % 991)).alias("points"))
+
+
+def spread_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("event_id")
+    return table(spark, sf_dir, "events").select(k.alias("pt_id"), ((k * 13) % 10007 / 10).alias("px"), ((k * 29) % 9973 / 10).alias("py"))
+
+
+SPREAD = """spread AS (SELECT elem_id, [{'x': v.x * 0.1 + elem_id % 997, 'y': v.y * 0.1 + (elem_id * 7) % 991} for v in p] AS p FROM polygons),
+  spread_probes AS (SELECT event_id AS pt_id, ((event_id * 13) % 10007) / 10 AS px, ((event_id * 29) % 9973) / 10 AS py FROM events)"""
+
+
+def one_cell(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn("cell_name", F.lit(name))
+
+
+def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(references, polygons) of 75 cells, each in the one before it, turned and moved; each has a square."""
+    k = c("n_nationkey") * 3 + c("id")
+    d = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(spark.range(3)).select(k.cast("long").alias("k"))
+    name = lambda v: F.concat(F.lit("deep"), v.cast("string"))
+    refs = d.where("k < 74").select(
+        name(c("k")).alias("cell_name"), (c("k") + 5000).alias("elem_id"), F.lit("cell").alias("target_kind"), name(c("k") + 1).alias("target_cell"), F.lit(None).cast("long").alias("target_elem_id"),
+        G.grid(P.point(c("k") % 3, 1), 1, 1, (0, 0), (0, 0), 1, (c("k") % 4) * 90, c("k") % 5 == 2).alias("grid"),
+    )
+    corners = F.array(*[P.point(c("k") + x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    return refs, d.select(name(c("k")).alias("cell_name"), c("k").alias("elem_id"), (c("k") % 4).cast("int").alias("layer"), F.lit(0).alias("data_type"), corners.alias("points"))
+
+
+def diamonds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, references): two cells under each nation's, and both over the next nation's: ways double at each."""
+    d = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("k"))
+    at = lambda p, v: F.concat(F.lit(p), v.cast("string"))
+    pairs = [(at("top", c("k")), at(side, c("k"))) for side in ("left", "right")] + [(at(side, c("k")), at("top", c("k") + 1)) for side in ("left", "right")]
+    refs = d.select(F.explode(F.array(*[F.struct(a.alias("cell_name"), b.alias("target_cell")) for a, b in pairs])).alias("e")).select("e.*")
+    refs = refs.select("cell_name", F.xxhash64("cell_name", "target_cell").alias("elem_id"), F.lit("cell").alias("target_kind"), "target_cell", F.lit(None).cast("long").alias("target_elem_id"), G.grid().alias("grid"))
+    return refs.select("cell_name").union(refs.select("target_cell")).distinct(), refs
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair of points of each embedding's first four numbers."""
     e = c("embedding")
@@ -138,3 +180,6 @@ POINTS = """points AS (SELECT vec_id, embedding[1]::DOUBLE AS px, embedding[2]::
 
 PAIRS = [(1, 1), (3, 1), (0, 0)]
 PAIRS_SQL = "((layer = 1 AND data_type = 1) OR (layer = 3 AND data_type = 1) OR (layer = 0 AND data_type = 0))"
+#: All but the polygons on layer 2.
+MOST = [(0, 0), (1, 1), (3, 1), (2, 9)]
+MOST_SQL = "((layer = 0 AND data_type = 0) OR (layer = 1 AND data_type = 1) OR (layer = 3 AND data_type = 1) OR (layer = 2 AND data_type = 9))"

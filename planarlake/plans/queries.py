@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from ..functions import path as H
 from ..functions import point as P
 from ..functions import ring as R
 from ..functions import text as X
+from ..library import Library
 from ..operators import boxes, catalog, filters, hierarchy, spatial
 from ..sources import gds
+from ..staging import shared_dir
 from . import fixtures as D
 
 QUERIES: dict = {}
@@ -45,10 +49,10 @@ STEPS = "list_sum([sqrt((p[i].x - p[i + 1].x) * (p[i].x - p[i + 1].x) + (p[i].y
 BOX = "list_min([v.x for v in p]) AS min_x, list_min([v.y for v in p]) AS min_y, list_max([v.x for v in p]) AS max_x, list_max([v.y for v in p]) AS max_y"
 
 
-@query(f"WITH {D.POLYGONS} SELECT elem_id, layer, data_type, len(p)::INT AS n_points, {AREA} AS area, {STEPS} AS perimeter, {BOX} FROM polygons WHERE layer < 128")
+@query(f"WITH {D.POLYGONS} SELECT elem_id, layer, data_type, len(p)::INT AS n_points, {AREA} AS area, {STEPS} AS perimeter, {BOX} FROM polygons")
 def polygon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = c("points")
-    d = D.polygons(spark, sf_dir).where("layer < 128")
+    d = D.polygons(spark, sf_dir)
     return d.select("elem_id", "layer", "data_type", F.size(p).alias("n_points"), R.area(p).alias("area"), R.length(p).alias("perimeter"), *[v.alias(k) for k, v in R.bounds(p).items()])
 
 
@@ -334,10 +338,10 @@ def is_on_text(spark, sf_dir):
 REACH = "reach AS (SELECT cell_name, cell_name AS below FROM cells UNION SELECT a.cell_name, a.target_cell FROM refs a UNION SELECT a.cell_name, b.target_cell FROM refs a JOIN refs b ON a.target_cell = b.cell_name)"
 
 
-@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.PAIRS_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 3)) SELECT cell_name, cell_name NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name) AS is_on FROM cells")
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.MOST_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 2, 3)) SELECT cell_name, cell_name NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name) AS is_on FROM cells")
 def cell_is_on(spark, sf_dir):
     cells, refs = D.cells(spark, sf_dir), D.references(spark, sf_dir)
-    return filters.cells_on(cells, D.leaf_polygons(spark, sf_dir), D.no_paths(spark), D.leaf_texts(spark, sf_dir), hierarchy.reachable(refs, cells), D.PAIRS)
+    return filters.cells_on(cells, D.leaf_polygons(spark, sf_dir), D.no_paths(spark), D.leaf_texts(spark, sf_dir), hierarchy.reachable(refs, cells), D.MOST)
 
 
 @query(f"WITH {D.CELLS}, {D.REFS}, {REACH} SELECT cell_name, below FROM reach")
@@ -398,10 +402,11 @@ def library_remove(spark, sf_dir):
     return catalog.remove_cells(n.select("cell_name"), n.where("n_regionkey = 1"))
 
 
-@query(f"WITH {D.LEAVES} SELECT cell_name, count(*) FILTER (elem_id % 7 <> 0) = 0 AS only_left, false AS only_right FROM leaves GROUP BY cell_name HAVING count(*) FILTER (elem_id % 7 = 0) > 0")
+@query(f"WITH {D.LEAVES}, a AS (SELECT *, row_number() OVER (PARTITION BY cell_name ORDER BY elem_id) AS place FROM leaves), b AS (SELECT *, row_number() OVER (PARTITION BY cell_name ORDER BY elem_id) AS place FROM leaves WHERE elem_id % 7 <> 0) SELECT cell_name, place::INT AS place FROM a FULL JOIN b USING (cell_name, place) WHERE a.elem_id IS NULL OR b.elem_id IS NULL OR a.layer <> b.layer OR a.data_type <> b.data_type OR a.x0 <> b.x0 OR a.y0 <> b.y0 OR a.side <> b.side")
 def library_equality(spark, sf_dir):
+    """Places where cells differ if every seventh polygon is missing."""
     p = D.leaf_polygons(spark, sf_dir)
-    return catalog.library_difference(p, p.where("elem_id % 7 <> 0"), ["elem_id", "layer", "data_type", "points"])
+    return catalog.unequal_elements(p, p.where("elem_id % 7 <> 0"), "polygons")
 
 
 AT = ("ox + col * sxx + rw * syx", "oy + col * sxy + rw * syy")
@@ -469,11 +474,11 @@ def reference_bbox(spark, sf_dir):
     return b.select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
 
 
-@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.PAIRS_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 3)) SELECT elem_id, target_cell FROM refs WHERE target_cell NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name)")
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.MOST_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 2, 3)) SELECT elem_id, target_cell FROM refs WHERE target_cell NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name)")
 def reference_is_on(spark, sf_dir):
     refs, polygons, paths, texts = _tables(spark, sf_dir)
     cells = D.cells(spark, sf_dir)
-    on = filters.cells_on(cells, polygons, paths, texts, hierarchy.reachable(refs, cells), D.PAIRS).where("is_on")
+    on = filters.cells_on(cells, polygons, paths, texts, hierarchy.reachable(refs, cells), D.MOST).where("is_on")
     return refs.join(on.select(c("cell_name").alias("target_cell")), "target_cell", "left_semi").select("elem_id", "target_cell")
 
 
@@ -487,32 +492,132 @@ def grid_expand(spark, sf_dir):
     return vertices(hierarchy.grid_copies(_squares(spark, sf_dir), "polygon"), c("points"), "elem_id", "column", "row")
 
 
-@query(f"WITH {D.POLYGONS}, {D.PROBES}, few AS (SELECT *, {BOX} FROM polygons WHERE elem_id <= 3000), hits AS (SELECT elem_id, {sql_inside('px', 'py')} AS hit FROM few JOIN probes ON pt_id < 2000 AND px BETWEEN min_x AND max_x AND py BETWEEN min_y AND max_y) SELECT elem_id, count(*) AS n_points FROM hits WHERE hit GROUP BY elem_id")
+_BOXED = f"{D.POLYGONS}, {D.SPREAD}, boxed AS (SELECT *, {BOX} FROM spread)"
+
+
+@query(f"WITH {_BOXED}, hits AS (SELECT elem_id, {sql_inside('px', 'py')} AS hit FROM boxed JOIN spread_probes ON px BETWEEN min_x AND max_x AND py BETWEEN min_y AND max_y) SELECT elem_id, count(*) AS n_points FROM hits WHERE hit GROUP BY elem_id")
 def point_in_polygon_join(spark, sf_dir):
-    polygons = D.polygons(spark, sf_dir).where("elem_id <= 3000").select("elem_id", "points")
-    hits = spatial.point_in_polygon(D.probes(spark, sf_dir).where("pt_id < 2000"), polygons, 16)
+    hits = spatial.point_in_polygon(D.spread_probes(spark, sf_dir), D.spread(spark, sf_dir), 8)
     return hits.groupBy("elem_id").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-def _small(spark, sf_dir):
-    """Polygons spread over the plane, a tenth of their size."""
-    p = D.polygons(spark, sf_dir).where("elem_id <= 2000")
-    return p.select("elem_id", R.move_by(R.scale(c("points"), 0.1), P.point(c("elem_id") % 40, c("elem_id") % 37)).alias("points"))
+_PAIRS = f"{_BOXED}, pairs AS (SELECT a.elem_id AS a, b.elem_id AS b, a.p AS pa, b.p AS pb FROM boxed a JOIN boxed b ON a.elem_id < b.elem_id AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y), va AS (SELECT a, b, pb, unnest(pa) AS v FROM pairs), vb AS (SELECT a, b, pa, unnest(pb) AS v FROM pairs)"
 
 
-_SMALL = f"{D.POLYGONS}, small AS (SELECT elem_id, [{{'x': v.x * 0.1 + elem_id % 40, 'y': v.y * 0.1 + elem_id % 37}} for v in p] AS p FROM polygons WHERE elem_id <= 2000), boxed AS (SELECT *, {BOX} FROM small), pairs AS (SELECT a.elem_id AS a, b.elem_id AS b, a.p AS pa, b.p AS pb FROM boxed a JOIN boxed b ON a.elem_id < b.elem_id AND greatest(a.min_x, b.min_x) <= least(a.max_x, b.max_x) AND greatest(a.min_y, b.min_y) <= least(a.max_y, b.max_y)), va AS (SELECT a, b, pb, unnest(pa) AS v FROM pairs), vb AS (SELECT a, b, pa, unnest(pb) AS v FROM pairs)"
+@query(f"WITH {_PAIRS} SELECT DISTINCT a, b FROM (SELECT a, b, {sql_inside('v.x', 'v.y', 'pb')} AS hit FROM va UNION ALL SELECT a, b, {sql_inside('v.x', 'v.y', 'pa')} FROM vb) WHERE hit")
+def polygon_overlap_join(spark, sf_dir):
+    small = D.spread(spark, sf_dir)
+    return spatial.polygon_pairs(small, small, 8).where("a < b")
 
 
-@query(f"WITH {_SMALL} SELECT DISTINCT a, b FROM (SELECT a, b, {sql_inside('v.x', 'v.y', 'pb')} AS hit FROM va UNION ALL SELECT a, b, {sql_inside('v.x', 'v.y', 'pa')} FROM vb) WHERE hit")
-def polygon_overlap_join(spark, sf_dir):
-    small = _small(spark, sf_dir)
-    return spatial.polygon_pairs(small, small, 4).where("a < b")
+def sql_number(e: str) -> str:
+    """A number of few digits as text, without .0."""
+    return f"CASE WHEN {e} = floor({e}) THEN ({e})::BIGINT::VARCHAR ELSE ({e})::VARCHAR END"
 
 
-@query(f"WITH {D.POLYGONS} SELECT elem_id, 'Polygon with ' || len(p) || ' point(s), starting at (' || p[1].x::INT || ', ' || p[1].y || ') on layer ' || layer || ', data type ' || data_type AS shown FROM polygons WHERE p[1].y <> floor(p[1].y)")
+@query(f"WITH {D.POLYGONS} SELECT elem_id, 'Polygon with ' || len(p) || ' point(s), starting at (' || {sql_number('p[1].x')} || ', ' || {sql_number('p[1].y')} || ') on layer ' || layer || ', data type ' || data_type AS shown FROM polygons")
 def element_repr(spark, sf_dir):
-    d = D.polygons(spark, sf_dir).where(F.element_at("points", 1)["y"] != F.floor(F.element_at("points", 1)["y"]))
-    return d.select("elem_id", R.polygon_text(c("points"), c("layer"), c("data_type")).alias("shown"))
+    return D.polygons(spark, sf_dir).select("elem_id", R.polygon_text(c("points"), c("layer"), c("data_type")).alias("shown"))
+
+
+@query("""SELECT p_partkey AS k, rtrim(rtrim('0.' || lpad(p_partkey::VARCHAR, 9, '0'), '0'), '.') AS small, (12345678::BIGINT * p_partkey + p_partkey // 2)::VARCHAR || CASE WHEN p_partkey % 2 = 1 THEN '.5' ELSE '' END AS half,
+  p_partkey::VARCHAR || CASE WHEN p_partkey = 0 THEN '' ELSE '000000000000000000' END AS large, '-' || (p_partkey // 8)::VARCHAR || CASE WHEN p_partkey % 8 = 0 THEN '' ELSE rtrim('.' || lpad((p_partkey % 8 * 125)::VARCHAR, 3, '0'), '0') END AS below FROM part""")
+def number_text(spark, sf_dir):
+    k = c("p_partkey").cast("double")
+    d = D.table(spark, sf_dir, "part")
+    return d.select(c("p_partkey").alias("k"), P.number_text(k / 1e9).alias("small"), P.number_text(k * 12345678.5).alias("half"), P.number_text(k * 1e18).alias("large"), P.number_text(k / -8.0).alias("below"))
+
+
+def _library(spark, sf_dir, **new):
+    t = {"polygons": D.leaf_polygons(spark, sf_dir), "paths": D.no_paths(spark), "texts": D.leaf_texts(spark, sf_dir), "references": D.references(spark, sf_dir)} | new
+    cells = D.cells(spark, sf_dir).withColumn("cell_seq", F.xxhash64("cell_name"))
+    return Library(cells, **{k: v.withColumn("elem_seq", c("elem_id")) for k, v in t.items()})
+
+
+CELL_TEXT = "'Cell: ' || {0} || ' with ' || (SELECT count(*) FROM leaves l WHERE l.cell_name = {0}) || ' polygons, 0 paths, ' || (SELECT count(*) FROM refs q WHERE q.cell_name = {0}) || ' references, and ' || (SELECT count(*) FROM leaf_texts t WHERE t.cell_name = {0}) || ' texts'"
+
+
+@query(f"""WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.REFS} SELECT r.elem_id, 'Reference of ' || {CELL_TEXT.format('r.target_cell')} || ' with Grid at (' || ox::BIGINT || ', ' || oy::BIGINT || ') with ' || cols || ' columns and ' || rws || ' rows, spacing (('
+  || sxx::BIGINT || ', ' || sxy::BIGINT || '), (' || syx::BIGINT || ', ' || syy::BIGINT || ')), magnification ' || mag::BIGINT || '.0, angle ' || ang::BIGINT || '.0, x_reflection ' || refl AS "text", 'Reference(Cell(' || r.target_cell || '))' AS repr FROM refs r""")
+def reference_repr(spark, sf_dir):
+    return _library(spark, sf_dir).shown()["references"].select("elem_id", "text", "repr")
+
+
+@query(f"""WITH {D.TEXTS} SELECT elem_id, 'Text(' || "text" || ', (' || {sql_number('ox')} || ', ' || {sql_number('oy')} || '), ' || layer || ', ' || {sql_number('magnification')} || ', ' || {sql_number('angle')} || ', ' || x_reflection || ', '
+  || CASE v WHEN 0 THEN 'Top' WHEN 1 THEN 'Middle' ELSE 'Bottom' END || ', ' || CASE h WHEN 0 THEN 'Left' WHEN 1 THEN 'Centre' ELSE 'Right' END || ')' AS repr FROM texts""")
+def text_repr(spark, sf_dir):
+    names = ("text", "origin", "layer", "magnification", "angle", "x_reflection", "vertical_presentation", "horizontal_presentation")
+    return D.texts(spark, sf_dir).select("elem_id", X.to_repr({k: c(k) for k in names}).alias("repr"))
+
+
+@query(f"WITH {D.REFS} SELECT elem_id, 'Grid((' || ox::BIGINT || ', ' || oy::BIGINT || '), ' || cols || ', ' || rws || ', (' || sxx::BIGINT || ', ' || sxy::BIGINT || '), (' || syx::BIGINT || ', ' || syy::BIGINT || '), ' || mag::BIGINT || '.0, ' || ang::BIGINT || '.0, ' || refl || ')' AS repr FROM refs")
+def grid_repr(spark, sf_dir):
+    return D.references(spark, sf_dir).select("elem_id", G.to_repr(c("grid")).alias("repr"))
+
+
+@query(f"WITH {D.CELLS}, {D.LEAVES} SELECT cell_name FROM cells WHERE cell_name NOT IN (SELECT cell_name FROM leaves WHERE elem_id % 40 = 0)")
+def library_contains(spark, sf_dir):
+    """Cells that are equal where polygons have moved by less than epsilon, and some by more."""
+    moved = D.leaf_polygons(spark, sf_dir).withColumn("points", R.move_by(c("points"), P.point(F.when(c("elem_id") % 40 == 0, 0.01).otherwise(0.00004), 0.0)))
+    return _library(spark, sf_dir).contains(_library(spark, sf_dir, polygons=moved))
+
+
+@query(f"""WITH {D.LEAF_TEXTS}, {D.REFS}, {D.PATHS} SELECT 'text' AS kind, elem_id FROM leaf_texts a WHERE NOT EXISTS (SELECT 1 FROM leaf_texts b WHERE b.elem_id % 3 = 0 AND a.cell_name = b.cell_name AND a.layer = b.layer AND a."text" = b."text" AND a.x = b.x AND a.y = b.y AND a.magnification = b.magnification AND a.angle = b.angle)
+  UNION ALL SELECT 'reference', elem_id FROM refs WHERE elem_id % 2 = 1 UNION ALL SELECT 'path', elem_id FROM paths WHERE elem_id % 3 <> 0""")
+def cell_remove_kinds(spark, sf_dir):
+    """Texts, references and paths left after rows that are equal by epsilon went."""
+    lib = _library(spark, sf_dir, paths=D.one_cell(D.paths(spark, sf_dir), "TOP"))
+    near = P.point(0.00004, -0.00004)
+    gone = {
+        "texts": lib.texts.where("elem_id % 3 = 0").withColumn("origin", P.add(c("origin"), near)),
+        "references": lib.references.where("elem_id % 2 = 0").withColumn("grid", G.move_by(c("grid"), near)),
+        "paths": lib.paths.where("elem_id % 3 = 0").withColumn("points", R.move_by(c("points"), near)),
+    }
+    left = lib.remove_elements(**gone)
+    return left.texts.select(F.lit("text").alias("kind"), "elem_id").union(left.references.select(F.lit("reference"), "elem_id")).union(left.paths.select(F.lit("path"), "elem_id"))
+
+
+DEEP = """RECURSIVE walk AS (SELECT 0 AS k, 1 AS a, 0 AS b, 0 AS c, 1 AS d, 0 AS tx, 0 AS ty UNION ALL
+  SELECT k + 1, a * co + b * si, (b * co - a * si) * m, c * co + d * si, (d * co - c * si) * m, a * (k % 3) + b + tx, c * (k % 3) + d + ty
+  FROM (SELECT *, CASE WHEN k % 5 = 2 THEN -1 ELSE 1 END AS m, [1, 0, -1, 0][k % 4 + 1] AS co, [0, 1, 0, -1][k % 4 + 1] AS si FROM walk WHERE k < 74)),
+  square AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) t(i, x, y))"""
+
+
+@query(f"WITH {DEEP} SELECT k::BIGINT AS elem_id, i::INT AS i, (a * (k + x) + b * y + tx)::DOUBLE + 0.0::DOUBLE AS x, (c * (k + x) + d * y + ty)::DOUBLE + 0.0::DOUBLE AS y FROM walk, square")
+def flatten_deep(spark, sf_dir):
+    """A chain of 75 cells, one in the other, flattened from its top."""
+    refs, polygons = D.chain(spark, sf_dir)
+    root = spark.range(1).select(F.lit("deep0").alias("root"))
+    return vertices(hierarchy.flatten(root, refs, polygons, D.no_paths(spark), D.leaf_texts(spark, sf_dir).limit(0))["polygons"], c("points"), "elem_id")
+
+
+@query("""WITH RECURSIVE edges AS (SELECT 'top' || n_nationkey AS up, s || n_nationkey AS low FROM nation, (VALUES ('left'), ('right')) t(s) UNION ALL SELECT s || n_nationkey, 'top' || (n_nationkey + 1) FROM nation, (VALUES ('left'), ('right')) t(s)),
+  names AS (SELECT up AS n FROM edges UNION SELECT low FROM edges), walk AS (SELECT n AS cell_name, n AS below FROM names UNION SELECT w.cell_name, e.low FROM walk w JOIN edges e ON w.below = e.up) SELECT cell_name, below FROM walk""")
+def child_cells_shared(spark, sf_dir):
+    """Cells under each cell where two to the power of 25 ways lead down."""
+    cells, refs = D.diamonds(spark, sf_dir)
+    return hierarchy.reachable(refs, cells)
+
+
+@query(f"WITH {D.LEAVES}, {D.REFS}, {STEP}, walk AS (SELECT s.target_cell AS cell_name, o.ga * s.ga + o.gb * s.gc AS a, o.ga * s.gb + o.gb * s.gd AS b, o.gc * s.ga + o.gd * s.gc AS c, o.gc * s.gb + o.gd * s.gd AS d, o.ga * s.gtx + o.gb * s.gty + o.gtx AS tx, o.gc * s.gtx + o.gd * s.gty + o.gty AS ty FROM step o JOIN step s ON o.cell_name = 'TOP' AND s.elem_id = 100 + o.elem_id) SELECT elem_id, layer, i::INT AS i, {s6('a * x + b * y + tx')} AS x, {s6('c * x + d * y + ty')} AS y FROM walk w JOIN corners p ON w.cell_name = p.cell_name")
+def flatten_nested_reference(spark, sf_dir):
+    """References whose targets are other references."""
+    refs = D.references(spark, sf_dir)
+    outer = refs.where("cell_name = 'TOP'").withColumn("cell_name", F.lit("OUTER")).withColumn("target_kind", F.lit("reference")).withColumn("target_cell", F.lit(None).cast("string"))
+    outer = outer.withColumn("target_elem_id", c("elem_id") + 100).withColumn("elem_id", c("elem_id") + 1000)
+    _, polygons, paths, texts = _tables(spark, sf_dir)
+    flat = hierarchy.flatten(spark.range(1).select(F.lit("OUTER").alias("root")), refs.union(outer), polygons, paths, texts)
+    return vertices(flat["polygons"], c("points"), "elem_id", "layer")
+
+
+@query(f"WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.REFS} SELECT 'polygon' AS kind, cell_name, layer::VARCHAR AS what, i::INT AS i, x, y FROM corners UNION ALL SELECT 'text', cell_name, \"text\", 0, x, y FROM leaf_texts UNION ALL SELECT 'reference', cell_name, target_cell, 0, ox, oy FROM refs")
+def gds_file_roundtrip(spark, sf_dir):
+    """A library written to a file and read back."""
+    back = Library.from_gds(spark, _library(spark, sf_dir).to_gds(f"{shared_dir(spark)}/{uuid.uuid4().hex}.gds"))
+    zero = F.lit(0.0)
+    polygons = back.polygons.select("cell_name", "layer", F.posexplode("points").alias("i", "v"))
+    at = lambda kind, df, what, i, p: df.select(F.lit(kind).alias("kind"), "cell_name", what.cast("string").alias("what"), i.alias("i"), (p["x"] + zero).alias("x"), (p["y"] + zero).alias("y"))
+    return at("polygon", polygons, c("layer"), c("i"), c("v")).union(at("text", back.texts, c("text"), F.lit(0), c("origin"))).union(at("reference", back.references, c("target_cell"), F.lit(0), c("grid.origin")))
 
 
 @query(f"WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.CELLS}, {D.REFS} SELECT 'Cell: ' || cell_name || ' with ' || (SELECT count(*) FROM leaves l WHERE l.cell_name = x.cell_name) || ' polygons, 0 paths, ' || (SELECT count(*) FROM refs r WHERE r.cell_name = x.cell_name) || ' references, and ' || (SELECT count(*) FROM leaf_texts t WHERE t.cell_name = x.cell_name) || ' texts' AS shown FROM cells x")

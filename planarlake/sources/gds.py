@@ -1,8 +1,9 @@
 """Reading and writing GDSII files as tables.
 
 Files are read whole, a task a file (a record means something only after the ones before it), from any store that Spark
-reads. Writing encodes elements on the executors, puts them in file order by a range sort, and streams them through the
-driver to one file, a partition at a time.
+reads, and decoded once: rows are written to the shared folder, and their ids with them. Writing encodes elements on the
+executors, puts them in file order by a range sort and joins them to pieces of some megabytes there; the driver only
+appends the pieces to the one file.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import grid as G
 from ..functions import point as P
 from ..operators import hierarchy
+from ..staging import staged
 from . import gds_codec as K
 
 ELEMENT = (
@@ -33,8 +35,8 @@ ARROW = pa.schema(
         ("spacing_x", _XY), ("spacing_y", _XY), ("target_cell", pa.string()),
     ]
 )
-#: Rows of one Arrow batch.
-BATCH = 4096
+#: Rows of one Arrow batch, and bytes of a piece of a file.
+BATCH, PIECE = 4096, 8 << 20
 
 
 def _row(path: str, e: dict) -> dict:
@@ -71,10 +73,10 @@ def read_rows(spark: SparkSession, path: str, round_digits: int | None = None) -
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
     """cells, polygons, paths, texts and references of decoded rows. Of cells with one name in a file the last one counts;
-    references name their cell, so that they find it by a join."""
+    references name their cell, so that they find it by a join. Elements have the elem_id of their row, if rows have one."""
     last = rows.where("kind = 'cell'").groupBy("path", "lib_id", "cell_name").agg(F.max("cell_seq").alias("cell_seq"))
     live = rows.join(last.select("path", "cell_seq"), ["path", "cell_seq"], "left_semi")
-    key = ["path", "lib_id", "cell_name", "cell_seq", "elem_seq"]
+    key = ["path", "lib_id", "cell_name", "cell_seq", "elem_seq", *(["elem_id"] if "elem_id" in rows.columns else [])]
     of = lambda kind: live.where(F.col("kind") == kind)
     grid = G.grid(F.col("origin"), F.col("columns"), F.col("rows"), F.col("spacing_x"), F.col("spacing_y"), F.col("magnification"), F.col("angle"), F.col("x_reflection"))
     return {
@@ -87,7 +89,8 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def read(spark: SparkSession, path: str, round_digits: int | None = None) -> dict[str, DataFrame]:
-    return tables(read_rows(spark, path, round_digits))
+    """The tables of the files at a path or pattern, decoded once; elem_id is fixed by the staged rows."""
+    return tables(staged(read_rows(spark, path, round_digits).withColumn("elem_id", F.monotonically_increasing_id()), "gds"))
 
 
 def _element(r: dict) -> dict:
@@ -114,9 +117,29 @@ def _encoded(df: DataFrame, kind: str, scale: float) -> DataFrame:
     return df.select("cell_name", F.col("elem_seq").cast("long").alias("elem_seq"), *rest).mapInArrow(encode, "cell_name string, ord int, elem_seq long, blob binary")
 
 
+def unnested(refs: DataFrame) -> DataFrame:
+    """References in which those to references have become copies of these, grid by grid, however deep."""
+    known = refs.select(F.col("elem_id").alias("target_elem_id"), "target_kind", "target_cell", F.col("target_elem_id").alias("next"), F.col("grid").alias("inner"))
+    todo, out, seen = refs.where("target_kind = 'reference'"), refs.where("target_kind <> 'reference'"), 0
+    left, most = todo.count(), refs.count()
+    while left:
+        if seen > most:
+            raise ValueError("reference refers to itself")
+        rest = [c for c in refs.columns if c not in ("target_kind", "target_cell", "target_elem_id", "grid")]
+        copies = hierarchy.expand(todo.drop("target_kind", "target_cell").join(known, "target_elem_id"))
+        c, g = F.col, F.col("inner")
+        placed = G.move_by(G.scale(G.rotate(G._with(g, x_reflection=g["x_reflection"] != c("grid.x_reflection")), c("grid.angle")), c("grid.magnification")), P.point(c("gtx"), c("gty")))
+        todo = staged(copies.select(*rest, "target_kind", "target_cell", c("next").alias("target_elem_id"), placed.alias("grid")).select(*refs.columns))
+        out, todo = out.unionByName(todo.where("target_kind <> 'reference'")), todo.where("target_kind = 'reference'")
+        left, seen = todo.count(), seen + 1
+    return out
+
+
 def materialised(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables in which references to elements have become their copies; elements without a cell only serve as targets."""
     out, refs = dict(t), t["references"]
+    if "elem_id" in refs.columns:
+        refs = unnested(refs).where("cell_name is not null")
     for name, kind in (("polygons", "polygon"), ("paths", "path"), ("texts", "text")):
         if name not in t:
             continue
@@ -129,32 +152,46 @@ def materialised(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def _pieces(batches):
+    """The blobs of each task's rows, in order, as pieces of about PIECE bytes."""
+    held, size = [], 0
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            held.append(x)
+            size += len(x)
+            if size >= PIECE:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["piece"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["piece"])
+
+
 def write(t: dict[str, DataFrame], path: str, name: str = "Library", units: float = K.UNIT, precision: float = K.PRECISION) -> str:
     """Write tables cells (cell_name, cell_seq), polygons, paths, texts, references to one file; the path comes back."""
     t = materialised(t)
     scale = units / precision
     cells = t["cells"].groupBy("cell_name").agg(F.min("cell_seq").alias("cell_seq"))
     parts = [_encoded(t[n], k, scale) for n, k in (("paths", "path"), ("polygons", "polygon"), ("texts", "text"), ("references", "reference")) if n in t]
-    empty = cells.select("cell_name", F.lit(-1).alias("ord"), F.lit(0).cast("long").alias("elem_seq"), F.lit(b"").alias("blob"))
-    rows = reduce(DataFrame.unionByName, parts, empty).join(cells, "cell_name").orderBy("cell_seq", "cell_name", "ord", "elem_seq")
+
+    def framed(batches):
+        """Each cell's beginning and end, which go before and after its elements."""
+        for b in batches:
+            names, n = b.column(0), b.num_rows
+            heads = [K.encode_cell(x, [])[: -len(K.TAIL)] for x in names.to_pylist()]
+            for order, blobs in ((-1, heads), (99, [K._ints(K.ENDSTR, kind=K.NODATA)] * n)):
+                yield pa.RecordBatch.from_arrays([names, pa.array([order] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([bytes(x) for x in blobs], pa.binary())], ["cell_name", "ord", "elem_seq", "blob"])
+
+    frames = cells.select("cell_name").mapInArrow(framed, "cell_name string, ord int, elem_seq long, blob binary")
+    rows = reduce(DataFrame.unionByName, parts, frames).join(cells, "cell_name").orderBy("cell_seq", "cell_name", "ord", "elem_seq")
+    pieces = staged(rows.select("blob").mapInArrow(_pieces, "piece binary").select(F.monotonically_increasing_id().alias("n"), "piece"), "pieces")
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
     try:
         out.write(bytearray(K.head(name, units, precision)))
-        now = None
-        for r in rows.select("cell_name", "blob").toLocalIterator(prefetchPartitions=True):
-            if r.cell_name != now:
-                if now is not None:
-                    out.write(bytearray(K._ints(K.ENDSTR, kind=K.NODATA)))
-                cell = K.encode_cell(r.cell_name, [])
-                out.write(bytearray(cell[: -len(K.TAIL)]))  # without its end
-                now = r.cell_name
-            if r.blob:
-                out.write(bytearray(r.blob))
-        if now is not None:
-            out.write(bytearray(K._ints(K.ENDSTR, kind=K.NODATA)))
+        for r in pieces.orderBy("n").select("piece").toLocalIterator():
+            out.write(bytearray(r.piece))
         out.write(bytearray(K.TAIL))
     finally:
         out.close()
@@ -164,7 +201,7 @@ def write(t: dict[str, DataFrame], path: str, name: str = "Library", units: floa
 def write_cell(t: dict[str, DataFrame], cell_name: str, path: str, units: float = K.UNIT, precision: float = K.PRECISION) -> str:
     """Write one cell and all cells under it."""
     reach = hierarchy.reachable(t["references"], t["cells"]).where(F.col("cell_name") == cell_name).select(F.col("below").alias("cell_name"))
-    keep = lambda d: d.where("cell_name is null").unionByName(d.join(reach, "cell_name", "left_semi").select(*d.columns))
+    keep = lambda d: d.where("cell_name is null").unionByName(d.join(reach, "cell_name", "left_semi").select(*d.columns))  # noqa: E731  # targets stay
     own = {k: keep(v) if k != "cells" else v.join(reach, "cell_name", "left_semi") for k, v in t.items()}
     first = F.when(F.col("cell_name") == cell_name, -1).otherwise(F.col("cell_seq")).cast("long")
     return write(own | {"cells": own["cells"].withColumn("cell_seq", first)}, path, "library", units, precision)

@@ -13,6 +13,7 @@ from planarlake.functions import ring as R
 from planarlake.functions import text as X
 
 SQUARE = [(0, 0), (0, 2), (2, 2), (2, 0), (0, 0)]
+HOUSE = [(0, 0), (4, 0), (5, 2), (2, 4), (-1, 3)]
 
 
 @pytest.fixture()
@@ -56,15 +57,34 @@ def test_points(value):
         value(P.divide(p, 0))
 
 
+def test_numbers_as_text(value):
+    shown = {0.0005: "0.0005", 12345678.5: "12345678.5", 1e21: "1000000000000000000000", 1.5e-7: "0.00000015", -2.25: "-2.25", 100.0: "100", 1e7: "10000000", 0.0: "0", 0.1: "0.1", 123456.789: "123456.789", float("inf"): "inf", float("-inf"): "-inf", 1e-3: "0.001", -1e16: "-10000000000000000"}
+    for v, text in shown.items():
+        assert value(P.number_text(F.lit(v))) == text
+    assert value(P.number_text(F.lit(-0.0))) == "-0" and value(P.number_text(F.lit(float("nan")))) == "NaN" and value(P.number_text(F.lit(None).cast("double"))) is None
+    debug = {1.0: "1.0", 0.5: "0.5", 1e16: "1e16", 1.5e-7: "1.5e-7", -3.0: "-3.0", 1e15: "1000000000000000.0", 0.0: "0.0"}
+    for v, text in debug.items():
+        assert value(P.debug_number(F.lit(v))) == text
+
+
+def test_reprs(value):
+    ends = lambda *p: value(H.to_repr(R.as_points(p), F.lit(1), F.lit(2), F.lit(None).cast("int"), F.lit(None).cast("double")))
+    assert ends((0, 0), (1, 2.5)) == "Path([(0, 0), (1, 2.5)], 1, 2, Square Ends, 0)"
+    assert ends((0, 0), (1, 1), (7, 8)) == "Path([(0, 0), ..., (7, 8)], 1, 2, Square Ends, 0)"
+    t = {"text": F.lit("a b"), "origin": P.point(1, 2), "layer": F.lit(3), "magnification": F.lit(2.0), "angle": F.lit(0.5), "x_reflection": F.lit(False), "vertical_presentation": F.lit(0), "horizontal_presentation": F.lit(2)}
+    assert value(X.to_repr(t)) == "Text(a b, (1, 2), 3, 2, 0.5, false, Top, Right)"
+    assert value(G.to_repr(G.grid((0, 0.5), 2, 3))) == "Grid((0, 0.5), 2, 3, (0, 0), (0, 0), 1.0, 0.0, false)"
+
+
 def test_rings(value):
     ring = lambda *v: R.as_points(v)
     assert len(value(R.closed(ring((0, 0), (1, 0), (1, 1), (0, 1))))) == 5
-    assert value(R.area(ring((0, 0), (3, 0), (2, 1), (1, 3), (-1, 2)))) == 6.5
-    assert value(R.area(ring((0, 0), (1, 0), (1, 1), (1, 0)))) == 0
-    assert abs(value(R.length(R.closed(ring((0, 0), (2, 1), (1, 2), (0, 1))))) - (2 * math.sqrt(2) + math.sqrt(5) + 1)) < 1e-12
-    assert value(R.length(R.closed(ring((0, 0), (1, 1))))) == 2 * math.sqrt(2)
-    b = {k: value(v) for k, v in R.bounds(ring((0, 0), (1, 1), (2, 0), (1.5, -1), (0.5, -1))).items()}
-    assert (b["min_x"], b["min_y"], b["max_x"], b["max_y"]) == (0, -1, 2, 1)
+    assert value(R.area(ring(*HOUSE))) == 17
+    assert value(R.area(ring((0, 0), (2, 1), (4, 2), (2, 1)))) == 0
+    assert value(R.length(R.closed(ring((0, 0), (3, 4), (3, 8), (0, 4))))) == 18
+    assert abs(value(R.length(R.closed(ring((1, 2), (4, 3))))) - 2 * math.sqrt(10)) < 1e-12
+    b = {k: value(v) for k, v in R.bounds(ring((0, 0), (2, 3), (5, 1), (4, -2), (1, -1))).items()}
+    assert (b["min_x"], b["min_y"], b["max_x"], b["max_y"]) == (0, -2, 5, 3)
     sq = ring(*SQUARE)
     assert value(R.contains(sq, P.point(1, 1))) and value(R.contains(sq, P.point(2, 0))) and not value(R.contains(sq, P.point(3, 3)))
     assert value(R.on_edge(sq, P.point(1, 2))) and not value(R.on_edge(sq, P.point(1, 1)))
@@ -89,9 +109,9 @@ def test_rings(value):
 
 
 def test_invariants(value):
-    ring = R.as_points([(0, 0), (3, 0), (2, 1), (1, 3), (-1, 2), (0, 0)])
-    assert abs(value(R.area(R.rotate(ring, 33, (1, 2)))) - 6.5) < 1e-9
-    assert abs(value(R.area(R.scale(ring, 3))) - 6.5 * 9) < 1e-9
+    ring = R.as_points([*HOUSE, HOUSE[0]])
+    assert abs(value(R.area(R.rotate(ring, 33, (1, 2)))) - 17) < 1e-9
+    assert abs(value(R.area(R.scale(ring, 3))) - 17 * 9) < 1e-9
     assert near(pts(value(R.rotate(ring, 360))), pts(value(ring)))
     assert near(pts(value(R.reflect(R.reflect(ring, 20, (1, 1)), 20, (1, 1)))), pts(value(ring)))
 

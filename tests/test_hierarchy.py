@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from planarlake.functions import grid as G
@@ -131,8 +130,78 @@ def test_cycles_fail(spark):
     for i, (n, to) in enumerate((("top", "a"), ("a", "top"))):
         cells[n].append({"kind": "reference", "id": i, "target": to, "grid": g})
     refs = tables(spark, cells)[0]
-    with pytest.raises(PySparkException, match="refers to itself"):
+    with pytest.raises(ValueError, match="refers to itself"):
         hierarchy.placements(spark.createDataFrame([("top",)], "root string"), refs).collect()
+    with pytest.raises(ValueError, match="refers to itself"):
+        hierarchy.reachable(refs, spark.createDataFrame([("top",)], "cell_name string"))
+
+
+GRID = {"origin": (1, 0), "columns": 1, "rows": 1, "spacing_x": (0, 0), "spacing_y": (0, 0), "magnification": 1.0, "angle": 0.0, "x_reflection": False}
+
+
+def test_long_chains_and_shared_cells(spark):
+    deep = {f"c{i}": [{"kind": "reference", "id": i, "target": f"c{i + 1}", "grid": GRID}] for i in range(100)} | {"c100": []}
+    refs = tables(spark, deep)[0]
+    names = spark.createDataFrame([(n,) for n in deep], "cell_name string")
+    assert hierarchy.reachable(refs, names).groupBy("cell_name").count().where("cell_name in ('c0', 'c50')").orderBy("cell_name").collect() == [("c0", 101), ("c50", 51)]
+    placed = hierarchy.placements(spark.createDataFrame([("c0",)], "root string"), refs).select("cell_name", "depth", "tx").collect()
+    assert len(placed) == 101 and {(r.cell_name, r.tx) for r in placed} == {(f"c{i}", float(i)) for i in range(101)}
+    # A depth beyond the deepest cell adds nothing.
+    assert hierarchy.placements(spark.createDataFrame([("c95",)], "root string"), refs, 1000).count() == 6
+    shared = {}
+    for i in range(30):
+        shared[f"t{i}"] = [{"kind": "reference", "id": 10 * i + k, "target": f"{side}{i}", "grid": GRID} for k, side in enumerate("lr")]
+        for k, side in enumerate("lr"):
+            shared[f"{side}{i}"] = [{"kind": "reference", "id": 10 * i + 5 + k, "target": f"t{i + 1}", "grid": GRID}]
+    reach = hierarchy.reachable(tables(spark, shared)[0], spark.createDataFrame([("t0",), ("t29",)], "cell_name string"))
+    assert sorted(reach.groupBy("cell_name").count().collect()) == [("t0", 91), ("t29", 4)]
+
+
+def test_references_to_references(spark):
+    """top has A, whose target is B, whose target is C (both of no cell), which places the cell low."""
+    rnd = random.Random(8)
+    grids = [GRID | {"origin": (rnd.randint(-9, 9), rnd.randint(-9, 9)), "columns": 2, "spacing_x": (rnd.randint(1, 5), 1), "angle": a, "magnification": m, "x_reflection": x} for a, m, x in ((90.0, 2.0, True), (45.0, 1.0, False), (270.0, 3.0, True))]
+    low = [{"kind": "polygon", "id": 1, "layer": 1, "data_type": 0, "points": [(0, 0), (2, 0), (1, 3)]}, {"kind": "text", "id": 2, "layer": 1, "origin": (1, 1), "angle": 30.0, "magnification": 1.0}]
+    refs, *rest = tables(spark, {"low": low, "top": [{"kind": "reference", "id": i, "target": "low", "grid": g} for i, g in zip((10, 11, 12), grids)]})
+    nested = refs.withColumn("cell_name", F.when(F.col("elem_id") == 10, "top")).withColumn("target_elem_id", F.when(F.col("elem_id") < 12, F.col("elem_id") + 1))
+    nested = nested.withColumn("target_kind", F.when(F.col("elem_id") < 12, "reference").otherwise("cell")).withColumn("target_cell", F.when(F.col("elem_id") == 12, "low"))
+    root = spark.createDataFrame([("top",)], "root string")
+    want = low
+    for g in reversed(grids):
+        want = [c for e in want for c in copies(e, g)]
+    got = hierarchy.flatten(root, nested, *rest)
+    points = lambda es: sorted([(r5(x), r5(y)) for x, y in e] for e in es)
+    assert points([(p.x, p.y) for p in r.points] for r in got["polygons"].collect()) == points(e["points"] for e in want if e["kind"] == "polygon")
+    texts = lambda es: sorted((r5(x), r5(y), r5(a % 360), m) for x, y, a, m in es)
+    assert texts((r.origin.x, r.origin.y, r.angle, r.magnification) for r in got["texts"].collect()) == texts((*e["origin"], e["angle"], e["magnification"]) for e in want if e["kind"] == "text")
+    assert hierarchy.flatten(root, nested, *rest, pairs=[(9, 9)])["polygons"].count() == 0
+    # Depth 1 leaves B's copies under A, with B's target; depth 0 leaves A.
+    one = hierarchy.flatten(root, nested, *rest, depth=1)["references"].collect()
+    mid = list(copies({"kind": "reference", "grid": grids[1]}, grids[0]))
+    assert {(r.target_kind, r.target_elem_id, r.target_cell) for r in one} == {("reference", 12, None)}
+    assert sorted((r5(r.grid.origin.x), r5(r.grid.origin.y), r5(r.grid.angle), r.grid.x_reflection) for r in one) == sorted((r5(e["grid"]["origin"][0]), r5(e["grid"]["origin"][1]), r5(e["grid"]["angle"]), e["grid"]["x_reflection"]) for e in mid)
+    zero = hierarchy.flatten(root, nested, *rest, depth=0)["references"].collect()
+    assert [(r.elem_id, r.target_kind, r.target_elem_id) for r in zero] == [(10, "reference", 11)]
+    names = spark.createDataFrame([("top",), ("low",)], "cell_name string")
+    assert sorted(tuple(r) for r in hierarchy.reachable(nested, names).collect()) == [("low", "low"), ("top", "low"), ("top", "top")]
+
+
+def test_references_to_references_are_written_as_copies(spark, tmp_path):
+    from planarlake.sources import gds
+
+    a, b = GRID | {"columns": 2, "spacing_x": (10, 0), "angle": 90.0}, GRID | {"origin": (3, 4), "magnification": 2.0}
+    low = [{"kind": "polygon", "id": 1, "layer": 1, "data_type": 0, "points": [(0, 0), (2, 0), (1, 3), (0, 0)]}]
+    refs, polygons, paths, texts = tables(spark, {"low": low, "top": [{"kind": "reference", "id": 10, "target": "low", "grid": a}, {"kind": "reference", "id": 11, "target": "low", "grid": b}]})
+    nested = refs.withColumn("cell_name", F.when(F.col("elem_id") == 10, "top")).withColumn("target_elem_id", F.when(F.col("elem_id") == 10, F.lit(11).cast("long")))
+    nested = nested.withColumn("target_kind", F.when(F.col("elem_id") == 10, "reference").otherwise("cell")).withColumn("target_cell", F.when(F.col("elem_id") == 11, "low"))
+    cells = spark.createDataFrame([("top", 0), ("low", 1)], "cell_name string, cell_seq long")
+    seq = lambda d: d.withColumn("elem_seq", F.col("elem_id"))
+    t = {"cells": cells, "polygons": seq(polygons), "references": seq(nested)}
+    for path in (gds.write(t, f"file://{tmp_path}/n.gds"), gds.write_cell(t, "top", f"file://{tmp_path}/m.gds")):
+        back = gds.read(spark, path)
+        got = sorted((r.cell_name, r.target_cell, r5(r.grid.origin.x), r5(r.grid.origin.y), r.grid.magnification, r.grid.angle) for r in back["references"].collect())
+        want = sorted(("top", "low", r5(e["grid"]["origin"][0]), r5(e["grid"]["origin"][1]), 2.0, 90.0) for e in copies({"kind": "reference", "grid": b}, a))
+        assert got == want and back["polygons"].count() == 1 and back["cells"].count() == 2
 
 
 def test_cell_and_element_references_agree(spark):
@@ -181,7 +250,8 @@ def test_catalog(spark):
     assert catalog.contains_elements(mine, near, keys).count() == 1 and catalog.contains_elements(mine, far, keys).count() == 0
     assert [r.elem_id for r in catalog.remove_elements(mine, near, keys).collect()] == [2]
     assert filters.is_on(mine, [(1, 0)]).count() == 1 and filters.is_on(mine, []).count() == 2
-    assert catalog.library_difference(mine, mine, ["layer", "points"]).count() == 0
+    assert catalog.unequal_elements(mine, mine, "polygons").count() == 0
+    assert [tuple(r) for r in catalog.unequal_elements(mine, near, "polygons").collect()] == [("a", 2)]
 
 
 def test_large_arrays_are_dealt_out(spark, monkeypatch):

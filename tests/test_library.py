@@ -47,6 +47,45 @@ def test_library(spark, tmp_path):
     assert back.cells.count() == 3 and back.flatten().polygons.where("cell_name = 'top'").count() == 25
 
 
+def test_equality_and_membership(spark):
+    from dataclasses import replace
+
+    lib = make(spark)
+    shift = lambda v, **k: replace(lib, polygons=lib.polygons.withColumn("points", L.R.move_by(L.c("points"), (v, 0))), **k)
+    assert lib.equals(shift(0.00005)) and not lib.equals(shift(0.001)) and not lib.equals(shift(0.0, name="other"))
+    assert sorted(r.cell_name for r in lib.contains(shift(0.001)).collect()) == ["none", "top"]
+    assert sorted(r.cell_name for r in lib.contains(replace(lib, texts=lib.texts.limit(0), references=lib.references.withColumn("grid", G.move_by(L.c("grid"), (1, 0))))).collect()) == ["none"]
+    # Places count, not the numbers that order them.
+    assert lib.equals(replace(lib, paths=lib.paths.withColumn("elem_seq", L.c("elem_seq") + 70)))
+    assert lib.named(spark.createDataFrame([("low",), ("zz",)], "cell_name string")).count() == 1
+    near = (0.00004, -0.00004)
+    close = {
+        "polygons": lib.polygons.withColumn("points", L.R.move_by(L.c("points"), near)), "paths": lib.paths.withColumn("points", L.R.move_by(L.c("points"), near)),
+        "texts": lib.texts.withColumn("origin", L.P.add(L.c("origin"), L.P.point(*near))), "references": lib.references.withColumn("grid", G.move_by(L.c("grid"), near)),
+    }
+    assert all(v.count() == 1 for v in lib.contains_elements(**close).values())
+    gone = lib.remove_elements(**close)
+    assert all(getattr(gone, k).count() == 0 for k in L.TABLES)
+    other = {"texts": close["texts"].withColumn("layer", lit(9)), "paths": close["paths"].withColumn("width", lit(0.75)), "references": close["references"].withColumn("target_cell", lit("none")), "polygons": close["polygons"].withColumn("cell_name", lit("top"))}
+    assert all(v.count() == 0 for v in lib.contains_elements(**other).values())
+
+
+def test_shown(spark):
+    shown = {k: v.collect() for k, v in make(spark).shown().items()}
+    grid = "Grid at (10, 0) with 5 columns and 5 rows, spacing ((2, 0), (0, 2)), magnification 1.0, angle 0.0, x_reflection false"
+    r = shown["references"][0]
+    assert r.text == f"Reference of Cell: low with 1 polygons, 0 paths, 0 references, and 1 texts with {grid}" and r.repr == "Reference(Cell(low))"
+    assert shown["polygons"][0].repr == "Polygon([(0, 0), ..., (0, 0)], 3, 1)" and shown["paths"][0].repr == "Path([(0, 0), (0, 1)], 1, 0, Round Ends, 0.5)"
+    assert {x.repr for x in shown["cells"]} == {"Cell(top)", "Cell(low)", "Cell(none)"}
+    one = make(spark)
+    own = lambda kind, i, j: one.references.withColumn("target_kind", lit(kind)).withColumn("target_cell", lit(None).cast("string")).withColumn("target_elem_id", lit(i).cast("long")).withColumn("elem_id", lit(j).cast("long"))
+    more = one.add_elements(references=own("polygon", 1, 20).unionByName(own("reference", 20, 21)).unionByName(own("reference", 21, 22)))
+    text = {x.elem_id: (x.text, x.repr) for x in more.shown()["references"].collect()}
+    poly = "Polygon with 5 point(s), starting at (0, 0) on layer 3, data type 1"
+    assert text[20] == (f"Reference of {poly} with {grid}", "Reference(Polygon([(0, 0), ..., (0, 0)], 3, 1))")
+    assert text[22] == (f"Reference of Reference of Reference of {poly} with {grid} with {grid} with {grid}", "Reference(Reference(Reference(Polygon([(0, 0), ..., (0, 0)], 3, 1))))")
+
+
 def test_checks(spark):
     with pytest.raises(ValueError):
         L.path([(0, 0), (1, 1)], path_type=9)
