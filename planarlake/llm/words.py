@@ -49,8 +49,8 @@ class Words:
         self.space[[9, 10, 11, 12, 13, 32]] = True
         self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, and each text's number of words."""
+    def cut(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and each text's number of words."""
         space = self.space[data]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = space[:-1]
@@ -59,7 +59,10 @@ class Words:
         edge[:-1] = space
         edge[offs] = True
         end = np.flatnonzero(edge[1:] & ~space) + 1
-        count = np.diff(np.searchsorted(start, offs))
+        return start, end, np.diff(np.searchsorted(start, offs))
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words at these places, which are in order."""
         out, at = np.zeros(len(start), np.uint64), 0
         while at < len(start):  # words within so many bytes, or one
             to = max(at + 1, int(np.searchsorted(end, start[at] + TOGETHER, "right")))
@@ -70,7 +73,24 @@ class Words:
             np.cumsum(self.value[data[a:b]] * self.powers[: b - a], out=total[1:])
             out[at:to] = (total[end[at:to] - a] - total[start[at:to] - a]) * self.inverse[start[at:to] - a]
             at = to
-        return mixed(out), count
+        return mixed(out)
+
+    def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and each text's number of words."""
+        start, end, count = self.cut(data, offs)
+        return self.hashes(data, start, end), count
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The words at these places as binary values, A-Z as a-z."""
+    offs = np.concatenate(([0], np.cumsum(end - start)))
+    at = np.repeat(start - offs[:-1], end - start) + np.arange(offs[-1])
+    body = LOWER[data[at]]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
 
 
 def _bit(keys: np.ndarray, size: int) -> np.ndarray:
