@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,24 +40,41 @@ ARROW = pa.schema(
 BATCH, PIECE = 4096, 8 << 20
 
 
-def _row(path: str, e: dict) -> dict:
-    xy = lambda p: None if p is None else {"x": p[0], "y": p[1]}
-    out = {f.name: e.get(f.name) for f in ARROW} | {"path": path, "vertical_presentation": e.get("vertical"), "horizontal_presentation": e.get("horizontal")}
-    for k in ("origin", "spacing_x", "spacing_y"):
-        out[k] = xy(e.get(k))
-    out["points"] = [xy(p) for p in e["points"]] if e["kind"] in ("polygon", "path") else None
-    return out
+def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
+    """Rows of decode_raw as one Arrow batch, column by column; all points are worked out at once."""
+    pair = lambda k: pa.array([None if (p := e.get(k)) is None else {"x": p[0], "y": p[1]} for e in rows], _XY)
+    names = {"vertical_presentation": "vertical", "horizontal_presentation": "horizontal"}
+    columns = []
+    for f in ARROW:
+        if f.name == "path":
+            columns.append(pa.repeat(pa.scalar(path, pa.string()), len(rows)))
+        elif f.name == "points":
+            raw = [e.get("xy") for e in rows]
+            first = next((e for e in rows if "xy" in e), None)
+            x, y = K.coordinates(b"".join(r for r in raw if r), first["unit"], first["digits"]) if first else (pa.array([], pa.float64()),) * 2
+            size = np.array([len(r) // 8 if r else 0 for r in raw], np.int32)
+            offs = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32), mask=np.array([r is None for r in raw] + [False]))
+            points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            columns.append(pa.ListArray.from_arrays(offs, points).cast(f.type))
+        elif f.type == _XY:
+            columns.append(pair(f.name))
+        else:
+            k = names.get(f.name, f.name)
+            columns.append(pa.array([e.get(k) for e in rows], f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
 def _batches(path: str, data: bytes, digits: int | None):
-    rows = []
-    for e in K.decode(data, digits):
-        rows.append(_row(path, e))
-        if len(rows) == BATCH:
-            yield pa.RecordBatch.from_pylist(rows, ARROW)
+    rows, unit = [], None
+    for e in K.decode_raw(data, digits):
+        now = (e["unit"], e["digits"]) if "xy" in e else unit
+        if len(rows) == BATCH or rows and unit is not None and now != unit:  # units may change within a file
+            yield _batch(path, rows)
             rows = []
+        rows.append(e)
+        unit = now
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, ARROW)
+        yield _batch(path, rows)
 
 
 def read_rows(spark: SparkSession, path: str, round_digits: int | None = None) -> DataFrame:
@@ -93,25 +111,33 @@ def read(spark: SparkSession, path: str, round_digits: int | None = None) -> dic
     return tables(staged(read_rows(spark, path, round_digits).withColumn("elem_id", F.monotonically_increasing_id()), "gds"))
 
 
-def _element(r: dict) -> dict:
+def _elements(b: pa.RecordBatch, kind: str, scale: float) -> list[dict]:
+    """The rows of a table of a kind as the codec takes them, points as the file has them."""
     xy = lambda p: (p["x"], p["y"])
-    e = dict(r)
-    if r["kind"] in ("polygon", "path"):
-        e["points"] = [xy(p) for p in r["points"]]
-    elif r["kind"] == "text":
-        e |= {"origin": xy(r["origin"]), "vertical": r["vertical_presentation"], "horizontal": r["horizontal_presentation"]}
-    else:
-        g = r["grid"]
-        e |= {k: g[k] for k in ("columns", "rows", "magnification", "angle", "x_reflection")} | {k: xy(g[k]) for k in ("origin", "spacing_x", "spacing_y")}
-    return e
+    if kind in ("polygon", "path"):
+        points = b.column(b.schema.get_field_index("points"))
+        offs = points.offsets.to_numpy()
+        flat = points.values.slice(offs[0], offs[-1] - offs[0])
+        raw = K.raw_points(*(flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)), scale)
+        offs = (8 * (offs - offs[0])).tolist()
+        rest = b.select([n for n in b.schema.names if n != "points"]).to_pylist()
+        return [r | {"kind": kind, "points": raw[i:j]} for r, i, j in zip(rest, offs, offs[1:])]
+    out = []
+    for r in b.to_pylist():
+        if kind == "text":
+            r |= {"kind": kind, "origin": xy(r["origin"]), "vertical": r["vertical_presentation"], "horizontal": r["horizontal_presentation"]}
+        else:
+            g = r["grid"]
+            r |= {"kind": kind} | {k: g[k] for k in ("columns", "rows", "magnification", "angle", "x_reflection")} | {k: xy(g[k]) for k in ("origin", "spacing_x", "spacing_y")}
+        out.append(r)
+    return out
 
 
 def _encoded(df: DataFrame, kind: str, scale: float) -> DataFrame:
     def encode(batches):
         for b in batches:
-            rows = b.to_pylist()
-            blobs = [K.encode_element(_element(r | {"kind": kind}), scale) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([K.ORDER[kind]] * len(rows), pa.int32()), b.column(1), pa.array(blobs, pa.binary())], ["cell_name", "ord", "elem_seq", "blob"])
+            blobs = [K.encode_element(e, scale) for e in _elements(b, kind, scale)] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([K.ORDER[kind]] * len(blobs), pa.int32()), b.column(1), pa.array(blobs, pa.binary())], ["cell_name", "ord", "elem_seq", "blob"])
 
     rest = [c for c in df.columns if c not in ("cell_name", "elem_seq")]
     return df.select("cell_name", F.col("elem_seq").cast("long").alias("elem_seq"), *rest).mapInArrow(encode, "cell_name string, ord int, elem_seq long, blob binary")
@@ -249,13 +275,11 @@ def roundtrip(df: DataFrame, kind: str, round_digits: int | None = None) -> Data
 
     def there_and_back(batches):
         for b in batches:
-            rows = b.to_pylist()
-            if not rows:
+            if not b.num_rows:
                 continue
-            data = K.head("Library") + K.encode_cell("cell", [_element(r | {"kind": kind, "elem_seq": i}) for i, r in enumerate(rows)]) + K.TAIL
-            back = [e for e in K.decode(data, round_digits) if e["kind"] == kind]
-            out = [_row("", e) for e in back]
-            batch = pa.RecordBatch.from_pylist(out, ARROW)
+            own = [e | {"elem_seq": i} for i, e in enumerate(_elements(b, kind, K.UNIT / K.PRECISION))]
+            data = K.head("Library") + K.encode_cell("cell", own) + K.TAIL
+            batch = _batch("", [e for e in K.decode_raw(data, round_digits) if e["kind"] == kind])
             yield pa.RecordBatch.from_arrays([b.column(0), *batch.columns], ["elem_id", *batch.schema.names])
 
     rest = [c for c in df.columns if c != "elem_id"]

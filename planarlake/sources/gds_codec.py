@@ -7,6 +7,8 @@ import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+
 # Fixed values of the format: record numbers and data types.
 HEADER, BGNLIB, LIBNAME, UNITS, ENDLIB, BGNSTR, STRNAME, ENDSTR = 0x00, 0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07
 BOUNDARY, PATH, SREF, AREF, TEXT, LAYER, DATATYPE, WIDTH, XY, ENDEL = 0x08, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x0E, 0x0F, 0x10, 0x11
@@ -41,6 +43,13 @@ def half_away(v: float, digits: int = 0) -> float:
     return math.copysign(math.floor(abs(x) + 0.5) if abs(x) < 2**52 else abs(x), x) / f
 
 
+def halves_away(v: np.ndarray, digits: int = 0) -> np.ndarray:
+    """half_away of many numbers."""
+    f = 10.0**digits
+    x = v * f
+    return np.where(np.abs(x) < 2**52, np.copysign(np.floor(np.abs(x) + 0.5), x), x) / f
+
+
 def digits_of(user: float, database: float) -> int:
     """Decimals that coordinates are rounded to when read."""
     return max(0, math.trunc(-math.log10(database / user)) - 1)
@@ -57,7 +66,9 @@ def records(data: bytes) -> Iterator[tuple[int, object]]:
             raise OSError(f"Record at byte {at} is cut off")
         body = data[at + 4 : at + size]
         at += size
-        if kind in (BITS, INT2):
+        if record == XY:
+            yield record, body
+        elif kind in (BITS, INT2):
             yield record, struct.unpack(f">{len(body) // 2}h", body[: len(body) // 2 * 2])
         elif kind in (INT4, REAL4):
             yield record, struct.unpack(f">{len(body) // 4}i", body[: len(body) // 4 * 4])
@@ -79,8 +90,24 @@ def rotated(p, degrees: float, centre):
 ELEMENTS = {BOUNDARY: "polygon", BOX: "polygon", PATH: "path", RAITHPATH: "path", SREF: "reference", AREF: "reference", TEXT: "text"}
 
 
+def coordinates(raw: bytes, unit: float, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of any number of points as the file has them, one after another."""
+    v = halves_away(np.frombuffer(raw, ">i4", len(raw) // 8 * 2) * unit, digits)
+    return v[::2], v[1::2]
+
+
 def decode(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
-    """Rows of one file, in order: kind library, cell, polygon, path, text or reference.
+    """decode_raw with points as lists."""
+    for e in decode_raw(data, round_digits):
+        if "xy" in e:
+            x, y = coordinates(e.pop("xy"), e.pop("unit"), e.pop("digits"))
+            e["points"] = list(zip(x.tolist(), y.tolist()))
+        yield e
+
+
+def decode_raw(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
+    """Rows of one file, in order: kind library, cell, polygon, path, text or reference. Points of polygons and paths stay
+    as the file has them (xy, with unit and digits), to be worked out many at a time by coordinates.
 
     Attributes of kinds of element that lack them, and unknown attributes, are passed over. Of cells with one name the
     last counts; that is for the reader of the rows, which have cell_seq.
@@ -104,7 +131,9 @@ def decode(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
             return
         elif record in ELEMENTS:
             kind = ELEMENTS[record]
-            e = {"kind": kind, "lib_id": lib, "cell_name": cell, "cell_seq": cell_seq, "elem_seq": seq, "layer": 0, "data_type": 0, "points": []}
+            e = {"kind": kind, "lib_id": lib, "cell_name": cell, "cell_seq": cell_seq, "elem_seq": seq, "layer": 0, "data_type": 0}
+            if kind in ("polygon", "path"):
+                e |= {"xy": b"", "unit": unit, "digits": digits or 0}
             if kind == "text":
                 e |= {"text": "", "origin": (0.0, 0.0), "vertical": 1, "horizontal": 1}
             if kind in ("text", "reference"):
@@ -129,10 +158,12 @@ def decode(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
             e["path_type"] = v[0]
         elif record == XY:
             d = digits or 0
-            pts = [(half_away(x * unit, d), half_away(y * unit, d)) for x, y in zip(v[::2], v[1::2])]
             if e["kind"] in ("polygon", "path"):
-                e["points"] = pts
-            elif pts and (e["kind"] == "text" or len(pts) == 1):
+                e["xy"] = v[: len(v) // 8 * 8]
+                continue
+            v = struct.unpack(f">{len(v) // 4}i", v[: len(v) // 4 * 4])
+            pts = [(half_away(x * unit, d), half_away(y * unit, d)) for x, y in zip(v[::2], v[1::2])]
+            if pts and (e["kind"] == "text" or len(pts) == 1):
                 e["origin"] = pts[0]
             elif len(pts) == 3:
                 o, a, b = (rotated(p, -e["angle"], pts[0]) for p in pts)
@@ -179,7 +210,20 @@ def _clamped(v: float, low: int = -(2**31), high: int = 2**31 - 1) -> int:
     return 0 if math.isnan(v) else int(min(high, max(low, half_away(v))))
 
 
+def raw_points(x: np.ndarray, y: np.ndarray, scale: float) -> bytes:
+    """Points as the file has them, eight bytes each."""
+    v = np.empty(2 * len(x))
+    v[::2], v[1::2] = x * scale, y * scale
+    v = np.nan_to_num(halves_away(v), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    return np.clip(v, -(2**31), 2**31 - 1).astype(">i4").tobytes()
+
+
 def _xy(points, scale: float) -> bytes:
+    """The XY record of points, or of raw_points."""
+    if isinstance(points, bytes):
+        if len(points) > 8 * MAX_POINTS:
+            raise ValueError(f"An element has at most {MAX_POINTS} points")
+        return struct.pack(">HBB", 4 + len(points), XY, INT4) + points
     if len(points) > MAX_POINTS:
         raise ValueError(f"An element has at most {MAX_POINTS} points")
     v = [_clamped(x * scale) for p in points for x in p]
@@ -206,7 +250,7 @@ def encode_element(e: dict, scale: float) -> bytes:
     if kind == "polygon":
         body = _ints(BOUNDARY, kind=NODATA) + _ints(LAYER, e["layer"]) + _ints(DATATYPE, e["data_type"]) + _xy(e["points"], scale)
     elif kind == "path":
-        if len(e["points"]) < 2:
+        if len(e["points"]) < (16 if isinstance(e["points"], bytes) else 2):
             raise ValueError("Path must have at least 2 points")
         body = _ints(PATH, kind=NODATA) + _ints(LAYER, e["layer"]) + _ints(DATATYPE, e["data_type"])
         if e.get("path_type") is not None:
