@@ -37,6 +37,11 @@ def item(p: Column, i: int) -> Column:
     return p["x"] if i == 0 else p["y"]
 
 
+def items(p: Column) -> tuple[Column, Column]:
+    """Both coordinates, to unpack."""
+    return p["x"], p["y"]
+
+
 def distance(p: Column, q: Column) -> Column:
     dx, dy = p["x"] - q["x"], p["y"] - q["y"]
     return F.sqrt(dx * dx + dy * dy)

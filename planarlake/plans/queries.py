@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import path as H
 from ..functions import point as P
 from ..functions import ring as R
 from ..functions import text as X
-from ..library import Library
+from ..library import Library, polygon
 from ..operators import boxes, catalog, filters, hierarchy, spatial
 from ..sources import gds
 from ..staging import shared_dir
@@ -577,6 +578,83 @@ def cell_remove_kinds(spark, sf_dir):
     return left.texts.select(F.lit("text").alias("kind"), "elem_id").union(left.references.select(F.lit("reference"), "elem_id")).union(left.paths.select(F.lit("path"), "elem_id"))
 
 
+@query(f"WITH {D.POINTS} SELECT vec_id, px AS first, py AS second, px = qx AND py = qy AS same_hash FROM points")
+def point_items(spark, sf_dir):
+    p, q = c("p"), c("q")
+    x, y = P.items(p)
+    return D.points(spark, sf_dir).select("vec_id", x.alias("first"), y.alias("second"), (P.point_hash(p) == P.point_hash(q)).alias("same_hash"))
+
+
+@query(f"WITH {D.POLYGONS} SELECT elem_id, 'Polygon([(' || {sql_number('p[1].x')} || ', ' || {sql_number('p[1].y')} || '), ..., (' || {sql_number('p[len(p)].x')} || ', ' || {sql_number('p[len(p)].y')} || ')], ' || layer || ', ' || data_type || ')' AS repr FROM polygons")
+def polygon_repr(spark, sf_dir):
+    return D.polygons(spark, sf_dir).select("elem_id", R.polygon_repr(c("points"), c("layer"), c("data_type")).alias("repr"))
+
+
+PATH_KIND = "CASE coalesce(path_type, 0) WHEN 0 THEN 'Square Ends' WHEN 1 THEN 'Round Ends' ELSE 'Overlap Ends' END"
+
+
+@query(f"WITH {D.PATHS} SELECT elem_id, 'Path with ' || len(p) || ' points on layer ' || layer || ' with data type ' || data_type || ', ' || {PATH_KIND} || ' and width ' || {sql_number('coalesce(width, 0)')} AS shown FROM paths")
+def path_text(spark, sf_dir):
+    return D.paths(spark, sf_dir).select("elem_id", H.to_text(*[c(k) for k in ("points", "layer", "data_type", "path_type", "width")]).alias("shown"))
+
+
+@query(f"WITH {D.PATHS}, q AS (SELECT *, [{{'x': round(v.x), 'y': round(v.y)}} for v in p] AS q FROM paths) SELECT elem_id, 'Path([(' || {sql_number('q[1].x')} || ', ' || {sql_number('q[1].y')} || CASE WHEN len(q) > 2 THEN '), ..., (' ELSE '), (' END || {sql_number('q[len(q)].x')} || ', ' || {sql_number('q[len(q)].y')} || ')], ' || layer || ', ' || data_type || ', ' || {PATH_KIND} || ', ' || {sql_number('coalesce(width, 0)')} || ')' AS repr FROM q")
+def path_repr(spark, sf_dir):
+    zero = F.lit(0.0)  # minus zero would show
+    d = D.paths(spark, sf_dir).withColumn("points", F.transform("points", lambda p: P.point(P.round_value(p["x"]) + zero, P.round_value(p["y"]) + zero)))
+    return d.select("elem_id", H.to_repr(*[c(k) for k in ("points", "layer", "data_type", "path_type", "width")]).alias("repr"))
+
+
+@query(f"""WITH {D.TEXTS} SELECT elem_id, 'Text ''' || "text" || ''' vertical: ' || CASE v WHEN 0 THEN 'Top' WHEN 1 THEN 'Middle' ELSE 'Bottom' END || ', horizontal: ' || CASE h WHEN 0 THEN 'Left' WHEN 1 THEN 'Centre' ELSE 'Right' END || ' at (' || {sql_number('ox')} || ', ' || {sql_number('oy')} || ')' AS shown FROM texts""")
+def text_text(spark, sf_dir):
+    return D.texts(spark, sf_dir).select("elem_id", X.to_text({k: c(k) for k in ("text", "origin", "vertical_presentation", "horizontal_presentation")}).alias("shown"))
+
+
+@query(f"WITH {D.POLYGONS} SELECT elem_id, layer, data_type, len(p)::INT AS n_points, p[1].x = p[len(p)].x AND p[1].y = p[len(p)].y AS closed FROM polygons")
+def polygon_build(spark, sf_dir):
+    """Rings without their last point, closed again by the constructor."""
+    open_ring = F.slice("points", 1, F.size("points") - 1)
+    made = D.polygons(spark, sf_dir).select("elem_id", *polygon(open_ring, c("layer"), c("data_type")))
+    return made.select("elem_id", "layer", "data_type", F.size("points").alias("n_points"), (F.element_at("points", 1) == F.element_at("points", -1)).alias("closed"))
+
+
+@query(f"""WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.REFS} SELECT 'polygon' AS kind, elem_id, {s6('-(y + 2) * 2')} AS x, {s6('(x + 1) * 2')} AS y, 0.0::DOUBLE AS angle, 0.0::DOUBLE AS size FROM corners WHERE i = 0
+  UNION ALL SELECT 'text', elem_id, {s6('-(y + 2) * 2')}, {s6('(x + 1) * 2')}, angle + 90, magnification * 2 FROM leaf_texts UNION ALL SELECT 'reference', elem_id, {s6('-(oy + 2) * 2')}, {s6('(ox + 1) * 2')}, (ang + 90) % 360, mag * 2 FROM refs""")
+def library_transform(spark, sf_dir):
+    """All elements of a library moved, scaled and turned; of polygons the first vertex."""
+    lib = _library(spark, sf_dir).move_by((1, 2)).scale(2).rotate(90)
+    row = lambda df, kind, p, a, m: df.select(F.lit(kind).alias("kind"), "elem_id", r6(p["x"]).alias("x"), r6(p["y"]).alias("y"), a.alias("angle"), m.alias("size"))
+    zero = F.lit(0.0)
+    return row(lib.polygons, "polygon", F.element_at("points", 1), zero, zero).union(row(lib.texts, "text", c("origin"), c("angle"), c("magnification"))).union(row(lib.references, "reference", c("grid.origin"), c("grid.angle"), c("grid.magnification")))
+
+
+_COPIES = "sum(cols * rws * coalesce(n_polygons, 0))::BIGINT AS n_polygons, sum(cols * rws * coalesce(n_texts, 0))::BIGINT AS n_texts"
+
+
+@query(f"""WITH {D.CELLS}, {D.LEAVES}, {D.LEAF_TEXTS}, {D.REFS}, own AS (SELECT n_name AS cell_name, (SELECT count(*) FROM leaves l WHERE l.cell_name = n_name) AS n_polygons, (SELECT count(*) FROM leaf_texts t WHERE t.cell_name = n_name) AS n_texts FROM nation),
+  mid AS (SELECT r.cell_name, {_COPIES} FROM refs r JOIN own ON r.target_cell = own.cell_name GROUP BY r.cell_name), top AS (SELECT r.cell_name, {_COPIES} FROM refs r JOIN mid ON r.target_cell = mid.cell_name GROUP BY r.cell_name),
+  every AS (SELECT * FROM own UNION ALL SELECT * FROM mid UNION ALL SELECT * FROM top)
+  SELECT cell_name, coalesce(n_polygons, 0)::BIGINT AS n_polygons, 0::BIGINT AS n_paths, 0::BIGINT AS n_references, coalesce(n_texts, 0)::BIGINT AS n_texts FROM cells LEFT JOIN every USING (cell_name)""")
+def library_flatten(spark, sf_dir):
+    """What the cells of a library have when all of them are flattened."""
+    return _library(spark, sf_dir).flatten().counts()
+
+
+@query("SELECT * FROM (VALUES ('same', true), ('close', true), ('apart', false), ('other name', false), ('fewer', false)) t(other, equal)")
+def library_equals(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    moved = lambda v: replace(lib, polygons=lib.polygons.withColumn("points", R.move_by(c("points"), (v, 0))))
+    others = {"same": lib, "close": moved(0.00004), "apart": moved(0.01), "other name": replace(lib, name="other"), "fewer": replace(lib, texts=lib.texts.where("elem_id % 7 <> 0"))}
+    return spark.createDataFrame([(k, lib.equals(v)) for k, v in others.items()], "other string, equal boolean")
+
+
+@query("SELECT r_name AS cell_name, 0::BIGINT AS n_polygons, 1::BIGINT AS cells FROM region WHERE r_name = 'EUROPE' UNION ALL SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey), 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
+def gds_cell_roundtrip(spark, sf_dir):
+    """One cell and those under it, written to a file and read back."""
+    back = Library.from_gds(spark, _library(spark, sf_dir).cell_to_gds("EUROPE", f"{shared_dir(spark)}/{uuid.uuid4().hex}.gds"))
+    return back.counts().groupBy("cell_name").agg(F.sum("n_polygons").alias("n_polygons"), F.count(F.lit(1)).alias("cells"))
+
+
 DEEP = """RECURSIVE walk AS (SELECT 0 AS k, 1 AS a, 0 AS b, 0 AS c, 1 AS d, 0 AS tx, 0 AS ty UNION ALL
   SELECT k + 1, a * co + b * si, (b * co - a * si) * m, c * co + d * si, (d * co - c * si) * m, a * (k % 3) + b + tx, c * (k % 3) + d + ty
   FROM (SELECT *, CASE WHEN k % 5 = 2 THEN -1 ELSE 1 END AS m, [1, 0, -1, 0][k % 4 + 1] AS co, [0, 1, 0, -1][k % 4 + 1] AS si FROM walk WHERE k < 74)),
