@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import discard, staged  # noqa: F401
 
 #: Characters that part words in most contracts: [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
@@ -132,6 +132,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Stars: no root is itself a child, and each child has one root.
         roots = new.select(F.col("v").alias("r")).distinct()
         moved = new.join(roots, F.col("u") == F.col("r"), "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(e, large)
         e, n = new, new.count()
         if not moved:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -78,7 +78,9 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = C.staged(firsts, "firsts")  # so that the join below can split a seed that very many documents hold
     again = found.join(firsts, ["hi", "lo"]).where(place != F.col("first")).select("row", "i", "first").distinct()
     again = C.staged(again, "again")
-    pieces = C.staged(extended(lines, again), "pieces")
+    between, chunks = extended(lines, again)
+    pieces = C.staged(chunks, "pieces")
+    C.discard(lines, firsts, again, between)
     # Bytes of the chunks and of their first occurrences, cut from the texts where they are.
     wanted = pieces.select("row", "start", "lines").union(pieces.select(F.col("first.row"), F.col("first.i"), "lines")).distinct()
     per = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "lines")).alias("wanted"))
@@ -99,11 +101,13 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     two = cuts.select(*_key("row", "f"), F.col("start").alias("fi"), "lines", F.col("bytes").alias("b2"))
     placed = pieces.select("row", "start", "lines", *_key("row"), *_key("first.row", "f"), F.col("first.i").alias("fi"))
     removed = placed.join(one, ["k1", "k2", "start", "lines"]).join(two, ["fk1", "fk2", "fi", "lines"]).where("b1 = b2").select("row", "start", "lines")
-    return rows, C.staged(removed, "removed")
+    removed = C.staged(removed, "removed")
+    C.discard(pieces, cuts)
+    return rows, removed
 
 
-def extended(lines: DataFrame, again: DataFrame) -> DataFrame:
-    """(row, start, lines, first) of the chunks of each seed that stands earlier: its lines and, up to the seed before it
+def extended(lines: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a staged table that is read, chunks): (row, start, lines, first) of the chunks of each seed that stands earlier: its lines and, up to the seed before it
     and the one after it, those that agree with the lines around the first occurrence."""
     seeds = again.select(*_key("row"), "i", F.col("first").alias("seed"))
     doc = Window.partitionBy("k1", "k2").orderBy("i")
@@ -114,7 +118,7 @@ def extended(lines: DataFrame, again: DataFrame) -> DataFrame:
     mine = mine.withColumn("left", F.last(F.when(F.col("seed").isNotNull(), F.struct("seed", "i")), True).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
     mine = mine.withColumn("right", F.first(F.when(F.col("seed").isNotNull(), F.struct("seed", "i")), True).over(doc.rowsBetween(1, Window.unboundedFollowing)))
     mine = mine.where("left is not null or right is not null").drop("seed", "seed_i")
-    mine = C.staged(mine, "between")
+    between = mine = C.staged(mine, "between")
     # Lines of a seed agree as they are; each other one is held against the lines around both neighbours' first ones.
     own = F.col("left").isNotNull() & (F.col("i") - F.col("left.i") < 2)
     refs = mine.select("k1", "k2", "i", "v", F.explode(F.array(*[F.struct(F.lit(side == "left").alias("is_left"), F.when(F.col(side).isNotNull(), F.struct(*_key(f"{side}.seed.row", "f"), (F.col(f"{side}.seed.i") + F.col("i") - F.col(f"{side}.i")).alias("fi"))).alias("ref")) for side in ("left", "right")])).alias("x"), own.alias("own"))
@@ -131,7 +135,7 @@ def extended(lines: DataFrame, again: DataFrame) -> DataFrame:
     sides = after.select("row", "left", "after", F.lit(0).alias("before")).union(before.select("row", "left", F.lit(0), "before"))
     both = sides.groupBy("row", "left").agg(F.sum("after").cast("int").alias("after"), F.sum("before").cast("int").alias("before"))
     first = F.struct(F.col("left.seed.row").alias("row"), (F.col("left.seed.i") - F.col("before")).alias("i")).alias("first")
-    return both.select("row", (F.col("left.i") - F.col("before")).alias("start"), (F.col("after") + F.col("before")).alias("lines"), first)
+    return between, both.select("row", (F.col("left.i") - F.col("before")).alias("start"), (F.col("after") + F.col("before")).alias("lines"), first)
 
 
 def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -218,10 +218,13 @@ def similar_links(docs: DataFrame, marked: DataFrame, table: np.ndarray, words:
     rows = shared.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rows = C.staged(rows.join(apart, "key"), "rows")
+    C.discard(shared, reps)
     b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "root")])
     apart = F.col("root") < F.col("b_root")
     rest = rows.join(b, "key").where(apart & can(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos"))).select(F.col("sid").alias("u"), F.col("b_sid").alias("v")).distinct()
-    return found.union(verified(docs, rest, words, least))
+    more = verified(docs, rest, words, least)
+    C.discard(rows, roots)
+    return found.union(more)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
@@ -255,7 +258,9 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Dat
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(b, "v").join(a, "u").select("u", "v", "us", "vs")
-    return C.staged(both.mapInArrow(judged, "u long, v long"), "similar")
+    out = C.staged(both.mapInArrow(judged, "u long, v long"), "similar")
+    C.discard(pairs, held)
+    return out
 
 
 def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
