@@ -114,9 +114,8 @@ class Library:
 
     def bounding_boxes(self) -> DataFrame:
         """Boxes of all cells, with what their references draw."""
-        roots = self.cells.select(c("cell_name").alias("root"))
-        flat = hierarchy.flatten(roots, self.references, self.polygons, self.paths, self.texts)
-        return boxes.cell_boxes(flat["polygons"], flat["paths"], flat["texts"], ["root"]).withColumnRenamed("root", "cell_name")
+        drawn = hierarchy.drawn_boxes(self.cells.select(c("cell_name").alias("root")), self.references, self.polygons, self.paths, self.texts)
+        return boxes.union_boxes([drawn], ["root"]).withColumnRenamed("root", "cell_name")
 
     def flatten(self, *pairs: tuple[int, int], depth: int | None = None) -> Library:
         """All cells flattened: references replaced by what they place, to a depth; depth 0 changes nothing."""

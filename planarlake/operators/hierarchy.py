@@ -20,10 +20,12 @@ from ..functions import grid as G
 from ..functions import point as P
 from ..functions import ring
 from ..staging import staged
-from . import filters
+from . import boxes, filters
 
 #: Beginning of the names of cells that stand for targeted references; no file has such names.
 NESTED = "\0reference "
+#: Distinct pairs of cells whose depth the driver finds out; of more, Spark does.
+WALKED = 100_000
 #: Copies of one array that a task makes, about.
 TASK_COPIES = 1_000_000
 STATE = ("a", "b", "c", "d", "tx", "ty", "a0", "b0", "c0", "d0", "tx0", "ty0", "turn", "spin", "sign", "size", "flip")
@@ -46,19 +48,28 @@ def _copies(grid: Column = None):
     )
 
 
-def expand(references: DataFrame) -> DataFrame:
+def expand(references: DataFrame, corners: bool = False) -> DataFrame:
     """References with one row a copy (column, row): the copies' own maps beside the grid. Empty grids place nothing.
 
-    Arrays of very many copies are dealt out over tasks by their columns before the rows are made.
+    Arrays of very many copies are dealt out over tasks by their columns before the rows are made. corners: only the copies
+    at the corners of the array, between which all others lie.
     """
     g = F.col("grid")
     df = references.where((g["columns"] > 0) & (g["rows"] > 0))
+    if corners:
+        ends = lambda n: F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), n - 1)))
+        return _mapped(df.select("*", ends(g["columns"]).alias("column")).select("*", ends(g["rows"]).alias("row")))
     most = df.agg(F.max(g["columns"] * g["rows"])).first()[0] or 0
     column, row = _copies()
     df = df.select("*", column)
     if most > TASK_COPIES:
         df = df.repartition(min(10_000, int(most // TASK_COPIES) + 1))
-    df = df.select("*", row)
+    return _mapped(df.select("*", row))
+
+
+def _mapped(df: DataFrame) -> DataFrame:
+    """Copies (grid, column, row) with their maps."""
+    g = F.col("grid")
     s, k = P.sin_cos(g["angle"])
     m, r = g["magnification"], F.when(g["x_reflection"], -1.0).otherwise(1.0)
     at = G.place(g, F.col("column"), F.col("row"))
@@ -122,6 +133,39 @@ def closure(references: DataFrame) -> DataFrame:
     return known
 
 
+def deepest(references: DataFrame, roots: DataFrame) -> int:
+    """The most references on a way down from a root; a cell under itself fails."""
+    edges = references.where("target_kind = 'cell' and target_cell is not null").select("cell_name", "target_cell").distinct()
+    few = edges.limit(WALKED + 1).collect()
+    if len(few) > WALKED:
+        return closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").agg(F.max("steps")).first()[0] or 0
+    below: dict[str, list[str]] = {}
+    for r in few:
+        below.setdefault(r.cell_name, []).append(r.target_cell)
+    if not below:
+        return 0
+    tops = [r.root for r in roots.join(edges, roots.root == edges.cell_name, "left_semi").select("root").distinct().collect()]
+    depth: dict[str, int | None] = {}  # None while a cell is under way
+    for top in tops:
+        path = [(top, iter(below.get(top, ())))]
+        if top not in depth:
+            depth[top] = None
+        elif depth[top] is not None:
+            continue
+        while path:
+            cell, rest = path[-1]
+            low = next(rest, None)
+            if low is None:
+                depth[cell] = max((depth[x] + 1 for x in below.get(cell, ())), default=0)
+                path.pop()
+            elif low not in depth:
+                depth[low] = None
+                path.append((low, iter(below.get(low, ()))))
+            elif depth[low] is None:
+                raise ValueError(f"cell refers to itself: {low}")
+    return max((depth[t] for t in tops), default=0)
+
+
 def placements(roots: DataFrame, references: DataFrame, depth: int | None = None) -> DataFrame:
     """Every copy of every cell under the roots (column root) down to depth references (None: all), the roots included.
 
@@ -130,10 +174,10 @@ def placements(roots: DataFrame, references: DataFrame, depth: int | None = None
     level = start(roots)
     if depth == 0:
         return level
-    deepest = closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").agg(F.max("steps")).first()[0] or 0
+    levels = deepest(references, roots)
     step = expand(references.where("target_kind = 'cell'")).withColumnRenamed("cell_name", "parent")
     out = level
-    for _ in range(deepest if depth is None else min(depth, deepest)):
+    for _ in range(levels if depth is None else min(depth, levels)):
         new = level.join(step, level.cell_name == step.parent)
         level = staged(new.select("root", F.col("target_cell").alias("cell_name"), (F.col("depth") + 1).alias("depth"), *[v.alias(k) for k, v in _compose().items()]))
         out = out.union(level)
@@ -254,3 +298,61 @@ def grid_copies(elements: DataFrame, kind: str) -> DataFrame:
     else:
         df = df.withColumn("points", ring.affine(c("points"), c("ga"), c("gb"), c("gc"), c("gd"), c("gtx"), c("gty")))
     return df.drop("ga", "gb", "gc", "gd", "gb0", "gd0", "gtx", "gty", "gr")
+
+
+def _one_cell_each(references: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """References and tables in which targets that are elements stand in cells of their own."""
+    out = dict(tables)
+    for kind, table in tables.items():
+        own = references.where(F.col("target_kind") == kind[:-1]).select(F.col("target_elem_id").alias("elem_id")).distinct()
+        name = F.concat(F.lit(f"\0{kind} "), F.col("elem_id").cast("string"))
+        out[kind] = table.where("cell_name is not null").unionByName(table.join(own, "elem_id", "left_semi").withColumn("cell_name", name).select(*table.columns))
+    element = F.col("target_kind").isin("polygon", "path", "text")
+    name = F.concat(F.lit("\0"), F.col("target_kind"), F.lit("s "), F.col("target_elem_id").cast("string"))
+    return references.withColumn("target_cell", F.when(element, name).otherwise(F.col("target_cell"))).withColumn("target_kind", F.lit("cell")), out
+
+
+#: What placements that differ by where they are have in common: the map's linear part, and the size of texts.
+LINEAR = ("a", "b", "c", "d", "size")
+
+
+def drawn_boxes(roots: DataFrame, references: DataFrame, polygons: DataFrame, paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """(root, cell_name, min_x, min_y, max_x, max_y): the box of what each cell under a root draws there, itself included.
+
+    Placements that only differ by where they are share a row, which has the range of their translations: a box moved about
+    fills the box of its extreme places. So rows are pairs of cells times turns and sizes, however often a cell is placed,
+    arrays count by their corners, and geometry is touched once a cell, turn and size.
+    """
+    references, t = _one_cell_each(with_nested(references), {"polygons": polygons, "paths": paths, "texts": texts})
+    levels = deepest(references, roots)
+    step = expand(references, corners=True).withColumnRenamed("cell_name", "parent")
+    c, span = F.col, ("lx", "hx", "ly", "hy")
+    level = start(roots).select("root", "cell_name", *LINEAR, *[F.lit(0.0).alias(k) for k in span])
+    kept = staged(step.select("parent", "target_cell", "ga", "gb", "gc", "gd", "gtx", "gty", c("grid.magnification").alias("gm")))
+    every = level
+    for _ in range(levels):
+        dx, dy = c("a") * c("gtx") + c("b") * c("gty"), c("c") * c("gtx") + c("d") * c("gty")
+        maps = _compose()
+        new = level.join(kept, level.cell_name == kept.parent).select(
+            "root", c("target_cell").alias("cell_name"), *[maps[k].alias(k) for k in "abcd"], (c("size") * c("gm")).alias("size"), *[(c(k) + (dx if k[1] == "x" else dy)).alias(k) for k in span]
+        )
+        level = staged(_together(new))
+        every = every.union(level)
+    every = staged(_together(every))
+    # Boxes of what cells have themselves, for each turn and size, where they would be drawn without being moved.
+    shapes = staged(every.select("cell_name", *LINEAR).distinct().withColumn("shape", F.monotonically_increasing_id()))
+    zero = F.lit(0.0)
+    turned = lambda d: d.withColumn("points", ring.affine(c("points"), c("a"), c("b"), c("c"), c("d"), zero, zero))
+    x, y = c("origin.x"), c("origin.y")
+    of = {k: v.join(shapes, "cell_name") for k, v in t.items()}
+    of["texts"] = of["texts"].withColumn("origin", P.point(c("a") * x + c("b") * y, c("c") * x + c("d") * y)).withColumn("magnification", c("magnification") * c("size"))
+    own = boxes.cell_boxes(turned(of["polygons"]), turned(of["paths"]), of["texts"], ["shape"])
+    met = every.join(shapes, ["cell_name", *LINEAR]).join(own, "shape")
+    moved = met.select("root", "cell_name", *[(c(f"{m}_{v}") + c(f"{'l' if m == 'min' else 'h'}{v}")).alias(f"{m}_{v}") for m in ("min", "max") for v in "xy"])
+    return boxes.union_boxes([moved], ["root", "cell_name"])
+
+
+def _together(placed: DataFrame) -> DataFrame:
+    """One row a root, cell and linear part (to twelve decimals), with the range of the translations."""
+    rounded = [(F.round(k, 12) + F.lit(0.0)).alias(k) for k in LINEAR]
+    return placed.groupBy("root", "cell_name", *rounded).agg(F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))

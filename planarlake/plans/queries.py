@@ -470,8 +470,8 @@ def flatten_depth_k(spark, sf_dir):
 @query(f"WITH {D.LEAVES}, {WALK} SELECT s.cell_name, {s6('min(s.a * x + s.b * y + s.tx)')} AS min_x, {s6('min(s.c * x + s.d * y + s.ty)')} AS min_y, {s6('max(s.a * x + s.b * y + s.tx)')} AS max_x, {s6('max(s.c * x + s.d * y + s.ty)')} AS max_y FROM walk s JOIN corners p ON s.cell_name = p.cell_name GROUP BY s.cell_name")
 def reference_bbox(spark, sf_dir):
     """Boxes of what the top cell's references draw, by cell drawn."""
-    flat = hierarchy.flatten(_top(spark), *_tables(spark, sf_dir))["polygons"]
-    b = boxes.union_boxes([boxes.polygon_boxes(flat)], ["cell_name"])
+    refs, polygons, paths, texts = _tables(spark, sf_dir)
+    b = hierarchy.drawn_boxes(_top(spark), refs, polygons, paths, texts.where("false"))
     return b.select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
 
 

@@ -139,13 +139,17 @@ def test_cycles_fail(spark):
 GRID = {"origin": (1, 0), "columns": 1, "rows": 1, "spacing_x": (0, 0), "spacing_y": (0, 0), "magnification": 1.0, "angle": 0.0, "x_reflection": False}
 
 
-def test_long_chains_and_shared_cells(spark):
+def test_long_chains_and_shared_cells(spark, monkeypatch):
     deep = {f"c{i}": [{"kind": "reference", "id": i, "target": f"c{i + 1}", "grid": GRID}] for i in range(100)} | {"c100": []}
     refs = tables(spark, deep)[0]
     names = spark.createDataFrame([(n,) for n in deep], "cell_name string")
     assert hierarchy.reachable(refs, names).groupBy("cell_name").count().where("cell_name in ('c0', 'c50')").orderBy("cell_name").collect() == [("c0", 101), ("c50", 51)]
     placed = hierarchy.placements(spark.createDataFrame([("c0",)], "root string"), refs).select("cell_name", "depth", "tx").collect()
     assert len(placed) == 101 and {(r.cell_name, r.tx) for r in placed} == {(f"c{i}", float(i)) for i in range(101)}
+    root = spark.createDataFrame([("c0",), ("c7",)], "root string")
+    assert hierarchy.deepest(refs, root) == 100 and hierarchy.deepest(refs, root.where("root = 'c7'")) == 93 and hierarchy.deepest(refs.limit(0), root) == 0
+    monkeypatch.setattr(hierarchy, "WALKED", 5)
+    assert hierarchy.deepest(refs, root) == 100
     # A depth beyond the deepest cell adds nothing.
     assert hierarchy.placements(spark.createDataFrame([("c95",)], "root string"), refs, 1000).count() == 6
     shared = {}
@@ -218,6 +222,26 @@ def test_cell_and_element_references_agree(spark):
     assert off.count() == 0
 
 
+def test_boxes_equal_those_of_what_is_flattened(spark):
+    from planarlake.operators import boxes
+
+    for seed in (1, 5):
+        cells = case(seed)
+        refs, polys, _, texts = tables(spark, cells)
+        wide = polys.where("elem_id % 2 = 0").withColumn("path_type", F.lit(0)).withColumn("width", F.lit(1.5)).withColumn("elem_id", F.col("elem_id") + 1000)
+        # References to elements and to references as well.
+        own = refs.limit(1).withColumn("cell_name", F.lit("top")).withColumn("target_cell", F.lit(None).cast("string"))
+        first = lambda t: t.agg(F.min("elem_id")).first()[0]
+        for i, (kind, of) in enumerate((("polygon", first(polys)), ("text", first(texts)), ("path", first(wide)), ("reference", first(refs)))):
+            refs = refs.union(own.withColumn("elem_id", F.lit(500 + i).cast("long")).withColumn("target_kind", F.lit(kind)).withColumn("target_elem_id", F.lit(of).cast("long")).select(*refs.columns))
+        roots = spark.createDataFrame([(n,) for n in cells], "root string")
+        flat = hierarchy.flatten(roots, refs, polys, wide, texts)
+        want = boxes.cell_boxes(flat["polygons"], flat["paths"], flat["texts"], ["root"])
+        got = boxes.union_boxes([hierarchy.drawn_boxes(roots, refs, polys, wide, texts)], ["root"])
+        rows = lambda d: sorted((r.root, *[r5(r[k]) for k in boxes.BOX]) for r in d.collect())
+        assert rows(got) == rows(want) and len(rows(got)) > 2
+
+
 def test_tile_joins_equal_all_pairs(spark):
     rnd = random.Random(3)
     shape = lambda s: (lambda x, y: [(x, y), (x + s, y + s / 3), (x + s / 2, y + s), (x, y)])(rnd.uniform(-99, 99), rnd.uniform(-99, 99))
