@@ -23,16 +23,24 @@ UNIT = 1 << BITS
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, n_docs, source_size, target) of (source, size) rows; one row a source, null for null.
+    """(source, n_docs, source_size, target) of (source, size) rows; one row a source, null for null. Null sizes count for
+    nothing, an empty table gives an empty result.
 
     Sources in order of code points, null last, get the weights in turn. Targets share ``share`` times all words by
     weight and stop at ``cap`` times the source's own; the excess is shared again until none is above. The level (words
     a unit of weight) only rises, and is all that the driver gets.
     """
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # Ranks come from a sort over all tasks: a source's place in its part of the order, after the parts before.
+    per = C.staged(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before, total = [], 0
+    for r in sorted(per.groupBy(part.alias("p")).count().collect()):
+        before += [F.lit(r.p), F.lit(total)]
+        total += r["count"]
+    rank = place + (F.create_map(*before)[part] if before else 0)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    per = C.staged(per.withColumn("weight", weight), "sources")
+    per = per.withColumn("weight", weight)
     most = cap * F.col("source_size")
     level = 0.0
     while True:
@@ -122,11 +130,14 @@ def mixed_copies(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5) -> Dat
 
 
 def word_sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """(doc_id, source, size) of every row: its number of words, 0 for a null text. Other columns are not read; null ids,
+    null sources and repeated rows stay as they are."""
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(C.WORD)), F.lit(0)).cast("long")
     return docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed_copies of all documents by their words, as words taken."""
     sizes = C.staged(word_sizes(C.table(spark, sf_dir, "documents")), "words")
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixed_copies(sizes).select("doc_id", "size", "source_size", "target", taken)
