@@ -24,9 +24,9 @@ RUN = 65536
 #: Words up to so many characters are summed as they are, longer ones in logs: the same sums without underflow.
 SHORT = 16
 #: Numbers in a batch of sums, and in the table of words' scores that a worker keeps: memory, whatever the languages.
-CELLS, MEMORY = 1 << 20, 1 << 22
+CELLS, MEMORY = 1 << 20, 1 << 21
 #: Characters of words that one lattice takes, and that a worker keeps as keys.
-CHARS, KEYS = 1 << 16, 1 << 25
+CHARS, KEYS = 1 << 16, 1 << 24
 #: Added to each piece's expected count.
 SMOOTH = 0.1
 #: A character that no piece covers, as a share of the pieces' mass.

@@ -28,7 +28,7 @@ STRIPE = 1 << 14
 #: Bits of the filter of sets that have partners: 2 MB.
 FILTER_BITS = 24
 #: Sets that a task remembers as written.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 class Shingler:
