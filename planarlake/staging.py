@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,13 @@ def staged(df: DataFrame, name: str = "level") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that are over. It does so when the driver's garbage is collected, which
+    may be long after; long operators ask for it once what they shuffled is staged."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that staged() gave. Only for those that nothing reads any more: what was made of them is staged itself."""
     for t in tables:
