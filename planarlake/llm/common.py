@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import discard, staged  # noqa: F401
+from ..staging import discard, release, staged  # noqa: F401
 
 #: Characters that part words in most contracts: [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"

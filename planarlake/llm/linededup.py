@@ -81,6 +81,7 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     between, chunks = extended(lines, again)
     pieces = C.staged(chunks, "pieces")
     C.discard(lines, firsts, again, between)
+    C.release(spark)
     # Bytes of the chunks and of their first occurrences, cut from the texts where they are.
     wanted = pieces.select("row", "start", "lines").union(pieces.select(F.col("first.row"), F.col("first.i"), "lines")).distinct()
     per = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "lines")).alias("wanted"))
@@ -103,6 +104,7 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     removed = placed.join(one, ["k1", "k2", "start", "lines"]).join(two, ["fk1", "fk2", "fi", "lines"]).where("b1 = b2").select("row", "start", "lines")
     removed = C.staged(removed, "removed")
     C.discard(pieces, cuts)
+    C.release(spark)
     return rows, removed
 
 

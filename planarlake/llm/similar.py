@@ -219,6 +219,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, table: np.ndarray, words:
     apart = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rows = C.staged(rows.join(apart, "key"), "rows")
     C.discard(shared, reps)
+    C.release(docs.sparkSession)
     b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in ("sid", "n", "pos", "root")])
     apart = F.col("root") < F.col("b_root")
     rest = rows.join(b, "key").where(apart & can(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos"))).select(F.col("sid").alias("u"), F.col("b_sid").alias("v")).distinct()
