@@ -13,7 +13,7 @@ from .functions import path as H
 from .functions import point as P
 from .functions import ring as R
 from .functions import text as X
-from .operators import boxes, catalog, filters, hierarchy
+from .operators import boxes, catalog, equality, filters, hierarchy
 from .sources import gds
 
 c = F.col
@@ -72,18 +72,31 @@ class Library:
         """Those of the names (cell_name) that cells here have."""
         return names.join(self.cells.select("cell_name"), "cell_name", "left_semi")
 
-    def contains(self, other: Library) -> DataFrame:
-        """Names of the cells of other that stand here as well: the same name, and equal elements of each kind, in order."""
+    def contains(self, other: Library, epsilon: float = P.EPSILON) -> DataFrame:
+        """Names of the cells of other that stand here as well: the same name, and equal elements of each kind, in order.
+        References are equal if what they target is, cells under a cell included."""
         both = self.named(other.cells.select("cell_name")).distinct()
-        return both.join(catalog.unequal_cells(self.tables(), other.tables()), "cell_name", "left_anti")
-
-    def remove_elements(self, **tables: DataFrame) -> Library:
-        """Without the elements of each kind that equal a row of the table given for it, in the row's cell."""
-        return replace(self, **{k: catalog.remove_elements(getattr(self, k), v, kind=k) for k, v in tables.items()})
-
-    def contains_elements(self, **tables: DataFrame) -> dict[str, DataFrame]:
-        """Of each table given, the rows that equal an element of that kind in the row's cell."""
-        return {k: catalog.contains_elements(getattr(self, k), v, kind=k) for k, v in tables.items()}
+        return both.join(equality.unequal_cells(self.tables(), other.tables(), epsilon), "cell_name", "left_anti")
+
+    def remove_elements(self, epsilon: float = P.EPSILON, targets: Library | None = None, **tables: DataFrame) -> Library:
+        """Without the elements of each kind that equal a row of the table given for it, in the row's cell. targets: the
+        library that references given target something of, if it isn't this one."""
+        t = self.tables()
+        other = t if targets is None else targets.tables()
+        out = {k: catalog.remove_elements(t[k], v, epsilon=epsilon, kind=k) for k, v in tables.items() if k != "references"}
+        if "references" in tables:
+            out["references"] = equality.references_among(t["references"], tables["references"], t, other, epsilon, among=False)
+        return replace(self, **out)
+
+    def contains_elements(self, epsilon: float = P.EPSILON, targets: Library | None = None, **tables: DataFrame) -> dict[str, DataFrame]:
+        """Of each table given, the rows that equal an element of that kind in the row's cell; targets as in
+        remove_elements."""
+        t = self.tables()
+        other = t if targets is None else targets.tables()
+        out = {k: catalog.contains_elements(t[k], v, epsilon=epsilon, kind=k) for k, v in tables.items() if k != "references"}
+        if "references" in tables:
+            out["references"] = equality.references_among(tables["references"], t["references"], other, t, epsilon)
+        return out
 
     def counts(self) -> DataFrame:
         return catalog.counts(self.cells, self.polygons, self.paths, self.references, self.texts)
@@ -91,14 +104,17 @@ class Library:
     def empty_cells(self) -> DataFrame:
         return catalog.empty_cells(self.cells, *[getattr(self, k) for k in TABLES])
 
-    def equals(self, other: Library) -> bool:
-        """The same name, the same cell names, and in each cell equal elements of each kind, in order (by epsilon)."""
-        if self.name != other.name:
-            return False
+    def differences(self, other: Library, epsilon: float = P.EPSILON) -> DataFrame:
+        """Names of the cells that only one of two libraries has, or that differ between them."""
         mine, theirs = (x.cells.select("cell_name").distinct() for x in (self, other))
-        if mine.exceptAll(theirs).limit(1).count() or theirs.exceptAll(mine).limit(1).count():
-            return False
-        return not catalog.unequal_cells(self.tables(), other.tables()).limit(1).count()
+        alone = mine.join(theirs, "cell_name", "left_anti").union(theirs.join(mine, "cell_name", "left_anti"))
+        differ = equality.unequal_cells(self.tables(), other.tables(), epsilon).join(mine, "cell_name", "left_semi")
+        return alone.union(differ).distinct()
+
+    def equals(self, other: Library, epsilon: float = P.EPSILON) -> bool:
+        """The same name, the same cell names, and in each cell equal elements of each kind, in order (by epsilon), down
+        through what references target."""
+        return self.name == other.name and not self.differences(other, epsilon).limit(1).count()
 
     def shown(self) -> dict[str, DataFrame]:
         """(cell_name, elem_id, text, repr) of the elements of each kind, and (cell_name, text, repr) of the cells."""
@@ -132,7 +148,11 @@ class Library:
         one = replace(self, cells=self.cells.where(c("cell_name") == cell_name)).flatten(*pairs, depth=depth)
         on, text_on = filters.on_layers(list(pairs)), filters.text_on_layers(list(pairs))
         mine = c("cell_name") == cell_name
-        return replace(one, polygons=one.polygons.where(mine & on), paths=one.paths.where(mine & on), texts=one.texts.where(mine & text_on), references=one.references.where(mine))
+        refs = one.references.where(mine)
+        if pairs:  # references that are left, whatever level they come from, must be on the layers as a whole
+            whole = hierarchy.references_on(hierarchy.with_nested(self.references), self.polygons, self.paths, self.texts, list(pairs))
+            refs = refs.join(whole.where("is_on").select("elem_id"), "elem_id", "left_semi").select(*refs.columns)
+        return replace(one, polygons=one.polygons.where(mine & on), paths=one.paths.where(mine & on), texts=one.texts.where(mine & text_on), references=refs)
 
     # Transforms of all elements
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
@@ -25,12 +25,12 @@ EXACT = {
 CLOSE = {"polygons": "points", "paths": "points", "texts": "origin", "references": "grid"}
 
 
-def _anchor(kind: str, c: Column) -> Column:
+def anchor(kind: str, c: Column) -> Column:
     """A point that is close where elements are equal."""
     return F.element_at(c, 1) if CLOSE[kind] == "points" else c if CLOSE[kind] == "origin" else c["origin"]
 
 
-def _close(kind: str, a: Column, b: Column, epsilon: float) -> Column:
+def close(kind: str, a: Column, b: Column, epsilon: float) -> Column:
     same = {"points": ring.epsilon_equal, "origin": P.epsilon_is_close, "grid": G.equal}[CLOSE[kind]]
     return same(a, b, epsilon)
 
@@ -40,10 +40,15 @@ def add_elements(table: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def add_cells(cells: DataFrame, new: DataFrame, replace: bool = False, key: str = "cell_name") -> DataFrame:
-    """Cells with new ones added. A name that is there already fails, or is replaced."""
+    """Cells with new ones added. A name that is there already, or that new itself repeats, fails; or the last one counts
+    (by cell_seq, where there is one)."""
     if replace:
-        return cells.join(new, key, "left_anti").unionByName(new)
-    clash = new.join(cells.select(key), key, "left_semi").limit(1).collect()
+        row = F.struct(*new.columns)
+        last = F.max_by(row, "cell_seq") if "cell_seq" in new.columns else F.max(row)
+        one = new.groupBy(F.col(key).alias("added")).agg(last.alias("last")).select("last.*")
+        return cells.join(new, key, "left_anti").unionByName(one)
+    names = new.groupBy(key).count()
+    clash = names.join(cells.select(key), key, "left_semi").unionByName(names.where("count > 1")).limit(1).collect()
     if clash:
         raise ValueError(f"Cell with name {clash[0][key]} already exists in library")
     return cells.unionByName(new)
@@ -58,18 +63,19 @@ def _bucket(v: Column, epsilon: float) -> Column:
     return F.floor(v / epsilon).cast("long")
 
 
-def _near(left: DataFrame, right: DataFrame, epsilon: float, keys: list[str], how: str, kind: str) -> DataFrame:
-    """Rows of left for which a row of right is equal by epsilon. Closeness isn't transitive and so no join key: right goes
-    to its anchor's bucket and the neighbours, left to its own, and the predicate decides."""
+def near(left: DataFrame, right: DataFrame, epsilon: float, keys: list[str], how: str, kind: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left for which a row of right is equal by epsilon (how: a kind of join; an inner one brings the kept columns
+    of right, as r_). Closeness isn't transitive and so no join key: right goes to its anchor's bucket and the neighbours,
+    left to its own, and the predicate decides."""
     col = CLOSE[kind]
-    at = _anchor(kind, F.col(col))
+    at = anchor(kind, F.col(col))
     mine = left.withColumn("bx", _bucket(at["x"], epsilon)).withColumn("by", _bucket(at["y"], epsilon))
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    other = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col(col).alias("r_close")).dropDuplicates()
-    at = _anchor(kind, F.col("r_close"))
+    other = right.select(*[F.col(k).alias(f"r_{k}") for k in (*keys, *kept)], F.col(col).alias("r_close")).dropDuplicates()
+    at = anchor(kind, F.col("r_close"))
     other = other.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
     other = other.withColumn("r_bx", _bucket(at["x"], epsilon) + F.col("dx")).withColumn("r_by", _bucket(at["y"], epsilon) + F.col("dy"))
-    on = (F.col("bx") == F.col("r_bx")) & (F.col("by") == F.col("r_by")) & _close(kind, F.col(col), F.col("r_close"), epsilon)
+    on = (F.col("bx") == F.col("r_bx")) & (F.col("by") == F.col("r_by")) & close(kind, F.col(col), F.col("r_close"), epsilon)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     return mine.join(other, on, how).drop("bx", "by")
@@ -78,12 +84,12 @@ def _near(left: DataFrame, right: DataFrame, epsilon: float, keys: list[str], ho
 def contains_elements(members: DataFrame, wanted: DataFrame, keys: list[str] | None = None, epsilon: float = P.EPSILON, kind: str = "polygons") -> DataFrame:
     """Rows of wanted that stand among members; equal are those of one cell whose keys are the same (by default all of the
     kind's own) and that are close."""
-    return _near(wanted, members, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_semi", kind)
+    return near(wanted, members, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_semi", kind)
 
 
 def remove_elements(members: DataFrame, gone: DataFrame, keys: list[str] | None = None, epsilon: float = P.EPSILON, kind: str = "polygons") -> DataFrame:
     """Members without those equal to a row of gone, as in contains_elements."""
-    return _near(members, gone, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_anti", kind)
+    return near(members, gone, epsilon, ["cell_name", *EXACT[kind]] if keys is None else keys, "left_anti", kind)
 
 
 def counts(cells: DataFrame, polygons: DataFrame, paths: DataFrame, references: DataFrame, texts: DataFrame) -> DataFrame:
@@ -104,31 +110,6 @@ def cell_text(counted: DataFrame) -> DataFrame:
     return counted.withColumn("shown", F.format_string("Cell: %s with %d polygons, %d paths, %d references, and %d texts", "cell_name", *[f"n_{k}" for k in KINDS]))
 
 
-def _ranked(t: DataFrame) -> DataFrame:
-    """Elements with their place in their cell; only keys are sorted."""
-    order = [F.col(c) for c in ("elem_seq", "elem_id") if c in t.columns]
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("cell_name").orderBy(*order)))
-
-
-def unequal_elements(left: DataFrame, right: DataFrame, kind: str, epsilon: float = P.EPSILON) -> DataFrame:
-    """(cell_name, place) where two tables of a kind differ: elements are held against each other by their place in the
-    cell, one by one, so that no cell is ever gathered."""
-    cols = [*EXACT[kind], CLOSE[kind]]
-    a = _ranked(left).select("cell_name", "place", *[F.col(c).alias(f"a_{c}") for c in cols], F.lit(True).alias("in_a"))
-    b = _ranked(right).select("cell_name", "place", *[F.col(c).alias(f"b_{c}") for c in cols], F.lit(True).alias("in_b"))
-    same = F.col("in_a") & F.col("in_b") & _close(kind, F.col(f"a_{CLOSE[kind]}"), F.col(f"b_{CLOSE[kind]}"), epsilon)
-    for c in EXACT[kind]:
-        if c != "target_elem_id":  # ids are a library's own; the targets are elements of it like others
-            same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    return a.join(b, ["cell_name", "place"], "full_outer").where(~F.coalesce(same, F.lit(False))).select("cell_name", "place")
-
-
-def unequal_cells(left: dict[str, DataFrame], right: dict[str, DataFrame], epsilon: float = P.EPSILON) -> DataFrame:
-    """Names of cells whose elements differ in some kind."""
-    parts = [unequal_elements(left[k].where("cell_name is not null"), right[k].where("cell_name is not null"), k, epsilon).select("cell_name") for k in KINDS]
-    return reduce(DataFrame.union, parts).distinct()
-
-
 def shown(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """(cell_name, elem_id, text, repr) of the elements of each kind, and (cell_name, text, repr) of the cells."""
     c, key = F.col, ["cell_name", "elem_id"]

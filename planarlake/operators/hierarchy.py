@@ -166,6 +166,26 @@ def deepest(references: DataFrame, roots: DataFrame) -> int:
     return max((depth[t] for t in tops), default=0)
 
 
+def above(references: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_name) of all cells over the given ones (cell_name), references to references followed; cycles fail."""
+    references = with_nested(references)
+    edges = references.where("target_kind = 'cell' and target_cell is not null").select("cell_name", "target_cell").distinct()
+    few = edges.limit(WALKED + 1).collect()
+    if len(few) > WALKED:
+        up = closure(references).join(cells.select(F.col("cell_name").alias("below")), "below", "left_semi").select("cell_name").distinct()
+        return up.where(~F.col("cell_name").startswith(NESTED))
+    over: dict[str, list[str]] = {}
+    for r in few:
+        over.setdefault(r.target_cell, []).append(r.cell_name)
+    todo = [r.cell_name for r in cells.join(edges, cells.cell_name == edges.target_cell, "left_semi").select("cell_name").distinct().collect()]
+    found: set[str] = set()
+    while todo:
+        new = [x for x in over.get(todo.pop(), ()) if x not in found]
+        found.update(new)
+        todo += new
+    return references.sparkSession.createDataFrame([(x,) for x in sorted(found) if not x.startswith(NESTED)], "cell_name string")
+
+
 def placements(roots: DataFrame, references: DataFrame, depth: int | None = None) -> DataFrame:
     """Every copy of every cell under the roots (column root) down to depth references (None: all), the roots included.
 

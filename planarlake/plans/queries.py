@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions import point as P
 from ..functions import ring as R
 from ..functions import text as X
 from ..library import Library, polygon
-from ..operators import boxes, catalog, filters, hierarchy, spatial
+from ..operators import boxes, catalog, equality, filters, hierarchy, spatial
 from ..sources import gds
 from ..staging import shared_dir
 from . import fixtures as D
@@ -407,7 +408,7 @@ def library_remove(spark, sf_dir):
 def library_equality(spark, sf_dir):
     """Places where cells differ if every seventh polygon is missing."""
     p = D.leaf_polygons(spark, sf_dir)
-    return catalog.unequal_elements(p, p.where("elem_id % 7 <> 0"), "polygons")
+    return equality.unequal_elements(p, p.where("elem_id % 7 <> 0"), "polygons")
 
 
 AT = ("ox + col * sxx + rw * syx", "oy + col * sxy + rw * syy")
@@ -556,13 +557,64 @@ def grid_repr(spark, sf_dir):
     return D.references(spark, sf_dir).select("elem_id", G.to_repr(c("grid")).alias("repr"))
 
 
-@query(f"WITH {D.CELLS}, {D.LEAVES} SELECT cell_name FROM cells WHERE cell_name NOT IN (SELECT cell_name FROM leaves WHERE elem_id % 40 = 0)")
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {REACH} SELECT cell_name FROM cells WHERE cell_name NOT IN (SELECT r.cell_name FROM reach r JOIN leaves l ON r.below = l.cell_name WHERE l.elem_id % 40 = 0)")
 def library_contains(spark, sf_dir):
-    """Cells that are equal where polygons have moved by less than epsilon, and some by more."""
+    """Cells that are equal, with all under them, where polygons have moved by less than epsilon, and some by more."""
     moved = D.leaf_polygons(spark, sf_dir).withColumn("points", R.move_by(c("points"), P.point(F.when(c("elem_id") % 40 == 0, 0.01).otherwise(0.00004), 0.0)))
     return _library(spark, sf_dir).contains(_library(spark, sf_dir, polygons=moved))
 
 
+def _placed(spark, sf_dir, shift: int, far: float):
+    """Each leaf polygon under another id, of no cell, with a reference to it in the top cell and one to that reference
+    in a cell of its own; every third one is moved by far."""
+    p = D.leaf_polygons(spark, sf_dir)
+    moved = R.move_by(c("points"), P.point(F.when(c("elem_id") % 3 == 0, far).otherwise(0.00004), 0.0))
+    own = p.withColumn("points", moved).withColumn("cell_name", F.lit(None).cast("string")).withColumn("elem_id", c("elem_id") + shift)
+    grid = G.grid(P.point(c("elem_id") - shift, 7), 2, 1, (3, 0), (0, 0), 1, 90)
+    ref = lambda cell, i, kind, target: own.select(F.lit(cell).alias("cell_name"), i.alias("elem_id"), F.lit(kind).alias("target_kind"), F.lit(None).cast("string").alias("target_cell"), target.alias("target_elem_id"), grid.alias("grid"))
+    inner = ref("TOP", c("elem_id") + 10**6, "polygon", c("elem_id"))
+    outer = ref("OUTER", c("elem_id") + 2 * 10**6, "reference", c("elem_id") + 10**6)
+    return _library(spark, sf_dir, polygons=p.unionByName(own), references=D.references(spark, sf_dir).unionByName(inner).unionByName(outer))
+
+
+@query("SELECT cell_name, s_suppkey AS elem_id FROM supplier, (VALUES ('TOP'), ('OUTER')) t(cell_name) WHERE s_suppkey % 3 <> 0")
+def references_by_value(spark, sf_dir):
+    """References (and references to references) whose targets equal those of members, under other ids."""
+    lib, other = _placed(spark, sf_dir, 10**7, 0.0), _placed(spark, sf_dir, 2 * 10**7, 0.01)
+    found = lib.contains_elements(targets=other, references=other.references.where("target_kind <> 'cell'"))["references"]
+    return found.select("cell_name", (c("elem_id") - F.when(c("cell_name") == "TOP", 2 * 10**7 + 10**6).otherwise(2 * 10**7 + 2 * 10**6)).alias("elem_id"))
+
+
+@query("SELECT s_suppkey AS elem_id FROM supplier WHERE s_suppkey % 3 = 0")
+def remove_by_value(spark, sf_dir):
+    """References left in the outer cell after those went whose targets are equal by value."""
+    lib, other = _placed(spark, sf_dir, 10**7, 0.0), _placed(spark, sf_dir, 2 * 10**7, 0.01)
+    left = lib.remove_elements(targets=other, references=other.references.where("cell_name = 'OUTER'")).references
+    return left.where("cell_name = 'OUTER'").select((c("elem_id") - (10**7 + 2 * 10**6)).alias("elem_id"))
+
+
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE elem_id % 40 = 7) SELECT cell_name FROM cells WHERE cell_name IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name)")
+def library_differences(spark, sf_dir):
+    """Cells that differ because a reference in them, or under them, targets another polygon."""
+    def with_targets(far):
+        p = D.leaf_polygons(spark, sf_dir).where("elem_id % 40 = 7")
+        own = p.withColumn("points", R.move_by(c("points"), (far, 0))).withColumn("cell_name", F.lit(None).cast("string")).withColumn("elem_id", c("elem_id") + 10**7)
+        refs = p.select("cell_name", (c("elem_id") + 10**6).alias("elem_id"), F.lit("polygon").alias("target_kind"), F.lit(None).cast("string").alias("target_cell"), (c("elem_id") + 10**7).alias("target_elem_id"), G.grid().alias("grid"))
+        return _library(spark, sf_dir, polygons=D.leaf_polygons(spark, sf_dir).unionByName(own), references=D.references(spark, sf_dir).unionByName(refs))
+
+    return with_targets(0.0).differences(with_targets(0.5))
+
+
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, off AS (SELECT cell_name FROM leaves WHERE NOT {D.MOST_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 2, 3)), good AS (SELECT elem_id, cell_name, target_cell FROM refs WHERE target_cell NOT IN (SELECT r.cell_name FROM reach r JOIN off ON r.below = off.cell_name)), "
+       "region_copies AS (SELECT target_cell AS cell_name, cols * rws AS n FROM refs WHERE cell_name = 'TOP') "
+       "SELECT 0 AS depth, elem_id, 1::BIGINT AS n FROM good WHERE cell_name = 'TOP' UNION ALL SELECT 1, elem_id, n::BIGINT FROM good JOIN region_copies USING (cell_name)")
+def cell_elements(spark, sf_dir):
+    """References among the elements of the top cell on some layers, at depth 0 and 1: those that are on them as a whole."""
+    lib = _library(spark, sf_dir)
+    parts = [lib.elements("TOP", *D.MOST, depth=k).references.groupBy("elem_id").count().select(F.lit(k).alias("depth"), "elem_id", c("count").alias("n")) for k in (0, 1)]
+    return parts[0].union(parts[1])
+
+
 @query(f"""WITH {D.LEAF_TEXTS}, {D.REFS}, {D.PATHS} SELECT 'text' AS kind, elem_id FROM leaf_texts a WHERE NOT EXISTS (SELECT 1 FROM leaf_texts b WHERE b.elem_id % 3 = 0 AND a.cell_name = b.cell_name AND a.layer = b.layer AND a."text" = b."text" AND a.x = b.x AND a.y = b.y AND a.magnification = b.magnification AND a.angle = b.angle)
   UNION ALL SELECT 'reference', elem_id FROM refs WHERE elem_id % 2 = 1 UNION ALL SELECT 'path', elem_id FROM paths WHERE elem_id % 3 <> 0""")
 def cell_remove_kinds(spark, sf_dir):
@@ -640,12 +692,17 @@ def library_flatten(spark, sf_dir):
     return _library(spark, sf_dir).flatten().counts()
 
 
-@query("SELECT * FROM (VALUES ('same', true), ('close', true), ('apart', false), ('other name', false), ('fewer', false)) t(other, equal)")
+_EQUAL = """(SELECT count(*) FROM leaves a JOIN leaves b USING (elem_id) WHERE round(abs(a.x0 - (b.x0 + {0})) * 1e10) / 1e10 >= 1e-4) = 0"""
+
+
+@query(f"""WITH {D.LEAVES}, {D.LEAF_TEXTS} SELECT 'same' AS other, {_EQUAL.format('0.0')} AS equal UNION ALL SELECT 'close', {_EQUAL.format('0.00004')} UNION ALL SELECT 'apart', {_EQUAL.format('0.01')} UNION ALL
+  SELECT 'fewer', (SELECT count(*) FROM leaf_texts WHERE elem_id % 7 = 0) = 0""")
 def library_equals(spark, sf_dir):
+    """Whether libraries have no differences."""
     lib = _library(spark, sf_dir)
     moved = lambda v: replace(lib, polygons=lib.polygons.withColumn("points", R.move_by(c("points"), (v, 0))))
-    others = {"same": lib, "close": moved(0.00004), "apart": moved(0.01), "other name": replace(lib, name="other"), "fewer": replace(lib, texts=lib.texts.where("elem_id % 7 <> 0"))}
-    return spark.createDataFrame([(k, lib.equals(v)) for k, v in others.items()], "other string, equal boolean")
+    others = {"same": lib, "close": moved(0.00004), "apart": moved(0.01), "fewer": replace(lib, texts=lib.texts.where("elem_id % 7 <> 0"))}
+    return reduce(DataFrame.union, [lib.differences(v).agg((F.count(F.lit(1)) == 0).alias("equal")).select(F.lit(k).alias("other"), "equal") for k, v in others.items()])
 
 
 @query("SELECT r_name AS cell_name, 0::BIGINT AS n_polygons, 1::BIGINT AS cells FROM region WHERE r_name = 'EUROPE' UNION ALL SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey), 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")

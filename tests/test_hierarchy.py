@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from planarlake.functions import grid as G
 from planarlake.functions import point as P
 from planarlake.functions import ring as R
-from planarlake.operators import catalog, filters, hierarchy, spatial
+from planarlake.operators import catalog, equality, filters, hierarchy, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,8 +274,8 @@ def test_catalog(spark):
     assert catalog.contains_elements(mine, near, keys).count() == 1 and catalog.contains_elements(mine, far, keys).count() == 0
     assert [r.elem_id for r in catalog.remove_elements(mine, near, keys).collect()] == [2]
     assert filters.is_on(mine, [(1, 0)]).count() == 1 and filters.is_on(mine, []).count() == 2
-    assert catalog.unequal_elements(mine, mine, "polygons").count() == 0
-    assert [tuple(r) for r in catalog.unequal_elements(mine, near, "polygons").collect()] == [("a", 2)]
+    assert equality.unequal_elements(mine, mine, "polygons").count() == 0
+    assert [tuple(r) for r in equality.unequal_elements(mine, near, "polygons").collect()] == [("a", 2)]
 
 
 def test_large_arrays_are_dealt_out(spark, monkeypatch):

@@ -53,7 +53,8 @@ def test_equality_and_membership(spark):
     lib = make(spark)
     shift = lambda v, **k: replace(lib, polygons=lib.polygons.withColumn("points", L.R.move_by(L.c("points"), (v, 0))), **k)
     assert lib.equals(shift(0.00005)) and not lib.equals(shift(0.001)) and not lib.equals(shift(0.0, name="other"))
-    assert sorted(r.cell_name for r in lib.contains(shift(0.001)).collect()) == ["none", "top"]
+    assert sorted(r.cell_name for r in lib.contains(shift(0.001)).collect()) == ["none"]  # the top cell places what has moved
+    assert sorted(r.cell_name for r in lib.contains(shift(0.001), epsilon=0.01).collect()) == ["low", "none", "top"] and lib.equals(shift(0.001), epsilon=0.01)
     assert sorted(r.cell_name for r in lib.contains(replace(lib, texts=lib.texts.limit(0), references=lib.references.withColumn("grid", G.move_by(L.c("grid"), (1, 0))))).collect()) == ["none"]
     # Places count, not the numbers that order them.
     assert lib.equals(replace(lib, paths=lib.paths.withColumn("elem_seq", L.c("elem_seq") + 70)))
@@ -70,6 +71,83 @@ def test_equality_and_membership(spark):
     assert all(v.count() == 0 for v in lib.contains_elements(**other).values())
 
 
+def _own(lib, kind, target, elem_id, cell="top"):
+    """The library's reference as one to an element."""
+    null = lambda kind: lit(None).cast(kind)
+    r = lib.references.where("target_kind = 'cell'").withColumn("target_kind", lit(kind)).withColumn("target_cell", null("string"))
+    return r.withColumn("target_elem_id", lit(target).cast("long")).withColumn("elem_id", lit(elem_id).cast("long")).withColumn("elem_seq", lit(elem_id).cast("long")).withColumn("cell_name", lit(cell) if cell else null("string"))
+
+
+def _target(spark, elem_id, layer, moved=0.0):
+    key = [lit(None).cast("string").alias("cell_name"), lit(elem_id).cast("long").alias("elem_id"), lit(elem_id).cast("long").alias("elem_seq")]
+    return spark.range(1).select(*key, *L.polygon([(moved, 0), (moved + 1, 0), (moved + 1, 1)], layer, 0))
+
+
+def test_equality_through_references(spark):
+    lib = make(spark)
+    with_target = lambda i, layer, moved=0.0: lib.add_elements(polygons=_target(spark, i, layer, moved), references=_own(lib, "polygon", i, i + 100))
+    nested = lambda i, layer: with_target(i, layer).add_elements(references=_own(lib, "reference", i + 100, i + 200, None).unionByName(_own(lib, "reference", i + 200, i + 300, "none")))
+    one = with_target(50, 1)
+    assert one.equals(with_target(60, 1)) and one.equals(with_target(60, 1, 0.00005))
+    assert not one.equals(with_target(50, 7)) and not one.equals(with_target(50, 1, 0.01)) and not one.equals(lib)
+    assert sorted(r.cell_name for r in one.contains(with_target(60, 7)).collect()) == ["low", "none"]
+    deep = nested(50, 1)
+    assert deep.equals(nested(70, 1))
+    assert sorted(r.cell_name for r in deep.differences(nested(70, 2)).collect()) == ["none", "top"]
+    # Membership finds equal targets under other ids, of the same library and of another one.
+    ref = _own(lib, "polygon", 60, 1)
+    both = one.add_elements(polygons=_target(spark, 60, 1))
+    assert both.contains_elements(references=ref)["references"].count() == 1
+    assert both.remove_elements(references=ref).references.count() == 1
+    assert one.contains_elements(references=ref, targets=with_target(60, 1))["references"].count() == 1
+    assert one.contains_elements(references=ref, targets=with_target(60, 2))["references"].count() == 0
+    assert one.contains_elements(references=ref, targets=lib)["references"].count() == 0  # no such target
+    other = nested(70, 1)
+    assert deep.contains_elements(references=other.references.where("cell_name = 'none'"), targets=other)["references"].count() == 1
+    assert deep.contains_elements(references=nested(70, 2).references.where("cell_name = 'none'"), targets=nested(70, 2))["references"].count() == 0
+    # A cell of another library is only equal if all in it is.
+    from dataclasses import replace
+
+    changed = replace(lib, texts=lib.texts.limit(0))
+    assert lib.contains_elements(references=lib.references)["references"].count() == 1
+    assert lib.contains_elements(references=changed.references, targets=changed)["references"].count() == 0
+
+
+def test_references_that_target_themselves(spark):
+    lib = make(spark)
+    loop = lib.add_elements(references=_own(lib, "reference", 20, 20))
+    with pytest.raises(ValueError):
+        loop.equals(loop)
+
+
+def test_places_of_a_large_cell(spark, monkeypatch):
+    """Numbered over many tasks, places are what one task gives."""
+    from planarlake.operators import equality
+
+    n = 500
+    rows = spark.range(n, numPartitions=5).select(F.when(L.c("id") % 50 == 0, lit("few")).otherwise(lit("many")).alias("cell_name"), (L.c("id") * 7 % n).alias("elem_seq"), L.c("id").alias("elem_id"))
+    want = sorted(tuple(r) for r in equality.ranked(rows).select("cell_name", "elem_id", "place").collect())
+    monkeypatch.setattr(equality, "ONE_TASK", 10)
+    assert sorted(tuple(r) for r in equality.ranked(rows).select("cell_name", "elem_id", "place").collect()) == want
+    assert sorted(p for c, _, p in want if c == "many") == list(range(1, 491))
+
+
+def test_names_that_repeat(spark):
+    lib = make(spark)
+    twice = spark.createDataFrame([("q", 5), ("q", 6)], "cell_name string, cell_seq long")
+    with pytest.raises(ValueError, match="q"):
+        lib.add(twice)
+    assert [tuple(r) for r in lib.add(twice, replace_pre_existing=True).cells.where("cell_name = 'q'").collect()] == [("q", 6)]
+
+
+def test_elements_at_depth_0(spark):
+    lib = make(spark)
+    assert lib.elements("top", depth=0).references.count() == 1
+    assert lib.elements("top", (9, 9), depth=0).references.count() == 0 and lib.elements("top", (3, 1), depth=0).references.count() == 1
+    deep = lib.add_elements(references=_own(lib, "reference", 4, 30, "none"))
+    assert deep.elements("none", (3, 1), depth=1).references.count() == 25 and deep.elements("none", (9, 9), depth=1).references.count() == 0
+
+
 def test_shown(spark):
     shown = {k: v.collect() for k, v in make(spark).shown().items()}
     grid = "Grid at (10, 0) with 5 columns and 5 rows, spacing ((2, 0), (0, 2)), magnification 1.0, angle 0.0, x_reflection false"
