@@ -11,11 +11,13 @@ counts of the tasks before.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +26,21 @@ from . import common as C
 #: White space of one byte, and the other white space that the vocabulary's pre-tokens know, as UTF-8 (fixed values).
 ASCII_SPACE = [9, 10, 11, 12, 13, 32]
 WIDE_SPACE = "\x85\xa0                　"
-#: Distinct stretches whose ids a worker keeps, and ids of these; longer stretches are not kept.
-MEMORY, IDS, LONG = 400_000, 4_000_000, 256
+#: Kinds of one-byte characters between which pre-tokens end, going on from one to another of the first three; not after an
+#: apostrophe, which can begin a pre-token with the letters behind it, nor before one that belongs to what stands before.
+LETTER, DIGIT, OTHER, QUOTE = 1, 2, 3, 4
+#: Distinct stretches whose ids a worker keeps, ids of these and bytes; stretches that the library gets at a time.
+MEMORY, IDS, CHARS, ASKED = 800_000, 5_000_000, 1 << 24, 4_000
 #: Bits of a rank in the keys that ranks are looked up by.
 RANK = 44
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct stretch between white space.
+    """Ids of whole texts by the tokenizers library, which is asked once for each distinct stretch.
 
-    No pre-token of a byte-level vocabulary reaches over a place where white space follows something else, so texts fall
-    apart there, and so do their ids. Stretches are told apart by their bytes.
+    No pre-token of a byte-level vocabulary reaches over a place where white space follows something else, or where plain
+    letters, digits and other signs meet, so texts fall apart there, and so do their ids. Stretches are told apart by their bytes. New ones are handed over many at a time,
+    with a special token between them, which comes back as an id of its own.
     """
 
     def __init__(self, model: str, end_id: int) -> None:
@@ -43,57 +49,81 @@ class Encoder:
         self.lib, self.end_id = Tokenizer.from_str(model), end_id
         self.space = np.zeros(256, bool)
         self.space[ASCII_SPACE] = True
+        self.kind = np.zeros(256, np.uint8)
+        for kind, some in ((LETTER, [*range(65, 91), *range(97, 123)]), (DIGIT, range(48, 58)), (OTHER, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), (QUOTE, [39])):
+            self.kind[list(some)] = kind
         wide = [c.encode() for c in WIDE_SPACE]
         self.wide2 = np.array([c[0] << 8 | c[1] for c in wide if len(c) == 2])
         self.wide3 = np.array([c[0] << 16 | c[1] << 8 | c[2] for c in wide if len(c) == 3])
+        added = json.loads(model)["added_tokens"]
+        self.special = [t["content"].encode() for t in added]
+        plain = [t for t in added if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        # None that could also be read from its own end on, or from within a stretch.
+        self.between = next(((t["content"].encode(), t["id"]) for t in plain if not any(t["content"].endswith(t["content"][:k]) for k in range(1, len(t["content"])))), None)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1024, np.int64)
-        self.n = self.used = 0
-        self.add([[self.end_id]])  # stretch 0 is what ends a document
-
-    def add(self, ids: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.n + len(ids) > len(self.size):
-            self.size, self.start = np.concatenate((self.size, self.size)), np.concatenate((self.start, self.start))
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(total, len(self.flat)), np.uint32)))
-        self.size[self.n : self.n + len(ids)] = sizes
-        self.start[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.n += len(ids)
-        self.used += total
+        self.known = pa.array([], pa.large_binary())
+        self.size, self.flat, self.used, self.chars = np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0, 0
+        self.start = np.zeros(0, np.int64)
+        self.add(np.array([self.end_id], np.uint32), np.array([1]))  # stretch 0 is what ends a document
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)))
+        self.start = np.concatenate((self.start, self.used + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where stretches begin: at texts' starts, and where white space follows something else."""
         space = self.space[data]
-        at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:-1] = space[1:] & ~space[:-1]
+        at = np.flatnonzero(begins)
         odd = data[at - 1] >= 0x80  # the end of wide white space?
         if odd.any():
             far = at[odd]
             d = [data[np.maximum(far - k, 0)].astype(np.int64) for k in (1, 2, 3)]
             ended = np.isin(d[1] << 8 | d[0], self.wide2) | np.isin(d[2] << 16 | d[1] << 8 | d[0], self.wide3)
-            at = np.delete(at, np.flatnonzero(odd)[ended])
-        starts = offs[:-1][offs[:-1] < offs[1:]]
-        return np.union1d(at, starts)
-
-    def learn(self, words: list[bytes]) -> np.ndarray:
+            begins[far[ended]] = False
+        kind = self.kind[data]
+        now, before = kind[1:], kind[:-1]
+        begins[1:-1] |= (now != before) & (now > 0) & (before > 0) & (before != QUOTE) & ~((now == QUOTE) & (before == OTHER))
+        body = data.tobytes()
+        for t in self.special:  # stays in one stretch
+            i = body.find(t)
+            while i >= 0:
+                begins[i + 1 : i + len(t)] = False
+                i = body.find(t, i + 1)
+        begins[offs] = True
+        begins[-1] = False
+        return np.flatnonzero(begins)
+
+    def ask(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches on end, and how many each has."""
+        text = self.between[0].join(new) if self.between else b""
+        if not self.between or text.count(self.between[0]) != len(new) - 1:  # some have it themselves
+            ids = [self.lib.encode(w.decode(), add_special_tokens=False).ids for w in new]
+            return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = np.array(self.lib.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        at = np.flatnonzero(ids == self.between[1])
+        return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+
+    def learn(self, words: pa.Array) -> np.ndarray:
         """Numbers of these stretches; the library is asked for those that are new."""
-        if self.n > MEMORY or self.used > IDS:
+        if len(self.size) > MEMORY or self.used > IDS or self.chars > CHARS:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        asked = self.lib.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        n = self.n
-        self.add([e.ids for e in asked])
-        self.known.update((w, n + i) for i, w in enumerate(new))
-        out = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        for w in new:
-            if len(w) > LONG:
-                del self.known[w]
+        at = pc.index_in(words, self.known)
+        new = words.filter(at.is_null())
+        out = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        if len(new):
+            out[at.is_null().to_numpy(zero_copy_only=False)] = len(self.size) + np.arange(len(new))
+            for i in range(0, len(new), ASKED):
+                self.add(*self.ask(new.slice(i, ASKED).to_pylist()))
+            self.known = pa.concat_arrays([self.known, new])
+            self.chars += int(pc.sum(pc.binary_length(new)).as_py())
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +133,7 @@ class Encoder:
         ends = np.concatenate((at, [len(data)])).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
-        number = self.learn(coded.dictionary.to_pylist())
+        number = self.learn(coded.dictionary)
         stretch = number[coded.indices.to_numpy(zero_copy_only=False)] if len(at) else np.zeros(0, np.int64)
         last = np.searchsorted(at, offs[1:])  # stretches before each text's end
         stretch = np.insert(stretch, last, 0)
