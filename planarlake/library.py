@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,12 @@ class Library:
 
     @staticmethod
     def from_gds(spark: SparkSession, path: str, round_digits: int | None = None) -> Library:
+        """The library of one file, with its name. Several files are several libraries: Libraries reads these."""
         t = gds.read(spark, path, round_digits)
-        return Library(t["cells"].select("cell_name", "cell_seq"), **{k: t[k].drop("path", "lib_id", "cell_seq") for k in TABLES})
+        named = t["libraries"].limit(2).collect()
+        if len({r.path for r in named}) > 1:
+            raise ValueError(f"{path} has more than one file; Libraries.from_gds keeps them apart")
+        return Library(t["cells"].select("cell_name", "cell_seq"), **{k: t[k].drop("path", "lib_id", "cell_seq") for k in TABLES}, name=named[0].lib_id if named else "Library")
 
     def tables(self) -> dict[str, DataFrame]:
         return {"cells": self.cells} | {k: getattr(self, k) for k in TABLES}
@@ -189,6 +194,107 @@ class Library:
         return f"Library({self.name})"
 
 
+#: What stands around the library in the names of cells of several libraries; no file has such names.
+MARK = "\1"
+
+
+@dataclass(frozen=True)
+class Libraries:
+    """Many libraries in one set of tables, kept apart by the key that each has (the path of its file).
+
+    Cells of one name in different libraries are different cells: names are keyed by library while operators run, and both
+    come out as columns, library and cell_name. names: (library, name).
+    """
+
+    keyed: Library
+    names: DataFrame
+
+    @staticmethod
+    def from_gds(spark: SparkSession, path: str, round_digits: int | None = None) -> Libraries:
+        """The libraries of all files at a path or pattern."""
+        t = gds.read(spark, path, round_digits)
+        of = lambda k: _keyed(t[k], "path").drop("lib_id", *(["cell_seq"] if k != "cells" else []))
+        return Libraries(Library(of("cells"), **{k: of(k) for k in TABLES}), t["libraries"].select(c("path").alias("library"), c("lib_id").alias("name")))
+
+    @staticmethod
+    def of(libraries: dict[str, Library]) -> Libraries:
+        """Some libraries by their keys. Elements' ids must differ between them where references target elements."""
+        one = next(iter(libraries.values()))
+        every = lambda k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_keyed(v.tables()[k].withColumn("library", F.lit(key)), "library") for key, v in libraries.items()])
+        names = one.cells.sparkSession.createDataFrame([(k, v.name) for k, v in libraries.items()], "library string, name string")
+        return Libraries(Library(every("cells"), **{k: every(k) for k in TABLES}), names)
+
+    def library(self, key: str) -> Library:
+        """One of the libraries."""
+        own = lambda d: _parted(d).where(c("library") == key).drop("library")
+        name = self.names.where(c("library") == key).select("name").first()
+        t = {k: own(v) for k, v in self.keyed.tables().items()}
+        t["references"] = t["references"].withColumn("target_cell", _bare(c("target_cell")))
+        return Library(**t, name=name.name if name else "Library")
+
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables, with library and cell_name."""
+        out = {k: _parted(v) for k, v in self.keyed.tables().items()}
+        return out | {"references": out["references"].withColumn("target_cell", _bare(c("target_cell")))}
+
+    def flatten(self, *pairs: tuple[int, int], depth: int | None = None) -> Libraries:
+        return replace(self, keyed=self.keyed.flatten(*pairs, depth=depth))
+
+    def bounding_boxes(self) -> DataFrame:
+        return _parted(self.keyed.bounding_boxes())
+
+    def is_on(self, pairs: filters.Pairs) -> DataFrame:
+        return _parted(self.keyed.is_on(pairs))
+
+    def counts(self) -> DataFrame:
+        return _parted(self.keyed.counts())
+
+    def empty_cells(self) -> DataFrame:
+        return _parted(self.keyed.empty_cells())
+
+    def reachable(self) -> DataFrame:
+        return _parted(self.keyed.reachable()).withColumn("below", _bare(c("below")))
+
+    def shown(self) -> dict[str, DataFrame]:
+        plain = lambda d: d.withColumns({k: F.regexp_replace(k, f"{MARK}[^{MARK}]*{MARK}", "") for k in ("text", "repr")})
+        return {k: plain(_parted(v)) for k, v in self.keyed.shown().items()}
+
+    def differences(self, other: Libraries, epsilon: float = P.EPSILON) -> DataFrame:
+        """(library, cell_name) of cells that differ between libraries of the same key, or that only one side has."""
+        return _parted(self.keyed.differences(other.keyed, epsilon))
+
+    def move_by(self, vector) -> Libraries:
+        return replace(self, keyed=self.keyed.move_by(vector))
+
+    def move_to(self, target) -> Libraries:
+        return replace(self, keyed=self.keyed.move_to(target))
+
+    def rotate(self, angle, centre=(0, 0)) -> Libraries:
+        return replace(self, keyed=self.keyed.rotate(angle, centre))
+
+    def scale(self, factor, centre=(0, 0)) -> Libraries:
+        return replace(self, keyed=self.keyed.scale(factor, centre))
+
+    def to_gds(self, key: str, path: str, units: float = 1e-6, precision: float = 1e-10) -> str:
+        """One of the libraries as a file."""
+        return self.library(key).to_gds(path, units, precision)
+
+
+def _keyed(t: DataFrame, library: str) -> DataFrame:
+    """A table whose cells' names carry the library (a column, which goes)."""
+    name = lambda k: F.concat(F.lit(MARK), c(library), F.lit(MARK), c(k))
+    return t.withColumns({k: name(k) for k in ("cell_name", "target_cell") if k in t.columns}).drop(library)
+
+
+def _bare(name: Column) -> Column:
+    return F.when(name.startswith(MARK), F.split_part(name, F.lit(MARK), F.lit(3))).otherwise(name)
+
+
+def _parted(t: DataFrame) -> DataFrame:
+    """The opposite of _keyed: library and cell_name."""
+    return t.select(F.split_part("cell_name", F.lit(MARK), F.lit(2)).alias("library"), _bare(c("cell_name")).alias("cell_name"), *[k for k in t.columns if k != "cell_name"])
+
+
 def polygon(points, layer: Column | int = 0, data_type: Column | int = 0) -> list[Column]:
     """Columns of a polygon row: a closed ring on a checked layer."""
     kind = data_type if isinstance(data_type, Column) else F.lit(data_type)

@@ -14,7 +14,7 @@ from ..functions import path as H
 from ..functions import point as P
 from ..functions import ring as R
 from ..functions import text as X
-from ..library import Library, polygon
+from ..library import Libraries, Library, polygon
 from ..operators import boxes, catalog, equality, filters, hierarchy, spatial
 from ..sources import gds
 from ..staging import shared_dir
@@ -755,6 +755,18 @@ def gds_file_roundtrip(spark, sf_dir):
     return at("polygon", polygons, c("layer"), c("i"), c("v")).union(at("text", back.texts, c("text"), F.lit(0), c("origin"))).union(at("reference", back.references, c("target_cell"), F.lit(0), c("grid.origin")))
 
 
+@query(f"""WITH {D.LEAVES}, {WALK}, lib AS (SELECT * FROM (VALUES ('even', 0), ('odd', 1)) t(library, k)) SELECT library, elem_id, layer, i::INT AS i, {s6('a * x + b * y + tx')} AS x, {s6('c * x + d * y + ty')} AS y
+  FROM lib, walk w JOIN corners p ON w.cell_name = p.cell_name WHERE elem_id % 2 = k""")
+def gds_libraries(spark, sf_dir):
+    """Two files with the same cells, one with the even polygons and one with the odd ones, read by a pattern and flattened."""
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for k, name in enumerate(("even", "odd")):
+        _library(spark, sf_dir, polygons=D.leaf_polygons(spark, sf_dir).where(c("elem_id") % 2 == k).withColumn("data_type", c("elem_id").cast("int"))).to_gds(f"{at}/{name}.gds")
+    flat = Libraries.from_gds(spark, f"{at}/*.gds").flatten().tables()["polygons"].where("cell_name = 'TOP'")
+    library = F.regexp_extract("library", "([a-z]+)[.]gds$", 1)
+    return vertices(flat.select(library.alias("library"), c("data_type").cast("long").alias("elem_id"), "layer", "points"), c("points"), "library", "elem_id", "layer")
+
+
 @query(f"WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.CELLS}, {D.REFS} SELECT 'Cell: ' || cell_name || ' with ' || (SELECT count(*) FROM leaves l WHERE l.cell_name = x.cell_name) || ' polygons, 0 paths, ' || (SELECT count(*) FROM refs r WHERE r.cell_name = x.cell_name) || ' references, and ' || (SELECT count(*) FROM leaf_texts t WHERE t.cell_name = x.cell_name) || ' texts' AS shown FROM cells x")
 def cell_repr(spark, sf_dir):
     return catalog.cell_text(cell_counts(spark, sf_dir)).select("shown")

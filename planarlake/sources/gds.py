@@ -1,14 +1,17 @@
 """Reading and writing GDSII files as tables.
 
-Files are read whole, a task a file (a record means something only after the ones before it), from any store that Spark
-reads, and decoded once: rows are written to the shared folder, and their ids with them. Writing encodes elements on the
-executors, puts them in file order by a range sort and joins them to pieces of some megabytes there; the driver only
-appends the pieces to the one file.
+Files are read in parts (gds_parts), many tasks a file, from any store that Spark reads, and decoded once: rows are written
+to the shared folder, and their ids with them. Writing encodes elements on the executors, puts them in file order by a range
+sort, and leaves the file's parts to Spark's committer; then they are joined in the JVM under another name, which becomes
+the file's own at the end. What goes wrong before leaves no file.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import grid as G
 from ..functions import point as P
 from ..operators import hierarchy
-from ..staging import staged
+from ..staging import shared_dir, staged
 from . import gds_codec as K
+from . import gds_parts
 
 ELEMENT = (
     "path string, kind string, lib_id string, cell_name string, cell_seq long, elem_seq long, layer int, data_type int, path_type int, width double, "
@@ -36,6 +40,9 @@ ARROW = pa.schema(
         ("spacing_x", _XY), ("spacing_y", _XY), ("target_cell", pa.string()),
     ]
 )
+#: Where the end of a cell stands in its order, and the tables of the kinds of element.
+END_OF_CELL = 99
+TABLE_KINDS = (("paths", "path"), ("polygons", "polygon"), ("texts", "text"), ("references", "reference"))
 #: Rows of one Arrow batch, and bytes of a piece of a file.
 BATCH, PIECE = 4096, 8 << 20
 
@@ -64,9 +71,9 @@ def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
-def _batches(path: str, data: bytes, digits: int | None):
+def _batched(path: str, events) -> Iterator[pa.RecordBatch]:
     rows, unit = [], None
-    for e in K.decode_raw(data, digits):
+    for e in events:
         now = (e["unit"], e["digits"]) if "xy" in e else unit
         if len(rows) == BATCH or rows and unit is not None and now != unit:  # units may change within a file
             yield _batch(path, rows)
@@ -77,27 +84,39 @@ def _batches(path: str, data: bytes, digits: int | None):
         yield _batch(path, rows)
 
 
+def _batches(path: str, data: bytes, digits: int | None):
+    return _batched(path, K.decode_raw(data, digits))
+
+
 def read_rows(spark: SparkSession, path: str, round_digits: int | None = None) -> DataFrame:
-    """All rows of the files at a path or pattern; kind tells what each one is."""
+    """All rows of the files at a path or pattern; kind tells what each one is. A task reads a split of a file, however
+    large the file is; what it has to know of the splits before is found in a pass over the files beforehand."""
+    own = spark.newSession()  # both passes must see the same splits, whatever executors come and go
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        if (v := spark.conf.get(k, None)) is not None:
+            own.conf.set(k, v)
+    pieces = gds_parts.pieces(own, path)
+    parts = spark.sparkContext.broadcast(gds_parts.found(pieces, round_digits))
 
     def decode(batches):
-        for b in batches:
-            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield from _batches(p, data, round_digits)
+        for (path, block, _), some in groupby(gds_parts.runs(batches), key=lambda x: x[0]):
+            yield from _batched(path, gds_parts.events(parts.value[path, block], round_digits, (x[1] for x in some)))
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(decode, ELEMENT)
+    return pieces.mapInArrow(decode, ELEMENT)
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """cells, polygons, paths, texts and references of decoded rows. Of cells with one name in a file the last one counts;
+    """libraries, cells, polygons, paths, texts and references of decoded rows. Of cells with one name in a file the last one counts;
     references name their cell, so that they find it by a join. Elements have the elem_id of their row, if rows have one."""
     last = rows.where("kind = 'cell'").groupBy("path", "lib_id", "cell_name").agg(F.max("cell_seq").alias("cell_seq"))
     live = rows.join(last.select("path", "cell_seq"), ["path", "cell_seq"], "left_semi")
     key = ["path", "lib_id", "cell_name", "cell_seq", "elem_seq", *(["elem_id"] if "elem_id" in rows.columns else [])]
+    of_library = rows.where("kind = 'library'").select("path", "lib_id").distinct()
     of = lambda kind: live.where(F.col("kind") == kind)
     grid = G.grid(F.col("origin"), F.col("columns"), F.col("rows"), F.col("spacing_x"), F.col("spacing_y"), F.col("magnification"), F.col("angle"), F.col("x_reflection"))
     return {
+        "libraries": of_library,
         "cells": last,
         "polygons": of("polygon").select(*key, "layer", "data_type", "points"),
         "paths": of("path").select(*key, "layer", "data_type", "path_type", "width", "points"),
@@ -108,7 +127,7 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
 
 def read(spark: SparkSession, path: str, round_digits: int | None = None) -> dict[str, DataFrame]:
     """The tables of the files at a path or pattern, decoded once; elem_id is fixed by the staged rows."""
-    return tables(staged(read_rows(spark, path, round_digits).withColumn("elem_id", F.monotonically_increasing_id()), "gds"))
+    return tables(staged(read_rows(spark, path, round_digits).withColumn("elem_id", F.monotonically_increasing_id()), "gds", spark))
 
 
 def _elements(b: pa.RecordBatch, kind: str, scale: float) -> list[dict]:
@@ -179,49 +198,81 @@ def materialised(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def _pieces(batches):
-    """The blobs of each task's rows, in order, as pieces of about PIECE bytes."""
+    """The blobs of each task's rows, in order, as pieces of about PIECE bytes that end in a zero byte."""
     held, size = [], 0
     for b in batches:
         for x in b.column(0).to_pylist():
             held.append(x)
             size += len(x)
-            if size >= PIECE:
+            if size >= PIECE and x[-1] == 0:
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["piece"])
                 held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["piece"])
 
 
-def write(t: dict[str, DataFrame], path: str, name: str = "Library", units: float = K.UNIT, precision: float = K.PRECISION) -> str:
-    """Write tables cells (cell_name, cell_seq), polygons, paths, texts, references to one file; the path comes back."""
-    t = materialised(t)
-    scale = units / precision
-    cells = t["cells"].groupBy("cell_name").agg(F.min("cell_seq").alias("cell_seq"))
-    parts = [_encoded(t[n], k, scale) for n, k in (("paths", "path"), ("polygons", "polygon"), ("texts", "text"), ("references", "reference")) if n in t]
+def _file_order(t: dict[str, DataFrame], parts: list[DataFrame], cells: DataFrame) -> DataFrame:
+    """All blobs of the file in order, a range of it a task. A cell's beginning goes with its first element, or its end, so
+    that no task's last blob is one (all others end in a zero byte)."""
 
     def framed(batches):
-        """Each cell's beginning and end, which go before and after its elements."""
         for b in batches:
             names, n = b.column(0), b.num_rows
             heads = [K.encode_cell(x, [])[: -len(K.TAIL)] for x in names.to_pylist()]
-            for order, blobs in ((-1, heads), (99, [K._ints(K.ENDSTR, kind=K.NODATA)] * n)):
+            for order, blobs in ((-1, heads), (END_OF_CELL, [K._ints(K.ENDSTR, kind=K.NODATA)] * n)):
                 yield pa.RecordBatch.from_arrays([names, pa.array([order] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([bytes(x) for x in blobs], pa.binary())], ["cell_name", "ord", "elem_seq", "blob"])
 
     frames = cells.select("cell_name").mapInArrow(framed, "cell_name string, ord int, elem_seq long, blob binary")
-    rows = reduce(DataFrame.unionByName, parts, frames).join(cells, "cell_name").orderBy("cell_seq", "cell_name", "ord", "elem_seq")
-    pieces = staged(rows.select("blob").mapInArrow(_pieces, "piece binary").select(F.monotonically_increasing_id().alias("n"), "piece"), "pieces")
-    spark = rows.sparkSession
+    keys = [t[n].select("cell_name", F.struct(F.lit(K.ORDER[k]).alias("o"), F.col("elem_seq").cast("long").alias("s")).alias("first")) for n, k in TABLE_KINDS if n in t]
+    first = reduce(DataFrame.unionByName, keys).groupBy("cell_name").agg(F.min("first").alias("first"))
+    with_first = cells.join(first, "cell_name", "left")
+    rows = reduce(DataFrame.unionByName, parts, frames).join(with_first, "cell_name")
+    head = F.col("ord") == -1
+    rows = rows.withColumn("o", F.when(head, F.coalesce("first.o", F.lit(END_OF_CELL))).otherwise(F.col("ord"))).withColumn("s", F.when(head, F.coalesce("first.s", F.lit(0))).otherwise(F.col("elem_seq")))
+    return rows.repartitionByRange("cell_seq", "cell_name", "o", "s").sortWithinPartitions("cell_seq", "cell_name", "ord", "elem_seq")
+
+
+def write(t: dict[str, DataFrame], path: str, name: str = "Library", units: float = K.UNIT, precision: float = K.PRECISION) -> str:
+    """Write tables cells (cell_name, cell_seq), polygons, paths, texts, references to one file; the path comes back."""
+    t = materialised(t)
+    scale = units / precision
+    cells = t["cells"].groupBy("cell_name").agg(F.min("cell_seq").alias("cell_seq"))
+    rows = _file_order(t, [_encoded(t[n], k, scale) for n, k in TABLE_KINDS if n in t], cells)
+    # Spark's text writer puts bytes down as they are, with a separator behind each row: the zero byte that rows leave out.
+    body = rows.select("blob").mapInArrow(_pieces, "piece binary").select(F.expr("substring(piece, 1, length(piece) - 1)").cast("string").alias("value"))
+    at = f"{shared_dir(rows.sparkSession)}/gds-{uuid.uuid4().hex}"
+    body.write.option("lineSep", "\0").text(at)
+    _joined(rows.sparkSession, at, path, K.head(name, units, precision), K.TAIL)
+    return path
+
+
+def _joined(spark: SparkSession, folder: str, path: str, head: bytes, tail: bytes) -> None:
+    """One file of the parts in a folder, in order, with something before and after; copied within the JVM."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(folder)
+    fs, parts_fs = target.getFileSystem(conf), source.getFileSystem(conf)
+    under_way = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    parts = sorted((int(f.getPath().getName().split("-")[1]), f.getPath().getName()) for f in parts_fs.listStatus(source) if f.getPath().getName().startswith("part-"))
     try:
-        out.write(bytearray(K.head(name, units, precision)))
-        for r in pieces.orderBy("n").select("piece").toLocalIterator():
-            out.write(bytearray(r.piece))
-        out.write(bytearray(K.TAIL))
+        out = fs.create(under_way, True)
+        try:
+            out.write(bytearray(head))
+            for _, part in parts:
+                got = parts_fs.open(jvm.org.apache.hadoop.fs.Path(source, part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(got, out, 1 << 20, False)
+                finally:
+                    got.close()
+            out.write(bytearray(tail))
+        finally:
+            out.close()
+        fs.delete(target, False)
+        if not fs.rename(under_way, target):
+            raise OSError(f"{path} can't be written")
     finally:
-        out.close()
-    return path
+        fs.delete(under_way, False)
+        parts_fs.delete(source, True)
 
 
 def write_cell(t: dict[str, DataFrame], cell_name: str, path: str, units: float = K.UNIT, precision: float = K.PRECISION) -> str:

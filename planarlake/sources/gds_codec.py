@@ -6,6 +6,7 @@ import math
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 import numpy as np
 
@@ -55,29 +56,31 @@ def digits_of(user: float, database: float) -> int:
     return max(0, math.trunc(-math.log10(database / user)) - 1)
 
 
-def records(data: bytes) -> Iterator[tuple[int, object]]:
-    """(record, payload) of a stream; ends at the end of data even without ENDLIB."""
-    at, n = 0, len(data)
+def headers(data: bytes, at: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(at, size, record, kind) of the whole records from ``at`` on; ends where one is cut off."""
+    n = len(data)
     while at + 4 <= n:
         size, record, kind = struct.unpack_from(">HBB", data, at)
         if record not in KNOWN:
             raise OSError(f"Invalid record type {record:#x} at byte {at}")
-        if size < 4 or at + size > n:
+        if size < 4:
             raise OSError(f"Record at byte {at} is cut off")
-        body = data[at + 4 : at + size]
+        if at + size > n:
+            return
+        yield at, size, record, kind
         at += size
-        if record == XY:
-            yield record, body
-        elif kind in (BITS, INT2):
-            yield record, struct.unpack(f">{len(body) // 2}h", body[: len(body) // 2 * 2])
-        elif kind in (INT4, REAL4):
-            yield record, struct.unpack(f">{len(body) // 4}i", body[: len(body) // 4 * 4])
-        elif kind == REAL8:
-            yield record, tuple(from_real8(body[i : i + 8]) for i in range(0, len(body) - 7, 8))
-        elif kind == ASCII:
-            yield record, body.decode("utf-8", "replace").rstrip("\0")
-        else:
-            yield record, None
+
+
+def payload(body: bytes, record: int, kind: int):
+    if record == XY:
+        return body
+    if kind in (BITS, INT2):
+        return struct.unpack(f">{len(body) // 2}h", body[: len(body) // 2 * 2])
+    if kind in (INT4, REAL4):
+        return struct.unpack(f">{len(body) // 4}i", body[: len(body) // 4 * 4])
+    if kind == REAL8:
+        return tuple(from_real8(body[i : i + 8]) for i in range(0, len(body) - 7, 8))
+    return body.decode("utf-8", "replace").rstrip("\0") if kind == ASCII else None
 
 
 def rotated(p, degrees: float, centre):
@@ -87,6 +90,9 @@ def rotated(p, degrees: float, centre):
     return centre[0] + x * c - y * s, centre[1] + x * s + y * c
 
 
+#: What ends an element, as bytes: files are cut there to be read in parts.
+END = struct.pack(">HBB", 4, ENDEL, NODATA)
+STRUCTURE = frozenset([LIBNAME, UNITS, BGNSTR, STRNAME, ENDLIB])
 ELEMENTS = {BOUNDARY: "polygon", BOX: "polygon", PATH: "path", RAITHPATH: "path", SREF: "reference", AREF: "reference", TEXT: "text"}
 
 
@@ -105,6 +111,17 @@ def decode(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
         yield e
 
 
+class State(NamedTuple):
+    """What the records before a place in a file leave behind for those after it."""
+
+    lib: str = "Library"
+    cell: str | None = None
+    cell_seq: int = -1
+    seq: int = 0
+    digits: int | None = None
+    unit: float = 1.0
+
+
 def decode_raw(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
     """Rows of one file, in order: kind library, cell, polygon, path, text or reference. Points of polygons and paths stay
     as the file has them (xy, with unit and digits), to be worked out many at a time by coordinates.
@@ -112,64 +129,114 @@ def decode_raw(data: bytes, round_digits: int | None = None) -> Iterator[dict]:
     Attributes of kinds of element that lack them, and unknown attributes, are passed over. Of cells with one name the
     last counts; that is for the reader of the rows, which have cell_seq.
     """
-    lib, cell, cell_seq, seq, digits, unit = "Library", None, -1, 0, round_digits, 1.0
-    e: dict | None = None
-    for record, v in records(data):
+    d = Decoder(round_digits)
+    yield from d.feed(data)
+    d.finish()
+
+
+class Decoder:
+    """Rows of a stream of bytes that comes piece by piece, from a state on."""
+
+    def __init__(self, round_digits: int | None = None, state: State | None = None) -> None:
+        self.fixed = round_digits
+        self.lib, self.cell, self.cell_seq, self.seq, self.digits, self.unit = state or State(digits=round_digits)
+        self.e: dict | None = None
+        self.ended, self.left = False, b""
+
+    def state(self) -> State:
+        return State(self.lib, self.cell, self.cell_seq, self.seq, self.digits, self.unit)
+
+    def finish(self) -> None:
+        """The stream is over: less than a header may be left."""
+        if len(self.left) >= 4 and not self.ended:
+            raise OSError("The last record is cut off")
+
+    def feed(self, data: bytes) -> Iterator[dict]:
+        if self.ended:
+            return
+        data, at = self.left + data, 0
+        for at, size, record, kind in headers(data):
+            if (row := self.take(record, payload(data[at + 4 : at + size], record, kind))) is not None:
+                yield row
+            at += size
+            if self.ended:
+                break
+        self.left = data[at:]
+
+    def structure(self, record: int, v) -> dict | None:
+        """What is not within an element."""
         if record == LIBNAME:
-            lib = v
-            yield {"kind": "library", "lib_id": lib}
-        elif record == UNITS:
-            unit = v[0]
-            if round_digits is None:
-                digits = digits_of(v[0], v[1]) if v[0] > 0 and v[1] > 0 else 0
+            self.lib = v
+            return {"kind": "library", "lib_id": v}
+        if record == UNITS:
+            self.unit = v[0]
+            if self.fixed is None:
+                self.digits = digits_of(v[0], v[1]) if v[0] > 0 and v[1] > 0 else 0
         elif record == BGNSTR:
-            cell_seq, seq, cell = cell_seq + 1, 0, ""
+            self.cell_seq, self.seq, self.cell = self.cell_seq + 1, 0, ""
         elif record == STRNAME:
-            cell = v
-            yield {"kind": "cell", "lib_id": lib, "cell_name": cell, "cell_seq": cell_seq}
+            self.cell = v
+            return {"kind": "cell", "lib_id": self.lib, "cell_name": v, "cell_seq": self.cell_seq}
         elif record == ENDLIB:
-            return
-        elif record in ELEMENTS:
-            kind = ELEMENTS[record]
-            e = {"kind": kind, "lib_id": lib, "cell_name": cell, "cell_seq": cell_seq, "elem_seq": seq, "layer": 0, "data_type": 0}
-            if kind in ("polygon", "path"):
-                e |= {"xy": b"", "unit": unit, "digits": digits or 0}
-            if kind == "text":
-                e |= {"text": "", "origin": (0.0, 0.0), "vertical": 1, "horizontal": 1}
-            if kind in ("text", "reference"):
-                e |= {"magnification": 1.0, "angle": 0.0, "x_reflection": False}
-            if kind == "reference":
-                e |= {"origin": (0.0, 0.0), "columns": 1, "rows": 1, "spacing_x": (0.0, 0.0), "spacing_y": (0.0, 0.0), "target_cell": ""}
+            self.ended = True
+        return None
+
+    def begin(self, kind: str) -> dict:
+        e = {"kind": kind, "lib_id": self.lib, "cell_name": self.cell, "cell_seq": self.cell_seq, "elem_seq": self.seq, "layer": 0, "data_type": 0}
+        if kind in ("polygon", "path"):
+            e |= {"xy": b"", "unit": self.unit, "digits": self.digits or 0}
+        if kind == "text":
+            e |= {"text": "", "origin": (0.0, 0.0), "vertical": 1, "horizontal": 1}
+        if kind in ("text", "reference"):
+            e |= {"magnification": 1.0, "angle": 0.0, "x_reflection": False}
+        if kind == "reference":
+            e |= {"origin": (0.0, 0.0), "columns": 1, "rows": 1, "spacing_x": (0.0, 0.0), "spacing_y": (0.0, 0.0), "target_cell": ""}
+        return e
+
+    def take(self, record: int, v) -> dict | None:
+        """Takes in a record; the row that it completes, if it does."""
+        if record in STRUCTURE:
+            return self.structure(record, v)
+        e = self.e
+        if record in ELEMENTS:
+            self.e = self.begin(ELEMENTS[record])
         elif e is None:
-            continue
+            return None
         elif record == ENDEL:
-            seq += 1
-            yield e
-            e = None
-        elif record == LAYER:
+            self.seq, self.e = self.seq + 1, None
+            return e
+        elif record == XY:
+            self.place(e, v)
+        else:
+            self.attribute(e, record, v)
+        return None
+
+    def place(self, e: dict, v: bytes) -> None:
+        d, unit = self.digits or 0, self.unit
+        if e["kind"] in ("polygon", "path"):
+            e["xy"] = v[: len(v) // 8 * 8]
+            return
+        v = struct.unpack(f">{len(v) // 4}i", v[: len(v) // 4 * 4])
+        pts = [(half_away(x * unit, d), half_away(y * unit, d)) for x, y in zip(v[::2], v[1::2])]
+        if pts and (e["kind"] == "text" or len(pts) == 1):
+            e["origin"] = pts[0]
+        elif len(pts) == 3:
+            o, a, b = (rotated(p, -e["angle"], pts[0]) for p in pts)
+            e["origin"] = tuple(half_away(x, d) for x in o)
+            for k, p, n in (("spacing_x", a, e["columns"]), ("spacing_y", b, e["rows"])):
+                e[k] = tuple(half_away((p[i] - o[i]) / n, d) for i in (0, 1)) if n > 0 else (0.0, 0.0)
+
+    def attribute(self, e: dict, record: int, v) -> None:
+        if record == LAYER:
             e["layer"] = v[0]
         elif record in (DATATYPE, BOXTYPE):
             e["data_type"] = v[0]
         elif record == WIDTH and e["kind"] == "path":
-            e["width"] = half_away(v[0] * unit, digits or 0)
+            e["width"] = half_away(v[0] * self.unit, self.digits or 0)
         elif record == PATHTYPE and e["kind"] == "path":
             if v[0] not in (0, 1, 2):
                 raise ValueError(f"Invalid path type {v[0]}")
             e["path_type"] = v[0]
-        elif record == XY:
-            d = digits or 0
-            if e["kind"] in ("polygon", "path"):
-                e["xy"] = v[: len(v) // 8 * 8]
-                continue
-            v = struct.unpack(f">{len(v) // 4}i", v[: len(v) // 4 * 4])
-            pts = [(half_away(x * unit, d), half_away(y * unit, d)) for x, y in zip(v[::2], v[1::2])]
-            if pts and (e["kind"] == "text" or len(pts) == 1):
-                e["origin"] = pts[0]
-            elif len(pts) == 3:
-                o, a, b = (rotated(p, -e["angle"], pts[0]) for p in pts)
-                e["origin"] = tuple(half_away(x, d) for x in o)
-                for k, p, n in (("spacing_x", a, e["columns"]), ("spacing_y", b, e["rows"])):
-                    e[k] = tuple(half_away((p[i] - o[i]) / n, d) for i in (0, 1)) if n > 0 else (0.0, 0.0)
         elif record == SNAME and e["kind"] == "reference":
             e["target_cell"] = v
         elif record == COLROW and e["kind"] == "reference":

@@ -25,11 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "level") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def staged(df: DataFrame, name: str = "level", spark: SparkSession | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again (by another session, if one is given): cuts lineage,
+    survives lost executors."""
+    spark = spark or df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 

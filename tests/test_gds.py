@@ -98,3 +98,74 @@ def test_stream_of_files(spark, layout, tmp_path):
     q = gds_stream.stream_rows(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("gds_rows").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("gds_rows").where("kind = 'polygon'").count() == 5
+
+
+def _many_cells(spark, n):
+    """Cells with elements of all kinds, some of whose coordinates look like the end of an element."""
+    odd = 0x00041100 / 1e4  # as the file has it: the bytes that end an element
+    lit = F.lit
+    cells = spark.range(n).select(F.concat(lit("cell"), F.col("id")).alias("cell_name"), F.col("id").alias("cell_seq"))
+    key = [F.concat(lit("cell"), F.col("id") % n).alias("cell_name"), F.col("id").alias("elem_seq"), F.col("id").alias("elem_id")]
+    x = F.when(F.col("id") % 3 == 0, lit(odd)).otherwise(F.col("id") / 8.0)
+    points = F.transform(F.sequence(lit(0), F.when(F.col("id") % 50 == 0, 300).otherwise(3)), lambda i: F.struct((x + i * (F.col("id") % 2)).alias("x"), lit(odd).alias("y")))
+    p = spark.range(30 * n).select(*key, (F.col("id") % 9).cast("int").alias("layer"), lit(0).alias("data_type"), points.alias("points"))
+    texts = spark.range(5 * n).select(*key, lit(1).alias("layer"), F.concat(lit("t"), F.col("id")).alias("text"), R.as_points([(1, odd)])[0].alias("origin"), lit(1.0).alias("magnification"), lit(0.0).alias("angle"), lit(False).alias("x_reflection"), lit(1).alias("vertical_presentation"), lit(1).alias("horizontal_presentation"))
+    refs = spark.range(1, n).select(*key, lit("cell").alias("target_kind"), lit("cell0").alias("target_cell"), lit(None).cast("long").alias("target_elem_id"), G.grid((odd, odd)).alias("grid"))
+    paths = p.where("elem_id % 7 = 1").withColumn("path_type", lit(1)).withColumn("width", lit(0.5))
+    return {"cells": cells, "polygons": p, "paths": paths, "texts": texts, "references": refs}
+
+
+def _plain(rows):
+    return sorted(str({k: v for k, v in r.asDict(True).items() if k not in ("path", "elem_id")}) for r in rows.collect())
+
+
+@pytest.mark.parametrize("split", [1 << 30, 4000, 150])
+def test_one_file_in_many_tasks(spark, tmp_path, split):
+    """Whatever the splits, rows are those of the file decoded as a whole."""
+    path = gds.write(_many_cells(spark, 12), f"file://{tmp_path}/many.gds")
+    data = (tmp_path / "many.gds").read_bytes()
+    want = spark.range(0, 1, 1, 1).mapInArrow(lambda _: gds._batches("", data, None), gds.ELEMENT)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows = gds.read_rows(spark, path)
+        assert _plain(rows) == _plain(want)
+        assert (rows.rdd.getNumPartitions() > 3) == (split < 1 << 30)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_splits_that_begin_wrongly(spark, tmp_path):
+    """Bytes within a record that look like elements, at a split's beginning."""
+    i2 = lambda r, *v: rec(r, K.INT2, struct.pack(f">{len(v)}h", *v))
+    fake = (rec(K.ENDEL, K.NODATA) + rec(K.BOUNDARY, K.NODATA) + i2(K.LAYER, 77)[:4] + b"\0\x4d\0\0") * 60
+    fake = fake[: len(fake) // 8 * 8]
+    one = rec(K.BOUNDARY, K.NODATA) + i2(K.LAYER, 1) + i2(K.DATATYPE, 2) + rec(K.XY, K.INT4, fake) + rec(K.ENDEL, K.NODATA)
+    small = rec(K.BOUNDARY, K.NODATA) + i2(K.LAYER, 5) + rec(K.XY, K.INT4, b"\0" * 16) + rec(K.ENDEL, K.NODATA)
+    cell = lambda name, body: i2(K.BGNSTR, *[0] * 12) + rec(K.STRNAME, K.ASCII, name) + body + i2(K.ENDSTR)
+    data = K.head("x") + cell(b"aa", one * 4 + small) + cell(b"bb", small * 3 + one) + K.TAIL
+    for name, raw in (("whole", data), ("padded", data + b"\0" * 50 + rec(K.ENDEL, K.NODATA) * 5), ("no tail", data[: -len(K.TAIL)]), ("cut", data[: data.rindex(small) + len(small)])):
+        (tmp_path / f"{name}.gds").write_bytes(raw)
+        want = list(K.decode_raw(raw))
+        for split in (40, 300) if name == "whole" else (97,):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            try:
+                got = gds.read_rows(spark, f"file://{tmp_path}/{name}.gds").collect()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            shown = lambda k, c, s, e, layer, n: (k, c, s, e, layer, n)
+            a = sorted(shown(r.kind, r.cell_name, r.cell_seq, r.elem_seq, r.layer, len(r.points) if r.points is not None else None) for r in got if r.kind != "library")
+            b = sorted(shown(e["kind"], e["cell_name"], e["cell_seq"], e.get("elem_seq"), e.get("layer"), len(e["xy"]) // 8 if "xy" in e else None) for e in want if e["kind"] != "library")
+            assert sorted(map(str, a)) == sorted(map(str, b)), (name, split)
+    (tmp_path / "bad.gds").write_bytes(data[:400] + b"\0\4\x7f\0" + data[400:])
+    with pytest.raises(Exception):
+        gds.read_rows(spark, f"file://{tmp_path}/bad.gds").collect()
+
+
+def test_a_write_that_fails_leaves_no_file(spark, layout, tmp_path):
+    long = layout["polygons"].withColumn("points", F.transform(F.sequence(F.lit(0), F.lit(9000)), lambda i: F.struct(i.cast("double").alias("x"), F.lit(0.0).alias("y"))))
+    with pytest.raises(Exception):
+        gds.write(layout | {"polygons": long}, f"file://{tmp_path}/out/a.gds")
+    assert not list(tmp_path.rglob("*.gds"))
+    empty = {"cells": layout["cells"]} | {k: layout[k].limit(0) for k in ("polygons", "paths", "texts", "references")}
+    assert gds.read(spark, gds.write(empty, f"file://{tmp_path}/e.gds"))["cells"].count() == 3
+    assert {p.name for p in tmp_path.iterdir() if "e.gds" in p.name} <= {"e.gds", ".e.gds.crc"}

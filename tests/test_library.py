@@ -169,3 +169,42 @@ def test_checks(spark):
         L.path([(0, 0), (1, 1)], path_type=9)
     with pytest.raises(ValueError):
         L.text("x", vertical=3)
+
+
+def test_libraries_are_kept_apart(spark, tmp_path):
+    """Two files with cells of the same names: each top cell places its own cell below."""
+    one = spark.range(1)
+    key = lambda cell, i: [lit(cell).alias("cell_name"), lit(i).cast("long").alias("elem_id"), lit(i).cast("long").alias("elem_seq")]
+    cells = spark.createDataFrame([("TOP", 0), ("SUB", 1)], "cell_name string, cell_seq long")
+    square = lambda i: one.select(*key("SUB", i), *L.polygon([(i, 0), (i + 1, 0), (i + 1, 1)], i, 0))
+    ref = one.select(*key("TOP", 9), lit("cell").alias("target_kind"), lit("SUB").alias("target_cell"), G.grid((10, 0)).alias("grid"))
+    first = L.Library.empty(spark, "first").add(cells).add_elements(polygons=square(1), references=ref)
+    second = L.Library.empty(spark, "second").add(cells).add_elements(polygons=square(1).unionByName(square(2)), references=ref)
+    first.to_gds(f"file://{tmp_path}/a.gds"), second.to_gds(f"file://{tmp_path}/b.gds")
+    with pytest.raises(ValueError):
+        L.Library.from_gds(spark, f"{tmp_path}/*.gds")
+    assert L.Library.from_gds(spark, f"{tmp_path}/b.gds").name == "second"
+    both = L.Libraries.from_gds(spark, f"{tmp_path}/*.gds")
+    at = lambda name: next(r.library for r in both.names.collect() if r.library.endswith(name))
+    assert sorted((r.library[-5:], r.name) for r in both.names.collect()) == [("a.gds", "first"), ("b.gds", "second")]
+    flat = both.flatten()
+    got = sorted((r.library[-5:], r.cell_name, r["count"]) for r in flat.tables()["polygons"].groupBy("library", "cell_name").count().collect())
+    assert got == [("a.gds", "SUB", 1), ("a.gds", "TOP", 1), ("b.gds", "SUB", 2), ("b.gds", "TOP", 2)]
+    assert {(r.library[-5:], r.cell_name, r.max_x) for r in both.bounding_boxes().collect()} == {("a.gds", "SUB", 2), ("a.gds", "TOP", 12), ("b.gds", "SUB", 3), ("b.gds", "TOP", 13)}
+    assert {(r.library[-5:], r.cell_name, r.is_on) for r in both.is_on([(1, 0)]).collect()} == {("a.gds", "SUB", True), ("a.gds", "TOP", True), ("b.gds", "SUB", False), ("b.gds", "TOP", False)}
+    assert {(r.library[-5:], r.cell_name, r.below) for r in both.reachable().where("cell_name <> below").collect()} == {("a.gds", "TOP", "SUB"), ("b.gds", "TOP", "SUB")}
+    text = {(r.library[-5:], r.text.split(" with Grid")[0], r.repr) for r in both.shown()["references"].collect()}
+    assert ("b.gds", "Reference of Cell: SUB with 2 polygons, 0 paths, 0 references, and 0 texts", "Reference(Cell(SUB))") in text and len(text) == 2
+    own = both.library(at("b.gds"))
+    assert own.name == "second" and own.equals(second) and not own.equals(first)
+    assert {r.target_cell for r in own.references.collect()} == {"SUB"}
+    again = L.Libraries.of({"a": first, "b": second})
+    other = L.Libraries.of({"a": first, "b": replace_polygons(second)})
+    assert sorted(tuple(r) for r in again.differences(other).collect()) == [("b", "SUB"), ("b", "TOP")]
+    assert L.Library.from_gds(spark, both.scale(2).to_gds(at("a.gds"), f"file://{tmp_path}/c.gds")).bounding_boxes().where("cell_name = 'TOP'").first().max_x == 24
+
+
+def replace_polygons(lib):
+    from dataclasses import replace
+
+    return replace(lib, polygons=lib.polygons.withColumn("layer", lit(9)))
