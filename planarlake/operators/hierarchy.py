@@ -133,11 +133,31 @@ def closure(references: DataFrame) -> DataFrame:
     return known
 
 
-def deepest(references: DataFrame, roots: DataFrame) -> int:
-    """The most references on a way down from a root; a cell under itself fails."""
+def _edges(references: DataFrame) -> tuple[DataFrame, list | None]:
+    """Distinct (cell_name, target_cell), as a table, and as rows on the driver if there are WALKED at most."""
     edges = references.where("target_kind = 'cell' and target_cell is not null").select("cell_name", "target_cell").distinct()
     few = edges.limit(WALKED + 1).collect()
-    if len(few) > WALKED:
+    return edges, few if len(few) <= WALKED else None
+
+
+def _walked(edges: list, begin: list[str]) -> set[str]:
+    """All that is reached from some names over (from, to)."""
+    on: dict[str, list[str]] = {}
+    for a, b in edges:
+        on.setdefault(a, []).append(b)
+    found: set[str] = set()
+    todo = list(begin)
+    while todo:
+        new = [x for x in on.get(todo.pop(), ()) if x not in found]
+        found.update(new)
+        todo += new
+    return found
+
+
+def deepest(references: DataFrame, roots: DataFrame) -> int:
+    """The most references on a way down from a root; a cell under itself fails."""
+    edges, few = _edges(references)
+    if few is None:
         return closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").agg(F.max("steps")).first()[0] or 0
     below: dict[str, list[str]] = {}
     for r in few:
@@ -169,39 +189,78 @@ def deepest(references: DataFrame, roots: DataFrame) -> int:
 def above(references: DataFrame, cells: DataFrame) -> DataFrame:
     """(cell_name) of all cells over the given ones (cell_name), references to references followed; cycles fail."""
     references = with_nested(references)
-    edges = references.where("target_kind = 'cell' and target_cell is not null").select("cell_name", "target_cell").distinct()
-    few = edges.limit(WALKED + 1).collect()
-    if len(few) > WALKED:
+    edges, few = _edges(references)
+    if few is None:
         up = closure(references).join(cells.select(F.col("cell_name").alias("below")), "below", "left_semi").select("cell_name").distinct()
         return up.where(~F.col("cell_name").startswith(NESTED))
-    over: dict[str, list[str]] = {}
-    for r in few:
-        over.setdefault(r.target_cell, []).append(r.cell_name)
-    todo = [r.cell_name for r in cells.join(edges, cells.cell_name == edges.target_cell, "left_semi").select("cell_name").distinct().collect()]
-    found: set[str] = set()
-    while todo:
-        new = [x for x in over.get(todo.pop(), ()) if x not in found]
-        found.update(new)
-        todo += new
+    begin = cells.join(edges, cells.cell_name == edges.target_cell, "left_semi").select("cell_name").distinct().collect()
+    found = _walked([(r.target_cell, r.cell_name) for r in few], [r.cell_name for r in begin])
     return references.sparkSession.createDataFrame([(x,) for x in sorted(found) if not x.startswith(NESTED)], "cell_name string")
 
 
+#: Levels up to which placements are joined in one plan; more are staged round by round.
+PLANNED = 3
+
+
+def _step(references: DataFrame) -> DataFrame:
+    """(parent, target_cell, STATE): the map of every copy of every reference to a cell."""
+    c = F.col
+    one = {"a": "ga", "b": "gb", "c": "gc", "d": "gd", "tx": "gtx", "ty": "gty", "a0": "ga", "b0": "gb0", "c0": "gc", "d0": "gd0", "tx0": "gtx", "ty0": "gty", "turn": "grid.angle", "spin": "grid.angle", "sign": "gr", "size": "grid.magnification", "flip": "grid.x_reflection"}
+    return expand(references.where("target_kind = 'cell'")).select(c("cell_name").alias("parent"), "target_cell", *[c(v).alias(k) for k, v in one.items()])
+
+
+def _after(above: DataFrame, below: DataFrame, *keys: Column) -> DataFrame:
+    """Maps of ways that go on: those of above (to cell_name), then those of below (from parent to target_cell)."""
+    low = below.select(F.col("parent").alias("n_parent"), F.col("target_cell").alias("n_target"), *[F.col(k).alias(f"n_{k}") for k in STATE])
+    c, n = F.col, lambda k: F.col(f"n_{k}")
+    out = {}
+    for z in ("", "0"):  # with mirrors and without
+        a, b, d, e = (c(k + z) for k in "abcd")
+        out |= {f"a{z}": a * n(f"a{z}") + b * n(f"c{z}"), f"b{z}": a * n(f"b{z}") + b * n(f"d{z}"), f"c{z}": d * n(f"a{z}") + e * n(f"c{z}"), f"d{z}": d * n(f"b{z}") + e * n(f"d{z}")}
+        out |= {f"tx{z}": a * n(f"tx{z}") + b * n(f"ty{z}") + c(f"tx{z}"), f"ty{z}": d * n(f"tx{z}") + e * n(f"ty{z}") + c(f"ty{z}")}
+    out |= {"turn": c("turn") + c("sign") * n("turn"), "spin": c("spin") + n("spin"), "sign": c("sign") * n("sign"), "size": c("size") * n("size"), "flip": c("flip") != n("flip")}
+    return above.join(low, c("cell_name") == c("n_parent")).select(*keys, c("n_target").alias("cell_name"), *[out[k].alias(k) for k in STATE])
+
+
 def placements(roots: DataFrame, references: DataFrame, depth: int | None = None) -> DataFrame:
     """Every copy of every cell under the roots (column root) down to depth references (None: all), the roots included.
 
     references: cell_name, elem_id, target_kind 'cell', target_cell, grid. A cell that comes to stand under itself fails.
+
+    Maps multiply associatively, so the table of ways of exactly n references, joined with itself, gives those of 2n; what
+    is placed by fewer than n references and then goes n further makes all that is placed by fewer than 2n. A hierarchy of
+    depth d takes log2(d) rounds, and each way is made once, from its first part and its last.
     """
-    level = start(roots)
+    c, known = F.col, start(roots)
     if depth == 0:
-        return level
+        return known
     levels = deepest(references, roots)
-    step = expand(references.where("target_kind = 'cell'")).withColumnRenamed("cell_name", "parent")
-    out = level
-    for _ in range(levels if depth is None else min(depth, levels)):
-        new = level.join(step, level.cell_name == step.parent)
-        level = staged(new.select("root", F.col("target_cell").alias("cell_name"), (F.col("depth") + 1).alias("depth"), *[v.alias(k) for k, v in _compose().items()]))
-        out = out.union(level)
-    return out
+    levels = levels if depth is None else min(depth, levels)
+    if not levels:
+        return known
+    keep = (lambda d, name: staged(d, name)) if levels > PLANNED else (lambda d, name: d)
+    ways, n = keep(_step(references), "ways"), 1
+    if levels > PLANNED:  # only what lies under the roots is multiplied
+        ways = keep(ways.join(_under(roots, references), c("parent") == c("reached"), "left_semi"), "ways")
+    while True:
+        new = _after(known, ways, c("root"), (c("depth") + n).alias("depth"))
+        known = keep(known.unionByName(new.where(c("depth") <= levels)), "placed")
+        if 2 * n > levels:
+            return known
+        longer = _after(ways.withColumnRenamed("target_cell", "cell_name"), ways, c("parent"))
+        ways, n = keep(longer.withColumnRenamed("cell_name", "target_cell"), "ways"), 2 * n
+
+
+def _under(roots: DataFrame, references: DataFrame) -> DataFrame:
+    """(reached): the roots and all cells under them."""
+    edges, few = _edges(references)
+    if few is None:
+        under = closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").select("below")
+    else:
+        begin = roots.join(edges, roots.root == edges.cell_name, "left_semi").select("root").distinct().collect()
+        found = _walked([(r.cell_name, r.target_cell) for r in few], [r.root for r in begin])
+        under = roots.sparkSession.createDataFrame([(x,) for x in sorted(found)], "below string")
+    return roots.select(F.col("root").alias("reached")).union(under).distinct()
 
 
 def reachable(references: DataFrame, cells: DataFrame) -> DataFrame:
