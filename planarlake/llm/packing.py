@@ -31,6 +31,8 @@ WIDE_SPACE = "\x85\xa0                　"
 LETTER, DIGIT, OTHER, QUOTE = 1, 2, 3, 4
 #: Distinct stretches whose ids a worker keeps, ids of these and bytes; stretches that the library gets at a time.
 MEMORY, IDS, CHARS, ASKED = 800_000, 5_000_000, 1 << 24, 4_000
+#: Bytes of text that are coded together.
+TOGETHER = 6 << 20
 #: Bits of a rank in the keys that ranks are looked up by.
 RANK = 44
 
@@ -160,7 +162,7 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = 1024, end_id: int
         from pyspark import TaskContext
 
         part, coder, seen = TaskContext.get().partitionId(), None, np.zeros(capacity + 1, np.int64)
-        for b in C.slices(batches):
+        for b in C.slices(batches, max_bytes=TOGETHER):
             coder = coder or Encoder(shared.value, end_id)
             flat, at = coder.ids(b.column(1))
             total = np.diff(at)
