@@ -79,6 +79,12 @@ def _before(points: Column, i: Column) -> Column:
     return F.element_at(points, F.when(i == 0, F.size(points)).otherwise(i))
 
 
+def edges(points: Column) -> Column:
+    """Array of the ring's edges, (a, b) each, beginning with the one from the last point to the first."""
+    before = F.concat(F.slice(points, -1, 1), F.slice(points, 1, F.size(points) - 1))
+    return F.zip_with(before, points, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
 def on_edge(points: Column, p: Column) -> Column:
     at = F.transform(points, lambda q, i: on_segment(p["x"], p["y"], _before(points, i), q))
     return F.exists(at, lambda v: v)

@@ -432,6 +432,10 @@ def drawn_boxes(roots: DataFrame, references: DataFrame, polygons: DataFrame, pa
 
 
 def _together(placed: DataFrame) -> DataFrame:
-    """One row a root, cell and linear part (to twelve decimals), with the range of the translations."""
-    rounded = [(F.round(k, 12) + F.lit(0.0)).alias(k) for k in LINEAR]
-    return placed.groupBy("root", "cell_name", *rounded).agg(F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))
+    """One row a root, cell and linear part (to twelve digits), with the range of the translations."""
+    size, c = F.col("size"), F.col
+    order = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(size))))
+    rounded = F.when(size == 0, F.lit(0.0)).otherwise(F.round(size / order, 12) * order)
+    placed = placed.withColumn("rounded", rounded).withColumns({k: F.when(size == 0, F.lit(0.0)).otherwise((F.round(c(k) / size, 12) + F.lit(0.0)) * c("rounded")) for k in "abcd"})
+    linear = [c("rounded").alias("size") if k == "size" else c(k) for k in LINEAR]
+    return placed.groupBy("root", "cell_name", *linear).agg(F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))

@@ -2,8 +2,12 @@
 
 A plain box condition would become a nested-loop join. Here polygons go to the tiles that their boxes meet, points to
 theirs, and the join is on the tile. Tile joins are ordinary equi-joins, so that skewed tiles are split at run time.
-Polygons larger than MANY tiles a side take a coarser level (tiles of four times the side, and so on), which points and
-polygons of all levels present are held against; so no polygon goes to more than MANY x MANY tiles.
+
+Tiles come in levels, each with tiles of four times the side of the one before. Without a tile size each polygon takes the
+level at which a tile is as large as its box, or up to four times that: it meets four tiles at most, and however
+crowded a spot is, its tiles are as fine as what stands there. With a tile size that is the finest level, and polygons
+larger than MANY tiles a side take coarser ones. Points and polygons are held against all levels present, and there is no
+coarsest one, so that no polygon goes to more than MANY x MANY tiles.
 """
 
 from __future__ import annotations
@@ -16,22 +20,26 @@ from ..staging import staged
 from . import boxes
 
 MANY = 8
-LEVELS = 12
+#: Points of a ring that one fold goes through for each point tested.
+LARGE = 512
+#: What a box counts for at least, as a share of how far out it is: tiles' numbers stay exact.
+LEAST = 2.0**-36
 
 
-def _side(tile: float, level: Column) -> Column:
-    return F.lit(float(tile)) * F.pow(F.lit(4.0), level)
+def _side(tile: float | None, level: Column) -> Column:
+    return F.lit(1.0 if tile is None else float(tile)) * F.pow(F.lit(4.0), level)
 
 
-def _boxed(df: DataFrame, tile: float) -> DataFrame:
+def _boxed(df: DataFrame, tile: float | None) -> DataFrame:
     """Polygons with their boxes and levels (where a box meets few tiles), staged: levels are asked for before the join."""
     df = boxes.polygon_boxes(df)
     size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size, F.lit(1e-9)) / (tile * (MANY - 1))) / F.log(F.lit(4.0))))).cast("int")
-    return staged(df.withColumn("level", level), "boxed")
+    size = F.greatest(size, F.lit(1e-9), *[F.abs(F.col(k)) * LEAST for k in boxes.BOX])
+    fits = F.ceil(F.log(size / (1.0 if tile is None else tile * (MANY - 1))) / F.log(F.lit(4.0))).cast("int")
+    return staged(df.withColumn("level", fits if tile is None else F.greatest(F.lit(0), fits)), "boxed")
 
 
-def _tiles(df: DataFrame, tile: float) -> DataFrame:
+def _tiles(df: DataFrame, tile: float | None) -> DataFrame:
     """One row a tile of the row's level that the box meets."""
     side = _side(tile, F.col("level"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
@@ -39,26 +47,51 @@ def _tiles(df: DataFrame, tile: float) -> DataFrame:
 
 
 def levels_of(boxed: DataFrame) -> list[int]:
-    """The levels present (LEVELS + 1 at most)."""
+    """The levels present; there are about half as many as sizes have binary orders of magnitude."""
     return sorted(r.level for r in boxed.select("level").distinct().collect())
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float, x: str = "px", y: str = "py") -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float | None = None, x: str = "px", y: str = "py") -> DataFrame:
     """All (point, polygon) rows where the polygon (column points) contains the point, edges included.
 
-    Columns of both inputs come out; their names must differ.
+    Columns of both inputs come out; their names must differ. Rings of more than LARGE points are tested edge by edge over
+    slabs instead of as a whole.
     """
-    boxed = _boxed(polygons, tile)
+    boxed = _boxed(polygons.withColumn("ring", F.monotonically_increasing_id()), tile)
     levels = F.array(*[F.lit(v) for v in levels_of(boxed)]).cast("array<int>")
     side = _side(tile, F.col("level"))
     probes = points.withColumn("level", F.explode(levels)).withColumn("tx", F.floor(F.col(x) / side)).withColumn("ty", F.floor(F.col(y) / side))
-    met = probes.join(_tiles(boxed, tile), ["level", "tx", "ty"])
     inside = (F.col(x) >= F.col("min_x")) & (F.col(x) <= F.col("max_x")) & (F.col(y) >= F.col("min_y")) & (F.col(y) <= F.col("max_y"))
-    met = met.where(inside).where(ring.contains(F.col("points"), F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
-    return met.drop("level", "tx", "ty", *boxes.BOX)
+    meet = lambda some: probes.join(_tiles(some, tile), ["level", "tx", "ty"]).where(inside).drop("level", "tx", "ty")
+    is_large = F.size("points") > LARGE
+    met = meet(boxed.where(~is_large)).where(ring.contains(F.col("points"), F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
+    large = boxed.where(is_large)
+    if large.limit(1).count():
+        met = met.unionByName(_by_slabs(meet(large.drop("points")), large, x, y))
+    return met.drop("ring", *boxes.BOX)
+
 
+def _by_slabs(met: DataFrame, large: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows of points met with large rings (by boxes) for which the ring contains the point.
 
-def polygon_pairs(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
+    A ring's edges are dealt out over slabs of its height, as many as the root of its points; a point is held against the
+    edges of its own slab, and crossings are counted up by point and ring.
+    """
+    c = F.col
+    met = staged(met.withColumn("hit", F.monotonically_increasing_id()), "met")
+    slabs = large.select("ring", "min_y", (F.ceil(F.sqrt(F.size("points"))) / F.greatest(c("max_y") - c("min_y"), F.lit(1e-300))).alias("per"), F.explode(ring.edges(c("points"))).alias("e"))
+    at = lambda v, low, per: F.floor((v - low) * per)
+    low, high = F.least(c("e.a.y"), c("e.b.y")), F.greatest(c("e.a.y"), c("e.b.y"))
+    slabs = slabs.select("ring", "e", F.explode(F.sequence(at(low, c("min_y"), c("per")), at(high, c("min_y"), c("per")))).alias("slab"))
+    rings = large.select("ring", (F.ceil(F.sqrt(F.size("points"))) / F.greatest(c("max_y") - c("min_y"), F.lit(1e-300))).alias("per"))
+    mine = met.join(rings, "ring").select("hit", "ring", c(x).alias("x"), c(y).alias("y"), at(c(y), c("min_y"), c("per")).alias("slab"))
+    both = mine.join(slabs, ["ring", "slab"])
+    per = both.groupBy("hit").agg(F.count_if(ring.crosses(c("x"), c("y"), c("e.b"), c("e.a"))).alias("n"), F.max(ring.on_segment(c("x"), c("y"), c("e.a"), c("e.b"))).alias("edge"))
+    good = per.where(c("edge") | (c("n") % 2 == 1)).select("hit")
+    return met.join(good, "hit", "left_semi").drop("hit").join(large.select("ring", "points"), "ring")
+
+
+def polygon_pairs(left: DataFrame, right: DataFrame, tile: float | None = None) -> DataFrame:
     """(a, b) ids of polygons of two tables (elem_id, points) that intersect by vertices: each pair once.
 
     A pair that meets in several tiles counts in the one that holds the corner where the two boxes begin to overlap. Where
@@ -80,7 +113,7 @@ def polygon_pairs(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
     return both.where(ring.intersects(F.col("a_points"), F.col("b_points"))).select("a", "b")
 
 
-def _coarser(boxed: DataFrame, levels: list[int], tile: float) -> DataFrame:
+def _coarser(boxed: DataFrame, levels: list[int], tile: float | None) -> DataFrame:
     """Rows of the tiles of their own level and of all coarser ones present."""
     base = boxed.drop("points").withColumnRenamed("level", "own")
     base = base.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("own"))))

@@ -142,14 +142,30 @@ SPREAD = """spread AS (SELECT elem_id, [{'x': v.x * 0.1 + elem_id % 997, 'y': v.
   spread_probes AS (SELECT event_id AS pt_id, ((event_id * 13) % 10007) / 10 AS px, ((event_id * 29) % 9973) / 10 AS py FROM events)"""
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread polygons, nine of ten of them at a hundredth of their size within one unit, and a large one a layer."""
+    p = spread(spark, sf_dir)
+    spot = F.when(c("elem_id") % 10 > 0, 0.001).when(c("elem_id") % 1000 == 0, 40.0).otherwise(1.0)
+    return p.select("elem_id", ring.scale(c("points"), spot).alias("points"))
+
+
+def crowded_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = F.when(c("pt_id") % 4 > 0, 0.001).otherwise(1.0)
+    return spread_probes(spark, sf_dir).select("pt_id", (c("px") * near).alias("px"), (c("py") * near).alias("py"))
+
+
+CROWDED = """crowded AS (SELECT elem_id, [{'x': v.x * k, 'y': v.y * k} for v in p] AS p FROM (SELECT *, CASE WHEN elem_id % 10 > 0 THEN 0.001::DOUBLE WHEN elem_id % 1000 = 0 THEN 40.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM spread)),
+  crowded_probes AS (SELECT pt_id, px * k AS px, py * k AS py FROM (SELECT *, CASE WHEN pt_id % 4 > 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS k FROM spread_probes))"""
+
+
 def one_cell(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("cell_name", F.lit(name))
 
 
 def chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(references, polygons) of 75 cells, each in the one before it, turned and moved; each has a square."""
-    k = c("n_nationkey") * 3 + c("id")
-    d = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(spark.range(3)).select(k.cast("long").alias("k"))
+    three = F.sequence(c("n_nationkey") * 3, c("n_nationkey") * 3 + 2)
+    d = table(spark, sf_dir, "nation").select(F.explode(three.cast("array<bigint>")).alias("k"))
     name = lambda v: F.concat(F.lit("deep"), v.cast("string"))
     refs = d.where("k < 74").select(
         name(c("k")).alias("cell_name"), (c("k") + 5000).alias("elem_id"), F.lit("cell").alias("target_kind"), name(c("k") + 1).alias("target_cell"), F.lit(None).cast("long").alias("target_elem_id"),

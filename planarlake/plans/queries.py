@@ -476,6 +476,20 @@ def reference_bbox(spark, sf_dir):
     return b.select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
 
 
+#: All placements: of the top cell, of the regions, and of the nations themselves.
+_ROOTS = f"""{D.LEAVES}, {D.LEAF_TEXTS}, {WALK}, placed AS (SELECT 'TOP' AS root, * FROM walk WHERE depth = 2 UNION ALL SELECT s.cell_name, 1, s.target_cell, ga, gb, gc, gd, gtx, gty, ang, g, mag FROM step s WHERE s.cell_name <> 'TOP'
+  UNION ALL SELECT n_name, 0, n_name, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1, 1.0 FROM nation),
+  drawn AS (SELECT root, a * p.x + b * p.y + tx AS x0, c * p.x + d * p.y + ty AS y0, x0 AS x1, y0 AS y1 FROM placed w JOIN corners p ON w.cell_name = p.cell_name
+  UNION ALL SELECT root, a * t.x + b * t.y + tx - w, c * t.x + d * t.y + ty - h, a * t.x + b * t.y + tx + w, c * t.x + d * t.y + ty + h
+    FROM (SELECT * EXCLUDE (x, y), t.x, t.y, strlen("text") * magnification * size / 2 AS w, magnification * size / 2 AS h FROM placed q JOIN leaf_texts t ON q.cell_name = t.cell_name) t)"""
+
+
+@query(f"WITH {_ROOTS} SELECT root AS cell_name, {s6('min(x0)')} AS min_x, {s6('min(y0)')} AS min_y, {s6('max(x1)')} AS max_x, {s6('max(y1)')} AS max_y FROM drawn GROUP BY root")
+def library_boxes(spark, sf_dir):
+    """Boxes of all cells of a library, with the polygons and texts that their references draw."""
+    return _library(spark, sf_dir).bounding_boxes().select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
+
+
 @query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.MOST_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 2, 3)) SELECT elem_id, target_cell FROM refs WHERE target_cell NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name)")
 def reference_is_on(spark, sf_dir):
     refs, polygons, paths, texts = _tables(spark, sf_dir)
@@ -512,6 +526,13 @@ def polygon_overlap_join(spark, sf_dir):
     return spatial.polygon_pairs(small, small, 8).where("a < b")
 
 
+@query(f"WITH {D.POLYGONS}, {D.SPREAD}, {D.CROWDED}, boxed AS (SELECT *, {BOX} FROM crowded), hits AS (SELECT elem_id, {sql_inside('px', 'py')} AS hit FROM boxed JOIN crowded_probes ON px BETWEEN min_x AND max_x AND py BETWEEN min_y AND max_y) SELECT elem_id, count(*) AS n_points FROM hits WHERE hit GROUP BY elem_id")
+def crowded_point_join(spark, sf_dir):
+    """Points in polygons most of which stand in one spot, without a tile size."""
+    hits = spatial.point_in_polygon(D.crowded_probes(spark, sf_dir), D.crowded(spark, sf_dir))
+    return hits.groupBy("elem_id").agg(F.count(F.lit(1)).alias("n_points"))
+
+
 def sql_number(e: str) -> str:
     """A number of few digits as text, without .0."""
     return f"CASE WHEN {e} = floor({e}) THEN ({e})::BIGINT::VARCHAR ELSE ({e})::VARCHAR END"

@@ -259,6 +259,56 @@ def test_tile_joins_equal_all_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_crowded_spots(spark):
+    """Nine of ten polygons in one spot, some very large: rows as all pairs give them, and no tile with much in it."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(400):
+        s, w = (0.01, 1.0) if i % 10 else (rnd.choice([3.0, 900.0]), 500.0)
+        x, y = rnd.uniform(-w, w), rnd.uniform(-w, w)
+        rows.append((i, [(x, y), (x + s, y), (x + s / 2, y + s), (x, y)]))
+    rows.append((400, [(5.0, 5.0)] * 4))
+    polys = spark.createDataFrame(rows, "elem_id long, points array<struct<x:double,y:double>>")
+    probes = spark.createDataFrame([(i, rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for i in range(400)] + [(999, 5.0, 5.0)], "pt_id long, px double, py double")
+    got = sorted(tuple(r) for r in spatial.point_in_polygon(probes, polys).select("pt_id", "elem_id").collect())
+    want = probes.crossJoin(polys).where(R.contains(F.col("points"), P.point(F.col("px"), F.col("py")))).select("pt_id", "elem_id")
+    assert got == sorted(tuple(r) for r in want.collect()) and got
+    pairs = spatial.polygon_pairs(polys, polys).where("a < b").collect()
+    other = polys.select(F.col("elem_id").alias("b"), F.col("points").alias("q"))
+    want = polys.crossJoin(other).where((F.col("elem_id") < F.col("b")) & R.intersects(F.col("points"), F.col("q"))).select("elem_id", "b")
+    assert sorted(tuple(r) for r in pairs) == sorted(tuple(r) for r in want.collect()) and pairs
+    tiles = spatial._tiles(spatial._boxed(polys, None), None)
+    assert tiles.groupBy("elem_id").count().agg(F.max("count")).first()[0] <= 4
+    assert tiles.where("elem_id % 10 > 0").groupBy("level", "tx", "ty").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_large_rings(spark, monkeypatch):
+    """Tested over slabs, rings contain what they contain as a whole: zigzags, level edges, corners, no height."""
+    rnd = random.Random(5)
+    zigzag = [(float(i), 50.0 * (i % 2) + i % 3) for i in range(40)] + [(40.0, -7.0), (0.0, -7.0), (0.0, 0.0)]
+    star = [(rnd.uniform(0, 40), float(rnd.randint(0, 40))) for _ in range(60)]
+    rows = [(1, zigzag), (2, star + star[:1]), (3, [(float(i), 3.0) for i in range(30)]), (4, [(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 0.0)])]
+    polys = spark.createDataFrame(rows, "elem_id long, points array<struct<x:double,y:double>>")
+    spots = [(rnd.uniform(-1, 41), rnd.uniform(-8, 53)) for _ in range(300)] + zigzag + star + [(5.5, 3.0), (float(3), float(7))] * 2
+    probes = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "pt_id long, px double, py double")
+    whole = sorted((r.pt_id, r.elem_id, len(r.points)) for r in spatial.point_in_polygon(probes, polys, 8.0).collect())
+    monkeypatch.setattr(spatial, "LARGE", 10)
+    assert sorted((r.pt_id, r.elem_id, len(r.points)) for r in spatial.point_in_polygon(probes, polys, 8.0).collect()) == whole
+    assert {e for _, e, _ in whole} == {1, 2, 3, 4}
+
+
+def test_tiny_magnifications_have_boxes(spark):
+    """Cells drawn very small keep their size."""
+    row = lambda *v: spark.createDataFrame([v], "cell_name string, elem_id long, layer int, data_type int, points array<struct<x:double,y:double>>")
+    polys = row("low", 1, 0, 0, [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 0.0)])
+    one = spark.range(1)
+    refs = one.select(F.lit("top").alias("cell_name"), F.lit(2).cast("long").alias("elem_id"), F.lit("cell").alias("target_kind"), F.lit("low").alias("target_cell"), F.lit(None).cast("long").alias("target_elem_id"), G.grid((0, 0), 1, 1, (0, 0), (0, 0), 1e-13).alias("grid"))
+    paths = spark.createDataFrame([], "cell_name string, elem_id long, layer int, data_type int, path_type int, width double, points array<struct<x:double,y:double>>")
+    texts = spark.createDataFrame([], "cell_name string, elem_id long, layer int, text string, origin struct<x:double,y:double>, magnification double, angle double, x_reflection boolean, vertical_presentation int, horizontal_presentation int")
+    box = hierarchy.drawn_boxes(spark.createDataFrame([("top",)], "root string"), refs, polys, paths, texts).where("cell_name = 'low'").first()
+    assert math.isclose(box.max_x, 3e-13, rel_tol=1e-9) and math.isclose(box.max_y, 3e-13, rel_tol=1e-9)
+
+
 def test_catalog(spark):
     cells = spark.createDataFrame([("a",), ("b",)], "cell_name string")
     with pytest.raises(ValueError):
