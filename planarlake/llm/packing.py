@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ WIDE_SPACE = "\x85\xa0                　"
 #: apostrophe, which can begin a pre-token with the letters behind it, nor before one that belongs to what stands before.
 LETTER, DIGIT, OTHER, QUOTE = 1, 2, 3, 4
 #: Distinct stretches whose ids a worker keeps, ids of these and bytes; stretches that the library gets at a time.
-MEMORY, IDS, CHARS, ASKED = 800_000, 5_000_000, 1 << 24, 4_000
+MEMORY, IDS, CHARS, ASKED = 1_000_000, 6_000_000, 1 << 24, 4_000
 #: Bytes of text that are coded together.
 TOGETHER = 6 << 20
 #: Bits of a rank in the keys that ranks are looked up by.
@@ -146,6 +147,12 @@ class Encoder:
         return flat, done
 
 
+@lru_cache(1)
+def encoder(model: str, end_id: int) -> Encoder:
+    """A worker's encoder, which keeps what it has learnt from one task to the next."""
+    return Encoder(model, end_id)
+
+
 def token_pieces(docs: DataFrame, model: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth [, ids]): every document's pieces under the vocabulary file.
 
@@ -163,7 +170,7 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = 1024, end_id: int
 
         part, coder, seen = TaskContext.get().partitionId(), None, np.zeros(capacity + 1, np.int64)
         for b in C.slices(batches, max_bytes=TOGETHER):
-            coder = coder or Encoder(shared.value, end_id)
+            coder = coder or encoder(shared.value, end_id)
             flat, at = coder.ids(b.column(1))
             total = np.diff(at)
             n = (total + capacity - 1) // capacity
