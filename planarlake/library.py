@@ -14,7 +14,7 @@ from .functions import path as H
 from .functions import point as P
 from .functions import ring as R
 from .functions import text as X
-from .operators import boxes, catalog, equality, filters, hierarchy
+from .operators import catalog, equality, filters, hierarchy
 from .sources import gds
 
 c = F.col
@@ -135,8 +135,7 @@ class Library:
 
     def bounding_boxes(self) -> DataFrame:
         """Boxes of all cells, with what their references draw."""
-        drawn = hierarchy.drawn_boxes(self.cells.select(c("cell_name").alias("root")), self.references, self.polygons, self.paths, self.texts)
-        return boxes.union_boxes([drawn], ["root"]).withColumnRenamed("root", "cell_name")
+        return hierarchy.cell_boxes(self.cells, self.references, self.polygons, self.paths, self.texts)
 
     def flatten(self, *pairs: tuple[int, int], depth: int | None = None) -> Library:
         """All cells flattened: references replaced by what they place, to a depth; depth 0 changes nothing."""

@@ -13,6 +13,8 @@ A reference may have a reference as its target. The target then stands for a cel
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,19 +161,27 @@ def deepest(references: DataFrame, roots: DataFrame) -> int:
     edges, few = _edges(references)
     if few is None:
         return closure(references).join(roots.select(F.col("root").alias("cell_name")), "cell_name", "left_semi").agg(F.max("steps")).first()[0] or 0
-    below: dict[str, list[str]] = {}
-    for r in few:
-        below.setdefault(r.cell_name, []).append(r.target_cell)
+    below = _lists(few)
     if not below:
         return 0
     tops = [r.root for r in roots.join(edges, roots.root == edges.cell_name, "left_semi").select("root").distinct().collect()]
+    found = _depths(below, tops)
+    return max((found[t] for t in tops), default=0)
+
+
+def _lists(edges: list) -> dict[str, list[str]]:
+    below: dict[str, list[str]] = {}
+    for r in edges:
+        below.setdefault(r.cell_name, []).append(r.target_cell)
+    return below
+
+
+def _depths(below: dict[str, list[str]], tops) -> dict[str, int]:
+    """The most references on a way down from each cell that is met from the tops on; cycles fail."""
     depth: dict[str, int | None] = {}  # None while a cell is under way
     for top in tops:
-        path = [(top, iter(below.get(top, ())))]
-        if top not in depth:
-            depth[top] = None
-        elif depth[top] is not None:
-            continue
+        path = [] if top in depth else [(top, iter(below.get(top, ())))]
+        depth.setdefault(top, None)
         while path:
             cell, rest = path[-1]
             low = next(rest, None)
@@ -183,7 +193,7 @@ def deepest(references: DataFrame, roots: DataFrame) -> int:
                 path.append((low, iter(below.get(low, ()))))
             elif depth[low] is None:
                 raise ValueError(f"cell refers to itself: {low}")
-    return max((depth[t] for t in tops), default=0)
+    return depth
 
 
 def above(references: DataFrame, cells: DataFrame) -> DataFrame:
@@ -418,24 +428,87 @@ def drawn_boxes(roots: DataFrame, references: DataFrame, polygons: DataFrame, pa
         level = staged(_together(new))
         every = every.union(level)
     every = staged(_together(every))
-    # Boxes of what cells have themselves, for each turn and size, where they would be drawn without being moved.
     shapes = staged(every.select("cell_name", *LINEAR).distinct().withColumn("shape", F.monotonically_increasing_id()))
-    zero = F.lit(0.0)
+    own = _own_boxes(shapes, t)
+    met = every.join(shapes, ["cell_name", *LINEAR]).join(own, "shape")
+    moved = met.select("root", "cell_name", *[(c(f"{m}_{v}") + c(f"{'l' if m == 'min' else 'h'}{v}")).alias(f"{m}_{v}") for m in ("min", "max") for v in "xy"])
+    return boxes.union_boxes([moved], ["root", "cell_name"])
+
+
+def _own_boxes(shapes: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """(shape, box) of what cells have themselves, for each turn and size (shape) that they are drawn in, where they would be
+    drawn without being moved."""
+    c, zero = F.col, F.lit(0.0)
     turned = lambda d: d.withColumn("points", ring.affine(c("points"), c("a"), c("b"), c("c"), c("d"), zero, zero))
     x, y = c("origin.x"), c("origin.y")
     of = {k: v.join(shapes, "cell_name") for k, v in t.items()}
     of["texts"] = of["texts"].withColumn("origin", P.point(c("a") * x + c("b") * y, c("c") * x + c("d") * y)).withColumn("magnification", c("magnification") * c("size"))
-    own = boxes.cell_boxes(turned(of["polygons"]), turned(of["paths"]), of["texts"], ["shape"])
-    met = every.join(shapes, ["cell_name", *LINEAR]).join(own, "shape")
-    moved = met.select("root", "cell_name", *[(c(f"{m}_{v}") + c(f"{'l' if m == 'min' else 'h'}{v}")).alias(f"{m}_{v}") for m in ("min", "max") for v in "xy"])
-    return boxes.union_boxes([moved], ["root", "cell_name"])
+    return boxes.cell_boxes(turned(of["polygons"]), turned(of["paths"]), of["texts"], ["shape"])
 
 
-def _together(placed: DataFrame) -> DataFrame:
-    """One row a root, cell and linear part (to twelve digits), with the range of the translations."""
+def _heights(references: DataFrame) -> tuple[DataFrame, int]:
+    """(cell_name, height) of the cells that refer to others: the most references on a way down; and the largest."""
+    edges, few = _edges(references)
+    if few is None:
+        up = staged(closure(references).groupBy("cell_name").agg(F.max("steps").alias("height")), "heights")
+        return up, up.agg(F.max("height")).first()[0] or 0
+    below = _lists(few)
+    found = _depths(below, below)
+    rows = [(k, v) for k, v in found.items() if v]
+    return references.sparkSession.createDataFrame(rows, "cell_name string, height int"), max(found.values(), default=0)
+
+
+def cell_boxes(cells: DataFrame, references: DataFrame, polygons: DataFrame, paths: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell_name, min_x, min_y, max_x, max_y) of the cells that draw anything, with what their references draw.
+
+    Which turns and sizes (linear parts of maps) each cell is drawn in is asked from the top downwards, and the box of each
+    cell in each of these is made from the bottom upwards, out of its own elements and the boxes of what its references
+    place, moved over the range of the copies. So rows are cells by turns and sizes, however many cells stand over them.
+    """
+    c, span = F.col, ("lx", "hx", "ly", "hy")
+    references, t = _one_cell_each(with_nested(references), {"polygons": polygons, "paths": paths, "texts": texts})
+    heights, most = _heights(references)
+    step = expand(references.where("target_cell is not null"), corners=True).withColumnRenamed("cell_name", "parent")
+    kept = staged(step.select("parent", "target_cell", "ga", "gb", "gc", "gd", "gtx", "gty", c("grid.magnification").alias("gm")), "kept")
+    one = {"a": 1.0, "b": 0.0, "c": 0.0, "d": 1.0, "size": 1.0}
+    asked = level = cells.select("cell_name", *[F.lit(v).alias(k) for k, v in one.items()]).distinct()
+
+    def placed(above: DataFrame, *keys: str) -> DataFrame:
+        """What the references of cells in their turns place: the target in its turn, and where."""
+        maps = _compose()
+        dx, dy = c("a") * c("gtx") + c("b") * c("gty"), c("c") * c("gtx") + c("d") * c("gty")
+        new = above.join(kept, above["cell_name"] == kept["parent"]).select(*keys, c("target_cell").alias("cell_name"), *[maps[k].alias(k) for k in "abcd"], (c("size") * c("gm")).alias("size"), dx.alias("dx"), dy.alias("dy"))
+        return _rounded(new)
+
+    for _ in range(most):
+        level = staged(placed(level).select("cell_name", *LINEAR).distinct(), "asked")
+        asked = asked.union(level)
+    shapes = staged(asked.distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    done = staged(_own_boxes(shapes, t).select("shape", *boxes.BOX), "boxes")
+    if most:
+        low = shapes.withColumnRenamed("shape", "low").withColumnRenamed("cell_name", "below")
+        edges = placed(shapes, "shape").groupBy("shape", "cell_name", *LINEAR).agg(*[f(v).alias(k) for k, f, v in zip(span, (F.min, F.max) * 2, ("dx", "dx", "dy", "dy"))])
+        edges = edges.withColumnRenamed("cell_name", "below").join(low, ["below", *LINEAR]).select("shape", "low", *span)
+        edges = staged(edges.join(shapes.join(heights, "cell_name").select("shape", "height"), "shape"), "edges")
+    for height in range(1, most + 1):
+        lower = done.withColumnRenamed("shape", "low")
+        moved = edges.where(c("height") == height).join(lower, "low")
+        moved = moved.select("shape", *[(c(f"{m}_{v}") + c(f"{'l' if m == 'min' else 'h'}{v}")).alias(f"{m}_{v}") for m in ("min", "max") for v in "xy"])
+        done = staged(boxes.union_boxes([done, moved], ["shape"]), "boxes")
+    identity = [(c(k) == v) for k, v in one.items()]
+    mine = shapes.join(cells.select("cell_name").distinct(), "cell_name", "left_semi").where(reduce(lambda p, q: p & q, identity))
+    return mine.join(done, "shape").select("cell_name", *boxes.BOX)
+
+
+def _rounded(placed: DataFrame) -> DataFrame:
+    """The linear part to twelve digits of the size, so that ways that turn alike are told to be so."""
     size, c = F.col("size"), F.col
     order = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(size))))
-    rounded = F.when(size == 0, F.lit(0.0)).otherwise(F.round(size / order, 12) * order)
-    placed = placed.withColumn("rounded", rounded).withColumns({k: F.when(size == 0, F.lit(0.0)).otherwise((F.round(c(k) / size, 12) + F.lit(0.0)) * c("rounded")) for k in "abcd"})
-    linear = [c("rounded").alias("size") if k == "size" else c(k) for k in LINEAR]
-    return placed.groupBy("root", "cell_name", *linear).agg(F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))
+    placed = placed.withColumn("rounded", F.when(size == 0, F.lit(0.0)).otherwise(F.round(size / order, 12) * order))
+    placed = placed.withColumns({k: F.when(size == 0, F.lit(0.0)).otherwise((F.round(c(k) / size, 12) + F.lit(0.0)) * c("rounded")) for k in "abcd"})
+    return placed.withColumn("size", c("rounded")).drop("rounded")
+
+
+def _together(placed: DataFrame) -> DataFrame:
+    """One row a root, cell and linear part, with the range of the translations."""
+    return _rounded(placed).groupBy("root", "cell_name", *LINEAR).agg(F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy"))

@@ -240,6 +240,8 @@ def test_boxes_equal_those_of_what_is_flattened(spark):
         got = boxes.union_boxes([hierarchy.drawn_boxes(roots, refs, polys, wide, texts)], ["root"])
         rows = lambda d: sorted((r.root, *[r5(r[k]) for k in boxes.BOX]) for r in d.collect())
         assert rows(got) == rows(want) and len(rows(got)) > 2
+        up = hierarchy.cell_boxes(roots.withColumnRenamed("root", "cell_name"), refs, polys, wide, texts).withColumnRenamed("cell_name", "root")
+        assert rows(up) == rows(want)
 
 
 def test_tile_joins_equal_all_pairs(spark):
