@@ -25,7 +25,14 @@ ELEMENTS = {"polygon": "polygons", "path": "paths", "text": "texts"}
 c = F.col
 
 
-def ranked(t: DataFrame) -> DataFrame:
+def largest(tables: list[DataFrame]) -> list[int]:
+    """The most elements that a cell has in each of the tables, in one job."""
+    per = [t.where("cell_name is not null").groupBy("cell_name").count().select(F.lit(i).alias("i"), "count") for i, t in enumerate(tables)]
+    got = {r.i: r.most for r in reduce(DataFrame.union, per).groupBy("i").agg(F.max("count").alias("most")).collect()}
+    return [got.get(i, 0) for i in range(len(tables))]
+
+
+def ranked(t: DataFrame, most: int | None = None) -> DataFrame:
     """Elements with their place in their cell, from 1, in order of elem_seq and elem_id.
 
     Where a cell is large, rows are sorted over all tasks and written; a row's place is then its number within its part of
@@ -33,7 +40,7 @@ def ranked(t: DataFrame) -> DataFrame:
     """
     t = t.where("cell_name is not null")
     order = [c(k) for k in ("elem_seq", "elem_id") if k in t.columns]
-    most = t.groupBy("cell_name").count().agg(F.max("count")).first()[0] or 0
+    most = largest([t])[0] if most is None else most
     if most <= ONE_TASK:
         return t.withColumn("place", F.row_number().over(Window.partitionBy("cell_name").orderBy(*order)).cast("long"))
     rows = staged(t.orderBy("cell_name", *order).withColumn("at", F.monotonically_increasing_id()), "ranked")
@@ -57,10 +64,10 @@ def _side(t: DataFrame, kind: str, prefix: str, *keys: Column) -> DataFrame:
     return t.select(*keys, *[c(k).alias(f"{prefix}_{k}") for k in (*EXACT[kind], CLOSE[kind]) if k in t.columns], F.lit(True).alias(f"in_{prefix}"))
 
 
-def by_place(left: DataFrame, right: DataFrame, kind: str, epsilon: float = P.EPSILON) -> DataFrame:
+def by_place(left: DataFrame, right: DataFrame, kind: str, epsilon: float = P.EPSILON, most: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """(cell_name, place, equal) of all places of two tables of a kind; with the targets of either side for references,
     which count here by kind and cell."""
-    a, b = (_side(ranked(t), kind, p, c("cell_name"), c("place")) for t, p in ((left, "a"), (right, "b")))
+    a, b = (_side(ranked(t, n), kind, p, c("cell_name"), c("place")) for t, p, n in ((left, "a", most[0]), (right, "b", most[1])))
     both = a.join(b, ["cell_name", "place"], "full_outer").withColumn("equal", _same(kind, epsilon, ("target_elem_id",)))
     kept = ["a_target_kind", "a_target_elem_id", "b_target_elem_id"] if kind == "references" else []
     return both.select("cell_name", "place", "equal", *kept)
@@ -99,7 +106,8 @@ def unequal_targets(pairs: DataFrame, left: dict[str, DataFrame], right: dict[st
 
 def unequal_cells(left: dict[str, DataFrame], right: dict[str, DataFrame], epsilon: float = P.EPSILON) -> DataFrame:
     """Names of cells that differ: in an element of some kind, in what a reference targets, or in a cell below them."""
-    places = {k: by_place(left[k], right[k], k, epsilon) for k in KINDS}
+    most = largest([t[k] for k in KINDS for t in (left, right)])
+    places = {k: by_place(left[k], right[k], k, epsilon, (most[2 * i], most[2 * i + 1])) for i, k in enumerate(KINDS)}
     refs = places["references"] = staged(places["references"], "places")
     bad = reduce(DataFrame.union, [p.where("not equal").select("cell_name") for p in places.values()])
     pairs = refs.where("equal and a_target_kind <> 'cell'")

@@ -776,6 +776,28 @@ def gds_file_roundtrip(spark, sf_dir):
     return at("polygon", polygons, c("layer"), c("i"), c("v")).union(at("text", back.texts, c("text"), F.lit(0), c("origin"))).union(at("reference", back.references, c("target_cell"), F.lit(0), c("grid.origin")))
 
 
+@query(f"WITH {D.LEAVES} SELECT layer, i::INT AS i, round(-y + g * 2) + 0.0::DOUBLE AS x, round(x + g * 3 + elem_id) + 0.0::DOUBLE AS y, count(*) AS n FROM corners, range(2) t(g) WHERE elem_id % 5 = 0 GROUP BY ALL")
+def gds_element_references(spark, sf_dir):
+    """References to polygons, in arrays of two turned by a right angle, as the copies that a file has of them."""
+    p = D.leaf_polygons(spark, sf_dir).where("elem_id % 5 = 0")
+    targets = p.withColumn("cell_name", F.lit(None).cast("string"))
+    grid = G.grid(P.point(0, c("elem_id")), 2, 1, (3, -2), (0, 0), 1, 90)
+    refs = p.select(F.lit("ALL").alias("cell_name"), (c("elem_id") + 10**6).alias("elem_id"), F.lit("polygon").alias("target_kind"), F.lit(None).cast("string").alias("target_cell"), c("elem_id").alias("target_elem_id"), grid.alias("grid"))
+    lib = _library(spark, sf_dir, polygons=targets, texts=D.leaf_texts(spark, sf_dir).limit(0), references=refs)
+    lib = replace(lib, cells=spark.range(1).select(F.lit("ALL").alias("cell_name"), c("id").alias("cell_seq")))
+    back = Library.from_gds(spark, lib.to_gds(f"{shared_dir(spark)}/{uuid.uuid4().hex}.gds"))
+    zero = F.lit(0.0)
+    v = back.polygons.select("layer", F.posexplode("points").alias("i", "v")).select("layer", "i", (F.round("v.x") + zero).alias("x"), (F.round("v.y") + zero).alias("y"))
+    return v.groupBy("layer", "i", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS cell_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND n_regionkey <> 2) AS n_polygons FROM nation UNION ALL SELECT r_name, 0 FROM region UNION ALL SELECT 'TOP', 0 UNION ALL SELECT 'EMPTY', 0")
+def library_plus(spark, sf_dir):
+    """A library plus cells: those of a region, there already, take their places and begin without elements."""
+    new = D.table(spark, sf_dir, "nation").where("n_regionkey = 2").select(c("n_name").alias("cell_name"), c("n_nationkey").cast("long").alias("cell_seq"))
+    return (_library(spark, sf_dir) + new).counts().select("cell_name", "n_polygons")
+
+
 @query(f"""WITH {D.LEAVES}, {WALK}, lib AS (SELECT * FROM (VALUES ('even', 0), ('odd', 1)) t(library, k)) SELECT library, elem_id, layer, i::INT AS i, {s6('a * x + b * y + tx')} AS x, {s6('c * x + d * y + ty')} AS y
   FROM lib, walk w JOIN corners p ON w.cell_name = p.cell_name WHERE elem_id % 2 = k""")
 def gds_libraries(spark, sf_dir):
