@@ -396,6 +396,8 @@ def held_out(col):
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that the checksum of their ids doesn't hold out; null texts and texts
+    without a letter are und, null langs are not learned from, rows are documents."""
     import public_tokenizers
 
     docs = C.table(spark, sf_dir, "documents")

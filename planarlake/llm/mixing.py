@@ -9,6 +9,8 @@ size, which keeps a stratum's words within one document of what the rates ask fo
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from . import common as C
 #: Documents in a stratum of the rounding, about. A source of any size is dealt out over strata by a hash.
 STRATUM = 8000
 OFFSETS = 16
+#: Newton steps before every other one halves the bracket.
+PATIENCE = 30
 #: Rates are counted in units of 2^-20, so that running sums are exact.
 BITS = 20
 UNIT = 1 << BITS
@@ -59,11 +63,12 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return per.select("source", "n_docs", "source_size", F.least(most, F.lit(level) * F.col("weight")).alias("target"))
 
 
-def tilts(sizes: DataFrame, targets: DataFrame, steps: int = 60, exact: float = 1e-10) -> DataFrame:
+def tilts(sizes: DataFrame, targets: DataFrame, exact: float = 1e-10) -> DataFrame:
     """(source, tilt, n_docs, source_size, target): the dual's root of each source, by Newton steps within brackets.
 
     Rates are 2 / (1 + exp(-tilt * size)). A source whose target is all it can give has an infinite tilt; one that has
-    no words has none.
+    no words has none (0). Steps end when every source is as near as ``exact`` of its target, or its bracket has no number
+    left inside. The null source is a source, null sizes count for nothing, and an empty table gives an empty result.
     """
     hist = C.staged(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
@@ -73,7 +78,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, steps: int = 60, exact: float =
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), full.alias("done"),
     )
     state = C.staged(state, "tilt")
-    for _ in range(steps):
+    for turn in count():
         todo = state.where("not done and source_size > 0").select(F.col("source").alias("s"), "x", "mean")
         both = hist.join(todo, F.col("source").eqNullSafe(F.col("s")))
         rate = 2.0 / (1.0 + F.exp(-F.col("x") * F.col("size") / F.col("mean")))
@@ -90,8 +95,12 @@ def tilts(sizes: DataFrame, targets: DataFrame, steps: int = 60, exact: float =
         # Out of the bracket, or with no bound on a side yet a jump: halve, or double.
         low = F.coalesce("lo", F.least(F.col("hi") * 2 - 1, F.lit(-1.0)))
         high = F.coalesce("hi", F.greatest(F.col("lo") * 2 + 1, F.lit(1.0)))
-        new = new.withColumn("next", F.when((F.col("next") > low) & (F.col("next") < high), F.col("next")).otherwise((low + high) / 2))
-        met = F.col("words").isNull() | (F.abs(over) <= exact * F.greatest("target", F.lit(1.0)))
+        middle = (low + high) / 2
+        # Late steps halve every other time, so that any bracket closes.
+        newton = (F.col("next") > low) & (F.col("next") < high) & F.lit(turn < PATIENCE or turn % 2 == 0)
+        new = new.withColumn("next", F.when(newton, F.col("next")).otherwise(middle))
+        met = F.col("words").isNull() | (F.abs(over) <= exact * F.greatest("target", F.lit(1.0))) | (middle <= F.col("lo")) | (middle >= F.col("hi"))
+        met = F.coalesce(met, F.lit(False))
         new = new.withColumn("x", F.when(met, F.col("x")).otherwise(F.col("next"))).withColumn("done", F.col("done") | met)
         state = C.staged(new.drop("words", "slope", "next"), "tilt")
         if not state.where("not done and source_size > 0").limit(1).count():
@@ -137,7 +146,8 @@ def word_sizes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mixed_copies of all documents by their words, as words taken."""
+    """mixed_copies of all documents by their words, as words taken; null texts have none, null sources are one source, rows
+    are documents."""
     sizes = C.staged(word_sizes(C.table(spark, sf_dir, "documents")), "words")
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixed_copies(sizes).select("doc_id", "size", "source_size", "target", taken)

@@ -211,6 +211,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_groups of all documents; null and empty texts have the fingerprint zero and are linked like others."""
     found = simhash_groups(C.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

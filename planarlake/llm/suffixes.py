@@ -467,6 +467,7 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", keep_text: b
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suffix_dedup of all documents, as counts and the checksum of what is left; null texts are empty."""
     out = suffix_dedup(C.table(spark, sf_dir, "documents"), keep_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

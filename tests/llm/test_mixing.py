@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from planarlake.llm import mixing as M
@@ -61,3 +64,49 @@ def test_empty_and_wordless(spark):
 def test_sizes_are_words(spark):
     df = spark.createDataFrame([(1, "a b\tc\n", "s", 1), (2, None, None, 1), (3, "", "s", 1), (4, " é\x0bx ", "s", 1)], "doc_id long, text string, source string, size int")
     assert [r["size"] for r in M.word_sizes(df).orderBy("doc_id").collect()] == [3, 0, 0, 2]
+
+
+def root(sizes, target):
+    """The tilt whose rates ask for the target, by halving over exact sums of a source's sizes."""
+    asked = lambda t: math.fsum(z * 2.0 / (1.0 + math.exp(min(700.0, -t * z))) for z in sizes)
+    lo, hi = -1.0, 1.0
+    while asked(lo) > target:
+        lo *= 2
+    while asked(hi) < target:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if asked(mid) < target else (lo, mid)
+    return lo
+
+
+@pytest.mark.parametrize("patience", [M.PATIENCE, 0])
+def test_tilts_against_halving(spark, monkeypatch, patience):
+    monkeypatch.setattr(M, "PATIENCE", patience)
+    sizes = {"even": [10] * 50, "wide": [1, 3, 10**6] * 20, None: [7, 90, 2000], "near": list(range(1, 200))}
+    share = {"even": 0.3, "wide": 1.7, None: 1e-3, "near": 2 - 1e-6}
+    df = spark.createDataFrame([(s, z) for s, v in sizes.items() for z in v] + [("none", 0), ("gap", None)], "source string, size long")
+    rows = [(s, len(v), sum(v), share[s] * sum(v)) for s, v in sizes.items()] + [("none", 1, 0, 0.0), ("gap", 1, None, None), ("all", 1, 5, 10.0)]
+    targets = spark.createDataFrame(rows, "source string, n_docs long, source_size long, target double")
+    got = {r.source: r for r in M.tilts(df, targets).collect()}
+    assert len(got) == 7 and got["all"].tilt == math.inf and got["none"].tilt == 0
+    for s, v in sizes.items():
+        asked = sum(z * 2.0 / (1.0 + math.exp(min(700.0, -got[s].tilt * z))) for z in v)
+        assert abs(asked - share[s] * sum(v)) <= 1e-6 * sum(v)
+        assert abs(got[s].tilt - root(v, share[s] * sum(v))) <= 1e-7 * max(1.0, len(v) / sum(v))
+
+
+def test_rates_are_nearest_in_relative_entropy(spark):
+    """Among laws over 0, 1 and 2 copies that meet a source's words, none is nearer to (1/4, 1/2, 1/4) than the rates'."""
+    rows = [(i, "s", z) for i, z in enumerate((5, 9, 40, 41, 300))] + [(9, "t", 1000)]
+    got = [r for r in M.mixed_copies(spark.createDataFrame(rows, "doc_id long, source string, size long"), (1, 3)).collect() if r.source == "s"]
+    # A rate r under the tilted law is a binomial of two tries with r / 2; its entropy against the base is twice that of a try.
+    away = lambda rates: sum(2 * sum(q * math.log(2 * q) for q in (r / 2, 1 - r / 2) if q > 0) for r in rates)
+    rates, rnd = [r.rate for r in got], random.Random(4)
+    assert all(0 < r < 2 for r in rates)
+    for _ in range(300):
+        move = [rnd.uniform(-0.02, 0.02) for _ in rates]
+        off = sum(m * r.size for m, r in zip(move, got)) / sum(r.size**2 for r in got)
+        moved = [x + m - off * r.size for x, m, r in zip(rates, move, got)]
+        if all(0 <= x <= 2 for x in moved):
+            assert away(moved) >= away(rates) - 1e-9
