@@ -72,7 +72,7 @@ def tilts(sizes: DataFrame, targets: DataFrame, exact: float = 1e-10) -> DataFra
     """
     hist = C.staged(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
-    full = F.col("target") >= 2.0 * F.col("source_size") * (1 - 1e-12)
+    full = (F.col("source_size") > 0) & (F.col("target") >= 2.0 * F.col("source_size") * (1 - 1e-12))
     state = targets.select(
         "*", mean.alias("mean"), full.alias("full"), F.lit(0.0).alias("x"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), full.alias("done"),
@@ -118,7 +118,7 @@ def mixed_copies(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5) -> Dat
     """
     sizes = sizes.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
     dual = tilts(sizes, source_targets(sizes, weights, share)).withColumnRenamed("source", "s")
-    rate = F.when(F.col("tilt") == float("inf"), F.lit(2.0)).otherwise(2.0 / (1.0 + F.exp(-F.col("tilt") * F.col("size"))))
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("tilt") == float("inf"), F.lit(2.0)).otherwise(2.0 / (1.0 + F.exp(-F.col("tilt") * F.col("size"))))
     h = F.xxhash64("doc_id", "size")
     rows = sizes.join(dual, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate).withColumn("h", h)
     rows = rows.withColumn("q", F.round(F.col("rate") * UNIT).cast("long"))
