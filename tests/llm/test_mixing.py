@@ -93,7 +93,10 @@ def test_tilts_against_halving(spark, monkeypatch, patience):
     for s, v in sizes.items():
         asked = sum(z * 2.0 / (1.0 + math.exp(min(700.0, -got[s].tilt * z))) for z in v)
         assert abs(asked - share[s] * sum(v)) <= 1e-6 * sum(v)
-        assert abs(got[s].tilt - root(v, share[s] * sum(v))) <= 1e-7 * max(1.0, len(v) / sum(v))
+        tilt = root(v, share[s] * sum(v))
+        # As near as the words asked for may miss the target by, and the rounding of tilts to eight digits by the mean size.
+        slope = sum(2 * z * z * math.exp(-abs(tilt) * z) / (1 + math.exp(-abs(tilt) * z)) ** 2 for z in v)
+        assert abs(got[s].tilt - tilt) <= 2e-10 * max(1.0, share[s] * sum(v)) / slope + 1e-8 * max(1.0, len(v) / sum(v))
 
 
 def test_rates_are_nearest_in_relative_entropy(spark):
