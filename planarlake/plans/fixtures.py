@@ -116,6 +116,24 @@ LEAF_TEXTS = """leaf_texts AS (SELECT n_name AS cell_name, p_partkey AS elem_id,
     (1 + p_partkey % 5)::DOUBLE AS magnification, ((p_partkey % 8) * 45)::DOUBLE AS angle FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
 
 
+def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a path of three points in the nation's cell; every fifth has no width, every fourth no end type."""
+    k = c("c_custkey")
+    x, y = k % 40, k % 23
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
+    points = F.array(P.point(x, y), P.point(x + 3 + k % 4, y), P.point(x + 3 + k % 4, y + 5 - k % 2 * 9))
+    return d.select(
+        c("n_name").alias("cell_name"), k.alias("elem_id"), (k % 4).cast("int").alias("layer"), (k % 2).cast("int").alias("data_type"),
+        F.when(k % 4 != 0, (k % 3).cast("int")).alias("path_type"), F.when(k % 5 != 0, (k % 6) / 2.0).alias("width"), points.alias("points"),
+    )
+
+
+LEAF_PATHS = """leaf_paths AS (SELECT n_name AS cell_name, c_custkey AS elem_id, (c_custkey % 4)::INT AS layer, (c_custkey % 2)::INT AS data_type, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 3)::INT END AS path_type,
+    CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 6) / 2.0::DOUBLE END AS width, (c_custkey % 40)::DOUBLE AS x0, (c_custkey % 23)::DOUBLE AS y0, (3 + c_custkey % 4)::DOUBLE AS run, (5 - c_custkey % 2 * 9)::DOUBLE AS rise
+    FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  bends AS (SELECT *, i, x0 + run * (i > 0)::INT AS x, y0 + rise * (i > 1)::INT AS y FROM leaf_paths, range(3) t(i))"""
+
+
 def no_paths(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "cell_name string, elem_id long, layer int, data_type int, path_type int, width double, points array<struct<x:double,y:double>>")
 

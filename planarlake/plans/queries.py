@@ -490,6 +490,61 @@ def library_boxes(spark, sf_dir):
     return _library(spark, sf_dir).bounding_boxes().select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
 
 
+def _all_kinds(spark, sf_dir):
+    refs, polygons, _, texts = _tables(spark, sf_dir)
+    return refs, polygons, D.leaf_paths(spark, sf_dir), texts
+
+
+@query(f"WITH {D.LEAF_PATHS}, {WALK} SELECT w.cell_name, elem_id, layer, data_type, path_type, width, i::INT AS i, {s6('a * x + b * y + tx')} AS x, {s6('c * x + d * y + ty')} AS y FROM walk w JOIN bends p ON w.cell_name = p.cell_name")
+def flatten_paths(spark, sf_dir):
+    """Paths that the top cell draws; widths stay as they are."""
+    t = hierarchy.flatten(_top(spark), *_all_kinds(spark, sf_dir))["paths"]
+    return vertices(t, c("points"), "cell_name", "elem_id", "layer", "data_type", "path_type", "width")
+
+
+@query(f"WITH {D.LEAF_PATHS}, {WALK} SELECT w.cell_name, elem_id, layer, data_type, i::INT AS i, {s6('a * x + b * y + tx')} AS x, {s6('c * x + d * y + ty')} AS y FROM walk w JOIN bends p ON w.cell_name = p.cell_name WHERE {D.PAIRS_SQL}")
+def flatten_paths_layer(spark, sf_dir):
+    t = hierarchy.flatten(_top(spark), *_all_kinds(spark, sf_dir), pairs=D.PAIRS)["paths"]
+    return vertices(t, c("points"), "cell_name", "elem_id", "layer", "data_type")
+
+
+#: Corners of what placements (key columns and a map) draw of polygons, paths and texts. The paths' two segments keep their
+#: right angle under the maps; each is a box that goes on by half the width at the path's own end.
+def _corners(placed: str, key: str) -> str:
+    at = lambda px, py: f"a * ({px}) + b * ({py}) + tx AS x, c * ({px}) + d * ({py}) + ty AS y"
+    along, across = "(CASE WHEN i = 0 THEN -h ELSE 0 END)", "(CASE WHEN i = 2 THEN sign(rise) * h ELSE 0 END)"
+    return f"""corner AS (SELECT w.{key}, {at('p.x', 'p.y')} FROM {placed} w JOIN corners p ON w.cell_name = p.cell_name
+  UNION ALL SELECT {key}, {at(f'px + {along}', 'py + g * h')} FROM (SELECT w.*, p.x AS px, p.y AS py, p.i, g, coalesce(width, 0) / 2 / size AS h FROM {placed} w JOIN bends p ON w.cell_name = p.cell_name, (VALUES (1), (-1)) t(g) WHERE p.i < 2)
+  UNION ALL SELECT {key}, {at('px + g * h', f'py + {across}')} FROM (SELECT w.*, p.x AS px, p.y AS py, p.i, p.rise, g, coalesce(width, 0) / 2 / size AS h FROM {placed} w JOIN bends p ON w.cell_name = p.cell_name, (VALUES (1), (-1)) t(g) WHERE p.i > 0)
+  UNION ALL SELECT {key}, a * px + b * py + tx + g * w2, c * px + d * py + ty + g * h2 FROM (SELECT w.*, p.x AS px, p.y AS py, g, strlen("text") * magnification * size / 2 AS w2, magnification * size / 2 AS h2 FROM {placed} w JOIN leaf_texts p ON w.cell_name = p.cell_name, (VALUES (1), (-1)) t(g)))"""
+
+
+_BOX_OF = f"{s6('min(x)')} AS min_x, {s6('min(y)')} AS min_y, {s6('max(x)')} AS max_x, {s6('max(y)')} AS max_y"
+
+
+@query(f"WITH {D.LEAVES}, {D.LEAF_TEXTS}, {D.LEAF_PATHS}, {WALK}, {_corners('walk', 'cell_name')} SELECT cell_name, {_BOX_OF} FROM corner GROUP BY cell_name")
+def reference_bbox_all(spark, sf_dir):
+    """Boxes of what the top cell's references draw, polygons, paths with their widths and texts, by cell drawn."""
+    b = hierarchy.drawn_boxes(_top(spark), *_all_kinds(spark, sf_dir))
+    return b.select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
+
+
+@query(f"WITH {_ROOTS}, {D.LEAF_PATHS}, {_corners('placed', 'root')} SELECT root AS cell_name, {_BOX_OF} FROM corner GROUP BY root")
+def library_boxes_all(spark, sf_dir):
+    """Boxes of all cells of a library that has polygons, paths, texts and references."""
+    lib = _library(spark, sf_dir, paths=D.leaf_paths(spark, sf_dir))
+    return lib.bounding_boxes().select("cell_name", *[r6(c(k)).alias(k) for k in boxes.BOX])
+
+
+@query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAF_PATHS}, {REACH}, bad AS (SELECT cell_name FROM leaf_paths WHERE (layer <> 2 OR cell_name < 'NATION_11') AND NOT {D.MOST_SQL}) SELECT cell_name, cell_name NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name) AS is_on FROM cells")
+def cell_is_on_paths(spark, sf_dir):
+    """Cells whose paths, and those of all cells below, are on the given layers; only cells of early names have layer 2."""
+    paths = D.leaf_paths(spark, sf_dir).where("layer <> 2 or cell_name < 'NATION_11'")
+    refs, polygons, _, texts = _tables(spark, sf_dir)
+    cells = D.cells(spark, sf_dir)
+    return filters.cells_on(cells, polygons.limit(0), paths, texts.limit(0), hierarchy.reachable(refs, cells), D.MOST)
+
+
 @query(f"WITH {D.CELLS}, {D.REFS}, {D.LEAVES}, {D.LEAF_TEXTS}, {REACH}, bad AS (SELECT cell_name FROM leaves WHERE NOT {D.MOST_SQL} UNION SELECT cell_name FROM leaf_texts WHERE layer NOT IN (0, 1, 2, 3)) SELECT elem_id, target_cell FROM refs WHERE target_cell NOT IN (SELECT r.cell_name FROM reach r JOIN bad ON r.below = bad.cell_name)")
 def reference_is_on(spark, sf_dir):
     refs, polygons, paths, texts = _tables(spark, sf_dir)
