@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from . import common as C
 
 MARK = "▁"
-#: Learning counts words of more characters in parts of so many; scoring takes all words whole.
-RUN = 65536
 #: Words up to so many characters are summed as they are, longer ones in logs: the same sums without underflow.
 SHORT = 16
 #: Numbers in a batch of sums, and in the table of words' scores that a worker keeps: memory, whatever the languages.
@@ -42,22 +40,6 @@ def pieces_of(model: str) -> list[str]:
     return list(dict.fromkeys(kept))
 
 
-def runs(words: list[str]) -> list[str]:
-    """The words; of longer ones than RUN the parts, all but the first with a zero before them."""
-    if not words or len(max(words, key=len)) < RUN:
-        return words
-    out = []
-    for w in words:
-        out.append(w[: RUN - 1])
-        out += ["\0" + w[i : i + RUN] for i in range(RUN - 1, len(w), RUN)]
-    return out
-
-
-def marked(word: str) -> str:
-    """What pieces cut up: a word with the mark of its start, the later parts of a long one without."""
-    return word[1:] if word[0] == "\0" else MARK + word
-
-
 class Pieces:
     """Finds pieces among the substrings of many words at once: rolling hashes of all their beginnings in direct tables."""
 
@@ -185,6 +167,36 @@ class Lattice:
         return np.bincount(self.piece[known], use[known], len(prob))
 
 
+def expected_long(word: str, index: Pieces, prob: np.ndarray, count: float) -> np.ndarray:
+    """``Lattice.expected`` of one word, a lattice a part: sums of all its places are carried from part to part, forwards
+    by the pieces' ends and backwards by their starts."""
+    n, over = len(word), index.longest - 1
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    for a in range(0, n, CHARS):
+        skip = min(a, over)
+        part = Lattice([word[a - skip : a + CHARS]], index)
+        begin, weight = part.start[part.by_end] + a - skip, prob[part.piece[part.by_end]]
+        for e in range(skip + 1, part.most + 1):
+            arcs = slice(part.ends[e], part.ends[e + 1])
+            alpha[a - skip + e] = np.logaddexp.reduce(alpha[begin[arcs]] + weight[arcs])
+    out = np.zeros(len(prob))
+    for a in range((n - 1) // CHARS * CHARS, -1, -CHARS):
+        part = Lattice([word[a : a + CHARS + over]], index)
+        by = np.argsort(part.start, kind="stable")
+        start, end, piece = part.start[by] + a, part.end[by] + a, part.piece[by]
+        cuts = np.searchsorted(start, np.arange(a, min(a + CHARS, n) + 1))
+        weight = prob[piece]
+        for at in range(len(cuts) - 2, -1, -1):
+            arcs = slice(cuts[at], cuts[at + 1])
+            beta[a + at] = np.logaddexp.reduce(beta[end[arcs]] + weight[arcs])
+        mine = slice(0, cuts[-1])  # pieces that start beyond belong to the next part
+        use = np.exp(alpha[start[mine]] + weight[mine] + beta[end[mine]] - alpha[n]) * count
+        known = piece[mine] >= 0
+        out += np.bincount(piece[mine][known], use[known], len(prob))
+    return out
+
+
 def batches_of(words: list[str], cells: int, deep: int = 0) -> list[tuple[int, int]]:
     """Ranges of words in order of length for one lattice each: up to CHARS characters and ``cells`` numbers, of which a
     word takes ``deep`` (or, with 0, one a character). One word at least."""
@@ -311,7 +323,7 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> Table:
         for b in C.slices(batches, max_bytes=16 << 20):
             found: dict[str, Counter] = defaultdict(Counter)
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found[lang].update(runs(t.lower().split()))
+                found[lang].update(t.lower().split())
             rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["lang", "word", "n"])
@@ -330,9 +342,9 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> Table:
             known = {x: i for i, x in enumerate(now.value.langs)}
             total: dict[int, np.ndarray] = {}
             logs: dict[int, np.ndarray] = {}
-            for b in batches:
+            for b in C.slices(batches, "word", 16 << 20):
                 lang = np.array([known[x] for x in b.column(0).to_pylist()], np.int64)
-                word = list(map(marked, b.column(1).to_pylist()))
+                word = [MARK + w for w in b.column(1).to_pylist()]
                 n = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                 for k in np.unique(lang).tolist():
                     if k not in total:
@@ -343,7 +355,10 @@ def learn(train: DataFrame, pieces: list[str], rounds: int = 2) -> Table:
                     at = sorted(np.flatnonzero(lang == k).tolist(), key=lambda i: len(word[i]))
                     some = [word[i] for i in at]
                     for i, j in batches_of(some, CELLS):
-                        total[k] += Lattice(some[i:j], index).expected(logs[k], n[at[i:j]])
+                        if len(some[i]) > CHARS:
+                            total[k] += expected_long(some[i], index, logs[k], n[at[i]])
+                        else:
+                            total[k] += Lattice(some[i:j], index).expected(logs[k], n[at[i:j]])
             yield from out(total)
 
         def out(total):

@@ -79,6 +79,35 @@ def test_long_words_are_summed_whole(monkeypatch):
     assert np.allclose(got[1], want[-1]) and np.allclose(got[0], want.sum(0))
 
 
+def test_long_words_are_learned_whole(monkeypatch):
+    """Expected uses of a word in parts are those of one lattice over all of it."""
+    pieces = ["a", "b", "c", "ab", "ca", L.MARK, L.MARK + "a", "bc", "abca"]
+    index, rng = L.Pieces(pieces), random.Random(5)
+    prob = np.log(np.append(np.random.default_rng(2).dirichlet(np.ones(len(pieces))), L.UNKNOWN))
+    for chars in (3, 7, 20):
+        monkeypatch.setattr(L, "CHARS", chars)
+        for n in (4, 20, 21, 60, 203):
+            word = L.MARK + "".join(rng.choice("aabcd") for _ in range(n))
+            whole = L.Lattice([word], index).expected(prob, np.array([3.0]))
+            assert np.allclose(L.expected_long(word, index, prob, 3.0), whole), (chars, n)
+
+
+def test_learning_takes_long_words_whole(spark):
+    """What Spark learns is what sums over whole words give."""
+    pieces, rng = ["a", "b", "ab", L.MARK, L.MARK + "a", "ba"], random.Random(6)
+    train = [(" ".join("".join(rng.choice("aabc") for _ in range(n)) for n in (2, 30, 400, more)), x) for x, more in zip("xxyyy", (7, 70_000, 1, 1, 1))]
+    df = spark.createDataFrame([*train, (None, "x"), ("", "y")], "text string, lang string").where("text is not null")
+    whole = L.learn(df, pieces)
+    words = [L.MARK + w for t, lang in train if lang == "x" for w in t.split()]
+    none = np.zeros(0, np.int64)
+    table = L.Table(["x", "y"], len(pieces), none, none, np.zeros(0))
+    for _ in range(2):
+        uses = sum(L.expected_long(w, L.Pieces(pieces), np.log(table.column(0)), 1.0) for w in words)
+        at = np.flatnonzero(uses)
+        table = L.Table(["x", "y"], len(pieces), np.zeros(len(at), np.int64), at, uses[at])
+    assert np.allclose(table.column(0), whole.column(0), rtol=1e-4)
+
+
 def test_texts_against_brute_force(spark, monkeypatch):
     """Learning by enumeration of all segmentations, and texts' languages and scores from it."""
     pieces = ["a", "b", "c", "ab", "ca", L.MARK, L.MARK + "a", "bc"]
