@@ -94,7 +94,6 @@ def place(g: Column, column: Column, row: Column) -> Column:
     return P.round_point(P.rotate(at, g["angle"], o), PLACE_DIGITS)
 
 
-@bound
 def to_text(g: Column) -> Column:
     pt = P.to_repr
     return F.concat(
@@ -106,7 +105,6 @@ def to_text(g: Column) -> Column:
 debug_number = P.debug_number
 
 
-@bound
 def to_repr(g: Column) -> Column:
     pt = P.to_repr
     parts = [pt(g["origin"]), g["columns"].cast("string"), g["rows"].cast("string"), pt(g["spacing_x"]), pt(g["spacing_y"]), debug_number(g["magnification"]), debug_number(g["angle"]), g["x_reflection"].cast("string")]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from numbers import Real
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EPSILON = 1e-4
 FLOAT_EPSILON = 2.220446049250313e-16
@@ -142,61 +145,41 @@ def point_hash(p: Column) -> Column:
     return F.xxhash64(p["x"], p["y"])
 
 
-def _bound(value: Column, f) -> Column:
-    """f of a variable that has the value: however often f uses it, it is worked out once."""
-    return F.transform(F.array(value), f)[0]
+def _plain(v: float) -> str:
+    if v != v:
+        return "NaN"
+    text = repr(v)
+    text = format(Decimal(text), "f") if "e" in text else text
+    return text[:-2] if text.endswith(".0") else text
 
 
-def _digits(v: Column, f) -> Column:
-    """f of a double's struct<v, sign, digits, power>: its shortest digits and power of ten (d.ddd times ten to that)."""
+def _debug(v: float) -> str:
+    if v != v or math.isinf(v):
+        return _plain(v)
+    if v != 0 and not 1e-5 <= abs(v) < 1e16:
+        digits, _, power = f"{Decimal(repr(v)).normalize():e}".partition("e")
+        return f"{digits}e{int(power)}"
+    text = _plain(v)
+    return text if "." in text else f"{text}.0"
 
-    def cut(s: Column) -> Column:
-        body = F.regexp_replace(s["text"], "^-", "")
-        power = F.when(body.contains("E"), F.substring_index(body, "E", -1)).otherwise(F.lit("0")).cast("int")
-        sign = F.when(s["text"].startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        return F.struct(s["v"].alias("v"), sign.alias("sign"), power.alias("power"), F.substring_index(body, "E", 1).alias("m"))
 
-    def counted(s: Column) -> Column:
-        every = F.regexp_replace(s["m"], "[.]", "")
-        lead = F.regexp_replace(every, "^0+", "")
-        power = s["power"] + F.instr(F.concat(s["m"], F.lit(".")), ".") - 2 - (F.length(every) - F.length(lead))
-        return F.struct(s["v"].alias("v"), s["sign"].alias("sign"), F.regexp_replace(lead, "0+$", "").alias("digits"), power.alias("power"))
+def _plain_texts(v: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _plain(x) for x in v.to_pylist()], pa.string())
 
-    text = F.struct(v.alias("v"), v.cast("string").alias("text"))
-    return _bound(text, lambda a: _bound(cut(a), lambda b: _bound(counted(b), f)))
 
-
-def _plain(p: Column) -> Column:
-    v, sign, digits, power = (p[k] for k in ("v", "sign", "digits", "power"))
-    n = F.length(digits)
-    zeros = lambda k: F.repeat(F.lit("0"), k)
-    plain = (
-        F.when(power < 0, F.concat(F.lit("0."), zeros(-power - 1), digits))
-        .when(n <= power + 1, F.concat(digits, zeros(power + 1 - n)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
-    )
-    named = F.when(F.isnan(v), "NaN").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
-    return named.when(v == 0, F.concat(sign, F.lit("0"))).otherwise(F.concat(sign, plain))
+def _debug_texts(v: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _debug(x) for x in v.to_pylist()], pa.string())
 
 
 def number_text(v: Column) -> Column:
-    """A double as its shortest decimal text: whole numbers without a decimal point, none with an exponent."""
-    return _digits(v.cast("double"), _plain)
+    """A double as its shortest decimal text: whole numbers without a decimal point, none with an exponent. Python finds
+    the digits: a cast to string has more of them than needed (1.9999999999999998E22 for 2e22) before Java 19."""
+    return F.arrow_udf(_plain_texts, StringType())(v.cast("double"))
 
 
 def debug_number(v: Column) -> Column:
     """A double as text that keeps .0 on whole numbers and has an exponent where it is very small or very large."""
-
-    def shown(p: Column) -> Column:
-        v, digits = p["v"], p["digits"]
-        size = F.abs(v)
-        far = (v != 0) & ~F.isnan(v) & (size < float("inf")) & ((size < 1e-5) | (size >= 1e16))
-        rest = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(F.lit(""))
-        e = F.concat(p["sign"], F.substring(digits, 1, 1), rest, F.lit("e"), p["power"].cast("string"))
-        whole = (v == F.floor(v)) & (size < float("inf"))
-        return F.when(far, e).otherwise(F.concat(_plain(p), F.when(whole, F.lit(".0")).otherwise(F.lit(""))))
-
-    return _digits(v.cast("double"), shown)
+    return F.arrow_udf(_debug_texts, StringType())(v.cast("double"))
 
 
 def to_text(p: Column) -> Column:

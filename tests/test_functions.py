@@ -1,6 +1,7 @@
 """Examples for the expressions: inputs with their expected values."""
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
@@ -67,6 +68,17 @@ def test_numbers_as_text(value):
         assert value(P.debug_number(F.lit(v))) == text
 
 
+def test_texts_have_no_more_digits_than_needed(value):
+    """Java before 19 writes some of these with more digits: 2.0000000000000002E22 and the like."""
+    for text in ("2e22", "5e19", "1.7e20", "8.41e21", "2e23", "0.000119999", "4.9e-5", "5e-324", "9007199254740993"):
+        v = float(text)
+        assert value(P.number_text(F.lit(v))) == format(Decimal(repr(v)), "f").removesuffix(".0")
+    k = [v * 1e18 for v in range(1, 20000)]
+    shown = value(F.array(*[P.number_text(F.lit(v)) for v in k[10::1999]]))
+    assert shown == [f"{round(v / 1e18)}{'0' * 18}" for v in k[10::1999]]
+    assert value(P.debug_number(F.lit(2e22))) == "2e22" and value(P.debug_number(F.lit(-8.41e21))) == "-8.41e21" and value(P.debug_number(F.lit(5e-324))) == "5e-324"
+
+
 def test_reprs(value):
     ends = lambda *p: value(H.to_repr(R.as_points(p), F.lit(1), F.lit(2), F.lit(None).cast("int"), F.lit(None).cast("double")))
     assert ends((0, 0), (1, 2.5)) == "Path([(0, 0), (1, 2.5)], 1, 2, Square Ends, 0)"
