@@ -12,14 +12,20 @@ coarsest one, so that no polygon goes to more than MANY x MANY tiles.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ring
 from ..staging import staged
-from . import boxes
+from . import boxes, counting
 
 MANY = 8
+#: Points, or polygons, of a tile that one task counts at once.
+IN_TILE = 250_000
+#: Levels below the one up to which one in so many polygons is smaller share its tiles.
+RARE = 16
 #: Points of a ring that one fold goes through for each point tested.
 LARGE = 512
 #: What a box counts for at least, as a share of how far out it is: tiles' numbers stay exact.
@@ -71,6 +77,47 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, tile: float | None
     return met.drop("ring", *boxes.BOX)
 
 
+def points_in_polygons(points: DataFrame, polygons: DataFrame, tile: float | None = None, x: str = "px", y: str = "py") -> DataFrame:
+    """(elem_id, n_points) of the polygons (elem_id, points) that contain some of the points, edges included.
+
+    The counts of point_in_polygon, without its rows: these grow with the square of the tables. Each tile's points and
+    polygons meet in one task, where the work goes by polygons (counting). Counts add up, so that tiles with more than
+    IN_TILE points or polygons are dealt out by hashes, each part of the points against each of the polygons.
+    """
+    key = ["level", "tx", "ty"]
+    coarse = None if tile is None else tile * 4
+    boxed = _boxed(polygons.select("elem_id", "points"), coarse)
+    if tile is None:
+        boxed = boxed.withColumn("level", F.col("level") + 1)
+    side = _side(coarse, F.col("level"))
+    spots = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    found = sorted((r.level, r["count"]) for r in boxed.where("level is not null").groupBy("level").count().collect())
+    seen = list(accumulate(n for _, n in found))
+    least = next((v for (v, _), n in zip(found, seen) if n >= seen[-1] / RARE), 0)  # smaller ones take its tiles: few tiles have little in them
+    boxed = boxed.withColumn("level", F.greatest(F.col("level"), F.lit(least)))
+    levels = F.array(*[F.lit(v) for v, _ in found if v >= least]).cast("array<int>")
+    spots = spots.withColumn("level", F.explode(levels)).withColumn("tx", F.floor(F.col("x") / side)).withColumn("ty", F.floor(F.col("y") / side))
+    rings = _tiles(boxed, coarse).select("elem_id", "points", *key)
+    spots = spots.join(rings.select(*key).distinct(), key, "left_semi")
+    spots, rings = _dealt(spots, rings, "p", F.xxhash64("x", "y"), key)
+    rings, spots = _dealt(rings, spots, "q", F.xxhash64("elem_id"), key)
+    key = [*key, "p", "q"]
+    kind = boxed.schema["elem_id"].dataType.simpleString()
+    met = spots.groupBy(*key).cogroup(rings.groupBy(*key)).applyInArrow(counting.in_tile, f"elem_id {kind}, n_points long")
+    return met.groupBy("elem_id").agg(F.sum("n_points").alias("n_points"))
+
+
+def _dealt(rows: DataFrame, others: DataFrame, part: str, h: Column, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a part: rows of crowded tiles get one by their hash, others go to all parts of their tile."""
+    crowded = rows.groupBy(*key).count().where(F.col("count") > IN_TILE).select(*key, F.ceil(F.col("count") / IN_TILE).cast("int").alias("n"))
+    crowded = staged(crowded, "crowded")
+    if not crowded.limit(1).count():
+        return rows.withColumn(part, F.lit(0)), others.withColumn(part, F.lit(0))
+    n = F.coalesce("n", F.lit(1))
+    with_n = lambda t: t.join(F.broadcast(crowded), key, "left")
+    return with_n(rows).withColumn(part, F.pmod(h, n).cast("int")).drop("n"), with_n(others).withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
+
+
 def _by_slabs(met: DataFrame, large: DataFrame, x: str, y: str) -> DataFrame:
     """Rows of points met with large rings (by boxes) for which the ring contains the point.
 

@@ -284,6 +284,27 @@ def test_crowded_spots(spark):
     assert tiles.where("elem_id % 10 > 0").groupBy("level", "tx", "ty").count().agg(F.max("count")).first()[0] <= 10
 
 
+def test_counts_without_rows(spark, monkeypatch):
+    """Points counted by tile are those of the join row by row, corners and edges too; no row is made for a pair."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        s, w = (0.02, 1.0) if i % 3 else (8.0, 30.0)
+        x, y = rnd.uniform(0, w), rnd.uniform(0, w)
+        p = [(x + rnd.uniform(0, s), y + rnd.uniform(0, s)) for _ in range(rnd.randint(1, 7))] if i % 2 else [(float(rnd.randint(0, 9)), float(rnd.randint(0, 9))) for _ in range(5)]
+        rows.append((i, p + p[:1]))
+    polys = spark.createDataFrame(rows, "elem_id long, points array<struct<x:double,y:double>>")
+    spots = [(rnd.uniform(0, 1), rnd.uniform(0, 1)) for _ in range(300)] + [(rnd.randint(0, 18) / 2, rnd.randint(0, 18) / 2) for _ in range(300)] + [v for _, p in rows for v in p] + [(float("nan"), 1.0), (1.0, None)]
+    probes = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "pt_id long, px double, py double")
+    want = probes.crossJoin(polys).where(R.contains(F.col("points"), P.point(F.col("px"), F.col("py")))).groupBy("elem_id").count()
+    want = sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in spatial.points_in_polygons(probes, polys, 3.0).collect()) == want and len(want) > 100
+    monkeypatch.setattr(spatial, "IN_TILE", 40)
+    counted = spatial.points_in_polygons(probes, polys)
+    assert sorted(tuple(r) for r in counted.collect()) == want
+    assert "FlatMapCoGroupsInArrow" in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_large_rings(spark, monkeypatch):
     """Tested over slabs, rings contain what they contain as a whole: zigzags, level edges, corners, no height."""
     rnd = random.Random(5)
