@@ -138,30 +138,29 @@ def _by_slabs(met: DataFrame, large: DataFrame, x: str, y: str) -> DataFrame:
     return met.join(good, "hit", "left_semi").drop("hit").join(large.select("ring", "points"), "ring")
 
 
-def polygon_pairs(left: DataFrame, right: DataFrame, tile: float | None = None) -> DataFrame:
+def polygon_pairs(left: DataFrame, right: DataFrame, tile: float | None = None, distinct: bool = False) -> DataFrame:
     """(a, b) ids of polygons of two tables (elem_id, points) that intersect by vertices: each pair once.
 
     A pair that meets in several tiles counts in the one that holds the corner where the two boxes begin to overlap. Where
-    levels differ, the finer side goes to the coarser level's tiles too. Only ids and boxes go to the tiles; points are
-    fetched for pairs whose boxes overlap.
+    levels differ, the finer side goes to the coarser level's tiles too. Points go to the tiles with their boxes, where pairs
+    are tested at once: pairs of boxes grow with the square of the tables, and are never shuffled. distinct leaves only pairs
+    with a below b.
     """
     one = _boxed(left.select("elem_id", "points"), tile)
     two = one if left is right else _boxed(right.select("elem_id", "points"), tile)
     every = sorted({*levels_of(one), *levels_of(two)})
-    a, b = (_coarser(t, every, tile).select(*[F.col(c).alias(f"{p}_{c}") for c in ("elem_id", "own", *boxes.BOX)], "level", "tx", "ty") for p, t in (("a", one), ("b", two)))
+    a, b = (_coarser(t, every, tile).select(*[F.col(c).alias(f"{p}_{c}") for c in ("elem_id", "own", "points", *boxes.BOX)], "level", "tx", "ty") for p, t in (("a", one), ("b", two)))
     met = a.join(b, ["level", "tx", "ty"]).where(F.col("level") == F.greatest("a_own", "b_own"))
     side = _side(tile, F.col("level"))
     x0, y0 = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
     overlap = (x0 <= F.least("a_max_x", "b_max_x")) & (y0 <= F.least("a_max_y", "b_max_y"))
     once = (F.floor(x0 / side) == F.col("tx")) & (F.floor(y0 / side) == F.col("ty"))
-    pairs = met.where(overlap & once).select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
-    points = lambda t, p: t.select(F.col("elem_id").alias(p), F.col("points").alias(f"{p}_points"))
-    both = pairs.join(points(one, "a"), "a").join(points(two, "b"), "b")
-    return both.where(ring.intersects(F.col("a_points"), F.col("b_points"))).select("a", "b")
+    pairs = met.where((F.col("a_elem_id") < F.col("b_elem_id")) & overlap & once if distinct else overlap & once)
+    return pairs.where(ring.intersects(F.col("a_points"), F.col("b_points"))).select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
 
 
 def _coarser(boxed: DataFrame, levels: list[int], tile: float | None) -> DataFrame:
     """Rows of the tiles of their own level and of all coarser ones present."""
-    base = boxed.drop("points").withColumnRenamed("level", "own")
+    base = boxed.withColumnRenamed("level", "own")
     base = base.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("own"))))
     return _tiles(base, tile)

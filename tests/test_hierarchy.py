@@ -305,6 +305,14 @@ def test_counts_without_rows(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in counted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_not_shuffled(spark):
+    """Pairs of polygons are tested where they meet: the plan has one join, and nothing after it is shuffled."""
+    polys = spark.createDataFrame([(i, [(float(i), 0.0), (i + 3.0, 0.0), (i + 3.0, 2.0), (float(i), 0.0)]) for i in range(9)], "elem_id long, points array<struct<x:double,y:double>>")
+    pairs = spatial.polygon_pairs(polys, polys, 2.0, distinct=True)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(tuple(r) for r in spatial.polygon_pairs(polys, polys, 2.0).where("a < b").collect())
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_large_rings(spark, monkeypatch):
     """Tested over slabs, rings contain what they contain as a whole: zigzags, level edges, corners, no height."""
     rnd = random.Random(5)
