@@ -220,3 +220,76 @@ def test_places_and_what_follows():
         if cand[i] != -1:
             assert h[cand[i]] == h[i] and 0 <= age[i] < L.AHEAD and often[i] >= 2
     assert (cand[2003:2290] != -1).mean() > 0.2
+
+
+def test_every_place_of_every_text_is_gathered(spark):
+    """Contexts, what followed and words of all texts against brute force; not one place in sixteen."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 12, rng.integers(0, 60))) for _ in range(300)] + ["", None, "w1 w2 w3", "Rare w1 w2 w3 w4"]
+    rows = [(i % 5, [0, 1, 2, 4, -1][int(rng.integers(0, 5))], t) for i, t in enumerate(texts)]
+    # Rows of a block lie in several tasks, so that words and contexts are told of more than once.
+    told, words = L.gathered(spark.createDataFrame(rows, "block int, fold int, text string").repartition(7), 3)
+    got = words.where("block is not null").unionByName(told, allowMissingColumns=True).withColumn("bits", F.lit(3)).toArrow()
+    every = words.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    known, follow, asked, mine = Counter(), {}, {}, {}
+    for b, f, t in rows:
+        w = tokens(t)
+        mine.setdefault(b, set()).update(w)
+        for i in range(3, len(w)):
+            asked.setdefault(b, set()).add(tuple(w[i - 3 : i]))
+            if f != 1:
+                follow.setdefault(tuple(w[i - 3 : i]), Counter())[w[i]] += 1
+        if f != 1:
+            known.update(w)
+    assert (every.n, every.v) == (sum(known.values()), len(known))
+    code = {w: 0 if w == "\n" else int(L._tokens(L.W.Words(), L.pa.array([w]))[0][0]) for w in {x for s in mine.values() for x in s}}
+    for b in mine:
+        right = got.filter(L.pa.compute.equal(got.column("block"), b))
+        c, codes, ahead = L._parted(right)
+        assert sorted(zip(codes.tolist(), c.tolist())) == sorted((code[w], known[w]) for w in mine[b])
+        told = {k: (int.from_bytes(s, "little"), n) for k, s, n in zip(ahead.column("ctx").to_numpy().view(np.uint64).tolist(), ahead.column("seq").to_pylist(), ahead.column("n").to_pylist())}
+        best = {}
+        for ctx in asked[b]:
+            n, w = max(((n, code[w] & 0xFFFFFF) for w, n in follow.get(ctx, {}).items()), default=(0, 0))
+            if n > 1:
+                h = int(L.W.rolled(np.array([code[x] for x in ctx], np.uint64), 3)[0])
+                best[h >> 29 << 29] = (w, n)
+        assert told == best and len(best) > 100
+        unknown = {w for a, x in zip(right.column("sizes").chunks, right.column("bytes").chunks) for w in L._words(a, x)}
+        assert unknown == {w.encode() for w in mine[b] if not known[w]}
+
+
+def test_texts_are_left_out_of_what_weights_are_learned_with():
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 9, n) for n in (40, 1, 25, 60)]
+    flat, size = np.concatenate(texts), np.array([len(t) for t in texts])
+    count = np.bincount(flat, minlength=9) + np.array([5, 0, 1, 0, 0, 2, 0, 7, 0])
+    code = rng.integers(0, 1 << 63, 9).astype(np.uint64)
+    told = np.where(rng.random(len(flat)) < 0.6, -1, rng.integers(0, 9, len(flat)))
+    ahead = told, np.zeros(len(flat), np.int64), np.full(len(flat), 2)
+    got, at = L.Steps(flat, size, count, code, int(count.sum()), ahead, True), 0
+    for k, t in enumerate(texts):
+        here = slice(at, at + len(t))
+        rest = count - np.bincount(t, minlength=9)
+        alone = L.Steps(t, size[k : k + 1], rest, code, int(rest.sum()), tuple(a[here] for a in ahead))
+        assert (got.count[here] == alone.count).all() and np.allclose(got.share[here], alone.share) and np.allclose(got.apart[here], alone.apart)
+        for (i, *x), (j, *y) in zip(got.of, alone.of):
+            m = (i >= at) & (i < at + len(t))
+            assert (i[m] - at == j).all() and all(np.allclose(a[m], b) for a, b in zip(x, y))
+        at += len(t)
+    # What the corpus foresees after three words only because the text itself has it doesn't count; once more elsewhere does.
+    h = np.array([11, 12, 13, 14, 15, 11, 12, 13, 14, 0], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ctx = L.W.rolled(h, 3)[:1].view(np.int64)
+    for n, want in ((2, False), (3, True)):
+        v = L.Vocabulary(np.unique(h), L.pa.table({"ctx": ctx, "seq": [h[3:4].astype(np.uint32).tobytes()], "n": [n]}))
+        assert (v.foreseen(h, np.array([10]), True)[0][3] >= 0) == want and v.foreseen(h, np.array([10]))[0][3] >= 0
+
+
+def test_all_learning_texts_teach_the_weights(spark):
+    """What only learning texts outside the former fifth (fold 0) show, that words come again, is learned too."""
+    rng = np.random.default_rng(17)
+    make = lambda f: " ".join(np.repeat([f"{f}{i}" for i in rng.integers(0, 10**6, 30)], 4))
+    rows = [(i, f, make(f)) for i, f in enumerate([2, 3, 4] * 40 + [1] * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, f int, text string")
+    r = L.lm_scores(df, F.col("f")).where("fold = 1").agg(F.avg("bits_per_byte").alias("x")).first()
+    assert r.x < 1.95
