@@ -293,3 +293,77 @@ def test_all_learning_texts_teach_the_weights(spark):
     df = spark.createDataFrame(rows, "doc_id long, f int, text string")
     r = L.lm_scores(df, F.col("f")).where("fold = 1").agg(F.avg("bits_per_byte").alias("x")).first()
     assert r.x < 1.95
+
+
+def made(n, seed):
+    """Texts of some 500 words, many of them frequent, with runs that come again, and what the corpus foresees there."""
+    rng = np.random.default_rng(seed)
+    words = np.minimum(rng.zipf(1.2, n) - 1, 49_999)
+    for at in rng.integers(700, n - 40, n // 100):
+        words[at : at + 30] = words[at - 600 : at - 570]
+    size = np.diff(np.concatenate(([0], np.sort(rng.choice(np.arange(1, n), n // 500, replace=False)), [n])))
+    count, code = np.bincount(words, minlength=50_000) * rng.integers(1, 4, 50_000), rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    guess = np.where(rng.random(n) < 0.5, words, rng.integers(0, 50_000, n))
+    told = np.where(rng.random(n) < 0.4, -1, np.where(count[guess] > 0, guess, -2))
+    return words, size, count, code, (told, rng.integers(0, L.AHEAD, n), rng.integers(2, 50, n))
+
+
+def test_words_are_not_searched_for_one_by_one(monkeypatch):
+    """A search of each place among all others costs a dozen sorts of them; decisions are worked out by sorts alone."""
+    words, size, count, code, ahead = made(20_000, 19)
+    total, spelt, info, asked = int(count.sum()), np.full(len(count), -12.0), np.tile(np.eye(L.INPUTS) * 4.0, (3, L.GATES, 1, 1)), []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: asked.append(np.size(v)) or search(a, v, *x, **y))
+    chooser = L.Chooser()
+    chooser.learn(L.Steps(words, size, count, code, total, ahead, True), info)
+    L.word_logs(L.Steps(words, size, count, code, total, ahead), chooser, words, spelt, total)
+    assert sum(asked) < 200
+
+
+def test_texts_come_in_pieces_that_teach_and_cost_what_all_together_do():
+    rng = np.random.default_rng(29)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, rng.integers(1, 4000)), 3000)) for _ in range(120)]
+    h, size, _ = L._tokens(L.W.Words(), L.pa.array(texts))
+    size = size + 1
+    code, numbers, count = np.unique(h, return_inverse=True, return_counts=True)
+    ctx, at = np.unique(L.contexts(h, size)[1], return_index=True)
+    follow = h[L.contexts(h, size)[0]][at].astype(np.uint32)
+    ahead = L.pa.table({"ctx": ctx.view(np.int64), "seq": L.pa.array([x.tobytes() for x in follow], L.pa.binary()), "n": np.full(len(ctx), 3)})
+    count, total, seen = count * 2, 2 * len(h), []
+    together, info = L.Chooser(), np.tile(np.eye(L.INPUTS) * 4.0, (3, L.GATES, 1, 1))
+    apart, other = L.Chooser(), info.copy()
+    v = L.Vocabulary(code, ahead)
+    for _, i, n, foreseen, full in v.texts(L.pa.chunked_array([texts]), L.TOGETHER, True):
+        seen.append((i, n, foreseen))
+    assert len(seen) > 3 and max(len(i) for i, _, _ in seen) < L.PIECE + L.PART
+    assert (np.concatenate([i for i, _, _ in seen]) == numbers).all() and (np.concatenate([n for _, n, _ in seen]) == size).all()
+    foreseen = v.foreseen(h, size, True)
+    assert all((np.concatenate([f[k] for _, _, f in seen]) == foreseen[k]).all() for k in range(3))
+    apart.learn((L.Steps(i, n, count, code, total, f, True) for i, n, f in seen), other)
+    together.learn(L.Steps(numbers, size, count, code, total, foreseen, True), info)
+    assert (apart.n == together.n).all() and np.allclose(apart.weights, together.weights) and np.allclose(other, info)
+    spelt = np.zeros(len(code))
+    logs = [L.word_logs(L.Steps(i, n, count, code, total, f), apart, i, spelt, total) for i, n, f in seen]
+    assert np.allclose(np.concatenate(logs), L.word_logs(L.Steps(numbers, size, count, code, total, foreseen), apart, numbers, spelt, total))
+
+
+def test_hashes_that_differ_in_their_lowest_bits_stay_apart():
+    rng = np.random.default_rng(31)
+    ctx = (rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 3, 3000).astype(np.uint64)
+    here, there = L._again(ctx)
+    last, want = {}, {}
+    for i, x in enumerate(ctx.tolist()):
+        if x in last:
+            want[i] = last[x]
+        last[x] = i
+    assert dict(zip(here.tolist(), there.tolist())) == want
+    assert [len(x) for x in L._again(ctx[:0])] == [0, 0]
+
+
+def test_contexts_that_share_a_slot_are_all_found():
+    rng = np.random.default_rng(37)
+    ctx = np.unique(np.concatenate((rng.integers(0, 1 << 62, 500), (7 << 58) + np.arange(60))).astype(np.uint64))
+    have = np.sort(rng.permutation(ctx)[:400])
+    v = L.Vocabulary(np.arange(5, dtype=np.uint64), L.pa.table({"ctx": have.view(np.int64), "seq": [b"\0\0\0\0"] * 400, "n": np.arange(400)}))
+    row = {x: i for i, x in enumerate(have.tolist())}
+    assert v.rows(ctx).tolist() == [row.get(x, -1) for x in ctx.tolist()]
