@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ring
 from ..staging import staged
-from . import boxes, counting
+from . import boxes, counting, pairing
 
 MANY = 8
 #: Points, or polygons, of a tile that one task counts at once.
@@ -143,20 +143,61 @@ def polygon_pairs(left: DataFrame, right: DataFrame, tile: float | None = None,
 
     A pair that meets in several tiles counts in the one that holds the corner where the two boxes begin to overlap. Where
     levels differ, the finer side goes to the coarser level's tiles too. Points go to the tiles with their boxes, where pairs
-    are tested at once: pairs of boxes grow with the square of the tables, and are never shuffled. distinct leaves only pairs
-    with a below b.
+    are tested at once (pairing): pairs of boxes grow with the square of the tables, and are never shuffled. Tiles with more
+    than IN_TILE points are dealt out in parts, each against each. distinct leaves only pairs with a below b.
     """
-    one = _boxed(left.select("elem_id", "points"), tile)
-    two = one if left is right else _boxed(right.select("elem_id", "points"), tile)
-    every = sorted({*levels_of(one), *levels_of(two)})
-    a, b = (_coarser(t, every, tile).select(*[F.col(c).alias(f"{p}_{c}") for c in ("elem_id", "own", "points", *boxes.BOX)], "level", "tx", "ty") for p, t in (("a", one), ("b", two)))
+    coarse = None if tile is None else tile * 4
+    odd = F.exists("points", lambda p: ~F.coalesce((F.abs(p["x"]) < pairing.HUGE) & (F.abs(p["y"]) < pairing.HUGE), F.lit(False)))
+    boxed = lambda t: _boxed(t.select("elem_id", "points", odd.alias("odd")), coarse).where("level is not null")
+    one = boxed(left)
+    two = one if left is right else boxed(right)
+    found = {(r.level, r.odd) for t in ((one,) if one is two else (one, two)) for r in t.select("level", "odd").distinct().collect()}
+    levels = sorted({v for v, is_odd in found if not is_odd})
+    marked = lambda t, a, b: t.where("not odd").drop("odd").withColumn("is_left", F.lit(a)).withColumn("is_right", F.lit(b))
+    rows = marked(one, True, True) if one is two else marked(one, True, False).unionByName(marked(two, False, True))
+    rows = _in_parts(_coarser(rows, levels, coarse), coarse)
+    both = one is not two or not distinct
+    kind = rows.schema["elem_id"].dataType.simpleString()
+    key = ["level", "tx", "ty", "p", "q"]
+    pairs = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: pairing.in_tiles(batches, both), f"a {kind}, b {kind}")
+    if not both:  # two rows that have met once, in any order
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    every = sorted({v for v, _ in found})
+    if any(is_odd for _, is_odd in found):
+        pairs = pairs.unionByName(_by_rows(one.where("odd"), two, every, coarse)).unionByName(_by_rows(one.where("not odd"), two.where("odd"), every, coarse))
+    return pairs.where("a < b") if distinct else pairs
+
+
+def _in_parts(rows: DataFrame, tile: float | None) -> DataFrame:
+    """Rows of tiles by the groups (p, q) in which they are held against each other, as pairing has them.
+
+    All of a tile is one group; a crowded one has groups for each two parts of the rows of its own level, and for each of
+    these with each part of the finer levels' rows, which needn't meet each other."""
+    c = F.col
+    key = ["level", "tx", "ty"]
+    rows = rows.withColumn("is_own", c("own") == c("level"))
+    points = lambda own: F.sum(F.when(c("is_own") == own, F.size("points")).otherwise(0))
+    sums = rows.groupBy(*key).agg(points(True).alias("n_own"), points(False).alias("n_finer")).where(c("n_own") + c("n_finer") > IN_TILE)
+    crowded = staged(sums.select(*key, *[F.ceil(c(k) / IN_TILE).cast("int").alias(k) for k in ("n_own", "n_finer")]), "crowded")
+    side = _side(tile, c("level"))
+    rows = rows.join(F.broadcast(crowded), key, "left").where("n_own is null or n_own > 0")
+    h = F.xxhash64("elem_id", *boxes.BOX)
+    part = F.when(c("n_own").isNull(), 0).when(c("is_own"), F.pmod(h, c("n_own"))).otherwise(c("n_own") + F.pmod(h, c("n_finer"))).cast("int")
+    last = F.when(c("n_own").isNull(), 0).when(c("is_own"), c("n_own") + c("n_finer") - 1).otherwise(c("n_own") - 1)
+    begins = [(F.floor(c(f"min_{k}") / side) == c(f"t{k}")).alias(f"in_{k}") for k in "xy"]
+    rows = rows.select("elem_id", "points", "is_left", "is_right", c("is_own").alias("own"), *begins, *key, part.alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    return rows.withColumn("p", F.least("part", "o")).withColumn("q", F.greatest("part", "o")).drop("o")
+
+
+def _by_rows(one: DataFrame, two: DataFrame, levels: list[int], tile: float | None) -> DataFrame:
+    """The pairs of polygons with boxes and levels, row by row: for coordinates that are missing, infinite or not numbers."""
+    a, b = (_coarser(t, levels, tile).select(*[F.col(c).alias(f"{p}_{c}") for c in ("elem_id", "own", "points", *boxes.BOX)], "level", "tx", "ty") for p, t in (("a", one), ("b", two)))
     met = a.join(b, ["level", "tx", "ty"]).where(F.col("level") == F.greatest("a_own", "b_own"))
     side = _side(tile, F.col("level"))
     x0, y0 = F.greatest("a_min_x", "b_min_x"), F.greatest("a_min_y", "b_min_y")
     overlap = (x0 <= F.least("a_max_x", "b_max_x")) & (y0 <= F.least("a_max_y", "b_max_y"))
     once = (F.floor(x0 / side) == F.col("tx")) & (F.floor(y0 / side) == F.col("ty"))
-    pairs = met.where((F.col("a_elem_id") < F.col("b_elem_id")) & overlap & once if distinct else overlap & once)
-    return pairs.where(ring.intersects(F.col("a_points"), F.col("b_points"))).select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
+    return met.where(overlap & once & ring.intersects(F.col("a_points"), F.col("b_points"))).select(F.col("a_elem_id").alias("a"), F.col("b_elem_id").alias("b"))
 
 
 def _coarser(boxed: DataFrame, levels: list[int], tile: float | None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from planarlake.functions import grid as G
 from planarlake.functions import point as P
 from planarlake.functions import ring as R
-from planarlake.operators import catalog, equality, filters, hierarchy, spatial
+from planarlake.operators import boxes, catalog, equality, filters, hierarchy, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -313,6 +313,40 @@ def test_pairs_are_not_shuffled(spark):
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_pairs_by_tile(spark, monkeypatch):
+    """Pairs tested many at once are those of all pairs tested row by row: corners on edges, open rings, points, many corners,
+    coordinates that are no numbers, ids twice, two tables, crowded tiles in parts; no ring is gone through for each pair."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(90):
+        s, w = (0.5, 3.0) if i % 3 else (rnd.choice([6.0, 300.0]), 40.0)
+        x, y = rnd.uniform(-w, w), rnd.uniform(-w, w)
+        n = 40 if i % 11 == 0 else rnd.randint(1, 6)
+        p = [(x + rnd.uniform(0, s), y + rnd.uniform(0, s)) for _ in range(n)] if i % 2 else [(float(rnd.randint(-2, 3)), float(rnd.randint(-2, 3))) for _ in range(n)]
+        rows.append((i, p if i % 5 == 0 else p + p[:1]))
+    rows += [(7, rows[8][1]), (90, []), (91, [(0.0, 0.0), (float("nan"), 1.0), (2.0, 2.0), (0.0, 0.0)]), (92, [(0.0, 0.0), (None, 1.0), (2.0, 1.0)])]
+    rows += [(93, [(0.0, 0.0), (1e200, 0.0), (1e200, 1e200)]), (None, [(0.0, 0.0), (2.0, 0.0), (1.0, 2.0)])]
+    polys = spark.createDataFrame(rows, "elem_id long, points array<struct<x:double,y:double>>")
+    text = lambda t: sorted(str(tuple(r)) for r in t.collect())
+
+    def want(one, two):
+        a, b = (boxes.polygon_boxes(t).select(*[F.col(k).alias(f"{p}_{k}") for k in ("elem_id", "points", *boxes.BOX)]) for p, t in (("a", one), ("b", two)))
+        overlap = " and ".join(f"a_min_{k} <= b_max_{k} and b_min_{k} <= a_max_{k}" for k in "xy")
+        return a.crossJoin(b).where(overlap).where(R.intersects(F.col("a_points"), F.col("b_points"))).select("a_elem_id", "b_elem_id")
+
+    some = polys.where("elem_id % 4 < 2")
+    every, below, two = text(want(polys, polys)), text(want(polys, polys).where("a_elem_id < b_elem_id")), text(want(some, polys))
+    for tile, most in ((2.0, spatial.IN_TILE), (None, spatial.IN_TILE), (2.0, 60)):
+        monkeypatch.setattr(spatial, "IN_TILE", most)
+        assert text(spatial.polygon_pairs(polys, polys, tile, distinct=True)) == below and len(below) > 500
+        if tile:
+            assert text(spatial.polygon_pairs(polys, polys, tile)) == every
+            assert text(spatial.polygon_pairs(some, polys, tile)) == two
+    finite = spatial.polygon_pairs(polys.limit(80), polys.limit(80), 2.0)
+    plan = finite._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "exists(" not in plan
+
+
 def test_large_rings(spark, monkeypatch):
     """Tested over slabs, rings contain what they contain as a whole: zigzags, level edges, corners, no height."""
     rnd = random.Random(5)
