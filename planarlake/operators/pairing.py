@@ -65,7 +65,7 @@ class Rings:
             with np.errstate(all="ignore"):
                 left = qx < dx * (qy - y[1:]) / dy + x[1:]
             hit = np.logical_xor.reduce((over[1:] != over[:-1]) & left, axis=0)
-            e, i = np.nonzero(np.abs((qy - y[:-1]) * dx - (qx - x[:-1]) * dy) <= FLOAT_EPSILON)
+            e, i = np.divmod(np.flatnonzero(np.abs((qy - y[:-1]) * dx - (qx - x[:-1]) * dy) <= FLOAT_EPSILON), len(some))
             on = [(q[i] >= np.minimum(v[e, i], v[e + 1, i])) & (q[i] <= np.maximum(v[e, i], v[e + 1, i])) for v, q in ((x, qx), (y, qy))]
             hit[i[on[0] & on[1]]] = True
             out[some] = hit
@@ -78,8 +78,10 @@ class Rings:
         for k, some in self._by_kind(a):
             x, y = (v.take(self.column[a[some]], axis=1)[1:] for v in self.corners[k])
             r = b[some]
-            e, i = np.nonzero((x >= self.wide[0][r]) & (x <= self.wide[1][r]) & (y >= self.box[1][r]) & (y <= self.box[3][r]))
-            found.append((some[i], x[e, i], y[e, i]))
+            met = x >= self.wide[0][r]
+            for v in (x <= self.wide[1][r], y >= self.box[1][r], y <= self.box[3][r]):
+                met &= v
+            found.append((np.broadcast_to(some, met.shape)[met], x[met], y[met]))
         if found:
             i, px, py = (np.concatenate(v) for v in zip(*found))
             out[i[self.inside(b[i], px, py)]] = True
@@ -160,11 +162,11 @@ def _pairs(rows: pa.Table, both: bool) -> Iterator[pa.RecordBatch]:
             yield made(alone, alone)
     for a, b in met():
         good = (y0[b] <= y1[a]) & (y0[a] <= y1[b]) & (in_y[a] | in_y[b])
-        a, b = a[good], b[good]
-        keep = (left[a] & right[b]) | (left[b] & right[a])
+        if both:
+            good &= (left[a] & right[b]) | (left[b] & right[a])
         if split.any():
-            keep &= ~split[a] | (part[a] != part[b])
-        a, b = a[keep], b[keep]
+            good &= ~split[a] | (part[a] != part[b])
+        a, b = a[good], b[good]
         hit = rings.intersect(order[a], order[b])
         a, b = a[hit], b[hit]
         if both:
